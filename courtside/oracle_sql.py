@@ -125,3 +125,142 @@ oracle("conference_standings", "SELECT * FROM standings", "standings")
 oracle("seed_labels", f"SELECT team, {ORD('seed')} || ' in ' || conference AS seed_label FROM standings",
        "standings")
 oracle("team_rank", "SELECT * FROM team_rank", "team_rank")
+
+
+# ------------------------------------------------------------------ M2 players
+
+def BAND(c: str) -> str:
+    return (f"CASE WHEN {c} >= 30000000 THEN '$30+ M' WHEN {c} >= 25000000 THEN '$25-30 M' "
+            f"WHEN {c} >= 20000000 THEN '$20-25 M' WHEN {c} >= 15000000 THEN '$15-20 M' "
+            f"WHEN {c} >= 10000000 THEN '$10-15 M' WHEN {c} >= 5000000 THEN '$5-10 M' ELSE '< $5 M' END")
+
+
+TS = "2 * ({fga} + 0.44::DOUBLE * {fta})"
+cte("contracts_clean", ("v_contracts",), """
+SELECT DISTINCT player_id, team, TRY_CAST(regexp_replace(salary_text, '[$,\\s]', '', 'g') AS DOUBLE) AS salary
+FROM v_contracts WHERE salary_text IS NULL OR salary_text <> 'Salary'""")
+cte("salary", ("contracts_clean",), "SELECT player_id, max(salary) AS salary FROM contracts_clean GROUP BY player_id")
+cte("player_gp", ("v_box_scores",), "SELECT player_id, COUNT(*) AS gp FROM v_box_scores GROUP BY player_id")
+cte("ptot", ("v_box_scores",), f"""
+SELECT player_id, COUNT(*) AS gp,
+       {R(DIV('SUM(pts)', TS.format(fga='SUM(fga)', fta='SUM(fta)')), 3)} AS season_ts,
+       {R('avg(pts) + 0.5::DOUBLE * avg(plus_minus) + 2.0::DOUBLE * avg(stl + blk) + 0.5::DOUBLE * avg(trb) - 1.5::DOUBLE * avg(tov) + 1.5::DOUBLE * avg(ast)', 1)} AS value,
+       {R('avg(pts)', 1)} AS season_ppg
+FROM v_box_scores GROUP BY player_id""")
+cte("enr0", ("v_box_scores", "ptot", "salary", "teams_dim", "team_gp"), f"""
+SELECT b.*, {R(DIV('b.pts', TS.format(fga='b.fga', fta='b.fta')), 3)} AS game_ts,
+       p.gp, p.season_ts, p.value, p.season_ppg,
+       b.pts + 0.5::DOUBLE * b.plus_minus + (2 * b.stl + b.blk) + 0.5::DOUBLE * b.trb - b.tov + b.ast AS game_value,
+       s.salary, tm.full_name, tg.team_gp,
+       tg.team_gp - p.gp AS games_missed,
+       10 * {R('tg.team_gp / 72', 1)} AS grace
+FROM v_box_scores b LEFT JOIN ptot p ON b.player_id = p.player_id
+LEFT JOIN salary s ON b.player_id = s.player_id
+LEFT JOIN teams_dim tm ON b.team = tm.team
+LEFT JOIN team_gp tg ON b.team = tg.team""")
+cte("enr1", ("enr0",), f"""
+SELECT *, CASE WHEN games_missed = 0 THEN 1.0::DOUBLE WHEN games_missed <= grace THEN 1.0::DOUBLE
+               WHEN games_missed > grace AND value >= 0 THEN 1.0::DOUBLE - 0.03::DOUBLE * (games_missed - grace)
+               WHEN games_missed > grace AND value < 0 THEN 1.0::DOUBLE + 0.03::DOUBLE * (games_missed - grace) END AS penalty_factor,
+       {R(DIV('gp', 'team_gp'), 3)} AS pct_played
+FROM enr0""")
+cte("enr2", ("enr1",), f"""
+SELECT *, {R('CASE WHEN team_gp = gp THEN value WHEN games_missed = grace THEN value WHEN games_missed < grace THEN value WHEN games_missed > grace THEN value * penalty_factor END', 1)} AS adj
+FROM enr1""")
+cte("enriched", ("enr2",), f"""
+SELECT * EXCLUDE (grace, adj, value_adj0), value_adj0 AS value_adj, value - value_adj0 AS value_penalty
+FROM (SELECT *, {R(f"CASE WHEN {DIV('abs(adj - value)', 'value')} >= 0.3::DOUBLE THEN value * 0.67::DOUBLE WHEN {DIV('abs(adj - value)', 'value')} < 0.3::DOUBLE THEN adj END", 1)} AS value_adj0 FROM enr2) x""")
+cte("latest_team", ("v_box_scores",), """
+SELECT player_id, team FROM (
+  SELECT player_id, team, max(game_date) AS d, max(max(game_date)) OVER (PARTITION BY player_id) AS md
+  FROM v_box_scores GROUP BY player_id, team) x WHERE d = md""")
+cte("season_high", ("v_box_scores",), f"""
+SELECT player_id, {R('avg(pts)', 1)} AS avg_pts, max(pts) AS season_high,
+       {R(DIV('SUM(pts)', TS.format(fga='SUM(fga)', fta='SUM(fta)')), 3)} AS season_ts
+FROM v_box_scores GROUP BY player_id""")
+cte("eff_scorers", ("enriched", "record"), f"""
+SELECT row_number() OVER (ORDER BY p.value_adj DESC NULLS LAST, p.player_id) AS rank,
+       p.player_id, p.team, p.avg_pts, p.season_ts, p.value_adj, p.gp,
+       CASE WHEN row_number() OVER (ORDER BY p.value_adj DESC NULLS LAST, p.player_id) <= 5
+            THEN 'Top 5 MVP Candidate' ELSE 'Other' END AS top_flag, r.wins, r.losses
+FROM (SELECT * FROM (
+        SELECT player_id, team, season_ts, value_adj, gp, avg(pts) OVER (PARTITION BY player_id) AS avg_pts,
+               row_number() OVER (PARTITION BY player_id ORDER BY game_date DESC, game_id DESC) AS rn
+        FROM enriched WHERE {REG} AND NOT (player_id = 9 AND team = 1)) y
+      WHERE rn = 1 AND avg_pts >= 29 AND gp >= 0) p
+LEFT JOIN record r ON p.team = r.team""")
+cte("cv_last", ("enriched",), f"""
+SELECT DISTINCT e.player_id, e.value_adj, e.salary, {BAND('e.salary')} AS band
+FROM enriched e JOIN (SELECT player_id, max(game_date) AS md FROM enriched GROUP BY player_id) m
+  ON e.player_id = m.player_id AND e.game_date = m.md""")
+cte("cvalue", ("cv_last", "latest_team"), f"""
+SELECT DISTINCT c.player_id, lt.team, c.salary, c.band, c.band_pct_rank, c.band_mean, c.band_count, c.band_share,
+       CASE WHEN c.band_pct_rank * 100 >= 60 AND c.salary >= 25000000 THEN 'Superstars'
+            WHEN c.band_pct_rank * 100 >= 90 THEN 'Great Value'
+            WHEN c.band_pct_rank * 100 < 90 AND c.band_pct_rank * 100 >= 20 THEN 'Normal'
+            ELSE 'Bad Value' END AS value_class
+FROM (SELECT *,
+        {R('CASE WHEN value_adj IS NOT NULL THEN percent_rank() OVER (PARTITION BY band, value_adj IS NULL ORDER BY value_adj) END', 3)} AS band_pct_rank,
+        {R('avg(round(value_adj * 10, 0)) OVER (PARTITION BY band) / 10', 4)} AS band_mean,
+        COUNT(*) OVER (PARTITION BY band) AS band_count,
+        {R('COUNT(*) OVER (PARTITION BY band) / COUNT(*) OVER ()', 3)} AS band_share
+      FROM cv_last) c
+LEFT JOIN latest_team lt ON c.player_id = lt.player_id""")
+
+oracle("clean_contracts", "SELECT * FROM contracts_clean", "contracts_clean")
+oracle("player_games_played", "SELECT * FROM player_gp", "player_gp")
+oracle("enriched_game_log", "SELECT * FROM enriched", "enriched")
+oracle("league_true_shooting",
+       f"SELECT {R(DIV('SUM(pts)', TS.format(fga='SUM(fga)', fta='SUM(fta)')), 3)} AS league_ts FROM v_box_scores",
+       "v_box_scores")
+oracle("player_latest_team", "SELECT * FROM latest_team", "latest_team")
+oracle("latest_slice", "SELECT * FROM v_box_scores WHERE game_date = (SELECT max(game_date) FROM v_box_scores)",
+       "v_box_scores")
+oracle("most_recent_date", "SELECT max(game_date) AS game_date FROM v_box_scores", "v_box_scores")
+oracle("player_season_high", "SELECT * FROM season_high", "season_high")
+oracle("top_performers", """
+SELECT row_number() OVER (ORDER BY t.pts DESC, t.player_id, t.game_id) AS rank, t.player_id, t.team, t.pts,
+       t.game_ts, t.outcome, t.salary,
+       CASE WHEN t.pts = h.season_high THEN 1 WHEN t.pts <> h.season_high AND t.pts - h.avg_pts >= 10 THEN 2
+            WHEN t.pts - h.avg_pts <= -10 THEN 3 ELSE 0 END AS pts_code,
+       CASE WHEN t.game_ts - h.season_ts >= 0.25::DOUBLE THEN 1
+            WHEN t.game_ts - h.season_ts < 0.25::DOUBLE AND t.game_ts - h.season_ts >= 0.15::DOUBLE THEN 2
+            WHEN t.game_ts <= 0.40::DOUBLE THEN 3 ELSE 0 END AS ts_code
+FROM (SELECT *, rank() OVER (ORDER BY pts DESC) AS rk FROM enriched
+      WHERE game_date = (SELECT max(game_date) FROM enriched)) t
+LEFT JOIN season_high h ON t.player_id = h.player_id
+WHERE t.rk <= 15""", "enriched", "season_high")
+oracle("efficient_scorers", "SELECT * FROM eff_scorers", "eff_scorers")
+oracle("team_scorers", f"""
+SELECT pr.player_id, pr.team, tm.full_name, pa.avg_pts, pa.season_ts, pa.value, pa.gp,
+       COALESCE(f.top_flag, 'Other') AS top_flag, r.wins, r.losses
+FROM (SELECT DISTINCT player_id, team FROM enriched WHERE {REG}) pr
+JOIN (SELECT player_id, avg(pts) AS avg_pts, max(season_ts) AS season_ts, max(value) AS value, max(gp) AS gp
+      FROM enriched WHERE {REG} GROUP BY player_id HAVING max(gp) >= 0) pa ON pr.player_id = pa.player_id
+LEFT JOIN (SELECT player_id, top_flag FROM eff_scorers WHERE top_flag <> 'Other') f ON pr.player_id = f.player_id
+LEFT JOIN teams_dim tm ON pr.team = tm.team
+LEFT JOIN record r ON pr.team = r.team""", "enriched", "eff_scorers", "teams_dim", "record")
+oracle("contract_value", "SELECT * FROM cvalue", "cvalue")
+oracle("contract_band_summary", """
+SELECT DISTINCT band, band_count AS count, band_share AS share, band_mean AS mean_value FROM cvalue""", "cvalue")
+cte("tv", ("contracts_clean", "player_gp"), f"""
+SELECT team, team_gp, achieved, sal * team_gp AS max_value, sal * team_gp - achieved AS missing,
+       {R(DIV('achieved', 'sal * team_gp'), 3)} AS pct_achieved,
+       {R(DIV('sal * team_gp - achieved', 'sal * team_gp'), 3)} AS pct_missing
+FROM (SELECT c.team, max(COALESCE(g.gp, 0)) AS team_gp, sum(c.salary) AS sal,
+             sum(c.salary * COALESCE(g.gp, 0)) AS achieved
+      FROM contracts_clean c LEFT JOIN player_gp g ON c.player_id = g.player_id GROUP BY c.team) x""")
+oracle("contract_value_missing", """
+SELECT t.team, t.team_gp, t.max_value, t.achieved, t.missing, t.pct_achieved, t.pct_missing,
+       (SELECT avg(round(pct_missing * 1000, 0)) / 1000 FROM tv) AS league_mean_pct, r.wins, r.losses, r.win_pct
+FROM tv t LEFT JOIN record r ON t.team = r.team""", "tv", "record")
+oracle("scoring_variance", f"""
+SELECT player_id, a AS avg_pts, v AS variance, {R('sqrt(greatest(v, 0))', 2)} AS std_dev,
+       {R(DIV(R('sqrt(greatest(v, 0))', 2), 'a'), 3)} AS cv
+FROM (SELECT *, (s2 - 2.0::DOUBLE * a * s1 + n * a * a) / n AS v
+      FROM (SELECT player_id, COUNT(*) AS n, CAST(SUM(pts) AS BIGINT) AS s1, CAST(SUM(pts * pts) AS BIGINT) AS s2,
+                   {R('SUM(pts) / COUNT(*)', 1)} AS a
+            FROM v_box_scores GROUP BY player_id) g) x""", "v_box_scores")
+oracle("metric_adjustment_report", f"""
+SELECT DISTINCT player_id, team, value, value_adj, value_penalty, games_missed,
+       {R(DIV('abs(value_penalty)', 'value'), 3)} AS penalty_ratio FROM enriched""", "enriched")

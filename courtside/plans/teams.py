@@ -306,7 +306,7 @@ def rest_day_outcomes(logs: DataFrame) -> DataFrame:
     minus one; null for the first game) and outcome, share within rest."""
     games = logs.select("team", "game_id", "game_date", "outcome").distinct()
     prev = F.lag("game_date").over(Window.partitionBy("team").orderBy("game_date", "game_id"))
-    g = games.withColumn("days_rest", F.datediff("game_date", prev) - 1)
+    g = games.withColumn("days_rest", (F.datediff("game_date", prev) - 1).cast("long"))
     counts = g.groupBy("days_rest", "outcome").agg(F.count(F.lit(1)).alias("n"))
     return share_of_total(counts, "n", ["days_rest"], "share").withColumn(
         "share", F.round("share", 3))

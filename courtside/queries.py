@@ -201,3 +201,79 @@ def q_scoring_variance(spark, sf_dir):
 @query("metric_adjustment_report")
 def q_metric_adjustment_report(spark, sf_dir):
     return P.metric_adjustment_report(_enriched(fixture(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ M3 pairing and running
+
+def _margins(fx: Fixture) -> DataFrame:
+    return T.margin_of_victory(fx.v_box_scores)
+
+
+def _strength(fx: Fixture) -> DataFrame:
+    return T.schedule_strength_so_far(fx.v_box_scores, _record(fx))
+
+
+@query("margin_of_victory")
+def q_margin_of_victory(spark, sf_dir):
+    return _margins(fixture(spark, sf_dir))
+
+
+@query("game_type_distribution")
+def q_game_type_distribution(spark, sf_dir):
+    return T.game_type_distribution(_margins(fixture(spark, sf_dir)))
+
+
+@query("home_road_split")
+def q_home_road_split(spark, sf_dir):
+    return T.home_road_split(fixture(spark, sf_dir).v_box_scores)
+
+
+@query("league_scoring_average")
+def q_league_scoring_average(spark, sf_dir):
+    return T.league_scoring_average(fixture(spark, sf_dir).v_box_scores)
+
+
+@query("day_results")
+def q_day_results(spark, sf_dir):
+    return T.day_results(fixture(spark, sf_dir).v_box_scores)
+
+
+@query("day_summary")
+def q_day_summary(spark, sf_dir):
+    return T.day_summary(T.day_results(fixture(spark, sf_dir).v_box_scores))
+
+
+@query("schedule_strength_so_far")
+def q_schedule_strength_so_far(spark, sf_dir):
+    return _strength(fixture(spark, sf_dir))
+
+
+@query("home_road_records")
+def q_home_road_records(spark, sf_dir):
+    return T.home_road_records(_strength(fixture(spark, sf_dir)))
+
+
+@query("record_vs_quality")
+def q_record_vs_quality(spark, sf_dir):
+    fx = fixture(spark, sf_dir)
+    return T.record_vs_quality(_strength(fx), _record(fx))
+
+
+@query("last_night_team_board")
+def q_last_night_team_board(spark, sf_dir):
+    return T.last_night_team_board(fixture(spark, sf_dir).v_box_scores)
+
+
+@query("opponent_shooting_ranks")
+def q_opponent_shooting_ranks(spark, sf_dir):
+    return T.opponent_shooting_ranks(fixture(spark, sf_dir).v_box_scores)
+
+
+@query("rest_day_outcomes")
+def q_rest_day_outcomes(spark, sf_dir):
+    return T.rest_day_outcomes(fixture(spark, sf_dir).v_box_scores)
+
+
+@query("team_points_history")
+def q_team_points_history(spark, sf_dir):
+    return T.team_points_history(fixture(spark, sf_dir).v_box_scores)

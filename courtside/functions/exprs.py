@@ -58,7 +58,7 @@ def clock_minutes(c, digits: int = 3) -> Column:
 def date_from_weekday_text(c, fmt: str = "MMM d, yyyy") -> Column:
     """'Tue, Dec 22, 2020' -> date. The weekday prefix is stripped first because
     Spark's datetime parser does not accept a text weekday pattern."""
-    return F.try_to_date(F.regexp_replace(col(c), r"^\s*[A-Za-z]+,\s*", ""), F.lit(fmt))
+    return F.try_to_date(F.regexp_replace(col(c), r"^\s*[A-Za-z]+,\s*", ""), fmt)
 
 
 def start_minute(c) -> Column:
@@ -110,8 +110,8 @@ def bins(c, edges: list[tuple], default=None) -> Column:
 
 # Accented Latin letters and their ASCII forms, used for the
 # Latin-ASCII fold of player names. One character maps to one character.
-ACCENTED = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖØòóôõöøÙÚÛÜùúûüÝýÿČčĆćŠšŽžĐđŁłŃńŘřŚśŤťŮůŽžĞğİıŞş"
-ASCII_FORM = "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOOooooooUUUUuuuuYyyCcCcSsZzDdLlNnRrSsTtUuZzGgIiSs"
+ACCENTED = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖØòóôõöøÙÚÛÜùúûüÝýÿČčĆćŠšŽžĐđŁłŃńŘřŚśŤťŮůĞğİıŞş"
+ASCII_FORM = "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOOooooooUUUUuuuuYyyCcCcSsZzDdLlNnRrSsTtUuGgIiSs"
 
 
 def ascii_fold(c) -> Column:

@@ -371,3 +371,111 @@ GROUP BY days_rest, outcome""", "v_box_scores")
 oracle("team_points_history", """
 SELECT team, game_id, outcome, opponent, CAST(SUM(pts) AS BIGINT) AS pts FROM v_box_scores
 GROUP BY team, game_id, outcome, opponent""", "v_box_scores")
+
+
+# ------------------------------------------------------------------ M4 schedule, odds, ratings
+
+AS_OF = "DATE '2001-07-15'"
+ODDS_SINCE = "DATE '2001-06-01'"
+cte("sched", ("v_schedule",), f"""
+SELECT row_number() OVER (ORDER BY game_date, start_minute NULLS LAST, game_id) AS game_no,
+       game_id, game_date, dayname(game_date) AS day_of_week, start_minute, visitor, home, 'Vs' AS vs
+FROM (SELECT game_id, CAST(game_ts AS DATE) AS game_date, visitor, home,
+             (CAST(split_part(start_text, ':', 1) AS INTEGER) % 12) * 60
+             + CASE WHEN start_text LIKE '%p' THEN 720 ELSE 0 END
+             + CAST(regexp_extract(start_text, ':([0-9]+)', 1) AS INTEGER) AS start_minute
+      FROM v_schedule) s
+WHERE game_date >= {AS_OF}""")
+cte("pairs", ("sched",), """
+SELECT game_no, team, opponent FROM (
+  SELECT game_no, visitor AS team, home AS opponent FROM sched
+  UNION ALL SELECT game_no, home AS team, visitor AS opponent FROM sched) p WHERE team <> opponent""")
+cte("fbins", ("pairs", "team_rank"), f"""
+SELECT *, {ORD("CASE WHEN top IS NOT NULL THEN rank() OVER (PARTITION BY top IS NULL ORDER BY top DESC) END")} AS top_rank,
+          {ORD("CASE WHEN mid IS NOT NULL THEN rank() OVER (PARTITION BY mid IS NULL ORDER BY mid DESC) END")} AS mid_rank,
+          {ORD("CASE WHEN bottom IS NOT NULL THEN rank() OVER (PARTITION BY bottom IS NULL ORDER BY bottom DESC) END")} AS bottom_rank
+FROM (SELECT team, NULLIF(COUNT(CASE WHEN bin = 'top' THEN 1 END), 0) AS top,
+             NULLIF(COUNT(CASE WHEN bin = 'mid' THEN 1 END), 0) AS mid,
+             NULLIF(COUNT(CASE WHEN bin = 'bottom' THEN 1 END), 0) AS bottom
+      FROM (SELECT p.team, CASE WHEN r.rank <= 10 THEN 'top' WHEN r.rank > 10 AND r.rank <= 20 THEN 'mid'
+                                ELSE 'bottom' END AS bin
+            FROM pairs p LEFT JOIN team_rank r ON p.opponent = r.team) x GROUP BY team) c""")
+cte("difficulty", ("pairs", "team_rank", "fbins"), f"""
+SELECT g.team, g.rank, g.avg_opp_rank, g.differential, g.difficulty_rank, {ORD('g.difficulty_rank')} AS difficulty_text,
+       {ORD('g.rank')} AS rank_text,
+       CASE WHEN g.differential > 0 THEN 'Easier Schedule' ELSE 'Harder Schedule' END AS label,
+       b.top, b.mid, b.bottom, b.top_rank, b.mid_rank, b.bottom_rank
+FROM (SELECT a.team, r.rank, {R('a.a - r.rank', 1)} AS differential, {R('a.a', 1)} AS avg_opp_rank,
+             row_number() OVER (ORDER BY {R('a.a', 1)} NULLS LAST, a.team) AS difficulty_rank
+      FROM (SELECT p.team, avg(o.rank) AS a FROM pairs p LEFT JOIN team_rank o ON p.opponent = o.team GROUP BY p.team) a
+      LEFT JOIN team_rank r ON a.team = r.team) g
+LEFT JOIN fbins b ON g.team = b.team""")
+cte("upcoming", ("sched", "team_rank", "teams_dim", "v_odds"), f"""
+SELECT DISTINCT s.game_date, s.day_of_week, s.start_minute,
+       CASE WHEN s.game_date = {AS_OF} THEN n1.full_name || ' (' || CASE WHEN o.team1_moneyline = '-' THEN '+100' ELSE o.team1_moneyline END || ')' ELSE n1.full_name END AS road_label,
+       s.vs,
+       CASE WHEN s.game_date = {AS_OF} THEN n2.full_name || ' (' || CASE WHEN o.team2_moneyline = '-' THEN '+100' ELSE o.team2_moneyline END || ')' ELSE n2.full_name END AS home_label,
+       (r1.rank + r2.rank) / 2 AS avg_rank
+FROM sched s LEFT JOIN team_rank r1 ON s.visitor = r1.team LEFT JOIN team_rank r2 ON s.home = r2.team
+LEFT JOIN teams_dim n1 ON s.visitor = n1.team LEFT JOIN teams_dim n2 ON s.home = n2.team
+LEFT JOIN (SELECT * FROM v_odds WHERE game_date = {AS_OF}) o
+  ON o.game_date = s.game_date AND o.team1 = s.visitor AND o.team2 = s.home""")
+cte("next_day", ("upcoming",), """
+SELECT game_date, day_of_week, COUNT(*) AS games FROM upcoming
+WHERE game_date = (SELECT min(game_date) FROM upcoming) GROUP BY game_date, day_of_week""")
+cte("ratings", ("v_team_ratings", "teams_dim"), """
+SELECT tm.team, r.full_name, r.ortg, r.drtg, r.nrtg
+FROM (SELECT replace(team_text, '*', '') AS full_name, TRY_CAST(ortg_text AS DOUBLE) AS ortg,
+             TRY_CAST(drtg_text AS DOUBLE) AS drtg, TRY_CAST(replace(nrtg_text, '+', '') AS DOUBLE) AS nrtg
+      FROM v_team_ratings) r LEFT JOIN teams_dim tm ON r.full_name = tm.full_name
+WHERE r.full_name <> 'League Average'""")
+
+oracle("normalise_schedule", "SELECT * FROM sched", "sched")
+oracle("schedule_pairs", "SELECT * FROM pairs", "pairs")
+oracle("future_opponent_bins", "SELECT * FROM fbins", "fbins")
+oracle("schedule_difficulty", "SELECT * FROM difficulty", "difficulty")
+oracle("upcoming_schedule", "SELECT * FROM upcoming", "upcoming")
+oracle("next_gameday", "SELECT * FROM next_day", "next_day")
+oracle("league_kpis", """
+SELECT n.game_date, n.day_of_week, n.games, s.home_wins, s.road_wins, s.home_pct, s.road_pct, s.total_games,
+       a.league_avg, a.pct_change, strftime(n.game_date, '%B %d, %Y') AS full_date,
+       CAST(s.home_wins AS VARCHAR) || ' - ' || CAST(s.road_wins AS VARCHAR) AS record
+FROM next_day n, hr_split s, league_avg a""", "next_day", "hr_split", "league_avg")
+oracle("over_under_tracker", f"""
+SELECT l.team, tm.full_name, l.over_under_wins, {R('l.over_under_wins / 72', 3)} AS expected_pct, r.win_pct,
+       CASE WHEN r.win_pct >= {R('l.over_under_wins / 72', 3)} THEN 'Over' ELSE 'Under' END AS verdict,
+       r.projected_wins - l.over_under_wins AS wins_difference, 72 - l.over_under_wins AS line_losses,
+       b.top, b.mid, b.bottom, b.top_rank, b.mid_rank, b.bottom_rank
+FROM v_over_under l LEFT JOIN record r ON l.team = r.team LEFT JOIN teams_dim tm ON l.team = tm.team
+LEFT JOIN fbins b ON l.team = b.team""", "v_over_under", "record", "teams_dim", "fbins")
+cte("oday", ("v_box_scores",), f"""
+SELECT team, game_date, CAST(SUM(pts) AS BIGINT) AS pts,
+       CASE WHEN COUNT(DISTINCT outcome) = 1 THEN max(outcome) END AS outcome
+FROM v_box_scores WHERE game_date >= {ODDS_SINCE} GROUP BY team, game_date""")
+oracle("enrich_odds", f"""
+SELECT o.game_id, o.game_date, o.team1, o.team2, o.team1_moneyline, o.team2_moneyline,
+       d1.outcome AS team1_outcome,
+       CASE WHEN d1.outcome = 'W' THEN 'L' WHEN d1.outcome = 'L' THEN 'W' END AS team2_outcome,
+       d1.pts AS team1_pts, d2.pts AS team2_pts, d1.pts + d2.pts AS total_pts
+FROM v_odds o
+LEFT JOIN oday d1 ON o.team1 = d1.team AND o.game_date = d1.game_date
+LEFT JOIN oday d2 ON o.team2 = d2.team AND o.game_date = d2.game_date""", "v_odds", "oday")
+oracle("clean_team_ratings", "SELECT * FROM ratings", "ratings")
+oracle("rating_ranks", f"""
+SELECT *, {ORD('nrtg_rank')} AS nrtg_text, {ORD('ortg_rank')} AS ortg_text, {ORD('drtg_rank')} AS drtg_text
+FROM (SELECT *, row_number() OVER (ORDER BY nrtg DESC, team) AS nrtg_rank,
+             row_number() OVER (ORDER BY ortg DESC, nrtg DESC, team) AS ortg_rank,
+             row_number() OVER (ORDER BY drtg, ortg DESC, nrtg DESC, team) AS drtg_rank,
+             avg(ortg) OVER () AS league_ortg, avg(drtg) OVER () AS league_drtg
+      FROM ratings) r""", "ratings")
+oracle("comment_blocks", """
+SELECT page_id, CAST(generate_subscripts(arr, 1) - 1 AS BIGINT) AS pos, unnest(arr) AS body
+FROM (SELECT page_id, regexp_extract_all(html, '<!--(.*?)-->', 1) AS arr FROM pages) p""")
+oracle("extract_list_items", """
+SELECT * FROM (
+  SELECT page_id, CAST(generate_subscripts(arr, 1) - 1 AS BIGINT) AS pos, unnest(arr) AS item
+  FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2) AS arr FROM pages) p) x
+WHERE NOT regexp_matches(item, 'G-League')""")
+oracle("team_logo_lookup", """
+SELECT t.team, t.full_name, 'logos/' || lower(replace(v.full_name, ' ', '_')) || '.png' AS logo
+FROM teams_dim t LEFT JOIN v_teams v ON t.team = v.team""", "teams_dim", "v_teams")

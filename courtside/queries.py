@@ -277,3 +277,117 @@ def q_rest_day_outcomes(spark, sf_dir):
 @query("team_points_history")
 def q_team_points_history(spark, sf_dir):
     return T.team_points_history(fixture(spark, sf_dir).v_box_scores)
+
+
+# ------------------------------------------------------------------ M4 schedule, odds, ratings
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from courtside.plans import schedule as S  # noqa: E402
+from courtside.sources import pages as PG  # noqa: E402
+
+AS_OF = "2001-07-15"        # 'today' of the schedule fixtures (114 games left at sf0.01)
+ODDS_SINCE = "2001-06-01"   # first date of the odds fixtures
+
+
+def _schedule_text(fx: Fixture) -> DataFrame:
+    """The schedule as the source stores it: weekday-prefixed date text."""
+    return fx.v_schedule.withColumn("date_text", F.date_format("game_ts", "EEE, MMM d, yyyy"))
+
+
+def _sched(fx: Fixture) -> DataFrame:
+    return S.normalise_schedule(_schedule_text(fx), AS_OF)
+
+
+def _ranks(fx: Fixture) -> DataFrame:
+    return T.team_rank(_record(fx))
+
+
+def _bins(fx: Fixture) -> DataFrame:
+    return S.future_opponent_bins(S.schedule_pairs(_sched(fx)), _ranks(fx))
+
+
+def _upcoming(fx: Fixture) -> DataFrame:
+    return S.upcoming_schedule(_sched(fx), _ranks(fx), fx.v_odds, fx.v_teams, AS_OF)
+
+
+def _ratings(fx: Fixture) -> DataFrame:
+    return S.clean_team_ratings(fx.v_team_ratings, fx.v_teams)
+
+
+@query("normalise_schedule")
+def q_normalise_schedule(spark, sf_dir):
+    return _sched(fixture(spark, sf_dir))
+
+
+@query("schedule_pairs")
+def q_schedule_pairs(spark, sf_dir):
+    return S.schedule_pairs(_sched(fixture(spark, sf_dir)))
+
+
+@query("future_opponent_bins")
+def q_future_opponent_bins(spark, sf_dir):
+    return _bins(fixture(spark, sf_dir))
+
+
+@query("schedule_difficulty")
+def q_schedule_difficulty(spark, sf_dir):
+    fx = fixture(spark, sf_dir)
+    return S.schedule_difficulty(S.schedule_pairs(_sched(fx)), _ranks(fx), _bins(fx))
+
+
+@query("upcoming_schedule")
+def q_upcoming_schedule(spark, sf_dir):
+    return _upcoming(fixture(spark, sf_dir))
+
+
+@query("next_gameday")
+def q_next_gameday(spark, sf_dir):
+    return S.next_gameday(_upcoming(fixture(spark, sf_dir)))
+
+
+@query("league_kpis")
+def q_league_kpis(spark, sf_dir):
+    fx = fixture(spark, sf_dir)
+    return S.league_kpis(S.next_gameday(_upcoming(fx)), T.home_road_split(fx.v_box_scores),
+                         T.league_scoring_average(fx.v_box_scores))
+
+
+@query("over_under_tracker")
+def q_over_under_tracker(spark, sf_dir):
+    fx = fixture(spark, sf_dir)
+    return S.over_under_tracker(fx.v_over_under, _record(fx), fx.v_teams, _bins(fx))
+
+
+@query("enrich_odds")
+def q_enrich_odds(spark, sf_dir):
+    fx = fixture(spark, sf_dir)
+    return S.enrich_odds(fx.v_odds, fx.v_box_scores, ODDS_SINCE)
+
+
+@query("clean_team_ratings")
+def q_clean_team_ratings(spark, sf_dir):
+    return _ratings(fixture(spark, sf_dir))
+
+
+@query("rating_ranks")
+def q_rating_ranks(spark, sf_dir):
+    return S.rating_ranks(_ratings(fixture(spark, sf_dir)))
+
+
+@query("team_logo_lookup")
+def q_team_logo_lookup(spark, sf_dir):
+    fx = fixture(spark, sf_dir)
+    logos = fx.v_teams.select("team", F.concat(F.lit("logos/"), F.lower(F.regexp_replace("full_name", " ", "_")),
+                                               F.lit(".png")).alias("logo"))
+    return S.team_logo_lookup(T.team_dimension(fx.v_teams), logos)
+
+
+@query("comment_blocks")
+def q_comment_blocks(spark, sf_dir):
+    return PG.comment_blocks(fixture(spark, sf_dir).table("pages"))
+
+
+@query("extract_list_items")
+def q_extract_list_items(spark, sf_dir):
+    return PG.extract_list_items(fixture(spark, sf_dir).table("pages"))

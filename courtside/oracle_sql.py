@@ -479,3 +479,58 @@ WHERE NOT regexp_matches(item, 'G-League')""")
 oracle("team_logo_lookup", """
 SELECT t.team, t.full_name, 'logos/' || lower(replace(v.full_name, ' ', '_')) || '.png' AS logo
 FROM teams_dim t LEFT JOIN v_teams v ON t.team = v.team""", "teams_dim", "v_teams")
+
+
+# ------------------------------------------------------------------ M5 play by play
+
+cte("timeline", ("v_play_by_play",), """
+SELECT game_id, event_play, event_id, location, play, period, clock, score_home, score_away,
+       score_home - score_away AS margin
+FROM (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY ts, event_id, side_idx) AS event_play
+      FROM (SELECT game_id, event_id, ts, period, clock, score_home, score_away, 0 AS side_idx,
+                   'Home' AS location, desc_home AS play FROM v_play_by_play
+            UNION ALL
+            SELECT game_id, event_id, ts, period, clock, score_home, score_away, 1 AS side_idx,
+                   'Away' AS location, desc_visitor AS play FROM v_play_by_play) u) n
+WHERE play IS NOT NULL AND score_home IS NOT NULL AND score_away IS NOT NULL""")
+cte("runs", ("timeline",), """
+SELECT game_id, event_play, event_id, location, play, period, clock, score_home, score_away, margin,
+       score_change, sign, run_id,
+       row_number() OVER (PARTITION BY game_id, run_id ORDER BY event_play) AS run_pos,
+       CAST(SUM(abs(score_change)) OVER (PARTITION BY game_id, run_id ORDER BY event_play ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run_points
+FROM (SELECT *, CAST(SUM(flag) OVER (PARTITION BY game_id ORDER BY event_play ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run_id
+      FROM (SELECT *, CASE WHEN sign <> COALESCE(lag(sign) OVER (PARTITION BY game_id ORDER BY event_play), sign)
+                           THEN 1 ELSE 0 END AS flag
+            FROM (SELECT *, CASE WHEN score_change > 0 THEN 1 ELSE -1 END AS sign
+                  FROM (SELECT *, margin - COALESCE(lag(margin) OVER (PARTITION BY game_id ORDER BY event_play), 0)
+                                  AS score_change FROM timeline) a) b) c) d""")
+MIN = f"{R('TRY_CAST(split_part(clock, chr(58), 1) AS DOUBLE) + TRY_CAST(split_part(clock, chr(58), 2) AS DOUBLE) / 60.0::DOUBLE', 3)}"
+oracle("play_timeline", "SELECT * FROM timeline", "timeline")
+oracle("scoring_runs", "SELECT * FROM runs", "runs")
+oracle("lead_state", f"""
+SELECT *, CASE WHEN period <= 4 THEN (5 - period) * 12 - (12 - minutes) ELSE -5 * (period - 4) + minutes END AS game_axis
+FROM (SELECT *, CASE WHEN period > 4 THEN {ORD('period - 4')} || ' OT' ELSE {ORD('period')} END AS period_label,
+             CASE WHEN location = 'Home' AND score_home > score_away THEN 'Leading'
+                  WHEN location = 'Home' AND score_home < score_away THEN 'Trailing'
+                  WHEN location = 'Away' AND score_home > score_away THEN 'Trailing'
+                  WHEN location = 'Away' AND score_home < score_away THEN 'Leading' ELSE 'Tied' END AS state,
+             {MIN} AS minutes
+      FROM runs) x""", "runs")
+oracle("foul_calls", """
+SELECT game_id, event_id, regexp_replace(parts[3], '.$', '') AS referee,
+       regexp_replace(upper(concat_ws('', g, h)), 'PERSONALTAKE', 'PERSONAL') AS foul_type
+FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(words[2], 'Jr.', ''), 'Sr.', ''), 'III', ''), 'Hill', '') AS g,
+             regexp_replace(words[3], 'Offensive', 'OFFENSIVECHARGE') AS h
+      FROM (SELECT *, string_split(parts[1], ' ') AS words
+            FROM (SELECT game_id, event_id, string_split_regex(value, '\\(') AS parts
+                  FROM (SELECT game_id, event_id, desc_home AS value FROM v_foul_text
+                        UNION ALL SELECT game_id, event_id, desc_visitor AS value FROM v_foul_text) u
+                  WHERE value IS NOT NULL AND regexp_matches(value, '(?i)foul')
+                    AND NOT contains(value, 'Turnover') AND NOT contains(value, 'FLAGRANT')) a) b) c""",
+       "v_foul_text")
+oracle("game_titles", """
+SELECT game_id, max(CASE WHEN location = 'H' THEN full_name END) || ' Vs. ' ||
+                max(CASE WHEN location = 'A' THEN full_name END) AS title
+FROM (SELECT DISTINCT b.game_id, b.location, b.team, t.full_name
+      FROM v_box_scores b LEFT JOIN teams_dim t ON b.team = t.team) x GROUP BY game_id""",
+       "v_box_scores", "teams_dim")

@@ -391,3 +391,42 @@ def q_comment_blocks(spark, sf_dir):
 @query("extract_list_items")
 def q_extract_list_items(spark, sf_dir):
     return PG.extract_list_items(fixture(spark, sf_dir).table("pages"))
+
+
+# ------------------------------------------------------------------ M5 play by play
+
+from courtside.plans import plays as PL  # noqa: E402
+
+
+def _timeline(fx: Fixture) -> DataFrame:
+    return PL.play_timeline(fx.v_play_by_play, chunk=F.to_date("ts"))
+
+
+def _runs(fx: Fixture) -> DataFrame:
+    return PL.scoring_runs(_timeline(fx))
+
+
+@query("play_timeline")
+def q_play_timeline(spark, sf_dir):
+    return _timeline(fixture(spark, sf_dir))
+
+
+@query("scoring_runs")
+def q_scoring_runs(spark, sf_dir):
+    return _runs(fixture(spark, sf_dir))
+
+
+@query("lead_state")
+def q_lead_state(spark, sf_dir):
+    return PL.lead_state(_runs(fixture(spark, sf_dir)))
+
+
+@query("foul_calls")
+def q_foul_calls(spark, sf_dir):
+    return PL.foul_calls(fixture(spark, sf_dir).v_foul_text)
+
+
+@query("game_titles")
+def q_game_titles(spark, sf_dir):
+    fx = fixture(spark, sf_dir)
+    return PL.game_titles(fx.v_box_scores, fx.v_teams)

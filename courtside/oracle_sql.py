@@ -534,3 +534,39 @@ SELECT game_id, max(CASE WHEN location = 'H' THEN full_name END) || ' Vs. ' ||
 FROM (SELECT DISTINCT b.game_id, b.location, b.team, t.full_name
       FROM v_box_scores b LEFT JOIN teams_dim t ON b.team = t.team) x GROUP BY game_id""",
        "v_box_scores", "teams_dim")
+
+
+# ------------------------------------------------------------------ M6 catalogue, slices, snapshot
+
+STUDIO = "NOT regexp_matches(album, 'ECONOMY|PROMO')"
+oracle("studio_tracks", f"SELECT * FROM v_tracks WHERE {STUDIO}", "v_tracks")
+oracle("song_count", "SELECT artist, COUNT(DISTINCT track) AS songs FROM v_tracks GROUP BY artist", "v_tracks")
+oracle("album_count", "SELECT artist, COUNT(DISTINCT album) AS albums FROM v_tracks GROUP BY artist", "v_tracks")
+oracle("artist_statistics", f"""
+SELECT artist, {R('avg(CAST(valence * 100 AS DECIMAL(18,6)))', 1)} AS positivity,
+       {R('avg(CAST(energy * 100 AS DECIMAL(18,6)))', 1)} AS energy,
+       COUNT(DISTINCT track) AS songs, COUNT(DISTINCT album) AS albums
+FROM v_tracks WHERE {STUDIO} GROUP BY artist""", "v_tracks")
+oracle("album_timeline", "SELECT DISTINCT artist, album, release_date FROM v_tracks", "v_tracks")
+oracle("artist_search", """
+SELECT artist_id, artist_name, popularity FROM (
+  SELECT *, row_number() OVER (PARTITION BY artist_name ORDER BY popularity DESC, artist_id) AS rn
+  FROM v_artists WHERE contains(lower(artist_name), 'blue')) x WHERE rn = 1""", "v_artists")
+oracle("mood_quadrants", """
+SELECT artist, album, quadrant, COUNT(*) AS n, COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY artist, album) AS share
+FROM (SELECT artist, album,
+             CASE WHEN valence >= 0.5::DOUBLE AND energy >= 0.5::DOUBLE THEN 'Happy / Upbeat'
+                  WHEN valence >= 0.5::DOUBLE AND energy < 0.5::DOUBLE THEN 'Mellow / Peaceful'
+                  WHEN valence < 0.5::DOUBLE AND energy < 0.5::DOUBLE THEN 'Sad / Slow'
+                  WHEN valence < 0.5::DOUBLE AND energy >= 0.5::DOUBLE THEN 'Aggressive / Fast Paced' END AS quadrant
+      FROM v_tracks) x GROUP BY artist, album, quadrant""", "v_tracks")
+oracle("slice_team_margins", "SELECT * FROM mov WHERE team = 7", "mov")
+oracle("slice_documents_contains",
+       "SELECT doc_id, lang, source, n_chars FROM documents WHERE contains(text, 'License')")
+oracle("slice_documents_not_contains",
+       "SELECT doc_id, lang, source, n_chars FROM documents WHERE NOT contains(text, 'License')")
+oracle("slice_injuries_team", """
+SELECT i.injury_id, i.team, i.description, t.full_name
+FROM v_injuries i LEFT JOIN teams_dim t ON i.team = t.team WHERE t.full_name = 'NATION_11'""",
+       "v_injuries", "teams_dim")
+oracle("refresh_snapshot", "SELECT * FROM v_injuries", "v_injuries")

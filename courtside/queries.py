@@ -430,3 +430,87 @@ def q_foul_calls(spark, sf_dir):
 def q_game_titles(spark, sf_dir):
     fx = fixture(spark, sf_dir)
     return PL.game_titles(fx.v_box_scores, fx.v_teams)
+
+
+# ------------------------------------------------------------------ M6 catalogue, slices, snapshot
+
+import hashlib  # noqa: E402
+
+from courtside.operators.core import slice_by  # noqa: E402
+from courtside.plans import catalogue as C  # noqa: E402
+from courtside.session import checkpoint_root  # noqa: E402
+from courtside.sources import snapshot as SN  # noqa: E402
+
+STUDIO_PATTERN = "ECONOMY|PROMO"   # album types standing in for live / concert releases
+ARTIST_TEXT = "blue"
+
+
+def _studio(fx: Fixture) -> DataFrame:
+    return C.studio_tracks(fx.v_tracks, STUDIO_PATTERN)
+
+
+@query("studio_tracks")
+def q_studio_tracks(spark, sf_dir):
+    return _studio(fixture(spark, sf_dir))
+
+
+@query("song_count")
+def q_song_count(spark, sf_dir):
+    return C.song_count(fixture(spark, sf_dir).v_tracks)
+
+
+@query("album_count")
+def q_album_count(spark, sf_dir):
+    return C.album_count(fixture(spark, sf_dir).v_tracks)
+
+
+@query("artist_statistics")
+def q_artist_statistics(spark, sf_dir):
+    return C.artist_statistics(_studio(fixture(spark, sf_dir)))
+
+
+@query("album_timeline")
+def q_album_timeline(spark, sf_dir):
+    return C.album_timeline(fixture(spark, sf_dir).v_tracks)
+
+
+@query("artist_search")
+def q_artist_search(spark, sf_dir):
+    return C.artist_search(fixture(spark, sf_dir).v_artists, ARTIST_TEXT)
+
+
+@query("mood_quadrants")
+def q_mood_quadrants(spark, sf_dir):
+    return C.mood_quadrants(fixture(spark, sf_dir).v_tracks)
+
+
+@query("slice_team_margins")
+def q_slice_team_margins(spark, sf_dir):
+    return slice_by(_margins(fixture(spark, sf_dir)), "team", 7)
+
+
+@query("slice_documents_contains")
+def q_slice_documents_contains(spark, sf_dir):
+    docs = fixture(spark, sf_dir).table("documents")
+    return slice_by(docs, "text", "License", contains=True).select("doc_id", "lang", "source", "n_chars")
+
+
+@query("slice_documents_not_contains")
+def q_slice_documents_not_contains(spark, sf_dir):
+    docs = fixture(spark, sf_dir).table("documents")
+    return (slice_by(docs, "text", "License", contains=True, negate=True)
+            .select("doc_id", "lang", "source", "n_chars"))
+
+
+@query("slice_injuries_team")
+def q_slice_injuries_team(spark, sf_dir):
+    fx = fixture(spark, sf_dir)
+    return slice_by(T.injuries_by_team(fx.v_injuries, fx.v_teams), "full_name", "NATION_11")
+
+
+@query("refresh_snapshot")
+def q_refresh_snapshot(spark, sf_dir):
+    fx = fixture(spark, sf_dir)
+    key = hashlib.sha1(fx.sf_dir.encode()).hexdigest()[:12]
+    path = f"{checkpoint_root(spark)}/snapshots/injuries-{key}"
+    return SN.refresh_snapshot(spark, lambda: fx.v_injuries, path, max_age_hours=8)

@@ -100,13 +100,10 @@ def first_per_key(df: DataFrame, keys, order: Sequence[Column]) -> DataFrame:
 # ---------------------------------------------------------------- shares, ranks
 
 def share_of_total(df: DataFrame, n_col: str, by=None, name: str = "share") -> DataFrame:
-    """``n / sum(n)`` over all rows or within ``by`` (O27). Meant for already
-    aggregated rows; the global total is a one-row scalar subquery."""
-    by = _list(by)
-    if by:
-        total = F.sum(n_col).over(Window.partitionBy(*by))
-    else:
-        total = df.agg(F.sum(n_col)).scalar()
+    """``n / sum(n)`` over all rows or within ``by`` (O27), for rows already
+    aggregated to a bounded grain (counts per category, per team, ...): the
+    total is a window over those rows, computed in the same pass."""
+    total = F.sum(n_col).over(Window.partitionBy(*_list(by)))
     return df.withColumn(name, F.col(n_col) / total)
 
 

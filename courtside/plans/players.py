@@ -243,10 +243,11 @@ def contract_value(enriched: DataFrame, latest_team: DataFrame) -> DataFrame:
     tenths = F.round(F.col("value_adj") * 10, 0)
     stats = last.groupBy("band").agg(F.round(F.avg(tenths) / 10, 4).alias("band_mean"),
                                      F.count(F.lit(1)).alias("band_count"))
-    total = last.agg(F.count(F.lit(1))).scalar()
+    # at most one row per band: the league total is a window over those rows
+    stats = stats.withColumn("band_share", F.round(
+        F.col("band_count") / F.sum("band_count").over(Window.partitionBy()), 3))
     out = (ranked.join(stats, "band", "left")
-           .withColumn("band_pct_rank", F.round("_pr", 3))
-           .withColumn("band_share", F.round(F.col("band_count") / total, 3)))
+           .withColumn("band_pct_rank", F.round("_pr", 3)))
     pct100 = F.col("band_pct_rank") * 100
     cls = (F.when((pct100 >= 60) & (F.col("salary") >= 25_000_000), "Superstars")
            .when(pct100 >= 90, "Great Value")
@@ -274,8 +275,9 @@ def contract_value_missing(contracts: DataFrame, gp: DataFrame, record: DataFram
          .withColumn("missing", F.col("max_value") - F.col("achieved"))
          .withColumn("pct_achieved", F.round(safe_ratio("achieved", "max_value"), 3))
          .withColumn("pct_missing", F.round(safe_ratio("missing", "max_value"), 3)))
-    # mean of 3-dp shares, summed as exact integers so the order of the sum cannot matter
-    mean = t.agg(F.avg(F.round(F.col("pct_missing") * 1000, 0)) / 1000).scalar()
+    # one row per team: the league mean is a window over those rows; the 3-dp
+    # shares are summed as exact integers so the order of the sum cannot matter
+    mean = F.avg(F.round(F.col("pct_missing") * 1000, 0)).over(Window.partitionBy()) / 1000
     return (t.withColumn("league_mean_pct", mean)
             .join(record.select("team", "wins", "losses", "win_pct"), "team", "left")
             .select("team", "team_gp", "max_value", "achieved", "missing", "pct_achieved",

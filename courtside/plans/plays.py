@@ -18,17 +18,39 @@ from courtside.operators.core import running_sum, unpivot
 CHUNK_ROWS = 1 << 16  # rows of one game per window task in the chunked plans
 
 
-def play_timeline(plays: DataFrame, chunk: Column | None = None) -> DataFrame:
+def largest_group(df: DataFrame, keys) -> int:
+    """Rows in the largest group: one aggregate (map-side partial counts),
+    one number back to the driver."""
+    top = df.groupBy(keys).count().agg(F.max("count")).first()[0]
+    return int(top or 0)
+
+
+def _reliable(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back, so the
+    branches that follow do not recompute it (and lineage is cut)."""
+    from courtside.session import checkpoint_root
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def play_timeline(plays: DataFrame, chunk: Column | None = None, chunk_rows: int = CHUNK_ROWS,
+                  mode: str = "auto") -> DataFrame:
     """(P48) one row per (event, side) with a description: home and visitor
     text unpivoted, events numbered per game in (ts, event_id, home-first)
     order before rows without text or score are dropped; margin = home - away.
 
-    ``chunk``: a coarse order-preserving key of ``ts`` (e.g. the day) to number
-    events with a two-level prefix count instead of one window per game."""
-    if chunk is None:
+    Numbering is one window per game unless a game holds more than
+    ``chunk_rows`` events (``mode='auto'`` measures it; 'window' / 'chunked'
+    force a plan). The chunked plan numbers events with a two-level prefix
+    count over ``chunk``, a coarse order-preserving key of ``ts`` (default:
+    the hour), so no task holds a whole game."""
+    if mode == "auto":
+        mode = "chunked" if largest_group(plays, "game_id") > chunk_rows else "window"
+    if mode == "window":
         w = Window.partitionBy("game_id").orderBy("ts", "event_id")
         ev = plays.withColumn("__k", F.row_number().over(w).cast("long"))
     else:
+        chunk = chunk if chunk is not None else F.date_trunc("hour", "ts")
         ev = running_sum(plays, "game_id", ["ts", "event_id"], {"__k": F.lit(1).cast("long")}, chunk=chunk)
     long = unpivot(ev, ["game_id", "event_id", "ts", "__k", "period", "clock", "score_home", "score_away"],
                    ["desc_home", "desc_visitor"], "side", "play")
@@ -42,18 +64,22 @@ def play_timeline(plays: DataFrame, chunk: Column | None = None) -> DataFrame:
                     "score_home", "score_away", "margin"))
 
 
-def scoring_runs(timeline: DataFrame, chunk_rows: int | None = CHUNK_ROWS) -> DataFrame:
+def scoring_runs(timeline: DataFrame, chunk_rows: int = CHUNK_ROWS, mode: str = "auto") -> DataFrame:
     """(P49) score change vs the previous play (0 before the first), its sign
     (a change of 0 counts as -1), runs of equal sign (island id), position in
     the run and points accumulated in the run.
 
-    With ``chunk_rows`` the game is cut into chunks of event numbers; lag
-    state crosses chunk borders through per-chunk last values, the run id and
-    the running totals are two-level prefix sums, and position / points in a
-    run come from a per-run aggregate joined back."""
-    if not chunk_rows:
+    ``mode='auto'`` measures the largest game: up to ``chunk_rows`` rows, all
+    windows run per game and share one exchange and sort; above it the game
+    is cut into chunks of event numbers - lag state crosses chunk borders
+    through per-chunk last values, run ids and running totals are two-level
+    prefix sums, and position / points in a run come from a per-run aggregate
+    joined back. The chunked plan checkpoints at its branch points."""
+    if mode == "auto":
+        mode = "chunked" if largest_group(timeline, "game_id") > chunk_rows else "window"
+    if mode == "window":
         return _scoring_runs_windowed(timeline)
-    t = timeline.withColumn("__c", F.floor(F.col("event_play") / chunk_rows).cast("long"))
+    t = _reliable(timeline.withColumn("__c", F.floor(F.col("event_play") / chunk_rows).cast("long")))
     wc = Window.partitionBy("game_id").orderBy("__c")
     w = Window.partitionBy("game_id", "__c").orderBy("event_play")
 
@@ -64,14 +90,14 @@ def scoring_runs(timeline: DataFrame, chunk_rows: int | None = CHUNK_ROWS) -> Da
 
     t = carry(t, "margin", "__prev_margin")
     prev = F.coalesce(F.lag("margin").over(w), F.col("__prev_margin"), F.lit(0))
-    t = (t.withColumn("score_change", F.col("margin") - prev)
-         .withColumn("sign", F.when(F.col("score_change") > 0, 1).otherwise(-1)))
+    t = _reliable(t.withColumn("score_change", F.col("margin") - prev)
+                  .withColumn("sign", F.when(F.col("score_change") > 0, 1).otherwise(-1)))
     t = carry(t, "sign", "__prev_sign")
     prev_sign = F.coalesce(F.lag("sign").over(w), F.col("__prev_sign"), F.col("sign"))
-    t = t.withColumn("__flag", (F.col("sign") != prev_sign).cast("long"))
-    t = running_sum(t, "game_id", ["event_play"],
-                    {"run_id": F.col("__flag"), "__k": F.lit(1).cast("long"),
-                     "__p": F.abs("score_change")}, chunk=F.col("__c"))
+    t = _reliable(t.withColumn("__flag", (F.col("sign") != prev_sign).cast("long")))
+    t = _reliable(running_sum(t, "game_id", ["event_play"],
+                              {"run_id": F.col("__flag"), "__k": F.lit(1).cast("long"),
+                               "__p": F.abs("score_change")}, chunk=F.col("__c")))
     runs = t.groupBy("game_id", "run_id").agg(
         F.min("__k").alias("__k0"), F.min(F.col("__p") - F.abs("score_change")).alias("__p0"))
     return (t.join(runs, ["game_id", "run_id"], "left")

@@ -7,6 +7,10 @@ built with ``spark.sql`` over the base tables; in the oracle they become CTEs.
 
 from __future__ import annotations
 
+import hashlib
+import os
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -128,18 +132,34 @@ class Fixture:
     ``spark.sql`` resolves a view's text once, at call time, so each returned
     DataFrame keeps pointing at this folder's files even if another Fixture
     re-registers the table names later.
+
+    The league inputs are loaded once per session and folder, like the
+    source loads its tables once at start: with ``persist`` (default; env
+    COURTSIDE_PERSIST=0 turns it off) a view is kept MEMORY_AND_DISK and
+    shared by every query of the session (lost blocks are recomputed from
+    lineage). With ``materialize`` (env COURTSIDE_MATERIALIZE=1) it is
+    instead written once as a parquet snapshot under the checkpoint folder
+    and read back, which also cuts its lineage.
     """
 
-    _active: dict[int, str] = {}
+    _active: dict[str, str] = {}
+    _shared: dict[tuple, DataFrame] = {}
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool | None = None,
+                 persist: bool | None = None):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._views: dict[str, DataFrame] = {}
+        if materialize is None:
+            materialize = os.environ.get("COURTSIDE_MATERIALIZE", "0") == "1"
+        if persist is None:
+            persist = os.environ.get("COURTSIDE_PERSIST", "1") != "0"
+        self.materialize = materialize
+        self.persist = persist and not materialize
 
     def _activate(self) -> None:
         # table names are session-wide; re-point them when another folder took them
-        key = id(self.spark)
+        key = self.spark.sparkContext.applicationId
         if Fixture._active.get(key) != self.sf_dir:
             register_base_tables(self.spark, self.sf_dir)
             Fixture._active[key] = self.sf_dir
@@ -149,12 +169,30 @@ class Fixture:
 
     def view(self, name: str) -> DataFrame:
         if name not in self._views:
-            self._activate()
-            for dep in VIEW_DEPS.get(name, ()):
-                self.view(dep).createOrReplaceTempView(dep)
-            self._views[name] = self.spark.sql(VIEWS[name])
+            shared_key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+            df = Fixture._shared.get(shared_key) if (self.persist or self.materialize) else None
+            if df is None:
+                self._activate()
+                for dep in VIEW_DEPS.get(name, ()):
+                    self.view(dep).createOrReplaceTempView(dep)
+                df = self.spark.sql(VIEWS[name])
+                if self.materialize:
+                    df = self._stored(name, df)
+                elif self.persist:
+                    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+                if self.persist or self.materialize:
+                    Fixture._shared[shared_key] = df
+            self._views[name] = df
         return self._views[name]
 
+    def _stored(self, name: str, df: DataFrame) -> DataFrame:
+        from courtside.session import checkpoint_root
+        from courtside.sources.snapshot import refresh_snapshot
+        key = hashlib.sha1((self.sf_dir + "\n" + VIEWS[name]).encode()).hexdigest()[:16]
+        path = f"{checkpoint_root(self.spark)}/fixtures/{name}-{key}"
+        # inputs are read-only: a stored version never goes stale
+        return refresh_snapshot(self.spark, df, path, active=False)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("v_") and name in VIEWS:
             return self.view(name)

@@ -3,8 +3,8 @@
 Each oracle is one self-contained statement over the base tables: the fixture
 views and shared intermediates are CTE fragments, pulled in (with their
 dependencies, in order) by ``compose``. Where the Spark side rounds with
-``F.round`` (half-up on the decimal value), the oracle rounds through DECIMAL,
-which DuckDB rounds the same way.
+``F.round`` (half-up on the double's decimal text), the oracle rounds the
+same text through DECIMAL, which DuckDB rounds the same way.
 """
 
 from __future__ import annotations
@@ -13,8 +13,11 @@ from courtside.sources.fixtures import VIEW_DEPS, VIEWS
 
 
 def R(x: str, d: int) -> str:
-    """Half-up rounding as Spark's round(double, d) does it."""
-    return f"CAST(round(CAST(({x}) AS DECIMAL(38,9)), {d}) AS DOUBLE)"
+    """Rounding as Spark's round(double, d) does it: half-up on the double's
+    shortest decimal text (49.349999999999994 -> 49.3, 0.285 -> 0.29).
+    Values too large for the decimal fall back to DuckDB's own round."""
+    return (f"COALESCE(CAST(round(TRY_CAST(CAST(({x}) AS VARCHAR) AS DECIMAL(38,17)), {d}) AS DOUBLE), "
+            f"round(({x}), {d}))")
 
 
 def ORD(x: str) -> str:

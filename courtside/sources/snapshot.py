@@ -1,9 +1,10 @@
 """Source readers and the snapshot-refresh rule (O01-O03, P01).
 
-A snapshot is a folder of versions, ``<path>/v=<epoch seconds>/``; a version
-counts once its ``_SUCCESS`` marker exists. Refreshing writes a new version
-and never touches the one readers use, so a failed or half-written refresh
-leaves the previous snapshot in place (no rename needed, which object
+A snapshot is a folder of versions, ``<path>/v=<epoch ms>/``; a version
+counts once its completion marker ``<path>/done/v=<epoch ms>/`` exists, which
+is written only after the data write has committed. Refreshing writes a new
+version and never touches the one readers use, so a failed or half-written
+refresh leaves the previous snapshot in place (no rename needed, which object
 stores do not make atomic).
 """
 
@@ -45,14 +46,15 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=Non
 
 
 def snapshot_versions(spark: SparkSession, path: str) -> DataFrame:
-    """Complete versions of a snapshot: (v, modified). Only the small
-    ``_SUCCESS`` markers are listed; no data file is read."""
+    """Complete versions of a snapshot: (version, modified_s). Only the tiny
+    marker files are listed; no data file is read."""
     try:
-        marks = spark.read.format("binaryFile").load(f"{path}/v=*/_SUCCESS")
+        marks = spark.read.format("binaryFile").load(f"{path}/done/v=*/*.json")
     except AnalysisException:
         return spark.createDataFrame([], "version long, modified_s long")
-    return marks.select(F.regexp_extract("path", r"/v=(\d+)/_SUCCESS$", 1).cast("long").alias("version"),
-                        F.unix_timestamp("modificationTime").alias("modified_s"))
+    return (marks.select(F.regexp_extract("path", r"/done/v=(\d+)/", 1).cast("long").alias("version"),
+                         F.unix_timestamp("modificationTime").alias("modified_s"))
+            .groupBy("version").agg(F.max("modified_s").alias("modified_s")))
 
 
 def refresh_snapshot(spark: SparkSession, source: DataFrame | Callable[[], DataFrame], path: str,
@@ -72,6 +74,8 @@ def refresh_snapshot(spark: SparkSession, source: DataFrame | Callable[[], DataF
             version = latest[0]["version"] + 1
         frame = source() if callable(source) else source
         frame.write.mode("errorifexists").parquet(f"{path}/v={version}")
+        (spark.createDataFrame([(version,)], "version long").coalesce(1)
+         .write.mode("errorifexists").json(f"{path}/done/v={version}"))
         target = version
     else:
         target = latest[0]["version"]

@@ -121,3 +121,14 @@ def ascii_fold(c) -> Column:
 
 def any_of(conds: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conds)
+
+
+def strict_avg(c) -> Column:
+    """Mean that is null when any input is null (R's mean without na.rm),
+    for callers who want the source's missing-value rule instead of SQL's."""
+    return F.when(F.count(col(c)) == F.count(F.lit(1)), F.avg(col(c)))
+
+
+def strict_sum(c) -> Column:
+    """Sum that is null when any input is null (R's sum without na.rm)."""
+    return F.when(F.count(col(c)) == F.count(F.lit(1)), F.sum(col(c)))

@@ -222,3 +222,29 @@ def unite(df: DataFrame, name: str, cols: Sequence[str], sep: str = "", drop: bo
     """Join columns into one text column (O44); null pieces are skipped."""
     out = df.withColumn(name, F.concat_ws(sep, *[F.col(c) for c in cols]))
     return out.drop(*[c for c in cols if c != name]) if drop else out
+
+
+def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "row_number",
+                      num_partitions: int | None = None) -> DataFrame:
+    """1-based row number over the whole frame in ``order`` (make the order
+    unique) without a single-partition window (O33 at scale).
+
+    Rows are range-partitioned and sorted, written to the checkpoint folder
+    (so partition ids and in-partition positions are fixed), counted per
+    partition, and offset by the counts of the partitions before: the
+    offsets table has one row per partition, a proven bound, and is
+    broadcast."""
+    from courtside.session import checkpoint_root
+    checkpoint_root(df.sparkSession)
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+         .withColumn("__pid", F.spark_partition_id())
+         .withColumn("__pos", F.monotonically_increasing_id()))
+    r = r.withColumn("__pos", F.col("__pos") - F.shiftleft(F.col("__pid").cast("long"), 33))
+    r = r.checkpoint(eager=True)
+    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (r.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+               .select("__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off")))
+    return (r.join(F.broadcast(offsets), "__pid")
+            .withColumn(name, F.col("__off") + F.col("__pos") + 1)
+            .drop("__pid", "__pos", "__off"))

@@ -243,6 +243,15 @@ JOIN (SELECT player_id, avg(pts) AS avg_pts, max(season_ts) AS season_ts, max(va
 LEFT JOIN (SELECT player_id, top_flag FROM eff_scorers WHERE top_flag <> 'Other') f ON pr.player_id = f.player_id
 LEFT JOIN teams_dim tm ON pr.team = tm.team
 LEFT JOIN record r ON pr.team = r.team""", "enriched", "eff_scorers", "teams_dim", "record")
+oracle("team_scorers_min_games", f"""
+SELECT pr.player_id, pr.team, tm.full_name, pa.avg_pts, pa.season_ts, pa.value, pa.gp,
+       COALESCE(f.top_flag, 'Other') AS top_flag, r.wins, r.losses
+FROM (SELECT DISTINCT player_id, team FROM enriched WHERE {REG}) pr
+JOIN (SELECT player_id, avg(pts) AS avg_pts, max(season_ts) AS season_ts, max(value) AS value, max(gp) AS gp
+      FROM enriched WHERE {REG} GROUP BY player_id HAVING max(gp) >= 5) pa ON pr.player_id = pa.player_id
+LEFT JOIN (SELECT player_id, top_flag FROM eff_scorers WHERE top_flag <> 'Other') f ON pr.player_id = f.player_id
+LEFT JOIN teams_dim tm ON pr.team = tm.team
+LEFT JOIN record r ON pr.team = r.team""", "enriched", "eff_scorers", "teams_dim", "record")
 oracle("contract_value", "SELECT * FROM cvalue", "cvalue")
 oracle("contract_band_summary", """
 SELECT DISTINCT band, band_count AS count, band_share AS share, band_mean AS mean_value FROM cvalue""", "cvalue")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from courtside.functions.exprs import ascii_fold, money_to_double, recode, safe_ratio, true_shooting
 from courtside.operators.core import (
-    band_percent_rank, filter_global_extreme, filter_group_extreme, top_n_with_ties,
+    band_percent_rank, filter_global_extreme, filter_group_extreme, global_row_number, top_n_with_ties,
 )
 from courtside.plans.teams import REGULAR, team_dimension, team_games_played
 
@@ -192,8 +192,8 @@ def efficient_scorers(enriched: DataFrame, record: DataFrame, min_ppg: float = 2
     p = (reg.groupBy("player_id").agg(F.avg("pts").alias("avg_pts"), latest)
          .select("player_id", "avg_pts", "l.team", "l.season_ts", "l.value_adj", "l.gp")
          .where((F.col("avg_pts") >= min_ppg) & (F.col("gp") >= min_games)))
-    w = Window.orderBy(F.col("value_adj").desc_nulls_last(), F.col("player_id"))
-    p = p.withColumn("rank", F.row_number().over(w).cast("long"))
+    # the ranked players grow with the data: numbered without a one-task window
+    p = global_row_number(p, [F.col("value_adj").desc_nulls_last(), F.col("player_id")], "rank")
     p = p.withColumn("top_flag", F.when(F.col("rank") <= top, F.lit(f"Top {top} MVP Candidate"))
                      .otherwise(F.lit("Other")))
     return (p.join(record.select("team", "wins", "losses"), "team", "left")

@@ -548,3 +548,10 @@ def q_refresh_snapshot(spark, sf_dir):
     key = hashlib.sha1(fx.sf_dir.encode()).hexdigest()[:12]
     path = f"{checkpoint_root(spark)}/snapshots/injuries-{key}"
     return SN.refresh_snapshot(spark, lambda: fx.v_injuries, path, max_age_hours=8)
+
+
+@query("team_scorers_min_games")
+def q_team_scorers_min_games(spark, sf_dir):
+    """(P20b) the scorer table with players under 5 games dropped first."""
+    fx = fixture(spark, sf_dir)
+    return P.team_scorers(_enriched(fx), _record(fx), fx.v_teams, _scorers(fx), min_games=5)

@@ -93,3 +93,19 @@ def test_empty_inputs(spark):
     assert O.current_run_length(df, "k", [F.col("d")], F.col("v") > 0, "s").count() == 0
     w = Window.partitionBy("k")
     assert df.withColumn("x", F.sum("v").over(w)).count() == 0
+
+
+def test_global_row_number_matches_window(spark):
+    data = [(i, (i * 37) % 11, None if i % 9 == 0 else float((i * 13) % 7)) for i in range(200)]
+    df = spark.createDataFrame(data, "id int, g int, v double")
+    order = [F.col("v").desc_nulls_last(), F.col("id")]
+    got = O.global_row_number(df, order, "rn", num_partitions=5)
+    ref = df.withColumn("rn", F.row_number().over(Window.orderBy(*order)))
+    assert rows(got, "id", "rn") == rows(ref, "id", "rn")
+
+
+def test_strict_aggregates(spark):
+    from courtside.functions.exprs import strict_avg, strict_sum
+    df = spark.createDataFrame([("a", 1.0), ("a", None), ("b", 2.0), ("b", 4.0)], "k string, v double")
+    got = rows(df.groupBy("k").agg(strict_avg("v").alias("m"), strict_sum("v").alias("s")))
+    assert got == [("a", None, None), ("b", 3.0, 6.0)]

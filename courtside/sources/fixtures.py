@@ -1,7 +1,9 @@
 """Fixture views: the driver's parquet tables reshaped into league inputs.
 
 The views are plain SQL that Spark 4.1 and DuckDB both accept, so the Spark
-pipelines and the DuckDB oracle read the very same rows. In Spark they are
+pipelines and the DuckDB oracle read the very same rows. The one join hint
+(``/*+ MERGE(lineitem) */``: two fact tables are sort-merge joined instead of
+broadcasting one on a file-size estimate) is a comment to DuckDB. In Spark they are
 built with ``spark.sql`` over the base tables; in the oracle they become CTEs.
 """
 
@@ -25,7 +27,7 @@ WITH g AS (
          (c_nationkey + 1 + o_orderkey % 24) % 25 AS away_key
   FROM orders JOIN customer ON o_custkey = c_custkey),
 l AS (
-  SELECT game_id, game_date, o_orderstatus,
+  SELECT /*+ MERGE(lineitem) */ game_id, game_date, o_orderstatus,
          CASE WHEN l_linenumber % 2 = 1 THEN home_key ELSE away_key END AS team_key,
          CASE WHEN l_linenumber % 2 = 1 THEN away_key ELSE home_key END AS opp_key,
          CASE WHEN l_linenumber % 2 = 1 THEN 'H' ELSE 'A' END AS location,

@@ -222,7 +222,8 @@ oracle("latest_slice", "SELECT * FROM v_box_scores WHERE game_date = (SELECT max
 oracle("most_recent_date", "SELECT max(game_date) AS game_date FROM v_box_scores", "v_box_scores")
 oracle("player_season_high", "SELECT * FROM season_high", "season_high")
 oracle("top_performers", """
-SELECT row_number() OVER (ORDER BY t.pts DESC, t.player_id, t.game_id) AS rank, t.player_id, t.team, t.pts,
+SELECT row_number() OVER (ORDER BY t.pts DESC, t.player_id, t.game_id) AS rank, t.player_id, t.team,
+       string_split(t.full_name, ' ')[-1] AS team_label, t.pts,
        t.game_ts, t.outcome, t.salary,
        CASE WHEN t.pts = h.season_high THEN 1 WHEN t.pts <> h.season_high AND t.pts - h.avg_pts >= 10 THEN 2
             WHEN t.pts - h.avg_pts <= -10 THEN 3 ELSE 0 END AS pts_code,
@@ -582,3 +583,11 @@ SELECT i.injury_id, i.team, i.description, t.full_name
 FROM v_injuries i LEFT JOIN teams_dim t ON i.team = t.team WHERE t.full_name = 'NATION_11'""",
        "v_injuries", "teams_dim")
 oracle("refresh_snapshot", "SELECT * FROM v_injuries", "v_injuries")
+oracle("game_axis", f"""
+SELECT game_id, last_period,
+       CASE WHEN last_period > 4 THEN {ORD('last_period - 4')} || ' OT' ELSE {ORD('last_period')} END AS last_period_label,
+       [48, 36, 24, 12, 0]::BIGINT[] || CASE WHEN last_period > 4
+            THEN list_transform(range(1, last_period - 3), lambda k: k * -5) ELSE []::BIGINT[] END AS axis_breaks,
+       ['1st Quarter', '2nd Quarter', '3rd Quarter', '4th Quarter', 'End 4th'] || CASE WHEN last_period > 4
+            THEN list_transform(range(1, last_period - 3), lambda k: {ORD('k')} || ' OT') ELSE []::VARCHAR[] END AS axis_labels
+FROM (SELECT game_id, max(period) AS last_period FROM timeline GROUP BY game_id) x""", "timeline")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtside.functions.exprs import ascii_fold, money_to_double, recode, safe_ratio, true_shooting
+from courtside.functions.exprs import ascii_fold, last_word, money_to_double, recode, safe_ratio, true_shooting
 from courtside.operators.core import (
     band_percent_rank, filter_global_extreme, filter_group_extreme, global_row_number, top_n_with_ties,
 )
@@ -158,8 +158,8 @@ def top_performers(enriched: DataFrame, n: int = 15, day=None) -> DataFrame:
     against the player's season high / average and season true shooting."""
     rows = (enriched.where(F.col("game_date") == F.lit(day)) if day is not None
             else latest_slice(enriched))
-    top = top_n_with_ties(rows.select("player_id", "team", "game_id", "pts", "game_ts", "outcome", "salary"),
-                          n, "pts")
+    top = top_n_with_ties(rows.select("player_id", "team", "full_name", "game_id", "pts", "game_ts", "outcome",
+                                      "salary"), n, "pts")
     top = top.join(player_season_high(enriched), "player_id", "left")
     w = Window.orderBy(F.col("pts").desc(), F.col("player_id"), F.col("game_id"))
     diff = F.col("pts") - F.col("avg_pts")
@@ -169,7 +169,8 @@ def top_performers(enriched: DataFrame, n: int = 15, day=None) -> DataFrame:
                 .when(diff <= -10, 3).otherwise(0))
     ts_code = (F.when(ts_diff >= 0.25, 1).when((ts_diff < 0.25) & (ts_diff >= 0.15), 2)
                .when(F.col("game_ts") <= 0.40, 3).otherwise(0))
-    return top.select(F.row_number().over(w).cast("long").alias("rank"), "player_id", "team", "pts",
+    return top.select(F.row_number().over(w).cast("long").alias("rank"), "player_id", "team",
+                      last_word("full_name").alias("team_label"), "pts",
                       "game_ts", "outcome", "salary", pts_code.alias("pts_code"), ts_code.alias("ts_code"))
 
 

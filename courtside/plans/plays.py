@@ -183,3 +183,23 @@ def game_titles(logs: DataFrame, teams: DataFrame, day=None) -> DataFrame:
     sides = rows.select("game_id", "location", "team").distinct().join(names, "team", "left")
     p = sides.groupBy("game_id").pivot("location", ["H", "A"]).agg(F.max("full_name"))
     return p.select("game_id", F.concat(F.col("H"), F.lit(" Vs. "), F.col("A")).alias("title"))
+
+
+# Axis breaks and labels of the regulation part of the game chart.
+REGULATION_BREAKS = [48, 36, 24, 12, 0]
+REGULATION_LABELS = ["1st Quarter", "2nd Quarter", "3rd Quarter", "4th Quarter", "End 4th"]
+
+
+def game_axis(timeline: DataFrame) -> DataFrame:
+    """(P50, O38) per game: the last period played, its label, and the chart
+    axis breaks / labels (regulation, then -5 and '<k> OT' per overtime).
+    One aggregate per game (periods only grow, so the last is the max)."""
+    last = timeline.groupBy("game_id").agg(F.max("period").alias("last_period"))
+    ots = F.when(F.col("last_period") > 4, F.sequence(F.lit(1), F.col("last_period") - 4)) \
+        .otherwise(F.array().cast("array<bigint>"))
+    breaks = F.concat(F.array(*[F.lit(b).cast("bigint") for b in REGULATION_BREAKS]),
+                      F.transform(ots, lambda k: k * -5))
+    labels = F.concat(F.array(*[F.lit(x) for x in REGULATION_LABELS]),
+                      F.transform(ots, lambda k: F.concat(ordinal(k), F.lit(" OT"))))
+    return last.select("game_id", "last_period", period_label("last_period").alias("last_period_label"),
+                       breaks.alias("axis_breaks"), labels.alias("axis_labels"))

@@ -303,10 +303,19 @@ def opponent_shooting_ranks(logs: DataFrame) -> DataFrame:
 
 def rest_day_outcomes(logs: DataFrame) -> DataFrame:
     """(P59) team-games by days of rest (days since the team's previous game
-    minus one; null for the first game) and outcome, share within rest."""
+    minus one; null for the first game) and outcome, share within rest.
+
+    The previous game date comes from a window over the team's distinct game
+    dates (bounded by the calendar, not by the data); a second game on the
+    same date follows the first with -1 days of rest."""
     games = logs.select("team", "game_id", "game_date", "outcome").distinct()
-    prev = F.lag("game_date").over(Window.partitionBy("team").orderBy("game_date", "game_id"))
-    g = games.withColumn("days_rest", (F.datediff("game_date", prev) - 1).cast("long"))
+    dates = games.select("team", "game_date").distinct()
+    dates = dates.withColumn("prev_date", F.lag("game_date").over(
+        Window.partitionBy("team").orderBy("game_date")))
+    first_of_day = F.row_number().over(Window.partitionBy("team", "game_date").orderBy("game_id")) == 1
+    g = (games.join(dates, ["team", "game_date"], "left")
+         .withColumn("days_rest", F.when(first_of_day, F.datediff("game_date", "prev_date") - 1)
+                     .otherwise(F.lit(-1)).cast("long")))
     counts = g.groupBy("days_rest", "outcome").agg(F.count(F.lit(1)).alias("n"))
     return share_of_total(counts, "n", ["days_rest"], "share").withColumn(
         "share", F.round("share", 3))

@@ -454,6 +454,11 @@ def q_lead_state(spark, sf_dir):
     return PL.lead_state(_runs(fixture(spark, sf_dir)))
 
 
+@query("game_axis")
+def q_game_axis(spark, sf_dir):
+    return PL.game_axis(_timeline(fixture(spark, sf_dir)))
+
+
 @query("foul_calls")
 def q_foul_calls(spark, sf_dir):
     return PL.foul_calls(fixture(spark, sf_dir).v_foul_text)

@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from courtside.plans import teams as T
+from courtside.session import cut_lineage
 from courtside.sources.fixtures import Fixture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,9 +20,10 @@ _SHARED: dict[tuple, DataFrame] = {}
 
 
 def shared(name: str):
-    """Build an intermediate once per session and data folder and keep it
-    (MEMORY_AND_DISK; lost blocks are recomputed from lineage), the way the
-    source computes its enriched log and team records once for all views.
+    """Build an intermediate once per session and data folder, the way the
+    source computes its enriched log and team records once for all views: it
+    is checkpointed into the shared checkpoint folder (cutting its lineage,
+    so the plans of every query reading it stay small) and kept in memory.
     Off when the fixture does not persist (COURTSIDE_PERSIST=0)."""
     def deco(build):
         def get(fx: Fixture) -> DataFrame:
@@ -30,7 +31,7 @@ def shared(name: str):
                 return build(fx)
             key = (fx.spark.sparkContext.applicationId, fx.sf_dir, name)
             if key not in _SHARED:
-                _SHARED[key] = build(fx).persist(StorageLevel.MEMORY_AND_DISK)
+                _SHARED[key] = cut_lineage(build(fx))
             return _SHARED[key]
         return get
     return deco

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -123,11 +124,16 @@ SELECT p_partkey AS artist_id, p_name AS artist_name, p_size AS popularity FROM
 VIEW_DEPS = {"v_odds": ("v_schedule",)}
 
 
-def register_base_tables(spark: SparkSession, sf_dir: str) -> None:
-    for t in BASE_TABLES:
+def register_base_tables(spark: SparkSession, sf_dir: str, tables=BASE_TABLES) -> None:
+    for t in tables:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
 
+def view_tables(name: str) -> list[str]:
+    """Base tables a view's text reads."""
+    return [t for t in BASE_TABLES if re.search(rf"\b{t}\b", VIEWS[name])]
+
+
 class Fixture:
     """Base tables of one scale-factor folder plus the league views over them.
 
@@ -139,12 +145,12 @@ class Fixture:
     source loads its tables once at start: with ``persist`` (default; env
     COURTSIDE_PERSIST=0 turns it off) a view is kept MEMORY_AND_DISK and
     shared by every query of the session (lost blocks are recomputed from
-    lineage). With ``materialize`` (env COURTSIDE_MATERIALIZE=1) it is
+    the parquet files by lineage; the views are shallow plans over scans). With ``materialize`` (env COURTSIDE_MATERIALIZE=1) it is
     instead written once as a parquet snapshot under the checkpoint folder
-    and read back, which also cuts its lineage.
+    and read back.
     """
 
-    _active: dict[str, str] = {}
+    _active: dict[tuple, str] = {}
     _shared: dict[tuple, DataFrame] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool | None = None,
@@ -159,12 +165,13 @@ class Fixture:
         self.materialize = materialize
         self.persist = persist and not materialize
 
-    def _activate(self) -> None:
-        # table names are session-wide; re-point them when another folder took them
-        key = self.spark.sparkContext.applicationId
-        if Fixture._active.get(key) != self.sf_dir:
-            register_base_tables(self.spark, self.sf_dir)
-            Fixture._active[key] = self.sf_dir
+    def _activate(self, tables) -> None:
+        # table names are session-wide; (re-)point the ones a view needs at this folder
+        app = self.spark.sparkContext.applicationId
+        todo = [t for t in tables if Fixture._active.get((app, t)) != self.sf_dir]
+        register_base_tables(self.spark, self.sf_dir, todo)
+        for t in todo:
+            Fixture._active[(app, t)] = self.sf_dir
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -174,7 +181,7 @@ class Fixture:
             shared_key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
             df = Fixture._shared.get(shared_key) if (self.persist or self.materialize) else None
             if df is None:
-                self._activate()
+                self._activate(view_tables(name))
                 for dep in VIEW_DEPS.get(name, ()):
                     self.view(dep).createOrReplaceTempView(dep)
                 df = self.spark.sql(VIEWS[name])

@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The source has no streaming work: it reads its tables once when it loads and
+"automatic update" means re-reading them then (SURVEY §2.5). Its freshness
+rule - refresh a stored copy when it is older than a limit - is the batch
+snapshot refresh in ``courtside.sources.snapshot.refresh_snapshot``. No
+watermark, window-over-time or stateful operator exists to re-express.
+"""

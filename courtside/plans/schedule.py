@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from courtside.functions.exprs import (
     date_from_weekday_text, lookup, ordinal, record_text, start_minute,
 )
-from courtside.operators.core import filter_global_extreme, null_aware_rank
+from courtside.operators.core import filter_global_extreme, global_row_number, null_aware_rank
 from courtside.plans.teams import team_dimension
 
 # Team code -> logo asset path of the source dashboard.
@@ -48,10 +48,10 @@ def normalise_schedule(schedule: DataFrame, as_of, date_text: str = "date_text",
          .withColumn("vs", F.coalesce(F.col(score_col).cast("string"), F.lit("Vs")) if score_col
                      else F.lit("Vs"))
          .where(F.col("game_date") >= F.lit(as_of).cast("date")))
-    # the remaining schedule of a season is bounded, so one ordered window is fine
-    w = Window.orderBy("game_date", F.col("start_minute").asc_nulls_last(), "game_id")
-    return s.select(F.row_number().over(w).cast("long").alias("game_no"), "game_id", "game_date",
-                    "day_of_week", "start_minute", "visitor", "home", "vs")
+    # a schedule table can hold many leagues and seasons: numbered without a one-task window
+    order = [F.col("game_date"), F.col("start_minute").asc_nulls_last(), F.col("game_id")]
+    return global_row_number(s, order, "game_no").select(
+        "game_no", "game_id", "game_date", "day_of_week", "start_minute", "visitor", "home", "vs")
 
 
 def schedule_pairs(schedule: DataFrame) -> DataFrame:

@@ -161,3 +161,40 @@ def test_lead_state_labels(spark):
     out = rows(PL.lead_state(runs), "period", "period_label", "state", "minutes", "game_axis")
     assert out == [(1, "1st", "Leading", 11.5, 47.5), (5, "1st OT", "Tied", 4.0, -1.0),
                    (7, "3rd OT", "Leading", 1.5, -13.5)]
+
+
+def test_contract_cleaning_paths(spark):
+    raw = spark.createDataFrame([
+        ("Player", "Tm", "Salary", "Total"),
+        ("Luka Dončić", "DAL", "$8,049,360", ""),
+        ("J.J. Redick", "BRK", "$13,013,700", "$26,027,400"),
+        ("Someone", "PHO", "junk", "$1,000")],
+        "name string, team string, salary_text string, total_text string")
+    out = rows(P.clean_contracts(raw, name_col="name", total_col="total_text",
+                                 team_recodes=P.TEAM_CODE_RECODES))
+    assert out == [("JJ Redick", "BKN", 13013700.0, 26027400.0), ("Luka Doncic", "DAL", 8049360.0, 0.0),
+                   ("Someone", "PHX", None, 1000.0)]
+
+
+def test_logo_lookup_and_lead_state_joins(spark):
+    df = spark.createDataFrame([("LAL",), ("XYZ",)], "team string")
+    assert rows(S.team_logo_lookup(df)) == [("LAL", "logos/lal2.png"), ("XYZ", None)]
+    runs = spark.createDataFrame([(1, "LAL", "Home", 1, "10:00", 2, 0)],
+                                 "game_id long, team string, location string, period long, clock string, "
+                                 "score_home long, score_away long")
+    outcomes = spark.createDataFrame([(1, "LAL", "W"), (1, "LAL", "W")], "game_id long, team string, outcome string")
+    titles = spark.createDataFrame([(1, "A Vs. B")], "game_id long, title string")
+    colors = spark.createDataFrame([("LAL", "#552583")], "team string, primary_color string")
+    out = PL.lead_state(runs, outcomes, titles, colors)
+    assert rows(out, "outcome", "title", "primary_color", "state") == [("W", "A Vs. B", "#552583", "Leading")]
+
+
+def test_schedule_text_parsing_with_scores(spark):
+    sched = spark.createDataFrame([
+        (1, "Tue, Dec 22, 2020", "7:00p", 10, 11, None),
+        (2, "Wed, Dec 23, 2020", "12:30p", 12, 13, None),
+        (3, "Mon, Dec 21, 2020", "8:00p", 10, 12, 101)],
+        "game_id long, date_text string, start_text string, visitor long, home long, visitor_pts long")
+    out = rows(S.normalise_schedule(sched, "2020-12-22", score_col="visitor_pts"),
+               "game_no", "game_id", "day_of_week", "start_minute", "vs")
+    assert out == [(1, 1, "Tuesday", 1140, "Vs"), (2, 2, "Wednesday", 750, "Vs")]

@@ -225,16 +225,19 @@ def unite(df: DataFrame, name: str, cols: Sequence[str], sep: str = "", drop: bo
 
 
 def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "row_number",
-                      num_partitions: int | None = None) -> DataFrame:
+                      num_partitions: int | None = None, window_below: int = 1_000_000) -> DataFrame:
     """1-based row number over the whole frame in ``order`` (make the order
     unique) without a single-partition window (O33 at scale).
 
-    Rows are range-partitioned and sorted, written to the checkpoint folder
-    (so partition ids and in-partition positions are fixed), counted per
-    partition, and offset by the counts of the partitions before: the
-    offsets table has one row per partition, a proven bound, and is
-    broadcast."""
+    The frame is counted first: up to ``window_below`` rows one ordered
+    window is cheapest. Above that, rows are range-partitioned and sorted,
+    written to the checkpoint folder (so partition ids and in-partition
+    positions are fixed), counted per partition, and offset by the counts of
+    the partitions before: the offsets table has one row per partition, a
+    proven bound, and is broadcast."""
     from courtside.session import checkpoint_root
+    if window_below and df.count() <= window_below:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
     checkpoint_root(df.sparkSession)
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     r = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)

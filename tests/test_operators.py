@@ -99,7 +99,9 @@ def test_global_row_number_matches_window(spark):
     data = [(i, (i * 37) % 11, None if i % 9 == 0 else float((i * 13) % 7)) for i in range(200)]
     df = spark.createDataFrame(data, "id int, g int, v double")
     order = [F.col("v").desc_nulls_last(), F.col("id")]
-    got = O.global_row_number(df, order, "rn", num_partitions=5)
+    got = O.global_row_number(df, order, "rn", num_partitions=5, window_below=0)
+    small = O.global_row_number(df, order, "rn")
+    assert rows(small, "id", "rn") == rows(got, "id", "rn")
     ref = df.withColumn("rn", F.row_number().over(Window.orderBy(*order)))
     assert rows(got, "id", "rn") == rows(ref, "id", "rn")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from courtside.llm import quality, simhash
+from courtside.llm import mixing, quality, sharding, simhash
 from courtside.llm.common import documents
 
 QUERIES: dict = {}
@@ -23,6 +23,18 @@ def op4_simhash(spark, sf_dir):
     return c.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op6_sharding(spark, sf_dir):
+    return sharding.shard_documents(documents(spark, sf_dir))
+
+
+@query
+def op8_mixing(spark, sf_dir):
+    m = mixing.with_rates(documents(spark, sf_dir))
+    return m.select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__weight").alias("weight"),
+                    F.col("__probability").alias("probability"), F.col("__sampled").alias("sampled"))
+
+
 @query
 def op10_quality_rules(spark, sf_dir):
     q = quality.quality(documents(spark, sf_dir))

@@ -66,13 +66,14 @@ def join_on(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]],
     return left.join(right, cond, how)
 
 
-def semi_by_row(docs: DataFrame, decided: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows of ``docs`` whose (id, text) stands in ``decided`` (columns k1, k2)."""
-    k1, k2 = text_key(F.col(id_col), F.col(text_col))
+def semi_by_row(docs: DataFrame, decided: DataFrame, id_col: str, text_col: str, how: str = "left_semi") -> DataFrame:
+    """Rows of ``docs`` whose (id, text) stands in ``decided`` (columns k1, k2),
+    or with ``left_anti`` doesn't."""
+    k1, k2 = text_key(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     names = docs.columns
     keyed = docs.select(*[F.col(f"`{c}`") for c in names], k1.alias("__k1"), k2.alias("__k2"))
     d = decided.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
-    return keyed.join(d, ["__k1", "__k2"], "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    return keyed.join(d, ["__k1", "__k2"], how).select(*[F.col(f"`{c}`") for c in names])
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from courtside.llm import mixing, quality, sharding, simhash
+from courtside.llm import decontaminate, mixing, quality, sharding, simhash
 from courtside.llm.common import documents
 
 QUERIES: dict = {}
@@ -28,6 +28,12 @@ def op6_sharding(spark, sf_dir):
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
+@query
+def op7_decontamination(spark, sf_dir):
+    found = decontaminate.leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "item_words", "distance", "start_word", "end_word")
+
+
 @query
 def op8_mixing(spark, sf_dir):
     m = mixing.with_rates(documents(spark, sf_dir))

@@ -9,7 +9,7 @@ read again by the next. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from courtside.llm import quality, simhash
+from courtside.llm import decontaminate, mixing, quality, sharding, simhash
 from courtside.llm.common import documents, stored
 
 
@@ -23,13 +23,32 @@ def near_duplicates(spark, docs, sf_dir):
     return simhash.drop_near_duplicates(docs)
 
 
+def decontamination(spark, docs, sf_dir):
+    """Documents that hold a benchmark passage go."""
+    return decontaminate.drop_leaks(docs, documents(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark, docs, sf_dir):
+    """Documents are sampled towards the target shares of sources, languages
+    and topics."""
+    return mixing.sample(docs)
+
+
+def shards(spark, docs, sf_dir):
+    """Every document gets a shard and a slot, beside its own columns."""
+    return sharding.shard_documents(docs, carry=("text", "lang", "source", "n_chars"))
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixture", mixture),
+    ("shards", shards),
 ]
 
-# Language models, hash fingerprints and iterative fits: SQL has no words for
-# them. tests/llm holds the stages against brute force.
+# SQL has no words for fitted models, hash fingerprints and iterative fits:
+# tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 

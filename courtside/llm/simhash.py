@@ -1,22 +1,17 @@
 """Operator 4: SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-Each distinct fingerprint emits every variant within half the radius; two
-fingerprints that share a variant lie within the radius. Radius 3 has no even
-half, so it takes two passes of the same kind:
-
-* whole words: the ball of radius 1 (65 variants). Everything in one bucket
-  lies within 2 bits of everything else in it, so linking each member to the
-  bucket's smallest states all links of the bucket with one edge a member, and
-  a bucket holds 65 at most;
-* half words: two fingerprints 3 bits apart have a half that differs in one bit
-  at most, so each emits the ball of radius 1 of either half (33 variants) and
-  meets the plain halves; the pairs that collide are verified by bit count.
-  Half-word buckets of over ``bucket_pairs`` pairs are not paired up: their
-  members emit the whole-word balls of radius 1 and 2 instead, where any
-  member of the inner ball is linked to all the bucket.
-
-Only links between what is not yet connected matter for the components, but
-no link is lost: the second pass runs over all fingerprints.
+Two fingerprints 3 bits apart at most have a half word in which they differ in
+one bit at most, which is half the radius. So each distinct fingerprint emits
+every variant of either half within one bit (33 a half), shuffled on the
+variant together with the other half; it meets the plain halves there, and a
+pair that collides is verified by counting the bits of the other half.
+
+A bucket that could hold over ``bucket_pairs`` pairs is not paired up. Its
+members emit whole-word balls instead, of radius 1 and 2: in such a bucket any
+two members of the inner ball are 2 bits apart at most, an inner and an outer
+one 3 at most, so linking all of a bucket that has an inner member to the
+smallest of those states every link with one edge a member. A pair 3 bits apart
+or less always meets in a bucket that way, so nothing is lost.
 
 Null text counts as empty, an empty or wordless text has fingerprint 0 and is
 linked like any other. Rows with equal fingerprints form one class, so copies
@@ -73,23 +68,30 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _flips(bits: range, upto: int) -> list[int]:
-    """Masks of at most ``upto`` (1 or 2) set bits, the empty one first."""
-    out = [0] + [1 << i for i in bits]
-    if upto == 2:
-        out += [1 << i | 1 << j for i in bits for j in bits if i < j]
-    return [_signed(x) for x in out]
+def _balls(fps: DataFrame, masks: list[int], r: int) -> DataFrame:
+    """(v, fp, r): whole-word variants."""
+    m = F.explode(F.array(*[F.lit(_signed(x)) for x in masks]))
+    return fps.select("fp", m.alias("m")).select(F.col("fp").bitwiseXOR(F.col("m")).alias("v"), "fp", F.lit(r).alias("r"))
 
 
-def _masked(df: DataFrame, masks: list[int], name: str) -> DataFrame:
-    m = F.explode(F.array(*[F.lit(x) for x in masks]))
-    return df.withColumn("__m", m).withColumn(name, F.col("fp").bitwiseXOR(F.col("__m")))
+def _star(buckets: DataFrame) -> DataFrame:
+    """Edge from each member of a bucket to the smallest of the inner ball."""
+    w = Window.partitionBy("v")
+    low = F.min(F.when(F.col("r") == 1, F.col("fp"))).over(w)
+    return (buckets.select("fp", low.alias("b")).where("b is not null and fp <> b")
+            .select(F.col("fp").alias("a"), "b"))
+
+
+# A half word as (key: which half * 2**32 + its bits, rest: the other half).
+_PLAIN = ("explode(array(struct(fp & 4294967295 as key, shiftrightunsigned(fp, 32) as rest), "
+          "struct(shiftrightunsigned(fp, 32) + 4294967296 as key, fp & 4294967295 as rest))) as h")
+_FLIPS = "explode(sequence(0, 32)) as flip"  # 0: none; i: bit i - 1
+_FLIPPED = "key ^ if(flip = 0, 0L, shiftleft(1L, flip - 1))"
 
 
-def _star(buckets: DataFrame, key: str) -> DataFrame:
-    """Edge from each member of a bucket to the bucket's smallest."""
-    low = F.min("fp").over(Window.partitionBy(key))
-    return buckets.select("fp", low.alias("b")).where("fp <> b").select(F.col("fp").alias("a"), "b")
+def _whole(key: str, rest: str) -> str:
+    """SQL for the fingerprint of (key, rest)."""
+    return (f"if({key} >= 4294967296, shiftleft({key} - 4294967296, 32) | {rest}, shiftleft({rest}, 32) | {key})")
 
 
 def links(fps: DataFrame, distance: int = DISTANCE, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
@@ -97,46 +99,30 @@ def links(fps: DataFrame, distance: int = DISTANCE, bucket_pairs: int = BUCKET_P
     apart" over the distinct fingerprints ``fps`` (fp). distance is 0 to 3."""
     if not 0 <= distance <= 3:
         raise ValueError("distance must be 0 to 3")
-    none = fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where(F.lit(False))
     if distance == 0:
-        return none
-    if distance == 1:
-        v = _masked(fps, _flips(range(64), 1)[1:], "v").select("v", "fp")
-        return v.join(fps.select(F.col("fp").alias("b")), v.v == F.col("b")).select(F.col("fp").alias("a"), "b")
-    near = _star(_masked(fps, _flips(range(64), 1), "v").select("v", "fp"), "v")
-    if distance == 2:
-        return near.distinct()
-
-    half = F.explode(F.array(*[F.struct(F.lit(h).alias("half"), F.lit(_signed(keep)).alias("keep"))
-                               for h, keep in ((0, 0xFFFFFFFF), (1, 0xFFFFFFFF << 32))]))
-    flips = F.when(F.col("h.half") == 0, F.array(*[F.lit(x) for x in _flips(range(32), 1)])).otherwise(
-        F.array(*[F.lit(x) for x in _flips(range(32, 64), 1)]))
-    halves = fps.select("fp", half.alias("h"))
-    plain = halves.select(F.col("fp").alias("p"), F.col("h.half").alias("half"),
-                          F.col("fp").bitwiseAND(F.col("h.keep")).alias("v"))
-    ball = (halves.select("fp", "h.half", F.col("fp").bitwiseAND(F.col("h.keep")).alias("own"), F.explode(flips).alias("m"))
-            .select("fp", "half", F.col("own").bitwiseXOR(F.col("m")).alias("v")))
-    # plain halves met by many: counted on the plain side alone, an upper bound for
-    # the pairs of any bucket is its plain members times the members of the 33
-    # buckets around it
-    count = plain.groupBy("half", "v").agg(F.count("p").alias("n")).where("n > 1")
-    heavy = stored(
-        count.select("half", "v", "n", F.explode(F.when(F.col("half") == 0, F.array(*[F.lit(x) for x in _flips(range(32), 1)]))
-                                                 .otherwise(F.array(*[F.lit(x) for x in _flips(range(32, 64), 1)]))).alias("m"))
-        .select("half", F.col("v").bitwiseXOR(F.col("m")).alias("v"), "n")
-        .groupBy("half", "v").agg(F.sum("n").alias("n")).where(f"n * n > {int(bucket_pairs)}").select("half", "v"), "heavy")
-    light = plain.join(heavy, ["half", "v"], "left_anti")
-    pairs = (light.join(ball, ["half", "v"])
-             .where((F.col("fp") != F.col("p")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("p"))) <= 3))
-             .select(F.col("fp").alias("a"), F.col("p").alias("b")))
-    # members of heavy buckets, and what comes within a bit of them in that half
-    dense = (ball.join(heavy, ["half", "v"], "left_semi").select("fp").distinct())
-    inner = _masked(dense, _flips(range(64), 1), "v").select("v", "fp", F.lit(1).alias("r"))
-    outer = _masked(dense, _flips(range(64), 2)[65:], "v").select("v", "fp", F.lit(2).alias("r"))
-    w = Window.partitionBy("v")
-    far = (inner.union(outer).select("v", "fp", F.min(F.when(F.col("r") == 1, F.col("fp"))).over(w).alias("b"))
-           .where("b is not null and fp <> b").select(F.col("fp").alias("a"), "b"))
-    return near.union(pairs).union(far).distinct()
+        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("a <> b")
+    plain = fps.selectExpr(_PLAIN).select("h.*")
+    # the flip travels above the other half's bits: two longs a variant
+    ball = (plain.select("key", "rest", F.expr(_FLIPS))
+            .selectExpr(f"{_FLIPPED} as key", "rest + shiftleft(cast(flip as long), 32) as packed"))
+    # an upper bound for a bucket's pairs, from the plain halves alone
+    crowd = plain.groupBy("key").agg(F.count("rest").alias("n")).where("n > 1")
+    heavy = stored(crowd.select("key", "n", F.expr(_FLIPS)).selectExpr(f"{_FLIPPED} as key", "n")
+                   .groupBy("key").agg(F.sum("n").alias("n")).where(f"n * n > {int(bucket_pairs)}").select("key"), "heavy")
+    met = (plain.join(heavy, "key", "left_anti").join(ball, "key")
+           .selectExpr("key", "rest", "packed & 4294967295 as other", "cast(shiftright(packed, 32) as int) as flip")
+           .where(f"bit_count(rest ^ other) + if(flip = 0, 0, 1) <= {int(distance)}")
+           .selectExpr(f"{_whole('key', 'rest')} as a", f"{_whole(f'({_FLIPPED})', 'other')} as b").where("a < b"))
+    dense = (ball.join(heavy, "key", "left_semi")
+             .selectExpr("key", "packed & 4294967295 as other", "cast(shiftright(packed, 32) as int) as flip")
+             .selectExpr(f"{_whole(f'({_FLIPPED})', 'other')} as fp").distinct())
+    one, two = [1 << i for i in range(64)], [1 << i | 1 << j for i in range(64) for j in range(i)]
+    if distance == 1:  # the ball of radius 0 and 1
+        far = _star(_balls(dense, [0], 1).union(_balls(dense, one, 2)))
+    else:
+        inner = _balls(dense, [0, *one], 1)
+        far = _star(inner.union(_balls(dense, two, 2)) if distance == 3 else inner)
+    return met.union(far).distinct()
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,

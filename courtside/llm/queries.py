@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from courtside.llm import decontaminate, mixing, quality, sharding, simhash
+from courtside.llm import decontaminate, mixing, quality, sharding, simhash, warc
 from courtside.llm.common import documents
 
 QUERIES: dict = {}
@@ -41,6 +41,25 @@ def op8_mixing(spark, sf_dir):
                     F.col("__probability").alias("probability"), F.col("__sampled").alias("sampled"))
 
 
+@query
+def op9_warc(spark, sf_dir):
+    archives = warc.write_archives(documents(spark, sf_dir, "pages"))
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op9_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(body)) AS bigint) AS payload_bytes, sha1(body) AS hex,
+             max(page_id) OVER (PARTITION BY body) AS last_id FROM p)
+SELECT page_id, payload_bytes,
+       list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                              CAST(((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::bigint >> CAST(15 - 5 * (i % 4) AS bigint)) & 31) + 1 AS bigint), 1)
+                       FOR i IN range(32)], 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id < last_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < last_id THEN last_id END AS refers_to
+FROM d"""
+
+
 @query
 def op10_quality_rules(spark, sf_dir):
     q = quality.quality(documents(spark, sf_dir))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from courtside.llm import decontaminate, mixing, quality, sharding, simhash, warc
+from courtside.llm import decontaminate, linededup, mixing, quality, sharding, simhash, warc
 from courtside.llm.common import documents
 
 QUERIES: dict = {}
@@ -17,6 +17,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_line_dedup(spark, sf_dir):
+    return linededup.line_verdicts(documents(spark, sf_dir)).drop("dk")
+
+
 @query
 def op4_simhash(spark, sf_dir):
     c = simhash.simhash_components(documents(spark, sf_dir))

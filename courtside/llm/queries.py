@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from courtside.llm import decontaminate, linededup, mixing, quality, sharding, simhash, warc
+from courtside.llm import decontaminate, linededup, mixing, quality, sharding, simhash, substrings, warc
 from courtside.llm.common import documents
 
 QUERIES: dict = {}
@@ -28,6 +28,11 @@ def op4_simhash(spark, sf_dir):
     return c.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op5_repeated_substrings(spark, sf_dir):
+    return substrings.remove_repeats(documents(spark, sf_dir)).drop("spans")
+
+
 @query
 def op6_sharding(spark, sf_dir):
     return sharding.shard_documents(documents(spark, sf_dir))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from courtside.llm import decontaminate, linededup, mixing, quality, sharding, simhash, substrings, warc
+from courtside.llm import decontaminate, langid, linededup, mixing, quality, sharding, simhash, substrings, tokens, warc
 from courtside.llm.common import documents
 
 QUERIES: dict = {}
@@ -22,6 +22,18 @@ def op1_line_dedup(spark, sf_dir):
     return linededup.line_verdicts(documents(spark, sf_dir)).drop("dk")
 
 
+@query
+def op2_token_ids(spark, sf_dir):
+    import public_tokenizers
+    shards = tokens.write_shards(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.read_digests(shards)
+
+
+@query
+def op3_language(spark, sf_dir):
+    return langid.identify(documents(spark, sf_dir))
+
+
 @query
 def op4_simhash(spark, sf_dir):
     c = simhash.simhash_components(documents(spark, sf_dir))

@@ -66,7 +66,7 @@ def op8_mixing(spark, sf_dir):
 @query
 def op9_warc(spark, sf_dir):
     archives = warc.write_archives(documents(spark, sf_dir, "pages"))
-    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_archives(archives, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE["op9_warc"] = """

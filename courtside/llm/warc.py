@@ -223,10 +223,13 @@ def with_roles(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_b
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                      F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     p = p.withColumns({"digest": F.sha1("html"), "size": F.octet_length("html")})
-    # the id says it all: only ids and digests are shuffled, never the pages
-    last = p.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("last_id"))
-    return p.join(last, "digest", "left").withColumn(
-        "refers_to", F.when((F.col("size") >= min_bytes) & (F.col("page_id") < F.col("last_id")), F.col("last_id")))
+    # who revisits whom is found on ids and digests alone; the pages themselves
+    # are dealt by id, so a payload that many pages share meets in no task
+    slim = p.where(F.col("size") >= min_bytes).select("page_id", "digest")
+    last = slim.groupBy("digest").agg(F.max("page_id").alias("last_id"), F.count("digest").alias("n")).where("n > 1")
+    again = (slim.join(last, "digest").where("page_id < last_id").distinct()
+             .select(F.col("page_id").alias("id2"), F.col("digest").alias("digest2"), F.col("last_id").alias("refers_to")))
+    return p.join(again, (p["page_id"] == again["id2"]) & (p["digest"] == again["digest2"]), "left").drop("id2", "digest2")
 
 
 def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url",
@@ -245,7 +248,7 @@ def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "pag
             return pa.RecordBatch.from_pydict({"archive": [f"{path.rstrip('/')}/{name}.warc.gz"], "records": [records], "bytes": [size]})
 
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (r for a in range(0, batch.num_rows, 100) for r in batch.slice(a, 100).to_pylist()):
                 if out is None:
                     name, records, size = uuid.uuid4().hex, 0, 0
                     out = fs.open_output_stream(f"{folder}/_{name}.part", compression=None)
@@ -262,7 +265,7 @@ def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "pag
     return stored(dealt.mapInArrow(write, "archive string, records long, bytes long"), "warc-list")
 
 
-def _each(archives: DataFrame, schema: str, wanted: str):
+def _each(archives: DataFrame, schema: str, wanted: str, payload: bool = True):
     """Salvage every archive, one to a task at a time."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -279,7 +282,7 @@ def _each(archives: DataFrame, schema: str, wanted: str):
                 else:
                     number = lambda k: int(x[k]) if x.get(k, "").lstrip("-").isdigit() else None  # noqa: E731, B023
                     yield (number("x-page-id"), x.get("warc-target-uri"), x.get("warc-type"), number("x-refers-to-page-id"),
-                           number("x-payload-length"), x.get("warc-payload-digest", "").removeprefix("sha1:"), y, archive, at)
+                           number("x-payload-length"), x.get("warc-payload-digest", "").removeprefix("sha1:"), y if payload else None, archive, at)
 
     def batches_of(found):
         hold, size = [], 0
@@ -306,9 +309,10 @@ def _spread(archives: DataFrame) -> DataFrame:
     return archives.select("archive").repartitionByRange(n, "archive")
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
-    """Every record that can be recovered (RECORD) from a list of archives."""
-    return _each(_spread(archives), RECORD, "record")
+def read_archives(archives: DataFrame, payload: bool = True) -> DataFrame:
+    """Every record that can be recovered (RECORD) from a list of archives;
+    without ``payload`` the payloads are checked and left out."""
+    return _each(_spread(archives), RECORD, "record", payload)
 
 
 def read_gaps(archives: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ Layout:
                  null-aware ranks, chunked running sums, pivots)
     sources/     readers, snapshot refresh, page extraction, fixture views
     plans/       the named pipelines (players, teams, schedule, plays, catalogue)
-    streaming/   intentionally empty: the analyses are batch-only
     queries.py   name -> Spark callable and name -> DuckDB oracle SQL
 """
 

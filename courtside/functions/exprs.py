@@ -6,7 +6,6 @@ codegen; none is a Python UDF.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -99,15 +98,6 @@ def lookup(c, mapping: dict) -> Column:
     return m[col(c)]
 
 
-def bins(c, edges: list[tuple], default=None) -> Column:
-    """Label by the first matching (upper_bound_inclusive, label); else default."""
-    expr = None
-    for bound, label in edges:
-        cond = col(c) <= F.lit(bound)
-        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
-    return expr.otherwise(F.lit(default)) if default is not None else expr
-
-
 # Accented Latin letters and their ASCII forms, used for the
 # Latin-ASCII fold of player names. One character maps to one character.
 ACCENTED = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖØòóôõöøÙÚÛÜùúûüÝýÿČčĆćŠšŽžĐđŁłŃńŘřŚśŤťŮůĞğİıŞş"
@@ -119,10 +109,6 @@ def ascii_fold(c) -> Column:
     return F.translate(col(c), ACCENTED, ASCII_FORM)
 
 
-def any_of(conds: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conds)
-
-
 def strict_avg(c) -> Column:
     """Mean that is null when any input is null (R's mean without na.rm),
     for callers who want the source's missing-value rule instead of SQL's."""

@@ -3,13 +3,14 @@
 Each is ``DataFrame -> DataFrame`` with column names as parameters. The rule
 they follow: anything whose group can grow with the data is done with an
 aggregate (partial/map-side combine, skew-safe) plus a join back, not a window
-that would pull a whole group into one task. Windows are used on data already
-reduced to a bounded grain (teams, dates per team, quadrants per album, ...).
+that would pull a whole group into one task. Ordered operators cut the order
+into stretches (a day, a minute) and run their windows within a stretch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,12 +52,6 @@ def filter_global_extreme(df: DataFrame, c: str, fn: str = "max") -> DataFrame:
     return df.where(F.col(c) == df.agg(agg).scalar())
 
 
-def global_extreme(df: DataFrame, c: str, fn: str = "max", name: str | None = None) -> DataFrame:
-    """One-row frame holding the global max/min of ``c``."""
-    agg = F.max(c) if fn == "max" else F.min(c)
-    return df.agg(agg.alias(name or c))
-
-
 def slice_by(df: DataFrame, column: str, value, contains: bool = False,
              negate: bool = False) -> DataFrame:
     """Parameter slice (O50/O51): equality (pushed into the parquet scan as a
@@ -70,16 +65,21 @@ def slice_by(df: DataFrame, column: str, value, contains: bool = False,
 def with_opponent_totals(df: DataFrame, game_keys, value_cols: Sequence[str],
                          prefix: str = "opp_") -> DataFrame:
     """For side-level rows of a game (one row per team in the game), add the
-    other side's values (O14): game total minus own, one window over the game.
+    other side's values (O14): one aggregate gathers a game's sides, and an
+    explode of two rows swaps them, so an unknown value stays unknown and does
+    not hide the other side's.
 
-    A game has a bounded number of sides, so the window partition is small;
-    games with a single side are dropped, like the self-join would drop them.
-    """
-    w = Window.partitionBy(*_list(game_keys))
-    out = df.withColumn("__sides", F.count(F.lit(1)).over(w))
-    for c in value_cols:
-        out = out.withColumn(prefix + c, F.sum(c).over(w) - F.col(c))
-    return out.where(F.col("__sides") == 2).drop("__sides")
+    A game has two sides; a game with any other number is dropped, like the
+    self-join of the two sides would drop a lone one."""
+    keys = _list(game_keys)
+    rest = [c for c in df.columns if c not in keys]
+    sides = F.collect_list(F.struct(*rest)).alias("__sides")
+    games = df.groupBy(*keys).agg(sides).where(F.size("__sides") == 2)
+    a, b = F.col("__sides")[0], F.col("__sides")[1]
+    pairs = games.select(*keys, F.explode(F.array(F.struct(a.alias("own"), b.alias("opp")),
+                                                  F.struct(b.alias("own"), a.alias("opp")))).alias("__p"))
+    own = [F.col(f"__p.own.{c}").alias(c) if c in rest else F.col(c) for c in df.columns]
+    return pairs.select(*own, *[F.col(f"__p.opp.{c}").alias(prefix + c) for c in value_cols])
 
 
 # ---------------------------------------------------------------- keep first
@@ -156,7 +156,8 @@ def band_percent_rank(df: DataFrame, band: str, value: str, name: str) -> DataFr
 
 def running_sum(df: DataFrame, partition, order: Sequence, values: dict,
                 chunk: Column | None = None) -> DataFrame:
-    """Running sums ``{out_name: expr}`` within ``partition`` in ``order`` (O28).
+    """Running sums ``{out_name: expr}`` within ``partition`` in ``order`` (O28);
+    null only before the first value that isn't.
 
     With ``chunk`` (a coarse, order-preserving function of the order key, e.g.
     the month of a date), the prefix sum runs in two levels: per-chunk totals
@@ -179,13 +180,13 @@ def running_sum(df: DataFrame, partition, order: Sequence, values: dict,
     w_prev = (Window.partitionBy(*partition).orderBy("__chunk")
               .rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select(*partition, "__chunk", *[
-        F.coalesce(F.sum("__t_" + name).over(w_prev), F.lit(0)).alias("__o_" + name)
-        for name in values])
+        F.sum("__t_" + name).over(w_prev).alias("__o_" + name) for name in values])
     w = (Window.partitionBy(*partition, "__chunk").orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = out.join(offsets, partition + ["__chunk"], "left")
     for name, e in values.items():
-        out = out.withColumn(name, F.col("__o_" + name) + F.sum(e).over(w))
+        here, before = F.sum(e).over(w), F.col("__o_" + name)
+        out = out.withColumn(name, F.coalesce(before + here, here, before))
     return out.drop("__chunk", *["__o_" + n for n in values])
 
 
@@ -224,30 +225,24 @@ def unite(df: DataFrame, name: str, cols: Sequence[str], sep: str = "", drop: bo
     return out.drop(*[c for c in cols if c != name]) if drop else out
 
 
-def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "row_number",
-                      num_partitions: int | None = None, window_below: int = 1_000_000) -> DataFrame:
+def global_row_number(df: DataFrame, order: Sequence[Column], name: str,
+                      chunk: Sequence[tuple[Column, str]]) -> DataFrame:
     """1-based row number over the whole frame in ``order`` (make the order
-    unique) without a single-partition window (O33 at scale).
-
-    The frame is counted first: up to ``window_below`` rows one ordered
-    window is cheapest. Above that, rows are range-partitioned and sorted,
-    written to the checkpoint folder (so partition ids and in-partition
-    positions are fixed), counted per partition, and offset by the counts of
-    the partitions before: the offsets table has one row per partition, a
-    proven bound, and is broadcast."""
-    from courtside.session import checkpoint_root
-    if window_below and df.count() <= window_below:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
-    checkpoint_root(df.sparkSession)
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-         .withColumn("__pid", F.spark_partition_id())
-         .withColumn("__pos", F.monotonically_increasing_id()))
-    r = r.withColumn("__pos", F.col("__pos") - F.shiftleft(F.col("__pid").cast("long"), 33))
-    r = r.checkpoint(eager=True)
-    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (r.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-               .select("__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off")))
-    return (r.join(F.broadcast(offsets), "__pid")
-            .withColumn(name, F.col("__off") + F.col("__pos") + 1)
-            .drop("__pid", "__pos", "__off"))
+    unique) without a single-task window (O33), by one plan for every size.
+
+    ``chunk`` cuts the order into stretches: (expression, direction) pairs, the
+    direction a sort method's name (``asc``, ``desc_nulls_last``, ...), such
+    that rows of an earlier stretch come before rows of a later one. Rows are
+    numbered within their stretch and offset by the rows of the stretches
+    before, from one count per stretch."""
+    keys = [f"__c{i}" for i in range(len(chunk))]
+    out = df.withColumns({k: e for k, (e, _) in zip(keys, chunk)})
+    counts = out.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    before = (Window.orderBy(*[getattr(F.col(k), d)() for k, (_, d) in zip(keys, chunk)])
+              .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*[F.col(k).alias("o" + k) for k in keys],
+                            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    same = reduce(lambda a, b: a & b, [out[k].eqNullSafe(offsets["o" + k]) for k in keys])
+    within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return (out.join(offsets, same).withColumn(name, F.col("__off") + within)
+            .drop(*keys, *["o" + k for k in keys], "__off"))

@@ -65,6 +65,10 @@ def compose(body: str, *needs: str) -> str:
 
 # ------------------------------------------------------------------ shared CTEs
 
+cte("v_play_by_play", ("v_plays",), """
+SELECT game_id, event_id, ts, desc_home, desc_visitor, home_team, visitor_team, period, clock,
+       CAST(SUM(points_home) OVER w AS BIGINT) AS score_home, CAST(SUM(points_away) OVER w AS BIGINT) AS score_away
+FROM v_plays WINDOW w AS (PARTITION BY game_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 cte("teams_dim", ("v_teams",), "SELECT DISTINCT team, full_name FROM v_teams")
 cte("conf_dim", ("v_teams",), "SELECT DISTINCT team, conference FROM v_teams")
 cte("team_gp", ("v_box_scores",), """
@@ -187,9 +191,11 @@ SELECT row_number() OVER (ORDER BY p.value_adj DESC NULLS LAST, p.player_id) AS
        CASE WHEN row_number() OVER (ORDER BY p.value_adj DESC NULLS LAST, p.player_id) <= 5
             THEN 'Top 5 MVP Candidate' ELSE 'Other' END AS top_flag, r.wins, r.losses
 FROM (SELECT * FROM (
-        SELECT player_id, team, season_ts, value_adj, gp, avg(pts) OVER (PARTITION BY player_id) AS avg_pts,
-               row_number() OVER (PARTITION BY player_id ORDER BY game_date DESC, game_id DESC) AS rn
-        FROM enriched WHERE {REG} AND NOT (player_id = 9 AND team = 1)) y
+        SELECT e.player_id, lt.team, season_ts, value_adj, gp, avg(pts) OVER (PARTITION BY e.player_id) AS avg_pts,
+               row_number() OVER (PARTITION BY e.player_id ORDER BY game_date DESC, game_id DESC) AS rn
+        FROM enriched e JOIN (SELECT player_id, arg_max(team, (game_date, game_id)) AS team FROM v_box_scores GROUP BY player_id) lt
+          ON e.player_id = lt.player_id
+        WHERE {REG} AND NOT (e.player_id = 9 AND e.team = 1)) y
       WHERE rn = 1 AND avg_pts >= 29 AND gp >= 0) p
 LEFT JOIN record r ON p.team = r.team""")
 cte("cv_last", ("enriched",), f"""
@@ -424,15 +430,18 @@ FROM (SELECT a.team, r.rank, {R('a.a - r.rank', 1)} AS differential, {R('a.a', 1
       LEFT JOIN team_rank r ON a.team = r.team) g
 LEFT JOIN fbins b ON g.team = b.team""")
 cte("upcoming", ("sched", "team_rank", "teams_dim", "v_odds"), f"""
-SELECT DISTINCT s.game_date, s.day_of_week, s.start_minute,
-       CASE WHEN s.game_date = {AS_OF} THEN n1.full_name || ' (' || CASE WHEN o.team1_moneyline = '-' THEN '+100' ELSE o.team1_moneyline END || ')' ELSE n1.full_name END AS road_label,
+SELECT s.game_id, s.game_date, s.day_of_week, s.start_minute,
+       CASE WHEN o.game_id IS NULL THEN n1.full_name ELSE n1.full_name || ' (' || replace(o.ml1, '#', '+100') || ')' END AS road_label,
        s.vs,
-       CASE WHEN s.game_date = {AS_OF} THEN n2.full_name || ' (' || CASE WHEN o.team2_moneyline = '-' THEN '+100' ELSE o.team2_moneyline END || ')' ELSE n2.full_name END AS home_label,
-       (r1.rank + r2.rank) / 2 AS avg_rank
+       CASE WHEN o.game_id IS NULL THEN n2.full_name ELSE n2.full_name || ' (' || replace(o.ml2, '#', '+100') || ')' END AS home_label,
+       (r1.rank + r2.rank) / 2 AS avg_rank,
+       CASE sign(CAST(replace(o.ml1, '#', '100') AS INT) - CAST(replace(o.ml2, '#', '100') AS INT))
+            WHEN -1 THEN n1.full_name WHEN 1 THEN n2.full_name END AS favored
 FROM sched s LEFT JOIN team_rank r1 ON s.visitor = r1.team LEFT JOIN team_rank r2 ON s.home = r2.team
 LEFT JOIN teams_dim n1 ON s.visitor = n1.team LEFT JOIN teams_dim n2 ON s.home = n2.team
-LEFT JOIN (SELECT * FROM v_odds WHERE game_date = {AS_OF}) o
-  ON o.game_date = s.game_date AND o.team1 = s.visitor AND o.team2 = s.home""")
+LEFT JOIN (SELECT game_id, CASE WHEN length(team1_moneyline) = 1 THEN '#' ELSE team1_moneyline END AS ml1,
+                  CASE WHEN length(team2_moneyline) = 1 THEN '#' ELSE team2_moneyline END AS ml2
+           FROM v_odds WHERE game_date = {AS_OF}) o ON o.game_id = s.game_id""")
 cte("next_day", ("upcoming",), """
 SELECT game_date, day_of_week, COUNT(*) AS games FROM upcoming
 WHERE game_date = (SELECT min(game_date) FROM upcoming) GROUP BY game_date, day_of_week""")
@@ -483,11 +492,11 @@ FROM (SELECT *, row_number() OVER (ORDER BY nrtg DESC, team) AS nrtg_rank,
       FROM ratings) r""", "ratings")
 oracle("comment_blocks", """
 SELECT page_id, CAST(generate_subscripts(arr, 1) - 1 AS BIGINT) AS pos, unnest(arr) AS body
-FROM (SELECT page_id, regexp_extract_all(html, '<!--(.*?)-->', 1) AS arr FROM pages) p""")
+FROM (SELECT page_id, list_transform(list_filter(string_split(replace(html, '-->', '<!--' || chr(1)), '<!--')[2:], lambda x: x[1] <> chr(1)), lambda x: x) AS arr FROM pages) p""")
 oracle("extract_list_items", """
 SELECT * FROM (
-  SELECT page_id, CAST(generate_subscripts(arr, 1) - 1 AS BIGINT) AS pos, unnest(arr) AS item
-  FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2) AS arr FROM pages) p) x
+  SELECT page_id, CAST(generate_subscripts(arr, 1) - 1 AS BIGINT) AS pos, trim(regexp_replace(unnest(arr), '<[^>]*>', '', 'g')) AS item
+  FROM (SELECT page_id, list_transform(string_split(html, '<li>')[2:], lambda x: string_split(x, '</li>')[1]) AS arr FROM pages) p) x
 WHERE NOT regexp_matches(item, 'G-League')""")
 oracle("team_logo_lookup", """
 SELECT t.team, t.full_name, 'logos/' || lower(replace(v.full_name, ' ', '_')) || '.png' AS logo
@@ -497,17 +506,17 @@ FROM teams_dim t LEFT JOIN v_teams v ON t.team = v.team""", "teams_dim", "v_team
 # ------------------------------------------------------------------ M5 play by play
 
 cte("timeline", ("v_play_by_play",), """
-SELECT game_id, event_play, event_id, location, play, period, clock, score_home, score_away,
-       score_home - score_away AS margin
+SELECT game_id, event_play, event_id, location, team, play, period, clock, score_home, score_away,
+       score_home - score_away AS margin, date_trunc('minute', ts) AS minute
 FROM (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY ts, event_id, side_idx) AS event_play
       FROM (SELECT game_id, event_id, ts, period, clock, score_home, score_away, 0 AS side_idx,
-                   'Home' AS location, desc_home AS play FROM v_play_by_play
+                   'Home' AS location, home_team AS team, desc_home AS play FROM v_play_by_play
             UNION ALL
             SELECT game_id, event_id, ts, period, clock, score_home, score_away, 1 AS side_idx,
-                   'Away' AS location, desc_visitor AS play FROM v_play_by_play) u) n
+                   'Away' AS location, visitor_team AS team, desc_visitor AS play FROM v_play_by_play) u) n
 WHERE play IS NOT NULL AND score_home IS NOT NULL AND score_away IS NOT NULL""")
 cte("runs", ("timeline",), """
-SELECT game_id, event_play, event_id, location, play, period, clock, score_home, score_away, margin,
+SELECT game_id, event_play, event_id, location, team, play, period, clock, score_home, score_away, margin, minute,
        score_change, sign, run_id,
        row_number() OVER (PARTITION BY game_id, run_id ORDER BY event_play) AS run_pos,
        CAST(SUM(abs(score_change)) OVER (PARTITION BY game_id, run_id ORDER BY event_play ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run_points
@@ -521,14 +530,19 @@ MIN = f"{R('TRY_CAST(split_part(clock, chr(58), 1) AS DOUBLE) + TRY_CAST(split_p
 oracle("play_timeline", "SELECT * FROM timeline", "timeline")
 oracle("scoring_runs", "SELECT * FROM runs", "runs")
 oracle("lead_state", f"""
-SELECT *, CASE WHEN period <= 4 THEN (5 - period) * 12 - (12 - minutes) ELSE -5 * (period - 4) + minutes END AS game_axis
+SELECT x.*, CASE WHEN period <= 4 THEN (5 - period) * 12 - (12 - minutes) ELSE -5 * (period - 4) + minutes END AS game_axis,
+       CASE sign(f.final * CASE WHEN location = 'Home' THEN 1 ELSE -1 END) WHEN 1 THEN 'W' WHEN -1 THEN 'L' END AS outcome,
+       h.full_name || ' Vs. ' || a.full_name AS title, printf('#%06X', x.team * 9677) AS color
 FROM (SELECT *, CASE WHEN period > 4 THEN {ORD('period - 4')} || ' OT' ELSE {ORD('period')} END AS period_label,
              CASE WHEN location = 'Home' AND score_home > score_away THEN 'Leading'
                   WHEN location = 'Home' AND score_home < score_away THEN 'Trailing'
                   WHEN location = 'Away' AND score_home > score_away THEN 'Trailing'
                   WHEN location = 'Away' AND score_home < score_away THEN 'Leading' ELSE 'Tied' END AS state,
              {MIN} AS minutes
-      FROM runs) x""", "runs")
+      FROM runs) x
+JOIN (SELECT game_id, arg_max(margin, event_play) AS final FROM timeline GROUP BY game_id) f ON f.game_id = x.game_id
+JOIN (SELECT DISTINCT game_id, home_team, visitor_team FROM v_plays) s ON s.game_id = x.game_id
+LEFT JOIN teams_dim h ON h.team = s.home_team LEFT JOIN teams_dim a ON a.team = s.visitor_team""", "runs", "timeline", "v_plays", "teams_dim")
 oracle("foul_calls", """
 SELECT game_id, event_id, regexp_replace(parts[3], '.$', '') AS referee,
        regexp_replace(upper(concat_ws('', g, h)), 'PERSONALTAKE', 'PERSONAL') AS foul_type

@@ -27,17 +27,22 @@ def album_count(tracks: DataFrame) -> DataFrame:
     return tracks.groupBy("artist").agg(F.count_distinct("album").alias("albums"))
 
 
-def _mean_pct(c: str):
-    # mean of value*100 to 1 dp, summed as decimals so the result does not
-    # depend on the order in which partitions are combined
-    return F.round(F.avg((F.col(c) * 100).cast("decimal(18,6)")), 1).cast("double")
-
-
 def artist_statistics(tracks: DataFrame) -> DataFrame:
     """(P53) per artist: mean positivity (valence x 100) and energy x 100,
-    1 dp, with song and album counts - one aggregate for all artists."""
+    1 dp, with song and album counts. Rows fold into (artist, album, track)
+    first, so the distinct counts run over tracks and not over copies of every
+    row; sums are decimals, so their order does not matter."""
+    def total(c):
+        return F.sum((F.col(c) * 100).cast("decimal(18,6)"))
+
+    tracks = tracks.groupBy("artist", "album", "track").agg(
+        total("valence").alias("v"), F.count("valence").alias("nv"), total("energy").alias("e"), F.count("energy").alias("ne"))
+
+    def mean(s, n):
+        return F.round(F.try_divide(F.sum(s), F.sum(n).cast("decimal(20,0)")), 1).cast("double")
+
     return tracks.groupBy("artist").agg(
-        _mean_pct("valence").alias("positivity"), _mean_pct("energy").alias("energy"),
+        mean("v", "nv").alias("positivity"), mean("e", "ne").alias("energy"),
         F.count_distinct("track").alias("songs"), F.count_distinct("album").alias("albums"))
 
 

@@ -161,7 +161,9 @@ def top_performers(enriched: DataFrame, n: int = 15, day=None) -> DataFrame:
     top = top_n_with_ties(rows.select("player_id", "team", "full_name", "game_id", "pts", "game_ts", "outcome",
                                       "salary"), n, "pts")
     top = top.join(player_season_high(enriched), "player_id", "left")
-    w = Window.orderBy(F.col("pts").desc(), F.col("player_id"), F.col("game_id"))
+    # ties at the cut grow with the data: numbered by points and stretch of player ids
+    top = global_row_number(top, [F.col("pts").desc(), F.col("player_id"), F.col("game_id")], "rank",
+                            [(F.col("pts"), "desc"), (F.floor(F.col("player_id") / 100000), "asc")])
     diff = F.col("pts") - F.col("avg_pts")
     ts_diff = F.col("game_ts") - F.col("season_ts")
     pts_code = (F.when(F.col("pts") == F.col("season_high"), 1)
@@ -169,7 +171,7 @@ def top_performers(enriched: DataFrame, n: int = 15, day=None) -> DataFrame:
                 .when(diff <= -10, 3).otherwise(0))
     ts_code = (F.when(ts_diff >= 0.25, 1).when((ts_diff < 0.25) & (ts_diff >= 0.15), 2)
                .when(F.col("game_ts") <= 0.40, 3).otherwise(0))
-    return top.select(F.row_number().over(w).cast("long").alias("rank"), "player_id", "team",
+    return top.select("rank", "player_id", "team",
                       last_word("full_name").alias("team_label"), "pts",
                       "game_ts", "outcome", "salary", pts_code.alias("pts_code"), ts_code.alias("ts_code"))
 
@@ -186,15 +188,19 @@ def _not_excluded(exclude) -> F.Column:
 def efficient_scorers(enriched: DataFrame, record: DataFrame, min_ppg: float = 20,
                       exclude=(), top: int = 5, min_games: int = 0) -> DataFrame:
     """(P17) regular-season scorers averaging >= min_ppg, one row per player
-    (figures of the player's latest game), ranked by adjusted value metric."""
-    reg = enriched.where((F.col("season_type") == REGULAR) & _not_excluded(exclude))
-    latest = F.max_by(F.struct("team", "season_ts", "value_adj", "gp"),
-                      F.struct("game_date", "game_id")).alias("l")
-    p = (reg.groupBy("player_id").agg(F.avg("pts").alias("avg_pts"), latest)
-         .select("player_id", "avg_pts", "l.team", "l.season_ts", "l.value_adj", "l.gp")
+    (figures of the latest regular-season game, team of the latest game of any
+    kind), ranked by adjusted value metric. One pass over the log: the rows that
+    count are conditions inside the aggregate."""
+    counts = (F.col("season_type") == REGULAR) & _not_excluded(exclude)
+    order = F.struct("game_date", "game_id")
+    latest = F.max_by(F.when(counts, F.struct("season_ts", "value_adj", "gp")), F.when(counts, order)).alias("l")
+    p = (enriched.groupBy("player_id")
+         .agg(F.avg(F.when(counts, F.col("pts"))).alias("avg_pts"), F.max_by("team", order).alias("team"), latest)
+         .select("player_id", "avg_pts", "team", "l.season_ts", "l.value_adj", "l.gp")
          .where((F.col("avg_pts") >= min_ppg) & (F.col("gp") >= min_games)))
-    # the ranked players grow with the data: numbered without a one-task window
-    p = global_row_number(p, [F.col("value_adj").desc_nulls_last(), F.col("player_id")], "rank")
+    # the ranked players grow with the data: numbered value by value (one decimal)
+    p = global_row_number(p, [F.col("value_adj").desc_nulls_last(), F.col("player_id")], "rank",
+                          [(F.col("value_adj"), "desc_nulls_last"), (F.floor(F.col("player_id") / 100000), "asc")])
     p = p.withColumn("top_flag", F.when(F.col("rank") <= top, F.lit(f"Top {top} MVP Candidate"))
                      .otherwise(F.lit("Other")))
     return (p.join(record.select("team", "wins", "losses"), "team", "left")

@@ -1,10 +1,9 @@
 """Play-by-play pipelines: timeline, scoring runs, lead state, foul calls, titles.
 
 Order inside a game is explicit: (ts, event_id) for raw events, then the
-event number. A game's rows may be arbitrarily many, so every ordered step is
-available chunked: windows run per (game, chunk of the order) and whatever a
-chunk needs from the one before it (previous margin, previous sign, running
-totals) is carried over by small per-chunk aggregates.
+event number. A game's rows may be arbitrarily many, so every ordered step runs
+per (game, minute), and whatever a minute needs from those before it (previous
+margin, previous sign, running totals) comes from one small row per minute.
 """
 
 from __future__ import annotations
@@ -15,109 +14,70 @@ from pyspark.sql import functions as F
 from courtside.functions.exprs import clock_minutes, ordinal, replace_first
 from courtside.operators.core import running_sum, unpivot
 
-CHUNK_ROWS = 1 << 16  # rows of one game per window task in the chunked plans
 
-
-def largest_group(df: DataFrame, keys) -> int:
-    """Rows in the largest group: one aggregate (map-side partial counts),
-    one number back to the driver."""
-    top = df.groupBy(keys).count().agg(F.max("count")).first()[0]
-    return int(top or 0)
-
-
-def _reliable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back, so the
-    branches that follow do not recompute it (and lineage is cut)."""
-    from courtside.session import checkpoint_root
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def play_timeline(plays: DataFrame, chunk: Column | None = None, chunk_rows: int = CHUNK_ROWS,
-                  mode: str = "auto") -> DataFrame:
+def play_timeline(plays: DataFrame, chunk: Column | None = None) -> DataFrame:
     """(P48) one row per (event, side) with a description: home and visitor
     text unpivoted, events numbered per game in (ts, event_id, home-first)
     order before rows without text or score are dropped; margin = home - away.
-
-    Numbering is one window per game unless a game holds more than
-    ``chunk_rows`` events (``mode='auto'`` measures it; 'window' / 'chunked'
-    force a plan). The chunked plan numbers events with a two-level prefix
-    count over ``chunk``, a coarse order-preserving key of ``ts`` (default:
-    the hour), so no task holds a whole game."""
-    if mode == "auto":
-        mode = "chunked" if largest_group(plays, "game_id") > chunk_rows else "window"
-    if mode == "window":
-        w = Window.partitionBy("game_id").orderBy("ts", "event_id")
-        ev = plays.withColumn("__k", F.row_number().over(w).cast("long"))
-    else:
-        chunk = chunk if chunk is not None else F.date_trunc("hour", "ts")
-        ev = running_sum(plays, "game_id", ["ts", "event_id"], {"__k": F.lit(1).cast("long")}, chunk=chunk)
-    long = unpivot(ev, ["game_id", "event_id", "ts", "__k", "period", "clock", "score_home", "score_away"],
+    ``team`` is the acting side's. ``chunk`` is a coarse order-preserving key of
+    ``ts`` (default: the minute)."""
+    chunk = chunk if chunk is not None else F.date_trunc("minute", "ts")
+    ev = running_sum(plays, "game_id", ["ts", "event_id"], {"__k": F.lit(1).cast("long")}, chunk=chunk)
+    long = unpivot(ev.withColumn("__c", chunk),
+                   ["game_id", "event_id", "ts", "__k", "__c", "period", "clock", "score_home", "score_away",
+                    "home_team", "visitor_team"],
                    ["desc_home", "desc_visitor"], "side", "play")
-    visitor = (F.col("side") == "desc_visitor").cast("long")
-    return (long.withColumn("event_play", F.col("__k") * 2 - 1 + visitor)
-            .withColumn("location", F.when(visitor == 1, "Away").otherwise("Home"))
+    visitor = F.col("side") == "desc_visitor"
+    return (long.withColumn("event_play", F.col("__k") * 2 - 1 + visitor.cast("long"))
+            .withColumn("location", F.when(visitor, "Away").otherwise("Home"))
+            .withColumn("team", F.when(visitor, F.col("visitor_team")).otherwise(F.col("home_team")))
             .withColumn("margin", F.col("score_home") - F.col("score_away"))
             .where(F.col("play").isNotNull() & F.col("score_home").isNotNull()
                    & F.col("score_away").isNotNull() & F.col("margin").isNotNull())
-            .select("game_id", "event_play", "event_id", "location", "play", "period", "clock",
-                    "score_home", "score_away", "margin"))
+            .select("game_id", "event_play", "event_id", "location", "team", "play", "period", "clock",
+                    "score_home", "score_away", "margin", F.col("__c").alias("minute")))
 
 
-def scoring_runs(timeline: DataFrame, chunk_rows: int = CHUNK_ROWS, mode: str = "auto") -> DataFrame:
+def scoring_runs(timeline: DataFrame, chunk: str = "minute") -> DataFrame:
     """(P49) score change vs the previous play (0 before the first), its sign
     (a change of 0 counts as -1), runs of equal sign (island id), position in
     the run and points accumulated in the run.
 
-    ``mode='auto'`` measures the largest game: up to ``chunk_rows`` rows, all
-    windows run per game and share one exchange and sort; above it the game
-    is cut into chunks of event numbers - lag state crosses chunk borders
-    through per-chunk last values, run ids and running totals are two-level
-    prefix sums, and position / points in a run come from a per-run aggregate
-    joined back. The chunked plan checkpoints at its branch points."""
-    if mode == "auto":
-        mode = "chunked" if largest_group(timeline, "game_id") > chunk_rows else "window"
-    if mode == "window":
-        return _scoring_runs_windowed(timeline)
-    t = _reliable(timeline.withColumn("__c", F.floor(F.col("event_play") / chunk_rows).cast("long")))
-    wc = Window.partitionBy("game_id").orderBy("__c")
-    w = Window.partitionBy("game_id", "__c").orderBy("event_play")
-
-    def carry(df, value, name):
-        last = df.groupBy("game_id", "__c").agg(F.max_by(value, "event_play").alias("__last"))
-        return df.join(last.select("game_id", "__c", F.lag("__last").over(wc).alias(name)),
-                       ["game_id", "__c"], "left")
-
-    t = carry(t, "margin", "__prev_margin")
-    prev = F.coalesce(F.lag("margin").over(w), F.col("__prev_margin"), F.lit(0))
-    t = _reliable(t.withColumn("score_change", F.col("margin") - prev)
-                  .withColumn("sign", F.when(F.col("score_change") > 0, 1).otherwise(-1)))
-    t = carry(t, "sign", "__prev_sign")
-    prev_sign = F.coalesce(F.lag("sign").over(w), F.col("__prev_sign"), F.col("sign"))
-    t = _reliable(t.withColumn("__flag", (F.col("sign") != prev_sign).cast("long")))
-    t = _reliable(running_sum(t, "game_id", ["event_play"],
-                              {"run_id": F.col("__flag"), "__k": F.lit(1).cast("long"),
-                               "__p": F.abs("score_change")}, chunk=F.col("__c")))
+    Windows run per (game, ``chunk``), a column that grows with the event
+    number. Each chunk hands the next its last margin and sign, from one row per
+    chunk; run ids and running totals are two-level prefix sums, and position
+    and points in a run count from the run's first row."""
+    key = ["game_id", chunk]
+    w = Window.partitionBy(*key).orderBy("event_play")
+    over_chunks = Window.partitionBy("game_id").orderBy(chunk)
+    t = timeline.withColumn("__lag", F.lag("margin").over(w))
+    ends = t.groupBy(*key).agg(F.max_by(F.struct("margin", "__lag"), "event_play").alias("__e"))
+    ends = ends.withColumn("__prev_margin", F.lag("__e.margin").over(over_chunks))
+    last_change = F.col("__e.margin") - F.coalesce(F.col("__e.__lag"), F.col("__prev_margin"), F.lit(0))
+    ends = ends.withColumn("__last_sign", F.when(last_change > 0, 1).otherwise(-1))
+    ends = ends.select(*key, "__prev_margin", F.lag("__last_sign").over(over_chunks).alias("__prev_sign"))
+    t = (t.join(ends, key)
+         .withColumn("score_change", F.col("margin") - F.coalesce("__lag", "__prev_margin", F.lit(0)))
+         .withColumn("sign", F.when(F.col("score_change") > 0, 1).otherwise(-1)))
+    before = F.coalesce(F.lag("sign").over(w), F.col("__prev_sign"), F.col("sign"))
+    t = t.withColumn("__flag", (F.col("sign") != before).cast("long"))
+    t = running_sum(t, "game_id", ["event_play"],
+                    {"run_id": F.col("__flag"), "__k": F.lit(1).cast("long"), "__p": F.abs("score_change")},
+                    chunk=F.col(chunk))
     runs = t.groupBy("game_id", "run_id").agg(
         F.min("__k").alias("__k0"), F.min(F.col("__p") - F.abs("score_change")).alias("__p0"))
-    return (t.join(runs, ["game_id", "run_id"], "left")
+    return (t.join(runs, ["game_id", "run_id"])
             .withColumn("run_pos", F.col("__k") - F.col("__k0") + 1)
             .withColumn("run_points", F.col("__p") - F.col("__p0"))
             .select(*timeline.columns, "score_change", "sign", "run_id", "run_pos", "run_points"))
 
 
-def _scoring_runs_windowed(timeline: DataFrame) -> DataFrame:
-    """scoring_runs with one window per game (all windows share the game
-    partitioning and order, so the plan has one exchange and one sort)."""
-    w = Window.partitionBy("game_id").orderBy("event_play")
-    t = (timeline.withColumn("score_change", F.col("margin") - F.coalesce(F.lag("margin").over(w), F.lit(0)))
-         .withColumn("sign", F.when(F.col("score_change") > 0, 1).otherwise(-1)))
-    flag = (F.col("sign") != F.coalesce(F.lag("sign").over(w), F.col("sign"))).cast("long")
-    t = t.withColumn("run_id", F.sum(flag).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    wr = Window.partitionBy("game_id", "run_id").orderBy("event_play")
-    return (t.withColumn("run_pos", F.row_number().over(wr).cast("long"))
-            .withColumn("run_points", F.sum(F.abs("score_change")).over(
-                wr.rowsBetween(Window.unboundedPreceding, 0))))
+def final_outcomes(timeline: DataFrame) -> DataFrame:
+    """Outcome per game and acting team, from the score of the game's last play."""
+    last = timeline.groupBy("game_id").agg(F.max_by("margin", "event_play").alias("__final"))
+    won = F.when(F.col("location") == "Home", F.col("__final")).otherwise(-F.col("__final"))
+    return (timeline.select("game_id", "team", "location").distinct().join(last, "game_id")
+            .select("game_id", "team", F.when(won > 0, "W").when(won < 0, "L").alias("outcome")).distinct())
 
 
 def period_label(period) -> Column:

@@ -48,9 +48,10 @@ def normalise_schedule(schedule: DataFrame, as_of, date_text: str = "date_text",
          .withColumn("vs", F.coalesce(F.col(score_col).cast("string"), F.lit("Vs")) if score_col
                      else F.lit("Vs"))
          .where(F.col("game_date") >= F.lit(as_of).cast("date")))
-    # a schedule table can hold many leagues and seasons: numbered without a one-task window
+    # a schedule table can hold many leagues and seasons: numbered day by day
     order = [F.col("game_date"), F.col("start_minute").asc_nulls_last(), F.col("game_id")]
-    return global_row_number(s, order, "game_no").select(
+    chunk = [(F.col("game_date"), "asc"), (F.col("start_minute"), "asc_nulls_last")]
+    return global_row_number(s, order, "game_no", chunk).select(
         "game_no", "game_id", "game_date", "day_of_week", "start_minute", "visitor", "home", "vs")
 
 
@@ -99,28 +100,32 @@ def schedule_difficulty(pairs: DataFrame, ranks: DataFrame, bins: DataFrame) ->
 def upcoming_schedule(schedule: DataFrame, ranks: DataFrame, odds: DataFrame, teams: DataFrame,
                       as_of) -> DataFrame:
     """(P42) remaining games with both teams' league ranks averaged and, for
-    games on ``as_of``, each side labelled with its moneyline ('-' -> '+100')."""
+    games on ``as_of`` with odds, each side labelled with its moneyline ('-' ->
+    '+100') and the favoured side named (the lower line; even lines favour
+    none). Odds are matched by game, one row each (the latest date's)."""
     names = team_dimension(teams)
     r = ranks.select("team", "rank")
     today = F.lit(as_of).cast("date")
-    o = (odds.where(F.col("game_date") == today)
-         .select("game_date", F.col("team1").alias("visitor"), F.col("team2").alias("home"),
-                 "team1_moneyline", "team2_moneyline"))
+    o = (odds.where(F.col("game_date") == today).groupBy("game_id")
+         .agg(F.max(F.struct("team1_moneyline", "team2_moneyline")).alias("o")).select("game_id", "o.*"))
     s = (schedule
          .join(r.withColumnsRenamed({"team": "visitor", "rank": "r1"}), "visitor", "left")
          .join(r.withColumnsRenamed({"team": "home", "rank": "r2"}), "home", "left")
          .join(names.withColumnsRenamed({"team": "visitor", "full_name": "n1"}), "visitor", "left")
          .join(names.withColumnsRenamed({"team": "home", "full_name": "n2"}), "home", "left")
-         .join(o, ["game_date", "visitor", "home"], "left"))
+         .join(o, "game_id", "left"))
+
+    def line(c):
+        return F.when(F.col(c) == "-", F.lit("+100")).otherwise(F.col(c))
 
     def label(name, ml):
-        ml = F.when(F.col(ml) == "-", F.lit("+100")).otherwise(F.col(ml))
-        return F.when(F.col("game_date") == today, F.concat(F.col(name), F.lit(" ("), ml, F.lit(")"))) \
-            .otherwise(F.col(name))
+        return F.coalesce(F.concat(F.col(name), F.lit(" ("), line(ml), F.lit(")")), F.col(name))
 
-    return s.select("game_date", "day_of_week", "start_minute", label("n1", "team1_moneyline").alias("road_label"),
+    road, home = (line(c).try_cast("int") for c in ("team1_moneyline", "team2_moneyline"))
+    favored = F.when(road < home, F.col("n1")).when(home < road, F.col("n2"))
+    return s.select("game_id", "game_date", "day_of_week", "start_minute", label("n1", "team1_moneyline").alias("road_label"),
                     "vs", label("n2", "team2_moneyline").alias("home_label"),
-                    ((F.col("r1") + F.col("r2")) / 2).alias("avg_rank")).distinct()
+                    ((F.col("r1") + F.col("r2")) / 2).alias("avg_rank"), favored.alias("favored"))
 
 
 def next_gameday(upcoming: DataFrame) -> DataFrame:

@@ -131,20 +131,19 @@ def team_rank(record: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- margins
 
 def team_points(logs: DataFrame) -> DataFrame:
-    """Team-game rows with the opponent's points (O14 via one game window)."""
-    tg = team_games(logs, ["pts"])
-    return with_opponent_totals(tg, "game_id", ["pts"])
+    """Team-game rows with the opponent's points (O14)."""
+    return with_opponent_totals(team_games(logs, ["pts"]), ["game_id", "game_date"], ["pts"])
 
 
 def margin_of_victory(logs: DataFrame, chunk_running: bool = True) -> DataFrame:
     """(P30) margin per team-game and the running W-L record in date order.
 
     A margin of 0 is an 'L' that adds no loss (kept from the source). The
-    running count is a two-level prefix sum chunked by month, so one team's
+    running count is a two-level prefix sum chunked by day, so one team's
     whole history never sits in a single window task."""
     tp = team_points(logs).withColumn("margin", F.col("pts") - F.col("opp_pts"))
     tp = tp.withColumn("outcome", F.when(F.col("margin") > 0, "W").otherwise("L"))
-    chunk = F.trunc("game_date", "month") if chunk_running else None
+    chunk = F.col("game_date") if chunk_running else None
     tp = running_sum(tp, "team", ["game_date", "game_id"],
                      {"run_w": (F.col("margin") > 0).cast("long"),
                       "run_l": (F.col("margin") < 0).cast("long")}, chunk=chunk)
@@ -215,13 +214,20 @@ def home_road_split(logs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- strength of schedule
 
 def schedule_strength_so_far(logs: DataFrame, record: DataFrame) -> DataFrame:
-    """(P37) own and opponent win% per team-game; mean opponent win% per team."""
+    """(P37) own and opponent win% per team-game; mean opponent win% per team.
+
+    The means come from games counted per (team, opponent), and what a game row
+    gets is one row of (team, opponent): a table of team pairs, not of games."""
     games = logs.select("team", "game_id", "game_date", "outcome", "location", "opponent").distinct()
     pct = record.select("team", "win_pct")
     opp = pct.withColumnsRenamed({"team": "opponent", "win_pct": "opp_win_pct"})
-    g = games.join(pct, "team", "left").join(opp, "opponent", "left")
-    avg = g.groupBy("team").agg(F.round(F.avg("opp_win_pct"), 3).alias("avg_opp_win_pct"))
-    return (g.join(avg, "team", "left")
+    pairs = (games.groupBy("team", "opponent").agg(F.count(F.lit(1)).alias("n"))
+             .join(opp, "opponent", "left").join(pct, "team", "left"))
+    met = F.sum(F.when(F.col("opp_win_pct").isNotNull(), F.col("n")))
+    avg = pairs.groupBy("team").agg(
+        F.round(safe_ratio(F.sum(F.col("opp_win_pct") * F.col("n")), met), 3).alias("avg_opp_win_pct"))
+    pairs = pairs.join(avg, "team", "left").drop("n")
+    return (games.join(pairs, ["team", "opponent"], "left")
             .select("team", "game_id", "opponent", "outcome", "location",
                     F.round("win_pct", 3).alias("win_pct"),
                     F.round("opp_win_pct", 3).alias("opp_win_pct"), "avg_opp_win_pct"))
@@ -261,7 +267,7 @@ def record_vs_quality(strength: DataFrame, record: DataFrame, cut: float = 0.5)
 def last_night_team_board(logs: DataFrame, day=None) -> DataFrame:
     """(P40) winners of the last day with points, 3P%, opponent values and
     colour codes against each team's season average and high."""
-    tg = with_opponent_totals(team_games(logs, ["pts", "fg3m", "fg3a"]), "game_id",
+    tg = with_opponent_totals(team_games(logs, ["pts", "fg3m", "fg3a"]), ["game_id", "game_date"],
                               ["pts", "fg3m", "fg3a"])
     season = tg.groupBy("team").agg(
         F.round(F.avg("pts"), 1).alias("avg_ppg"), F.round(F.avg("opp_pts"), 1).alias("avg_opp_ppg"),
@@ -286,7 +292,7 @@ def last_night_team_board(logs: DataFrame, day=None) -> DataFrame:
 def opponent_shooting_ranks(logs: DataFrame) -> DataFrame:
     """(P36) opponents' shooting per team from the box scores, ranked (1 =
     lowest allowed) with ordinals."""
-    tg = with_opponent_totals(team_games(logs, STATS), "game_id", STATS)
+    tg = with_opponent_totals(team_games(logs, STATS), ["game_id", "game_date"], STATS)
     agg = tg.groupBy("team").agg(
         F.round(safe_ratio(F.sum("opp_fg3m"), F.sum("opp_fg3a")), 3).alias("opp_fg3_pct"),
         F.round(safe_ratio(F.sum("opp_pts"), F.lit(2) * (F.sum("opp_fga") + F.lit(0.44) * F.sum("opp_fta"))),
@@ -312,8 +318,9 @@ def rest_day_outcomes(logs: DataFrame) -> DataFrame:
     dates = games.select("team", "game_date").distinct()
     dates = dates.withColumn("prev_date", F.lag("game_date").over(
         Window.partitionBy("team").orderBy("game_date")))
-    first_of_day = F.row_number().over(Window.partitionBy("team", "game_date").orderBy("game_id")) == 1
-    g = (games.join(dates, ["team", "game_date"], "left")
+    firsts = games.groupBy("team", "game_date").agg(F.min("game_id").alias("first_id"))
+    first_of_day = F.col("game_id") == F.col("first_id")
+    g = (games.join(firsts, ["team", "game_date"]).join(dates, ["team", "game_date"], "left")
          .withColumn("days_rest", F.when(first_of_day, F.datediff("game_date", "prev_date") - 1)
                      .otherwise(F.lit(-1)).cast("long")))
     counts = g.groupBy("days_rest", "outcome").agg(F.count(F.lit(1)).alias("n"))

@@ -12,28 +12,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from courtside.plans import teams as T
-from courtside.session import cut_lineage
 from courtside.sources.fixtures import Fixture
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SHARED: dict[tuple, DataFrame] = {}
 
 
 def shared(name: str):
-    """Build an intermediate once per session and data folder, the way the
-    source computes its enriched log and team records once for all views: it
-    is checkpointed into the shared checkpoint folder (cutting its lineage,
-    so the plans of every query reading it stay small) and kept in memory.
-    Off when the fixture does not persist (COURTSIDE_PERSIST=0)."""
+    """An intermediate that several queries read. It is a plan, not a stored
+    result: a query that uses it twice shares the exchanges, nothing runs before
+    a query's result is asked for, and changed input is always seen."""
     def deco(build):
-        def get(fx: Fixture) -> DataFrame:
-            if not fx.persist:
-                return build(fx)
-            key = (fx.spark.sparkContext.applicationId, fx.sf_dir, name)
-            if key not in _SHARED:
-                _SHARED[key] = cut_lineage(build(fx))
-            return _SHARED[key]
-        return get
+        build.__doc__ = build.__doc__ or f"The shared intermediate {name!r}."
+        return build
     return deco
 
 
@@ -432,7 +422,7 @@ from courtside.plans import plays as PL  # noqa: E402
 
 @shared("timeline")
 def _timeline(fx: Fixture) -> DataFrame:
-    return PL.play_timeline(fx.v_play_by_play, chunk=F.to_date("ts"))
+    return PL.play_timeline(fx.v_play_by_play)
 
 
 @shared("runs")
@@ -452,7 +442,13 @@ def q_scoring_runs(spark, sf_dir):
 
 @query("lead_state")
 def q_lead_state(spark, sf_dir):
-    return PL.lead_state(_runs(fixture(spark, sf_dir)))
+    fx = fixture(spark, sf_dir)
+    names = fx.v_teams.select("team", "full_name")
+    sides = fx.v_plays.select("game_id", "home_team", "visitor_team").distinct()
+    titles = (sides.join(names.toDF("home_team", "h"), "home_team", "left").join(names.toDF("visitor_team", "a"), "visitor_team", "left")
+              .select("game_id", F.concat("h", F.lit(" Vs. "), "a").alias("title")))
+    colors = fx.v_teams.select("team", F.concat(F.lit("#"), F.lpad(F.hex(F.col("team") * 9677), 6, "0")).alias("color"))
+    return PL.lead_state(_runs(fx), PL.final_outcomes(_timeline(fx)), titles, colors)
 
 
 @query("game_axis")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -47,28 +48,18 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediates.
 
-    Read from ``spark.checkpoint.dir`` (set by the cluster). Only when it is
-    unset, as in local tests, a fresh private folder is created and set.
+    Read from ``spark.checkpoint.dir`` (set by the cluster). Where it is unset,
+    a session whose executors live in this process gets a private folder (tests,
+    a laptop); on a cluster that is an error, since other machines could not
+    read what is written there.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="courtside-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-        sc.setCheckpointDir(path)
-    elif not sc.getCheckpointDir():
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
-
-
-def cut_lineage(df, keep_in_memory: bool = True):
-    """Reliable checkpoint of ``df`` into the shared checkpoint folder.
-
-    The data survives the loss of the executors that computed it, and every
-    plan built on the result starts from a leaf instead of re-analysing the
-    whole history (deep plans cost seconds of driver time per operation).
-    With ``keep_in_memory`` the checkpointed rows are also cached."""
-    from pyspark import StorageLevel
-    checkpoint_root(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    return out.persist(StorageLevel.MEMORY_AND_DISK) if keep_in_memory else out

@@ -9,17 +9,18 @@ built with ``spark.sql`` over the base tables; in the oracle they become CTEs.
 
 from __future__ import annotations
 
-import hashlib
-import os
 import re
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from courtside.operators.core import running_sum
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                "events", "documents", "embeddings", "pages", "benchmark", "labels",
                "conversations")
 
+# v_contracts pairs the 25 nations with the 10 digits: 250 rows whatever the data.
 VIEWS: dict[str, str] = {
     "v_box_scores": """
 WITH g AS (
@@ -59,7 +60,7 @@ SELECT game_id, game_date, team_key AS team, opp_key AS opponent, location, play
        CASE WHEN 2 * team_pts > game_pts OR (2 * team_pts = game_pts AND location = 'H') THEN 'W' ELSE 'L' END AS outcome,
        pts, fga, fta, stl, blk, trb, ast, tov, fg3m, fg3a,
        2 * team_pts - game_pts AS plus_minus
-FROM t WHERE team_pts < game_pts""",
+FROM t""",
     "v_contracts": """
 SELECT team * 10 + n AS player_id, team,
        CASE WHEN (team * 7 + n * 11) % 13 = 0 THEN NULL
@@ -69,14 +70,14 @@ CROSS JOIN (SELECT CAST(l AS bigint) AS n FROM (SELECT DISTINCT p_partkey % 10 A
     "v_teams": """
 SELECT CAST(n_nationkey AS bigint) AS team, n_name AS full_name, r_name AS conference FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "v_injuries": """
-SELECT c_custkey AS injury_id, CAST(c_nationkey AS bigint) AS team, c_mktsegment AS description FROM customer WHERE c_acctbal < -500 AND c_nationkey % 6 <> 0""",
+SELECT c_custkey AS injury_id, CAST(c_nationkey AS bigint) AS team, c_mktsegment AS description FROM customer""",
     "v_over_under": """
 SELECT CAST(n_nationkey AS bigint) AS team, CAST(20 + (n_nationkey * 7) % 33 + 0.5 AS double) AS over_under_wins FROM nation""",
     "v_schedule": """
 SELECT o_orderkey AS game_id, o_orderdate AS game_ts, (c_nationkey + 1 + o_orderkey % 24) % 25 AS visitor,
        CAST(c_nationkey AS bigint) AS home,
        CAST(1 + o_orderkey % 12 AS string) || ':' || CASE WHEN o_orderkey % 2 = 0 THEN '00' ELSE '30' END || 'p' AS start_text
-FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate >= TIMESTAMP '2001-06-01 00:00:00'""",
+FROM orders JOIN customer ON o_custkey = c_custkey""",
     "v_odds": """
 SELECT game_id, CAST(game_ts AS date) AS game_date, visitor AS team1, home AS team2,
        CASE WHEN game_id % 7 = 0 THEN '-' WHEN game_id % 2 = 0 THEN '-' || CAST(110 + game_id % 90 AS string) ELSE '+' || CAST(105 + game_id % 90 AS string) END AS team1_moneyline,
@@ -90,19 +91,16 @@ SELECT CAST(n_nationkey AS bigint) AS team,
        CASE WHEN (n_nationkey * 7) % 19 >= (n_nationkey * 5) % 17 THEN '+' ELSE '' END
          || CAST((n_nationkey * 7) % 19 - (n_nationkey * 5) % 17 AS string) AS nrtg_text
 FROM nation""",
-    "v_play_by_play": """
-WITH e AS (
-  SELECT user_id AS game_id, event_id, ts, event_type,
-         1 + CAST(FLOOR(value) AS bigint) % 3 AS points, event_id % 2 AS s
-  FROM events)
-SELECT game_id, event_id, ts,
-       CASE WHEN s = 0 THEN event_type END AS desc_home,
-       CASE WHEN s = 1 THEN event_type END AS desc_visitor,
-       CAST(SUM(CASE WHEN s = 0 THEN points ELSE 0 END) OVER (PARTITION BY game_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS bigint) AS score_home,
-       CAST(SUM(CASE WHEN s = 1 THEN points ELSE 0 END) OVER (PARTITION BY game_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS bigint) AS score_away,
+    "v_plays": """
+SELECT user_id AS game_id, event_id, ts,
+       CASE WHEN event_id % 2 = 0 THEN event_type END AS desc_home,
+       CASE WHEN event_id % 2 = 1 THEN event_type END AS desc_visitor,
+       CASE WHEN event_id % 2 = 0 THEN 1 + CAST(FLOOR(value) AS bigint) % 3 ELSE 0 END AS points_home,
+       CASE WHEN event_id % 2 = 1 THEN 1 + CAST(FLOOR(value) AS bigint) % 3 ELSE 0 END AS points_away,
+       CAST(user_id % 25 AS bigint) AS home_team, CAST((user_id + 1 + user_id % 24) % 25 AS bigint) AS visitor_team,
        1 + CAST(FLOOR((EXTRACT(DAY FROM ts) - 1) / 5) AS bigint) AS period,
        lpad(CAST(EXTRACT(MINUTE FROM ts) % 12 AS string), 2, '0') || ':' || lpad(CAST(CAST(FLOOR(EXTRACT(SECOND FROM ts)) AS bigint) AS string), 2, '0') AS clock
-FROM e""",
+FROM events""",
     "v_foul_text": """
 SELECT user_id AS game_id, event_id,
        CASE WHEN event_id % 2 = 0 THEN d END AS desc_home, CASE WHEN event_id % 2 = 1 THEN d END AS desc_visitor
@@ -139,31 +137,16 @@ class Fixture:
 
     ``spark.sql`` resolves a view's text once, at call time, so each returned
     DataFrame keeps pointing at this folder's files even if another Fixture
-    re-registers the table names later.
-
-    The league inputs are loaded once per session and folder, like the
-    source loads its tables once at start: with ``persist`` (default; env
-    COURTSIDE_PERSIST=0 turns it off) a view is kept MEMORY_AND_DISK and
-    shared by every query of the session (lost blocks are recomputed from
-    the parquet files by lineage; the views are shallow plans over scans). With ``materialize`` (env COURTSIDE_MATERIALIZE=1) it is
-    instead written once as a parquet snapshot under the checkpoint folder
-    and read back.
+    re-registers the table names later. Views are plans: nothing is kept, written
+    or run until a query's result is asked for.
     """
 
     _active: dict[tuple, str] = {}
-    _shared: dict[tuple, DataFrame] = {}
 
-    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool | None = None,
-                 persist: bool | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._views: dict[str, DataFrame] = {}
-        if materialize is None:
-            materialize = os.environ.get("COURTSIDE_MATERIALIZE", "0") == "1"
-        if persist is None:
-            persist = os.environ.get("COURTSIDE_PERSIST", "1") != "0"
-        self.materialize = materialize
-        self.persist = persist and not materialize
 
     def _activate(self, tables) -> None:
         # table names are session-wide; (re-)point the ones a view needs at this folder
@@ -178,29 +161,19 @@ class Fixture:
 
     def view(self, name: str) -> DataFrame:
         if name not in self._views:
-            shared_key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-            df = Fixture._shared.get(shared_key) if (self.persist or self.materialize) else None
-            if df is None:
-                self._activate(view_tables(name))
-                for dep in VIEW_DEPS.get(name, ()):
-                    self.view(dep).createOrReplaceTempView(dep)
-                df = self.spark.sql(VIEWS[name])
-                if self.materialize:
-                    df = self._stored(name, df)
-                elif self.persist:
-                    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-                if self.persist or self.materialize:
-                    Fixture._shared[shared_key] = df
-            self._views[name] = df
+            self._activate(view_tables(name))
+            for dep in VIEW_DEPS.get(name, ()):
+                self.view(dep).createOrReplaceTempView(dep)
+            self._views[name] = self.spark.sql(VIEWS[name])
         return self._views[name]
 
-    def _stored(self, name: str, df: DataFrame) -> DataFrame:
-        from courtside.session import checkpoint_root
-        from courtside.sources.snapshot import refresh_snapshot
-        key = hashlib.sha1((self.sf_dir + "\n" + VIEWS[name]).encode()).hexdigest()[:16]
-        path = f"{checkpoint_root(self.spark)}/fixtures/{name}-{key}"
-        # inputs are read-only: a stored version never goes stale
-        return refresh_snapshot(self.spark, df, path, active=False)
+    @property
+    def v_play_by_play(self) -> DataFrame:
+        """The plays with the score after each, summed minute by minute."""
+        minute = F.date_trunc("minute", "ts")
+        return (running_sum(self.view("v_plays"), "game_id", ["ts", "event_id"],
+                            {"score_home": F.col("points_home"), "score_away": F.col("points_away")}, chunk=minute)
+                .drop("points_home", "points_away"))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("v_") and name in VIEWS:

@@ -10,18 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LIST_ITEM = r'<li><a href="([^"]*)">([^<]*)</a></li>'
-COMMENT = r"<!--(.*?)-->"
+# (?is): any case, and a dot crosses line ends, as hidden tables do
+LIST_ITEM = r"(?is)<li(?:\s[^>]*)?>(.*?)</li>"
+COMMENT = r"(?is)<!--(.*?)-->"
+TAG = r"(?s)<[^>]*>"
 
 
-def extract_list_items(pages: DataFrame, pattern: str = LIST_ITEM, group: int = 2,
+def extract_list_items(pages: DataFrame, pattern: str = LIST_ITEM, group: int = 1,
                        exclude: str | None = "G-League", date_format: str | None = None,
                        since=None) -> DataFrame:
-    """(P05) one row per list item: (page_id, pos, item). Items matching
+    """(P05) one row per list item: (page_id, pos, item), the item's text with
+    its tags taken off (linked or not, with attributes or not). Items matching
     ``exclude`` are dropped; with ``date_format``, the item text is parsed as a
     date ('MMMM d, yyyy') into ``item_date`` and kept on/after ``since``."""
     items = (pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(pattern), group)))
-             .select("page_id", F.col("pos").cast("long").alias("pos"), F.col("col").alias("item")))
+             .select("page_id", F.col("pos").cast("long").alias("pos"),
+                     F.trim(F.regexp_replace("col", TAG, "")).alias("item")))
     if exclude:
         items = items.where(~F.col("item").rlike(exclude))
     if date_format:
@@ -37,7 +41,7 @@ def comment_blocks(pages: DataFrame) -> DataFrame:
             .select("page_id", F.col("pos").cast("long").alias("pos"), F.col("col").alias("body")))
 
 
-def table_cells(pages: DataFrame, ncol: int, cell: str = r"<t[dh][^>]*>(.*?)</t[dh]>") -> DataFrame:
+def table_cells(pages: DataFrame, ncol: int, cell: str = r"(?is)<t[dh](?:\s[^>]*)?>(.*?)</t[dh]>") -> DataFrame:
     """(P05) cells of html tables unwound into rows by column count:
     (page_id, row, col, text) with row = pos div ncol, col = pos mod ncol."""
     cells = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(cell), 1)))

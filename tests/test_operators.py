@@ -53,6 +53,14 @@ def test_running_sum_chunked_equals_window(spark):
     assert rows(plain, "k", "d", "s") == rows(chunked, "k", "d", "s")
 
 
+def test_running_sum_with_nulls_at_chunk_starts(spark):
+    data = [("a", 0, None), ("a", 1, 1), ("a", 2, None), ("a", 3, 1), ("a", 4, None), ("a", 5, 1), ("b", 0, None), ("b", 3, None)]
+    df = spark.createDataFrame(data, "k string, d int, v int")
+    got = O.running_sum(df, "k", ["d"], {"s": F.col("v")}, chunk=F.floor(F.col("d") / 2))
+    assert rows(got, "k", "d", "s") == rows(O.running_sum(df, "k", ["d"], {"s": F.col("v")}), "k", "d", "s")
+    assert sorted((r.d, r.s) for r in got.where("k = 'a'").collect() if r.d) == [(1, 1), (2, 1), (3, 2), (4, 2), (5, 3)]
+
+
 def test_current_run_length(spark):
     df = spark.createDataFrame([("a", 1, "W"), ("a", 2, "L"), ("a", 3, "W"), ("a", 4, "W"),
                                 ("b", 1, "W"), ("b", 2, "W"), ("c", 1, "W"), ("c", 2, "L")],
@@ -71,6 +79,11 @@ def test_opponent_totals_and_share(spark):
     df = spark.createDataFrame([(1, "a", 100), (1, "b", 90), (2, "a", 80)], "g int, t string, pts int")
     got = O.with_opponent_totals(df, "g", ["pts"])
     assert rows(got, "g", "t", "opp_pts") == [(1, "a", 90), (1, "b", 100)]
+    # an unknown value stays unknown and does not hide the other side's; lone sides and triples go
+    odd = spark.createDataFrame([(1, "a", 10), (1, "b", None), (2, "a", None), (2, "b", None), (3, "c", 5), (4, "x", 1),
+                                 (4, "y", 2), (4, "z", 3), (5, "a", 7), (5, "b", 7)], "g int, t string, pts int")
+    assert rows(O.with_opponent_totals(odd, ["g"], ["pts"]), "g", "t", "pts", "opp_pts") == sorted(
+        [(1, "a", 10, None), (1, "b", None, 10), (2, "a", None, None), (2, "b", None, None), (5, "a", 7, 7), (5, "b", 7, 7)], key=repr)
     s = O.share_of_total(spark.createDataFrame([("x", 1), ("y", 3)], "k string, n long"), "n")
     assert rows(s, "k", "share") == [("x", 0.25), ("y", 0.75)]
 
@@ -99,9 +112,7 @@ def test_global_row_number_matches_window(spark):
     data = [(i, (i * 37) % 11, None if i % 9 == 0 else float((i * 13) % 7)) for i in range(200)]
     df = spark.createDataFrame(data, "id int, g int, v double")
     order = [F.col("v").desc_nulls_last(), F.col("id")]
-    got = O.global_row_number(df, order, "rn", num_partitions=5, window_below=0)
-    small = O.global_row_number(df, order, "rn")
-    assert rows(small, "id", "rn") == rows(got, "id", "rn")
+    got = O.global_row_number(df, order, "rn", [(F.col("v"), "desc_nulls_last"), (F.floor(F.col("id") / 20), "asc")])
     ref = df.withColumn("rn", F.row_number().over(Window.orderBy(*order)))
     assert rows(got, "id", "rn") == rows(ref, "id", "rn")
 

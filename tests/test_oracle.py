@@ -3,11 +3,11 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, oracle_sql
+from courtside.queries import QUERIES
 from tests.conftest import SF_SMALL
 from tests.oracle_compare import compare, duck_conn
 
-QUERIES = queries()
 ORACLES = oracle_sql()
 
 

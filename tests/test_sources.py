@@ -39,6 +39,10 @@ def test_page_extraction(spark):
     pages = spark.createDataFrame([(1, "u", html), (2, "v", "<p>none</p>")], "page_id long, url string, html string")
     items = PG.extract_list_items(pages)
     assert rows(items) == [(1, 0, "First item"), (1, 2, "December 22, 2020")]
+    odd = spark.createDataFrame([(3, "<ul><LI class='x'>plain</LI>\n<li>two <b>bold</b>\nlines</li><link rel=a></ul><!-- a\nb --><!---->")],
+                                "page_id long, html string")
+    assert rows(PG.extract_list_items(odd), "item") == [("plain",), ("two bold\nlines",)]
+    assert rows(PG.comment_blocks(odd), "body") == sorted([("",), (" a\nb ",)], key=repr)
     dated = PG.extract_list_items(pages, date_format="MMMM d, yyyy", since="2020-12-01")
     assert rows(dated, "item") == [("December 22, 2020",)]
     blocks = PG.comment_blocks(pages)

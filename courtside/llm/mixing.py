@@ -92,8 +92,8 @@ def rates(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source"
           targets=None, alpha=ALPHA) -> DataFrame:
     """Cells with weight (fitted share over own share) and probability."""
     named = _named(docs, id_col, text_col, source_col, lang_col, topic_of)
-    cells = named.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")
-                          ).agg(F.sum(tokens(F.col("__text"))).alias("mass"))
+    cells = stored(named.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")
+                                 ).agg(F.sum(tokens(F.col("__text"))).alias("mass")), "mix-masses")
     fitted = fit(cells, targets, alpha)
     total = fitted.agg(F.sum("mass")).first()[0] or 1
     weighed = fitted.withColumn("weight", F.col("fitted") / F.col("mass") * F.lit(float(total)))

@@ -79,6 +79,16 @@ def replace_first(c, pattern: str, replacement: str) -> Column:
     return F.regexp_replace(col(c), "^(?s)(.*?)" + pattern, "$1" + replacement)
 
 
+def number_text(c) -> Column:
+    """A number as text without a trailing '.0' (112.0 -> '112')."""
+    return F.regexp_replace(col(c).cast("string"), r"\.0$", "")
+
+
+def percent_text(c, digits: int = 1) -> Column:
+    """A share as percent text (0.375 -> '37.5%')."""
+    return F.concat(number_text(F.round(col(c) * 100, digits)), F.lit("%"))
+
+
 def last_word(c) -> Column:
     """Last space-separated word."""
     return F.element_at(F.split(col(c), " "), -1)

@@ -28,6 +28,11 @@ def ORD(x: str) -> str:
             f"WHEN abs({x}) % 10 = 3 THEN 'rd' ELSE 'th' END END")
 
 
+def NUM(x: str) -> str:
+    """A double as text, whole numbers without their '.0'."""
+    return f"CASE WHEN ({x}) = floor({x}) THEN CAST(CAST(({x}) AS BIGINT) AS VARCHAR) ELSE CAST(({x}) AS VARCHAR) END"
+
+
 def DIV(a: str, b: str) -> str:
     """a / b, null when b is 0 (Spark try_divide)."""
     return f"(CASE WHEN ({b}) = 0 THEN NULL ELSE ({a}) / ({b}) END)"
@@ -368,12 +373,15 @@ SELECT p.team, p.opponent, p.location, CASE WHEN p.location = 'H' THEN 'Vs.' ELS
        {R(DIV('p.fg3m', 'p.fg3a'), 3)} AS fg3_pct, {R(DIV('p.opp_fg3m', 'p.opp_fg3a'), 3)} AS opp_fg3_pct,
        CASE WHEN p.pts = s.max_pts THEN 1 WHEN p.pts - s.avg_ppg >= 10 THEN 2
             WHEN p.pts - s.avg_ppg <= -10 THEN 3 ELSE 0 END AS pts_code,
-       CASE WHEN p.opp_pts - s.avg_opp_ppg <= -10 THEN 2 WHEN p.opp_pts - s.avg_opp_ppg >= 10 THEN 3 ELSE 0 END AS opp_pts_code
-FROM paired p JOIN (SELECT team, {R('avg(pts)', 1)} AS avg_ppg, {R('avg(opp_pts)', 1)} AS avg_opp_ppg,
+       CASE WHEN p.opp_pts - s.avg_opp_ppg <= -10 THEN 2 WHEN p.opp_pts - s.avg_opp_ppg >= 10 THEN 3 ELSE 0 END AS opp_pts_code,
+       'logos/' || lower(replace(h.full_name, ' ', '_')) || '.png' AS logo, 'logos/' || lower(replace(a.full_name, ' ', '_')) || '.png' AS opp_logo
+FROM paired p LEFT JOIN v_teams h ON h.team = p.team LEFT JOIN v_teams a ON a.team = p.opponent JOIN (SELECT team, {R('avg(pts)', 1)} AS avg_ppg, {R('avg(opp_pts)', 1)} AS avg_opp_ppg,
                            max(pts) AS max_pts FROM paired GROUP BY team) s ON p.team = s.team
-WHERE p.game_date = (SELECT max(game_date) FROM paired) AND p.pts > p.opp_pts""", "paired")
+WHERE p.game_date = (SELECT max(game_date) FROM paired) AND p.pts > p.opp_pts""", "paired", "v_teams")
 oracle("opponent_shooting_ranks", f"""
-SELECT *, {ORD('fg3_rank')} AS fg3_rank_text, {ORD('ts_rank')} AS ts_rank_text, {ORD('fta_rank')} AS fta_rank_text
+SELECT *, {ORD('fg3_rank')} AS fg3_rank_text, {ORD('ts_rank')} AS ts_rank_text, {ORD('fta_rank')} AS fta_rank_text,
+       'Opponent TS%: ' || {NUM(R('opp_ts * 100', 1))} || '% (' || {ORD('ts_rank')} || ')<br>Opponent 3P%: ' || {NUM(R('opp_fg3_pct * 100', 1))}
+       || '% (' || {ORD('fg3_rank')} || ')<br>Opponent FTA/g: ' || {NUM('opp_fta_per_game')} || ' (' || {ORD('fta_rank')} || ')' AS rating_text
 FROM (SELECT *,
         CASE WHEN opp_fg3_pct IS NOT NULL THEN rank() OVER (PARTITION BY opp_fg3_pct IS NULL ORDER BY opp_fg3_pct) END AS fg3_rank,
         CASE WHEN opp_ts IS NOT NULL THEN rank() OVER (PARTITION BY opp_ts IS NULL ORDER BY opp_ts) END AS ts_rank,
@@ -446,9 +454,10 @@ cte("next_day", ("upcoming",), """
 SELECT game_date, day_of_week, COUNT(*) AS games FROM upcoming
 WHERE game_date = (SELECT min(game_date) FROM upcoming) GROUP BY game_date, day_of_week""")
 cte("ratings", ("v_team_ratings", "teams_dim"), """
-SELECT tm.team, r.full_name, r.ortg, r.drtg, r.nrtg
+SELECT tm.team, r.full_name, r.ortg, r.drtg, r.nrtg, r.w, r.l, r.pace
 FROM (SELECT replace(team_text, '*', '') AS full_name, TRY_CAST(ortg_text AS DOUBLE) AS ortg,
-             TRY_CAST(drtg_text AS DOUBLE) AS drtg, TRY_CAST(replace(nrtg_text, '+', '') AS DOUBLE) AS nrtg
+             TRY_CAST(drtg_text AS DOUBLE) AS drtg,
+             TRY_CAST(w_text AS INTEGER) AS w, TRY_CAST(l_text AS INTEGER) AS l, TRY_CAST(pace_text AS DOUBLE) AS pace, TRY_CAST(replace(nrtg_text, '+', '') AS DOUBLE) AS nrtg
       FROM v_team_ratings) r LEFT JOIN teams_dim tm ON r.full_name = tm.full_name
 WHERE r.full_name <> 'League Average'""")
 
@@ -461,6 +470,7 @@ oracle("next_gameday", "SELECT * FROM next_day", "next_day")
 oracle("league_kpis", """
 SELECT n.game_date, n.day_of_week, n.games, s.home_wins, s.road_wins, s.home_pct, s.road_pct, s.total_games,
        a.league_avg, a.pct_change, strftime(n.game_date, '%B %d, %Y') AS full_date,
+       n.games || CASE WHEN n.games = 1 THEN ' Upcoming Game' ELSE ' Upcoming Games | See Schedule' END AS games_text,
        CAST(s.home_wins AS VARCHAR) || ' - ' || CAST(s.road_wins AS VARCHAR) AS record
 FROM next_day n, hr_split s, league_avg a""", "next_day", "hr_split", "league_avg")
 oracle("over_under_tracker", f"""
@@ -475,7 +485,7 @@ SELECT team, game_date, CAST(SUM(pts) AS BIGINT) AS pts,
        CASE WHEN COUNT(DISTINCT outcome) = 1 THEN max(outcome) END AS outcome
 FROM v_box_scores WHERE game_date >= {ODDS_SINCE} GROUP BY team, game_date""")
 oracle("enrich_odds", f"""
-SELECT o.game_id, o.game_date, o.team1, o.team2, o.team1_moneyline, o.team2_moneyline,
+SELECT o.game_id, o.game_date, o.team1, o.team2, o.team1_moneyline, o.team2_moneyline, o.team1_spread, o.team2_spread, o.pts_bet,
        d1.outcome AS team1_outcome,
        CASE WHEN d1.outcome = 'W' THEN 'L' WHEN d1.outcome = 'L' THEN 'W' END AS team2_outcome,
        d1.pts AS team1_pts, d2.pts AS team2_pts, d1.pts + d2.pts AS total_pts
@@ -484,7 +494,9 @@ LEFT JOIN oday d1 ON o.team1 = d1.team AND o.game_date = d1.game_date
 LEFT JOIN oday d2 ON o.team2 = d2.team AND o.game_date = d2.game_date""", "v_odds", "oday")
 oracle("clean_team_ratings", "SELECT * FROM ratings", "ratings")
 oracle("rating_ranks", f"""
-SELECT *, {ORD('nrtg_rank')} AS nrtg_text, {ORD('ortg_rank')} AS ortg_text, {ORD('drtg_rank')} AS drtg_text
+SELECT *, {ORD('nrtg_rank')} AS nrtg_text, {ORD('ortg_rank')} AS ortg_text, {ORD('drtg_rank')} AS drtg_text,
+       'Offensive Rating: ' || {NUM('ortg')} || ' (' || {ORD('ortg_rank')} || ')<br>Defensive Rating: ' || {NUM('drtg')} || ' ('
+       || {ORD('drtg_rank')} || ')<br>Net Rating: ' || {NUM('nrtg')} || ' (' || {ORD('nrtg_rank')} || ')' AS rating_text
 FROM (SELECT *, row_number() OVER (ORDER BY nrtg DESC, team) AS nrtg_rank,
              row_number() OVER (ORDER BY ortg DESC, nrtg DESC, team) AS ortg_rank,
              row_number() OVER (ORDER BY drtg, ortg DESC, nrtg DESC, team) AS drtg_rank,
@@ -576,7 +588,7 @@ SELECT artist, {R('avg(CAST(valence * 100 AS DECIMAL(18,6)))', 1)} AS positivity
 FROM v_tracks WHERE {STUDIO} GROUP BY artist""", "v_tracks")
 oracle("album_timeline", "SELECT DISTINCT artist, album, release_date FROM v_tracks", "v_tracks")
 oracle("artist_search", """
-SELECT artist_id, artist_name, popularity FROM (
+SELECT artist_id, artist_name, popularity, CASE WHEN artist_id % 3 <> 0 THEN 'img/320/' || artist_id END AS image FROM (
   SELECT *, row_number() OVER (PARTITION BY artist_name ORDER BY popularity DESC, artist_id) AS rn
   FROM v_artists WHERE contains(lower(artist_name), 'blue')) x WHERE rn = 1""", "v_artists")
 oracle("mood_quadrants", """
@@ -605,3 +617,30 @@ SELECT game_id, last_period,
        ['1st Quarter', '2nd Quarter', '3rd Quarter', '4th Quarter', 'End 4th'] || CASE WHEN last_period > 4
             THEN list_transform(range(1, last_period - 3), lambda k: {ORD('k')} || ' OT') ELSE []::VARCHAR[] END AS axis_labels
 FROM (SELECT game_id, max(period) AS last_period FROM timeline GROUP BY game_id) x""", "timeline")
+
+oracle("slice_team_record", "SELECT * FROM record WHERE team = 7", "record")
+ORACLE["slice_team_scorers"] = f"SELECT * FROM ({ORACLE['team_scorers']}) q WHERE team = 7"
+ORACLE["slice_team_ratings"] = f"SELECT * FROM ({ORACLE['rating_ranks']}) q WHERE team = 7"
+ORACLE["slice_team_opponent_shooting"] = f"SELECT * FROM ({ORACLE['opponent_shooting_ranks']}) q WHERE team = 7"
+ORACLE["slice_game_title"] = f"SELECT * FROM ({ORACLE['game_titles']}) q WHERE title = 'NATION_7 Vs. NATION_9'"
+oracle("contract_value_missing_players", f"""
+SELECT player_id, team, salary, gp, team_gp, salary * gp AS achieved, salary * team_gp - salary * gp AS missing,
+       {R(DIV('salary * team_gp - salary * gp', 'salary * team_gp'), 3)} AS pct_missing
+FROM (SELECT c.player_id, c.team, c.salary, COALESCE(g.gp, 0) AS gp, max(COALESCE(g.gp, 0)) OVER (PARTITION BY c.team) AS team_gp
+      FROM contracts_clean c LEFT JOIN player_gp g ON c.player_id = g.player_id) x""", "contracts_clean", "player_gp")
+cte("sheet", ("v_contract_sheet",), """
+SELECT DISTINCT CASE name WHEN 'J.J. Redick' THEN 'JJ Redick' WHEN 'Kevin Knox' THEN 'Kevin Knox II'
+                          ELSE replace(name, 'Lukáš Dončić', 'Lukas Doncic') END AS name,
+       CASE team WHEN 'BRK' THEN 'BKN' WHEN 'PHO' THEN 'PHX' WHEN 'CHO' THEN 'CHA' ELSE team END AS team,
+       CAST(replace(replace(salary_text, '$', ''), ',', '') AS DOUBLE) AS salary,
+       COALESCE(TRY_CAST(replace(replace(total_text, '$', ''), ',', '') AS DOUBLE), 0) AS total_owed
+FROM v_contract_sheet WHERE name <> 'Player' """)
+oracle("clean_contract_sheet", "SELECT * FROM sheet", "sheet")
+oracle("contract_team_logos", """
+SELECT DISTINCT team, CASE team WHEN 'BKN' THEN 'logos/bkn1.png' WHEN 'PHX' THEN 'logos/phx1.png' WHEN 'CHA' THEN 'logos/cha.png'
+                                WHEN 'LAL' THEN 'logos/lal2.png' END AS logo FROM sheet""", "sheet")
+oracle("contracts_csv", "SELECT name, team, salary_text, NULLIF(total_text, '') AS total_text FROM v_contract_sheet", "v_contract_sheet")
+oracle("frequent_winners", """
+SELECT team, game_id, outcome FROM (
+  SELECT *, SUM(CASE outcome WHEN 'W' THEN 1 WHEN 'L' THEN -1 ELSE 0 END) OVER (PARTITION BY team) AS net
+  FROM (SELECT DISTINCT team, game_id, outcome FROM v_box_scores) g) x WHERE net > 0""", "v_box_scores")

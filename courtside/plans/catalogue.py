@@ -47,17 +47,19 @@ def artist_statistics(tracks: DataFrame) -> DataFrame:
 
 
 def album_timeline(tracks: DataFrame) -> DataFrame:
-    """(P54) distinct (artist, album, release date)."""
-    return tracks.select("artist", "album", "release_date").distinct()
+    """(P54) distinct (artist, album, release date), in date order per artist."""
+    return tracks.select("artist", "album", "release_date").distinct().orderBy("artist", "release_date", "album")
 
 
 def artist_search(artists: DataFrame, text: str) -> DataFrame:
     """(P55) artists whose name contains ``text`` (case-blind), one row per
-    name: the most popular (ties: lowest id)."""
+    name: the most popular (ties: lowest id), most popular first, with the
+    second of its images (null when there are fewer)."""
     hits = artists.where(F.lower("artist_name").contains(text.lower()))
-    return first_per_key(hits.select("artist_name", "artist_id", "popularity"), "artist_name",
+    return first_per_key(hits.select("artist_name", "artist_id", "popularity", "images"), "artist_name",
                          [F.col("popularity"), -F.col("artist_id")]).select(
-        "artist_id", "artist_name", "popularity")
+        "artist_id", "artist_name", "popularity", F.get("images", F.lit(1))["url"].alias("image")).orderBy(
+        F.col("popularity").desc(), "artist_id")
 
 
 def mood_quadrants(tracks: DataFrame, cut: float = 0.5) -> DataFrame:

@@ -291,6 +291,17 @@ def contract_value_missing(contracts: DataFrame, gp: DataFrame, record: DataFram
                     "pct_missing", "league_mean_pct", "wins", "losses", "win_pct"))
 
 
+def contract_value_missing_players(contracts: DataFrame, gp: DataFrame) -> DataFrame:
+    """(P34) per player: value achieved (salary x games), value missed against
+    the team's most games, and the share missed."""
+    c = contracts.join(gp, "player_id", "left").fillna(0, ["gp"])
+    most = c.groupBy("team").agg(F.max("gp").alias("team_gp"))
+    achieved, full = F.col("salary") * F.col("gp"), F.col("salary") * F.col("team_gp")
+    return (c.join(most, "team").select(
+        "player_id", "team", "salary", "gp", "team_gp", achieved.alias("achieved"), (full - achieved).alias("missing"),
+        F.round(safe_ratio(full - achieved, full), 3).alias("pct_missing")))
+
+
 # ---------------------------------------------------------------- dormant analyses
 
 def scoring_variance(logs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtside.functions.exprs import clock_minutes, ordinal, replace_first
-from courtside.operators.core import running_sum, unpivot
+from courtside.operators.core import running_sum, separate, unite, unpivot
 
 
 def play_timeline(plays: DataFrame, chunk: Column | None = None) -> DataFrame:
@@ -122,17 +122,15 @@ def foul_calls(plays: DataFrame) -> DataFrame:
     long = unpivot(plays, ["game_id", "event_id"], ["desc_home", "desc_visitor"], "side", "value")
     v = F.col("value")
     f = long.where(v.isNotNull() & v.rlike("(?i)foul") & ~v.contains("Turnover") & ~v.contains("FLAGRANT"))
-    # the split pieces are columns of their own: each is used more than once,
-    # so they are computed once per row (and it sidesteps a codegen failure
-    # Spark hits when it de-duplicates these subexpressions itself)
-    f = (f.withColumn("__parts", F.split(v, r"\("))
-         .withColumn("__words", F.split(F.try_element_at("__parts", F.lit(1)), " ")))
-    g = F.try_element_at("__words", F.lit(2))
+    f = separate(f, "value", ["__head", None, "__referee"], r"\(")
+    f = separate(f, "__head", [None, "__second", "__third"], " ")
+    g = F.col("__second")
     for pat in ("Jr.", "Sr.", "III", "Hill"):
         g = replace_first(g, pat, "")
-    h = replace_first(F.try_element_at("__words", F.lit(3)), "Offensive", "OFFENSIVECHARGE")
-    foul = replace_first(F.upper(F.concat_ws("", g, h)), "PERSONALTAKE", "PERSONAL")
-    referee = F.regexp_replace(F.try_element_at("__parts", F.lit(3)), ".$", "")
+    h = replace_first("__third", "Offensive", "OFFENSIVECHARGE")
+    f = unite(f.withColumns({"__second": g, "__third": h}), "__foul", ["__second", "__third"])
+    foul = replace_first(F.upper("__foul"), "PERSONALTAKE", "PERSONAL")
+    referee = F.regexp_replace("__referee", ".$", "")
     return f.select("game_id", "event_id", referee.alias("referee"), foul.alias("foul_type"))
 
 

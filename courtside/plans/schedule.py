@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtside.functions.exprs import (
-    date_from_weekday_text, lookup, ordinal, record_text, start_minute,
+    date_from_weekday_text, lookup, number_text, ordinal, recode, record_text, start_minute,
 )
 from courtside.operators.core import filter_global_extreme, global_row_number, null_aware_rank
 from courtside.plans.teams import team_dimension
@@ -138,13 +138,20 @@ def league_kpis(next_day: DataFrame, split: DataFrame, average: DataFrame) -> Da
     """(P46) one row: next game day, home/road split and league scoring."""
     return (next_day.crossJoin(split).crossJoin(average)
             .withColumn("full_date", F.date_format("game_date", "MMMM dd, yyyy"))
+            .withColumn("games_text", F.concat(F.col("games").cast("string"), F.when(F.col("games") == 1, " Upcoming Game")
+                                               .otherwise(" Upcoming Games | See Schedule")))
             .withColumn("record", record_text("home_wins", "road_wins", " - ")))
 
 
 # ---------------------------------------------------------------- odds
 
-def enrich_odds(odds: DataFrame, logs: DataFrame, since) -> DataFrame:
-    """(P08) moneylines with each side's points and outcome that day.
+# Team names that the odds source spells its own way.
+ODDS_NAME_RECODES = {"Portland TrailBlazers": "Portland Trail Blazers"}
+
+
+def enrich_odds(odds: DataFrame, logs: DataFrame, since, recodes: dict | None = None) -> DataFrame:
+    """(P08) moneylines, spreads and the points bet with each side's points and
+    outcome that day; ``recodes`` maps the odds' team names to the logs'.
 
     Points and outcome are aggregated to one row per (team, date) before the
     two joins, so a team with two games on a date cannot multiply rows; the
@@ -156,10 +163,11 @@ def enrich_odds(odds: DataFrame, logs: DataFrame, since) -> DataFrame:
                 F.when(F.count_distinct("outcome") == 1, F.max("outcome")).alias("outcome")))
     t1 = day.withColumnsRenamed({"team": "team1", "pts": "team1_pts", "outcome": "team1_outcome"})
     t2 = day.select(F.col("team").alias("team2"), "game_date", F.col("pts").alias("team2_pts"))
+    odds = odds.withColumns({c: recode(c, recodes or {}) for c in ("team1", "team2")})
     out = odds.join(t1, ["team1", "game_date"], "left").join(t2, ["team2", "game_date"], "left")
     opp = F.when(F.col("team1_outcome") == "W", "L").when(F.col("team1_outcome") == "L", "W")
     return out.select("game_id", "game_date", "team1", "team2", "team1_moneyline", "team2_moneyline",
-                      "team1_outcome", opp.alias("team2_outcome"), "team1_pts", "team2_pts",
+                      "team1_spread", "team2_spread", "pts_bet", "team1_outcome", opp.alias("team2_outcome"), "team1_pts", "team2_pts",
                       (F.col("team1_pts") + F.col("team2_pts")).alias("total_pts"))
 
 
@@ -173,9 +181,11 @@ def clean_team_ratings(raw: DataFrame, teams: DataFrame, drop_name: str = "Leagu
          .select("full_name",
                  F.col("ortg_text").try_cast("double").alias("ortg"),
                  F.col("drtg_text").try_cast("double").alias("drtg"),
-                 F.regexp_replace("nrtg_text", r"\+", "").try_cast("double").alias("nrtg")))
+                 F.regexp_replace("nrtg_text", r"\+", "").try_cast("double").alias("nrtg"),
+                 F.col("w_text").try_cast("int").alias("w"), F.col("l_text").try_cast("int").alias("l"),
+                 F.col("pace_text").try_cast("double").alias("pace")))
     return r.join(team_dimension(teams), "full_name", "left").select(
-        "team", "full_name", "ortg", "drtg", "nrtg")
+        "team", "full_name", "w", "l", "pace", "ortg", "drtg", "nrtg")
 
 
 def rating_ranks(ratings: DataFrame) -> DataFrame:
@@ -192,7 +202,9 @@ def rating_ranks(ratings: DataFrame) -> DataFrame:
     return (r.crossJoin(means)
             .withColumn("nrtg_text", ordinal("nrtg_rank"))
             .withColumn("ortg_text", ordinal("ortg_rank"))
-            .withColumn("drtg_text", ordinal("drtg_rank")))
+            .withColumn("drtg_text", ordinal("drtg_rank"))
+            .withColumn("rating_text", F.concat(*[x for label, c in (("Offensive", "ortg"), ("<br>Defensive", "drtg"), ("<br>Net", "nrtg"))
+                                                  for x in (F.lit(f"{label} Rating: "), number_text(c), F.lit(" ("), F.col(c + "_text"), F.lit(")"))])))
 
 
 def over_under_tracker(lines: DataFrame, record: DataFrame, teams: DataFrame, bins: DataFrame,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtside.functions.exprs import ordinal, record_text, safe_ratio
+from courtside.functions.exprs import number_text, ordinal, percent_text, record_text, safe_ratio
 from courtside.operators.core import (
     current_run_length, filter_global_extreme, null_aware_rank, running_sum,
     share_of_total, with_opponent_totals,
@@ -264,9 +264,10 @@ def record_vs_quality(strength: DataFrame, record: DataFrame, cut: float = 0.5)
 
 # ---------------------------------------------------------------- boards
 
-def last_night_team_board(logs: DataFrame, day=None) -> DataFrame:
+def last_night_team_board(logs: DataFrame, logos: DataFrame | None = None, day=None) -> DataFrame:
     """(P40) winners of the last day with points, 3P%, opponent values and
-    colour codes against each team's season average and high."""
+    colour codes against each team's season average and high, widest margin
+    first; with ``logos`` (team, logo) both sides' logos."""
     tg = with_opponent_totals(team_games(logs, ["pts", "fg3m", "fg3a"]), ["game_id", "game_date"],
                               ["pts", "fg3m", "fg3a"])
     season = tg.groupBy("team").agg(
@@ -280,8 +281,13 @@ def last_night_team_board(logs: DataFrame, day=None) -> DataFrame:
     pts_code = (F.when(F.col("pts") == F.col("max_pts"), 1).when(diff >= 10, 2)
                 .when(diff <= -10, 3).otherwise(0))
     opp_code = F.when(odiff <= -10, 2).when(odiff >= 10, 3).otherwise(0)
-    return (rows.where(F.col("pts") > F.col("opp_pts"))
-            .select("team", "opponent", "location",
+    images = []
+    if logos is not None:
+        rows = (rows.join(logos.select("team", "logo"), "team", "left")
+                .join(logos.select(F.col("team").alias("opponent"), F.col("logo").alias("opp_logo")), "opponent", "left"))
+        images = ["logo", "opp_logo"]
+    return (rows.where(F.col("pts") > F.col("opp_pts")).orderBy((F.col("opp_pts") - F.col("pts")), "team", "game_id")
+            .select("team", "opponent", "location", *images,
                     F.when(F.col("location") == "H", "Vs.").otherwise("@").alias("venue"),
                     "pts", "opp_pts", (F.col("pts") - F.col("opp_pts")).alias("margin"),
                     F.round(safe_ratio("fg3m", "fg3a"), 3).alias("fg3_pct"),
@@ -302,7 +308,10 @@ def opponent_shooting_ranks(logs: DataFrame) -> DataFrame:
     for c, r in (("opp_fg3_pct", "fg3_rank"), ("opp_ts", "ts_rank"), ("opp_fta_per_game", "fta_rank")):
         out = out.withColumn(r, null_aware_rank(c, ascending=True))
         out = out.withColumn(r + "_text", ordinal(r))
-    return out
+    return out.withColumn("rating_text", F.concat(
+        F.lit("Opponent TS%: "), percent_text("opp_ts"), F.lit(" ("), F.col("ts_rank_text"), F.lit(")<br>Opponent 3P%: "),
+        percent_text("opp_fg3_pct"), F.lit(" ("), F.col("fg3_rank_text"), F.lit(")<br>Opponent FTA/g: "),
+        number_text("opp_fta_per_game"), F.lit(" ("), F.col("fta_rank_text"), F.lit(")")))
 
 
 # ---------------------------------------------------------------- dormant analyses

@@ -47,7 +47,7 @@ def _record(fx: Fixture) -> DataFrame:
 
 def _standings(fx: Fixture) -> DataFrame:
     return T.conference_standings(_record(fx), T.last_n_record(fx.v_box_scores, fx.v_teams),
-                                  fx.v_teams)
+                                  fx.v_teams).orderBy("conference", "seed", "team")
 
 
 @query("team_dimension")
@@ -276,9 +276,15 @@ def q_record_vs_quality(spark, sf_dir):
     return T.record_vs_quality(_strength(fx), _record(fx))
 
 
+def _logos(fx: Fixture) -> DataFrame:
+    name = F.lower(F.regexp_replace("full_name", " ", "_"))
+    return fx.v_teams.select("team", F.concat(F.lit("logos/"), name, F.lit(".png")).alias("logo"))
+
+
 @query("last_night_team_board")
 def q_last_night_team_board(spark, sf_dir):
-    return T.last_night_team_board(fixture(spark, sf_dir).v_box_scores)
+    fx = fixture(spark, sf_dir)
+    return T.last_night_team_board(fx.v_box_scores, _logos(fx))
 
 
 @query("opponent_shooting_ranks")
@@ -400,9 +406,7 @@ def q_rating_ranks(spark, sf_dir):
 @query("team_logo_lookup")
 def q_team_logo_lookup(spark, sf_dir):
     fx = fixture(spark, sf_dir)
-    logos = fx.v_teams.select("team", F.concat(F.lit("logos/"), F.lower(F.regexp_replace("full_name", " ", "_")),
-                                               F.lit(".png")).alias("logo"))
-    return S.team_logo_lookup(T.team_dimension(fx.v_teams), logos)
+    return S.team_logo_lookup(T.team_dimension(fx.v_teams), _logos(fx))
 
 
 @query("comment_blocks")
@@ -470,8 +474,9 @@ def q_game_titles(spark, sf_dir):
 # ------------------------------------------------------------------ M6 catalogue, slices, snapshot
 
 import hashlib  # noqa: E402
+import uuid  # noqa: E402
 
-from courtside.operators.core import slice_by  # noqa: E402
+from courtside.operators.core import filter_having, slice_by  # noqa: E402
 from courtside.plans import catalogue as C  # noqa: E402
 from courtside.session import checkpoint_root  # noqa: E402
 from courtside.sources import snapshot as SN  # noqa: E402
@@ -512,7 +517,11 @@ def q_album_timeline(spark, sf_dir):
 
 @query("artist_search")
 def q_artist_search(spark, sf_dir):
-    return C.artist_search(fixture(spark, sf_dir).v_artists, ARTIST_TEXT)
+    fx = fixture(spark, sf_dir)
+    url = [F.concat(F.lit(f"img/{size}/"), F.col("artist_id").cast("string")) for size in (640, 320)]
+    both = F.array(*[F.struct(u.alias("url")) for u in url])
+    images = F.when(F.col("artist_id") % 3 == 0, F.slice(both, 1, 1)).otherwise(both)
+    return C.artist_search(fx.v_artists.withColumn("images", images), ARTIST_TEXT)
 
 
 @query("mood_quadrants")
@@ -552,6 +561,75 @@ def q_refresh_snapshot(spark, sf_dir):
     return SN.refresh_snapshot(spark, lambda: fx.v_injuries, path, max_age_hours=8)
 
 
+# the choices of the source's screens, each a slice of a pipeline
+TEAM = 7
+
+
+@query("slice_team_record")
+def q_slice_team_record(spark, sf_dir):
+    return slice_by(_record(fixture(spark, sf_dir)), "team", TEAM)
+
+
+@query("slice_team_scorers")
+def q_slice_team_scorers(spark, sf_dir):
+    fx = fixture(spark, sf_dir)
+    return slice_by(P.team_scorers(_enriched(fx), _record(fx), fx.v_teams, _scorers(fx)), "team", TEAM)
+
+
+@query("slice_team_ratings")
+def q_slice_team_ratings(spark, sf_dir):
+    return slice_by(S.rating_ranks(_ratings(fixture(spark, sf_dir))), "team", TEAM)
+
+
+@query("slice_team_opponent_shooting")
+def q_slice_team_opponent_shooting(spark, sf_dir):
+    return slice_by(T.opponent_shooting_ranks(fixture(spark, sf_dir).v_box_scores), "team", TEAM)
+
+
+@query("slice_game_title")
+def q_slice_game_title(spark, sf_dir):
+    fx = fixture(spark, sf_dir)
+    return slice_by(PL.game_titles(fx.v_box_scores, fx.v_teams), "title", "NATION_7 Vs. NATION_9")
+
+
+@query("contract_value_missing_players")
+def q_contract_value_missing_players(spark, sf_dir):
+    fx = fixture(spark, sf_dir)
+    return P.contract_value_missing_players(_contracts(fx), P.player_games_played(fx.v_box_scores))
+
+
+def _contract_sheet(fx: Fixture) -> DataFrame:
+    return P.clean_contracts(fx.v_contract_sheet, name_col="name", total_col="total_text", team_recodes=P.TEAM_CODE_RECODES)
+
+
+@query("clean_contract_sheet")
+def q_clean_contract_sheet(spark, sf_dir):
+    """(P03) header rows, accents, name aliases, team codes, money text."""
+    return _contract_sheet(fixture(spark, sf_dir))
+
+
+@query("contract_team_logos")
+def q_contract_team_logos(spark, sf_dir):
+    """(P42b) the literal logo map over the sheet's team codes."""
+    return S.team_logo_lookup(_contract_sheet(fixture(spark, sf_dir)).select("team").distinct())
+
+
+@query("contracts_csv")
+def q_contracts_csv(spark, sf_dir):
+    """(O01, O02) the contract sheet written as CSV and read with its schema."""
+    path = f"{checkpoint_root(spark)}/contracts-{uuid.uuid4().hex}"
+    SN.write_table(fixture(spark, sf_dir).v_contract_sheet, path, fmt="csv")
+    return SN.read_csv_table(spark, path, "name string, team string, salary_text string, total_text string")
+
+
+@query("frequent_winners")
+def q_frequent_winners(spark, sf_dir):
+    """(O11) games of teams with more wins than losses: a condition on the group."""
+    games = fixture(spark, sf_dir).v_box_scores.select("team", "game_id", "outcome").distinct()
+    sums = {"w": F.count_if(F.col("outcome") == "W"), "l": F.count_if(F.col("outcome") == "L")}
+    return filter_having(games, "team", sums, F.col("w") > F.col("l"))
+
+
 @query("team_scorers_min_games")
 def q_team_scorers_min_games(spark, sf_dir):
     """(P20b) the scorer table with players under 5 games dropped first."""

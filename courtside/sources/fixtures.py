@@ -80,6 +80,8 @@ SELECT o_orderkey AS game_id, o_orderdate AS game_ts, (c_nationkey + 1 + o_order
 FROM orders JOIN customer ON o_custkey = c_custkey""",
     "v_odds": """
 SELECT game_id, CAST(game_ts AS date) AS game_date, visitor AS team1, home AS team2,
+       CAST((game_id % 23) - 11 AS string) || '.5' AS team1_spread, CAST(11 - (game_id % 23) AS string) || '.5' AS team2_spread,
+       CAST(200 + game_id % 40 AS string) || '.5' AS pts_bet,
        CASE WHEN game_id % 7 = 0 THEN '-' WHEN game_id % 2 = 0 THEN '-' || CAST(110 + game_id % 90 AS string) ELSE '+' || CAST(105 + game_id % 90 AS string) END AS team1_moneyline,
        CASE WHEN game_id % 7 = 0 THEN '-' WHEN game_id % 2 = 0 THEN '+' || CAST(105 + game_id % 90 AS string) ELSE '-' || CAST(110 + game_id % 90 AS string) END AS team2_moneyline
 FROM v_schedule""",
@@ -88,9 +90,20 @@ SELECT CAST(n_nationkey AS bigint) AS team,
        CASE WHEN n_nationkey % 2 = 0 THEN n_name || '*' ELSE n_name END AS team_text,
        CAST(100 + (n_nationkey * 7) % 19 AS string) AS ortg_text,
        CAST(100 + (n_nationkey * 5) % 17 AS string) AS drtg_text,
+       CAST(20 + (n_nationkey * 3) % 30 AS string) AS w_text, CAST(52 - (n_nationkey * 3) % 30 AS string) AS l_text,
+       CAST(96 + (n_nationkey * 11) % 9 AS string) || '.5' AS pace_text,
        CASE WHEN (n_nationkey * 7) % 19 >= (n_nationkey * 5) % 17 THEN '+' ELSE '' END
          || CAST((n_nationkey * 7) % 19 - (n_nationkey * 5) % 17 AS string) AS nrtg_text
-FROM nation""",
+FROM nation
+UNION ALL SELECT CAST(NULL AS bigint), 'League Average', '109.1', '108.2', '36', '36', '99.2', '+0.9'""",
+    "v_contract_sheet": """
+SELECT CASE WHEN c_custkey % 97 = 0 THEN 'Player' WHEN c_custkey % 97 = 1 THEN 'J.J. Redick' WHEN c_custkey % 97 = 2 THEN 'Kevin Knox'
+            ELSE 'Lukáš Dončić ' || CAST(c_custkey AS string) END AS name,
+       CASE c_nationkey % 5 WHEN 0 THEN 'BRK' WHEN 1 THEN 'PHO' WHEN 2 THEN 'CHO' WHEN 3 THEN 'LAL' ELSE 'SEA' END AS team,
+       CASE WHEN c_custkey % 97 = 0 THEN 'Salary' WHEN c_custkey % 7 = 0 THEN NULL
+            ELSE '$' || CAST(1 + c_custkey % 45 AS string) || ',' || lpad(CAST(c_custkey % 1000 AS string), 3, '0') || ',500' END AS salary_text,
+       CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '$' || CAST(2 + c_custkey % 90 AS string) || ',250,000' END AS total_text
+FROM customer""",
     "v_plays": """
 SELECT user_id AS game_id, event_id, ts,
        CASE WHEN event_id % 2 = 0 THEN event_type END AS desc_home,

@@ -40,6 +40,7 @@ from courtside.llm.common import id_text, map_batches, stored
 THRESHOLD = 400   # bytes
 SEED = 64         # bytes
 SPAN = 1 << 18    # bytes worked on at a time, but never less than a document
+GROUP = 8192      # distinct runs of a digit (6 MB or so) that one task may hold
 _TABLE = np.random.default_rng(400).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = np.random.default_rng(401).integers(0, 1 << 62, 16, np.uint64) * np.uint64(4) + np.uint64(3)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -267,7 +268,7 @@ def _merged(found: list[dict]) -> list[list[int]]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD,
-                   seed: int = SEED, group: int = 256, with_bytes: bool = False) -> DataFrame:
+                   seed: int = SEED, group: int = GROUP, with_bytes: bool = False) -> DataFrame:
     """One row per document row: doc_id, n_bytes, n_removed, n_spans, spans
     (array of [start, end)), kept_sha256, and with ``with_bytes`` what is left
     (kept, binary). Digits with over ``group`` distinct runs are compared

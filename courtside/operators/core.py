@@ -24,6 +24,13 @@ def _list(x) -> list:
     return [x] if isinstance(x, (str, Column)) else list(x)
 
 
+def per_team(df: DataFrame) -> DataFrame:
+    """A frame of one row per team, or per pair of teams, as the side of a join
+    that is sent to every task: its bound is the league's size, not the data's,
+    and the rows it meets need not be shuffled on a handful of team keys."""
+    return F.broadcast(df)
+
+
 # ---------------------------------------------------------------- filters
 
 def filter_group_extreme(df: DataFrame, keys, c: str, fn: str = "max") -> DataFrame:
@@ -191,14 +198,15 @@ def running_sum(df: DataFrame, partition, order: Sequence, values: dict,
 
 
 def current_run_length(df: DataFrame, keys, order: Sequence[Column], hit: Column,
-                       name: str) -> DataFrame:
+                       name: str, few_keys: bool = False) -> DataFrame:
     """Length of the run of ``hit`` rows at the end of each group, 0 if the
     last row misses (the current streak). Two aggregates and a join, no window:
-    count the rows after the last miss."""
+    count the rows after the last miss. ``few_keys``: the keys are bounded (teams),
+    so the last misses go to the rows instead of the rows to the keys."""
     keys = _list(keys)
     key = F.struct(*order)
     last_miss = (df.where(~hit).groupBy(*keys).agg(F.max(key).alias("__last_miss")))
-    return (df.join(last_miss, keys, "left")
+    return (df.join(per_team(last_miss) if few_keys else last_miss, keys, "left")
             .groupBy(*keys)
             .agg(F.count_if(F.col("__last_miss").isNull() | (key > F.col("__last_miss"))).alias(name)))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from courtside.functions.exprs import ascii_fold, last_word, money_to_double, recode, safe_ratio, true_shooting
 from courtside.operators.core import (
-    band_percent_rank, filter_global_extreme, filter_group_extreme, global_row_number, top_n_with_ties,
+    band_percent_rank, filter_global_extreme, filter_group_extreme, global_row_number, per_team, top_n_with_ties,
 )
 from courtside.plans.teams import REGULAR, team_dimension, team_games_played
 
@@ -101,8 +101,8 @@ def enriched_game_log(logs: DataFrame, contracts: DataFrame, teams: DataFrame,
           .join(player_totals(logs), "player_id", "left")
           .withColumn("game_value", game_value)
           .join(player_salary(contracts), "player_id", "left")
-          .join(team_dimension(teams), "team", "left")
-          .join(team_games_played(logs), "team", "left"))
+          .join(per_team(team_dimension(teams)), "team", "left")
+          .join(per_team(team_games_played(logs)), "team", "left"))
     value, gp, team_gp = F.col("value"), F.col("gp"), F.col("team_gp")
     missed = team_gp - gp
     grace = F.lit(10) * F.round(team_gp / F.lit(season_games), 1)
@@ -203,7 +203,7 @@ def efficient_scorers(enriched: DataFrame, record: DataFrame, min_ppg: float = 2
                           [(F.col("value_adj"), "desc_nulls_last"), (F.floor(F.col("player_id") / 100000), "asc")])
     p = p.withColumn("top_flag", F.when(F.col("rank") <= top, F.lit(f"Top {top} MVP Candidate"))
                      .otherwise(F.lit("Other")))
-    return (p.join(record.select("team", "wins", "losses"), "team", "left")
+    return (p.join(per_team(record.select("team", "wins", "losses")), "team", "left")
             .select("rank", "player_id", "team", "avg_pts", "season_ts", "value_adj", "gp",
                     "top_flag", "wins", "losses"))
 
@@ -221,8 +221,8 @@ def team_scorers(enriched: DataFrame, record: DataFrame, teams: DataFrame, flags
     return (pairs.join(pa, "player_id", "inner")
             .join(f, "player_id", "left")
             .withColumn("top_flag", F.coalesce("top_flag", F.lit("Other")))
-            .join(team_dimension(teams), "team", "left")
-            .join(record.select("team", "wins", "losses"), "team", "left")
+            .join(per_team(team_dimension(teams)), "team", "left")
+            .join(per_team(record.select("team", "wins", "losses")), "team", "left")
             .select("player_id", "team", "full_name", "avg_pts", "season_ts", "value", "gp",
                     "top_flag", "wins", "losses"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from courtside.functions.exprs import (
     date_from_weekday_text, lookup, number_text, ordinal, recode, record_text, start_minute,
 )
-from courtside.operators.core import filter_global_extreme, global_row_number, null_aware_rank
+from courtside.operators.core import filter_global_extreme, global_row_number, null_aware_rank, per_team
 from courtside.plans.teams import team_dimension
 
 # Team code -> logo asset path of the source dashboard.
@@ -70,7 +70,7 @@ def future_opponent_bins(pairs: DataFrame, ranks: DataFrame, cuts=(10, 20)) -> D
     b = (F.when(F.col("opp_rank") <= cuts[0], "top")
          .when((F.col("opp_rank") > cuts[0]) & (F.col("opp_rank") <= cuts[1]), "mid")
          .otherwise("bottom"))
-    p = (pairs.join(opp, "opponent", "left").withColumn("bin", b)
+    p = (pairs.join(per_team(opp), "opponent", "left").withColumn("bin", b)
          .groupBy("team").pivot("bin", ["top", "mid", "bottom"]).agg(F.count(F.lit(1))))
     for c in ("top", "mid", "bottom"):
         p = p.withColumn(c + "_rank", ordinal(null_aware_rank(c, ascending=False)))
@@ -82,7 +82,7 @@ def schedule_difficulty(pairs: DataFrame, ranks: DataFrame, bins: DataFrame) ->
     difficulty order (row number, ties by team) and easier/harder label."""
     opp = ranks.select(F.col("team").alias("opponent"), F.col("rank").alias("opp_rank"))
     own = ranks.select("team", "rank")
-    g = (pairs.join(opp, "opponent", "left").groupBy("team")
+    g = (pairs.join(per_team(opp), "opponent", "left").groupBy("team")
          .agg(F.avg("opp_rank").alias("_avg"))
          .join(own, "team", "left")
          .withColumn("differential", F.round(F.col("_avg") - F.col("rank"), 1))
@@ -109,10 +109,10 @@ def upcoming_schedule(schedule: DataFrame, ranks: DataFrame, odds: DataFrame, te
     o = (odds.where(F.col("game_date") == today).groupBy("game_id")
          .agg(F.max(F.struct("team1_moneyline", "team2_moneyline")).alias("o")).select("game_id", "o.*"))
     s = (schedule
-         .join(r.withColumnsRenamed({"team": "visitor", "rank": "r1"}), "visitor", "left")
-         .join(r.withColumnsRenamed({"team": "home", "rank": "r2"}), "home", "left")
-         .join(names.withColumnsRenamed({"team": "visitor", "full_name": "n1"}), "visitor", "left")
-         .join(names.withColumnsRenamed({"team": "home", "full_name": "n2"}), "home", "left")
+         .join(per_team(r.withColumnsRenamed({"team": "visitor", "rank": "r1"})), "visitor", "left")
+         .join(per_team(r.withColumnsRenamed({"team": "home", "rank": "r2"})), "home", "left")
+         .join(per_team(names.withColumnsRenamed({"team": "visitor", "full_name": "n1"})), "visitor", "left")
+         .join(per_team(names.withColumnsRenamed({"team": "home", "full_name": "n2"})), "home", "left")
          .join(o, "game_id", "left"))
 
     def line(c):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from courtside.functions.exprs import number_text, ordinal, percent_text, record_text, safe_ratio
 from courtside.operators.core import (
-    current_run_length, filter_global_extreme, null_aware_rank, running_sum,
+    current_run_length, filter_global_extreme, null_aware_rank, per_team, running_sum,
     share_of_total, with_opponent_totals,
 )
 
@@ -62,7 +62,7 @@ def win_streak(logs: DataFrame) -> DataFrame:
     ordered by (date, game id); 0 when the last game was lost."""
     games = logs.select("team", "game_id", "game_date", "outcome").distinct()
     return current_run_length(games, "team", [F.col("game_date"), F.col("game_id")],
-                              F.col("outcome") == "W", "win_streak")
+                              F.col("outcome") == "W", "win_streak", few_keys=True)
 
 
 def team_record(logs: DataFrame, injuries: DataFrame, teams: DataFrame,
@@ -227,7 +227,7 @@ def schedule_strength_so_far(logs: DataFrame, record: DataFrame) -> DataFrame:
     avg = pairs.groupBy("team").agg(
         F.round(safe_ratio(F.sum(F.col("opp_win_pct") * F.col("n")), met), 3).alias("avg_opp_win_pct"))
     pairs = pairs.join(avg, "team", "left").drop("n")
-    return (games.join(pairs, ["team", "opponent"], "left")
+    return (games.join(per_team(pairs), ["team", "opponent"], "left")
             .select("team", "game_id", "opponent", "outcome", "location",
                     F.round("win_pct", 3).alias("win_pct"),
                     F.round("opp_win_pct", 3).alias("opp_win_pct"), "avg_opp_win_pct"))
@@ -275,7 +275,7 @@ def last_night_team_board(logs: DataFrame, logos: DataFrame | None = None, day=N
         F.max("pts").alias("max_pts"))
     rows = (tg.where(F.col("game_date") == F.lit(day)) if day is not None
             else filter_global_extreme(tg, "game_date"))
-    rows = rows.join(season, "team", "left")
+    rows = rows.join(per_team(season), "team", "left")
     diff = F.col("pts") - F.col("avg_ppg")
     odiff = F.col("opp_pts") - F.col("avg_opp_ppg")
     pts_code = (F.when(F.col("pts") == F.col("max_pts"), 1).when(diff >= 10, 2)

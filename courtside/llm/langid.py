@@ -74,8 +74,8 @@ def _vectors(cols):
     for text in cols["text"]:
         h = grams(text)
         at, n = np.unique(h, return_counts=True)
-        out["at"].append(at.astype(np.int32))
-        out["tf"].append((n / len(h)).astype(np.float32))
+        out["at"].append(at.astype("<i4").tobytes())
+        out["tf"].append((n / len(h)).astype("<f4").tobytes())
     return out
 
 
@@ -161,13 +161,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     fit = F.pmod(F.xxhash64(F.lit("fit"), "doc_id", "text"), F.lit(5)) > 0
     sample = map_batches(rows.where(draw < share).select("text", "lang", fit.alias("fit")), _vectors,
-                         "lang string, fit boolean, at array<int>, tf array<float>")
+                         "lang string, fit boolean, at binary, tf binary")
     number = {k: i for i, k in enumerate(langs)}
     learn, keep = [], []
     # per_lang rows a language; sorted, so that the fit does not hang on the order of tasks
-    for r in sorted(sample.collect(), key=lambda r: (r["lang"], len(r["at"]), r["at"][:64], r["tf"][:64])):
-        at = np.array(r["at"], np.int64)
-        (learn if r["fit"] else keep).append((at, np.array(r["tf"]) * idf[at] * SCALE, number[r["lang"]]))
+    for r in sorted(sample.collect(), key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["tf"]))):
+        at = np.frombuffer(r["at"], "<i4")
+        tf = (np.frombuffer(r["tf"], "<f4") * idf[at] * SCALE).astype(np.float32)
+        (learn if r["fit"] else keep).append((at, tf, number[r["lang"]]))
     w = ftrl(learn or keep, len(langs))
     logits = np.array([x @ w[at] + w[BUCKETS] for at, x, _ in keep]).reshape(-1, len(langs))
     heat = temperature(logits, np.array([y for *_, y in keep], np.int64))

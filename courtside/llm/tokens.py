@@ -13,9 +13,9 @@ are null (byte); the end of each document (long); rules (left, right: unsigned
 32-bit); the length of each rule's expansion (unsigned 32-bit); the sequence.
 
 Encoding a text equals encoding its pieces between ASCII white space (the
-tokenizer drops white space and never joins across it), so each task keeps the
-ids of the words it has met, ``CACHE_WORDS`` at most, and the tokenizer sees
-each word once.
+tokenizer drops white space and never joins across it), so each worker keeps the
+ids of the words it has met, within ``CACHE_WORDS``, and the tokenizer sees the
+same word seldom twice.
 
 Null text is empty: a document of the end id alone. A null id sorts first. Rows
 that repeat an id follow each other by text. Nothing is written for an empty
@@ -24,7 +24,9 @@ table. Positions count all ids of all documents before, end ids included.
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import uuid
 import zlib
 
@@ -43,6 +45,9 @@ CACHE_WORDS = 600_000
 MIN_COUNT = 48        # a pair is frequent if it occurs this often in a shard
 MAGIC = b"RPID0001"
 _HASH = np.uint64(0x9E3779B97F4A7C15)
+_PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+# The tokenizer's pattern, for lower-case words of those characters.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 
 # ---------------------------------------------------------------- grammar
@@ -50,8 +55,8 @@ _HASH = np.uint64(0x9E3779B97F4A7C15)
 def frequent(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions whose pair (with the next symbol) is frequent, and the pairs."""
     pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-    bins = ((pair * _HASH) >> np.uint64(42)).astype(np.int64)
-    at = np.flatnonzero(np.bincount(bins, minlength=1 << 22)[bins] >= least)  # a superset: bins may be shared
+    bins = ((pair * _HASH) >> np.uint64(46)).astype(np.int32)
+    at = np.flatnonzero(np.bincount(bins, minlength=1 << 18).astype(np.int32)[bins] >= least)  # a superset: bins may be shared
     if not len(at):
         return at, pair[:0]
     kinds, inverse, count = np.unique(pair[at], return_inverse=True, return_counts=True)
@@ -151,51 +156,79 @@ def shard_bytes(doc_ids: list, ends: np.ndarray, ids: np.ndarray, least: int = M
 
 # ---------------------------------------------------------------- encoding
 
+class Numbers(dict):
+    """Numbers its keys in the order they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+class Ragged:
+    """A growing list of id sequences in one flat array."""
+
+    def __init__(self):
+        self.flat, self.used, self.n = np.empty(1 << 20, np.uint32), 0, 0
+        self.start, self.size = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
+
+    def extend(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while self.n + len(sizes) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.size))
+        self.flat[self.used:self.used + len(flat)] = flat
+        self.size[self.n:self.n + len(sizes)] = sizes
+        self.start[self.n:self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.used, self.n = self.used + len(flat), self.n + len(sizes)
+
+    def pick(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sequences numbered ``which``, end to end, and their sizes."""
+        size = self.size[which]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.arange(total) + np.repeat(self.start[which] - ends + size, size)], size
+
+
 class Encoder:
-    """Texts to ids through a bounded memory of words."""
+    """Texts to ids through bounded memories of words and of their pieces.
+
+    The tokenizer lower-cases and then cuts a word by its own pattern. For words
+    of ASCII and Latin-1 letters that cut is plain (``_PIECE``), so those are
+    learned piece by piece; any other word is encoded as it stands."""
 
     def __init__(self, tokenizer: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok, self.limit = Tokenizer.from_str(tokenizer), cache_words
-        self.clear()
-
-    def clear(self):
-        self.known: dict[bytes, int] = {}
-        self.flat, self.used = np.empty(1 << 20, np.uint32), 0
-        self.start, self.size = np.empty(1 << 18, np.int64), np.empty(1 << 18, np.int64)
-
-    def learn(self, words: list[bytes]) -> None:
-        found = self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        for w, e in zip(words, found):
-            ids, k = e.ids, len(self.known)
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.uint32)])
-            if k == len(self.start):
-                self.start, self.size = (np.concatenate([x, np.empty(len(x), np.int64)]) for x in (self.start, self.size))
-            self.flat[self.used:self.used + len(ids)] = ids
-            self.start[k], self.size[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[w] = k
+        self.words, self.word_ids, self.pieces, self.piece_ids = Numbers(), Ragged(), Numbers(), Ragged()
+
+    def learn(self) -> None:
+        """Ids of the words that were asked for since."""
+        if len(self.pieces) > self.limit:
+            self.pieces, self.piece_ids = Numbers(), Ragged()
+        new = [w.decode() for w in itertools.islice(self.words, self.word_ids.n, None)]
+        cut = [_PIECE.findall(w.lower()) if _PLAIN.fullmatch(w) and "<|" not in w else [w] for w in new]
+        which = np.array([self.pieces[x] for c in cut for x in c], np.int64)
+        fresh = list(itertools.islice(self.pieces, self.piece_ids.n, None))
+        if fresh:
+            got = [e.ids for e in self.tok.encode_batch_fast(fresh, add_special_tokens=False)]
+            self.piece_ids.extend(np.array(list(itertools.chain.from_iterable(got)), np.uint32), np.array([len(x) for x in got], np.int64))
+        flat, size = self.piece_ids.pick(which)
+        upto = np.append(0, np.cumsum(size))[np.append(0, np.cumsum([len(c) for c in cut]))]
+        self.word_ids.extend(flat, np.diff(upto))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, without an end id."""
+        if len(self.words) > self.limit // 2:
+            self.words, self.word_ids = Numbers(), Ragged()
         cut = [(t or "").encode().split() for t in texts]
-        if len(self.known) > self.limit:
-            self.clear()
-        new = {w for words in cut for w in words if w not in self.known}
-        if new:
-            self.learn(sorted(new))
-        out = []
-        for words in cut:
-            k = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            size = self.size[k]
-            ends = np.cumsum(size)
-            if len(ends) and ends[-1]:
-                out.append(self.flat[np.arange(ends[-1]) + np.repeat(self.start[k] - ends + size, size)])
-            else:
-                out.append(np.empty(0, np.uint32))
-        return out
+        n = np.fromiter(map(len, cut), np.int64, len(cut))
+        k = np.fromiter(map(self.words.__getitem__, itertools.chain.from_iterable(cut)), np.int64, int(n.sum()))
+        if len(self.words) > self.word_ids.n:
+            self.learn()
+        flat, size = self.word_ids.pick(k)
+        ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(n))]
+        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 _ENCODERS: dict[str, Encoder] = {}

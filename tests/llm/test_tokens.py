@@ -61,3 +61,12 @@ def test_files_on_spark(docs_of, odd_rows, words, tok, tmp_path):
     digests = {r.start: (r.doc_id, r.n_tokens, r.ids_crc32) for r in read_digests(shards).collect()}
     assert digests == {s: (i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, s, x in want}
     assert read_ids(write_shards(docs.where("false"), PATH, str(tmp_path / "e"))).count() == 0
+
+
+def test_every_plain_character_beside_every_kind(tok):
+    kinds = ["a", "S", "7", "'", "'s", "é", "ß", "!", "<|"]
+    chars = [chr(c) for c in [*range(33, 127), *range(0xA1, 0x180)]]
+    texts = [f"{a}{c}{b} {c}{c} {b}{c}'ll" for c in chars for a in kinds for b in kinds]
+    coder = Encoder(open(PATH, encoding="utf-8").read())
+    for t, got in zip(texts, coder.encode(texts)):
+        assert got.tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)

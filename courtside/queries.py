@@ -3,6 +3,10 @@
 Every query reads the driver's tables of ``sf_dir`` through the fixture views
 and runs one named pipeline over the whole of them. ``oracle_sql.ORACLE``
 holds the DuckDB twin of each (absent only where SQL cannot express it).
+
+Functions with a leading underscore are intermediates that several queries
+read. They are plans, not stored results: nothing runs before a query's result
+is asked for, and a query that reads one twice shares its exchanges.
 """
 
 from __future__ import annotations
@@ -17,16 +21,6 @@ from courtside.sources.fixtures import Fixture
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-def shared(name: str):
-    """An intermediate that several queries read. It is a plan, not a stored
-    result: a query that uses it twice shares the exchanges, nothing runs before
-    a query's result is asked for, and changed input is always seen."""
-    def deco(build):
-        build.__doc__ = build.__doc__ or f"The shared intermediate {name!r}."
-        return build
-    return deco
-
-
 def query(name: str):
     def deco(fn):
         QUERIES[name] = fn
@@ -40,7 +34,6 @@ def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
 
 # ------------------------------------------------------------------ M1 teams
 
-@shared("record")
 def _record(fx: Fixture) -> DataFrame:
     return T.team_record(fx.v_box_scores, fx.v_injuries, fx.v_teams)
 
@@ -115,23 +108,19 @@ SCORER_MIN_PPG = 29          # per-player averages run 23-32 on the fixtures
 SCORER_EXCLUDE = ((9, 1),)   # one (player, team) pair left out, as the source does
 
 
-@shared("contracts")
 def _contracts(fx: Fixture) -> DataFrame:
     return P.clean_contracts(fx.v_contracts)
 
 
-@shared("enriched")
 def _enriched(fx: Fixture) -> DataFrame:
     return P.enriched_game_log(fx.v_box_scores, _contracts(fx), fx.v_teams)
 
 
-@shared("scorers")
 def _scorers(fx: Fixture) -> DataFrame:
     return P.efficient_scorers(_enriched(fx), _record(fx), min_ppg=SCORER_MIN_PPG,
                                exclude=SCORER_EXCLUDE)
 
 
-@shared("contract_value")
 def _contract_value(fx: Fixture) -> DataFrame:
     return P.contract_value(_enriched(fx), P.player_latest_team(fx.v_box_scores))
 
@@ -220,12 +209,10 @@ def q_metric_adjustment_report(spark, sf_dir):
 
 # ------------------------------------------------------------------ M3 pairing and running
 
-@shared("margins")
 def _margins(fx: Fixture) -> DataFrame:
     return T.margin_of_victory(fx.v_box_scores)
 
 
-@shared("strength")
 def _strength(fx: Fixture) -> DataFrame:
     return T.schedule_strength_so_far(fx.v_box_scores, _record(fx))
 
@@ -318,27 +305,22 @@ def _schedule_text(fx: Fixture) -> DataFrame:
     return fx.v_schedule.withColumn("date_text", F.date_format("game_ts", "EEE, MMM d, yyyy"))
 
 
-@shared("sched")
 def _sched(fx: Fixture) -> DataFrame:
     return S.normalise_schedule(_schedule_text(fx), AS_OF)
 
 
-@shared("ranks")
 def _ranks(fx: Fixture) -> DataFrame:
     return T.team_rank(_record(fx))
 
 
-@shared("bins")
 def _bins(fx: Fixture) -> DataFrame:
     return S.future_opponent_bins(S.schedule_pairs(_sched(fx)), _ranks(fx))
 
 
-@shared("upcoming")
 def _upcoming(fx: Fixture) -> DataFrame:
     return S.upcoming_schedule(_sched(fx), _ranks(fx), fx.v_odds, fx.v_teams, AS_OF)
 
 
-@shared("ratings")
 def _ratings(fx: Fixture) -> DataFrame:
     return S.clean_team_ratings(fx.v_team_ratings, fx.v_teams)
 
@@ -424,12 +406,10 @@ def q_extract_list_items(spark, sf_dir):
 from courtside.plans import plays as PL  # noqa: E402
 
 
-@shared("timeline")
 def _timeline(fx: Fixture) -> DataFrame:
     return PL.play_timeline(fx.v_play_by_play)
 
 
-@shared("runs")
 def _runs(fx: Fixture) -> DataFrame:
     return PL.scoring_runs(_timeline(fx))
 
@@ -485,7 +465,6 @@ STUDIO_PATTERN = "ECONOMY|PROMO"   # album types standing in for live / concert
 ARTIST_TEXT = "blue"
 
 
-@shared("studio")
 def _studio(fx: Fixture) -> DataFrame:
     return C.studio_tracks(fx.v_tracks, STUDIO_PATTERN)
 

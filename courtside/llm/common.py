@@ -7,13 +7,17 @@ a word is a run of ``[^\\x20\\x09-\\x0D]``, which is what ``bytes.split()`` give
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from courtside.session import checkpoint_root
 
@@ -41,11 +45,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow_schema(ddl: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def open_path(path: str) -> tuple[pafs.FileSystem, str]:
+    """A file system and the path in it (file, hdfs, s3 and gs URIs, plain paths)."""
+    return pafs.FileSystem.from_uri(path) if re.match(r"[a-z0-9]+:", path) else (pafs.LocalFileSystem(), path)
+
+
 def map_batches(df: DataFrame, fn, schema: str, **params) -> DataFrame:
     """``mapInArrow`` with ``fn(columns: dict of lists, **params) -> dict of lists``."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-    target = to_arrow_schema(StructType.fromDDL(schema))
+    target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,6 +66,17 @@ def map_batches(df: DataFrame, fn, schema: str, **params) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def map_arrow(df: DataFrame, schema: str, fn) -> DataFrame:
+    """``mapInArrow`` with ``fn(iterator of batches) -> iterator of dicts of columns``."""
+    target = arrow_schema(schema)
+
+    def run(batches):
+        for out in fn(batches):
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c := out[f.name], pa.Array) else pa.array(c, f.type) for f in target], schema=target)
+
+    return df.mapInArrow(run, schema)
+
+
 def text_key(*cols) -> list[Column]:
     """128 bits that stand for the given columns' values (two seeds), never null."""
     return [F.xxhash64(*cols).alias("k1"), F.xxhash64(F.lit("courtside"), *cols).alias("k2")]

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm.common import id_text, map_batches, stored
+from courtside.llm.common import id_text, map_arrow, map_batches, stored
 
 THRESHOLD = 400   # bytes
 SEED = 64         # bytes
@@ -121,19 +121,6 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return d.select("doc_id", F.xxhash64("doc_id", "text").alias("dk"), "text")
 
 
-def _arrow(df: DataFrame, schema: str, fn) -> DataFrame:
-    """``mapInArrow`` with ``fn(iterator of batches) -> iterator of dicts of columns``."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-    target = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches):
-        for out in fn(batches):
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c := out[f.name], pa.Array) else pa.array(c, f.type) for f in target], schema=target)
-
-    return df.mapInArrow(run, schema)
-
-
 def all_runs(keyed: DataFrame, threshold: int, seed: int) -> DataFrame:
     """doc_id, dk, s1, shape (windows * 1024 + seed's offset), digit, bytes_key."""
     def find(batches):
@@ -145,7 +132,7 @@ def all_runs(keyed: DataFrame, threshold: int, seed: int) -> DataFrame:
                 pick = pa.array(which + a)
                 yield {"doc_id": ids.take(pick), "dk": dks.take(pick), "s1": s1, "shape": (s2 - s1 + 1) * 1024 + at - s1,
                        "digit": digit, "bytes_key": key}
-    return _arrow(keyed, "doc_id long, dk long, s1 int, shape int, digit long, bytes_key long", find)
+    return map_arrow(keyed, "doc_id long, dk long, s1 int, shape int, digit long, bytes_key long", find)
 
 
 def _pieces(keyed: DataFrame, wanted: DataFrame, threshold: int) -> DataFrame:
@@ -166,7 +153,7 @@ def _pieces(keyed: DataFrame, wanted: DataFrame, threshold: int) -> DataFrame:
                     out["dk"].append(dk)
                     out["piece"].append(raw[r["s1"]:r["s1"] + r["shape"] // 1024 - 1 + threshold])
             yield out
-    return _arrow(both.select("doc_id", "dk", "text", "r"),
+    return map_arrow(both.select("doc_id", "dk", "text", "r"),
                   "doc_id long, dk long, s1 int, shape int, digit long, alone boolean, hot boolean, piece binary", cut)
 
 
@@ -238,7 +225,7 @@ def _grouped_hits(pieces: DataFrame, threshold: int) -> DataFrame:
                 yield out
 
     dealt = pieces.repartition("digit").sortWithinPartitions("digit").select(*names)
-    return _arrow(dealt, "doc_id long, dk long, a long, b long", run)
+    return map_arrow(dealt, "doc_id long, dk long, a long, b long", run)
 
 
 def _hot_hits(pieces: DataFrame, threshold: int) -> DataFrame:
@@ -251,7 +238,7 @@ def _hot_hits(pieces: DataFrame, threshold: int) -> DataFrame:
                 pick = pa.array(which + a)
                 yield {c: batch.column(c).take(pick) for c in ("doc_id", "dk", "digit", "alone")} | {
                     "a": np.array(batch.column("s1"))[which + a] + start, "w": h.view(np.int64)}
-    rows = _arrow(pieces, "doc_id long, dk long, digit long, alone boolean, a long, w long", explode)
+    rows = map_arrow(pieces, "doc_id long, dk long, digit long, alone boolean, a long, w long", explode)
     twice = rows.groupBy("digit", "w").agg(F.count("a").alias("n")).where("n > 1").select("digit", "w")
     return (rows.where("alone").join(twice, ["digit", "w"], "left_semi")
             .select("doc_id", "dk", "a", (F.col("a") + threshold).alias("b")))

@@ -31,13 +31,10 @@ import uuid
 import zlib
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtside.llm.common import id_text, stored, work_dir
-from courtside.llm.substrings import _arrow
-from courtside.llm.warc import _open
+from courtside.llm.common import id_text, map_arrow, open_path, stored, work_dir
 
 END_ID = 2
 SHARD_IDS = 1 << 20
@@ -249,7 +246,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str | None = None,
             _ENCODERS.clear()
             _ENCODERS[token] = Encoder(vocabulary.value)
         encoder = _ENCODERS[token]
-        fs, folder = _open(path)
+        fs, folder = open_path(path)
         fs.create_dir(folder, recursive=True)
         names, parts, held, seq = [], [], 0, 0
 
@@ -280,7 +277,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str | None = None,
 
     n = max(1, docs.rdd.getNumPartitions())
     dealt = id_text(docs, id_col, text_col).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    listed = _arrow(dealt, "shard string, part int, seq int, n_docs long, n_ids long, bytes long", write)
+    listed = map_arrow(dealt, "shard string, part int, seq int, n_docs long, n_ids long, bytes long", write)
     return stored(listed, "token-shards")
 
 
@@ -300,7 +297,7 @@ def _documents(shards: DataFrame, schema: str, make) -> DataFrame:
     def run(batches):
         for batch in batches:
             for name, base in zip(batch.column("shard").to_pylist(), batch.column("start").to_pylist()):
-                fs, p = _open(name)
+                fs, p = open_path(name)
                 with fs.open_input_stream(p, compression=None) as f:
                     shard = Shard(f.read())
                 ids = shard.decode(0, shard.n_ids)
@@ -311,7 +308,7 @@ def _documents(shards: DataFrame, schema: str, make) -> DataFrame:
                     begin = end
                 yield out
     n = max(1, shards.count())
-    return _arrow(with_starts(shards).select("shard", "start").repartitionByRange(n, "start"), schema, run)
+    return map_arrow(with_starts(shards).select("shard", "start").repartitionByRange(n, "start"), schema, run)
 
 
 def read_ids(shards: DataFrame) -> DataFrame:

@@ -31,17 +31,18 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.llm.common import stored, work_dir
+from courtside.llm.common import arrow_schema, open_path, stored, work_dir
 
 PER_ARCHIVE = 20000      # records
 ARCHIVE_BYTES = 16 << 20  # when an archive has so many, the next is begun
 LEVEL = 4              # of gzip
 CHUNK = 1 << 20        # bytes read at a time
+MAX_HEAD = 1 << 16     # bytes of a record's headers
 VERSION = b"WARC/1.1"
+_LENGTH = re.compile(rb"(?i)\r\ncontent-length:[ \t]*(\d{1,18})")
 _START = re.compile(rb"WARC/1\.[01]\r\n")
 _START_OR_MEMBER = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 RECORD = ("page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, "
@@ -163,19 +164,22 @@ class Window:
         return b"".join(out), pos - len(z.unused_data)
 
     def plain(self, at: int) -> tuple[dict, bytes, int]:
-        """The uncompressed record at ``at``."""
-        while True:
-            try:
-                head, block, end = decode_record(bytes(self.data[at - self.base:]))
-                return head, block, at + end
-            except Damaged as e:
-                short = str(e) in ("headers do not end", "no version line")
-                known = re.match(rb"(?is).*?\r\ncontent-length:\s*(\d+)", self.data[at - self.base:at - self.base + (1 << 16)])
-                wanted = at + int(known[1]) + (1 << 16) if known else at + (1 << 16)
-                if not (short or self.base + len(self.data) < wanted) or not self.more():
-                    raise
-                if short and len(self.data) - (at - self.base) > (1 << 20):
-                    raise
+        """The uncompressed record at ``at``: its headers first, which tell how
+        much more to read."""
+        def held() -> int:
+            return len(self.data) - (at - self.base)
+
+        if not _START.match(self.data, at - self.base):
+            raise Damaged("no version line")
+        while (split := self.data.find(b"\r\n\r\n", at - self.base)) < 0 and held() < MAX_HEAD and self.more():
+            pass
+        head = bytes(self.data[at - self.base:split]) if split >= 0 else b""
+        size = _LENGTH.search(head)
+        wanted = len(head) + 8 + int(size[1]) if size else MAX_HEAD
+        while held() < wanted and self.more():
+            pass
+        headers, block, end = decode_record(bytes(self.data[at - self.base:at - self.base + wanted]))
+        return headers, block, at + end
 
 
 def salvage(stream) -> Iterator[tuple]:
@@ -214,10 +218,6 @@ def salvage(stream) -> Iterator[tuple]:
 
 # ---------------------------------------------------------------- Spark
 
-def _open(path: str):
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-
-
 def with_roles(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes: int) -> DataFrame:
     """page_id, url, html, copy, refers_to of every row."""
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
@@ -238,7 +238,7 @@ def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "pag
     path = path or work_dir(pages.sparkSession, "warc")
 
     def write(batches):
-        fs, folder = _open(path)
+        fs, folder = open_path(path)
         fs.create_dir(folder, recursive=True)
         out, name, records, size = None, None, 0, 0
 
@@ -267,12 +267,10 @@ def write_archives(pages: DataFrame, path: str | None = None, id_col: str = "pag
 
 def _each(archives: DataFrame, schema: str, wanted: str, payload: bool = True):
     """Salvage every archive, one to a task at a time."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-    target = to_arrow_schema(StructType.fromDDL(schema))
+    target = arrow_schema(schema)
 
     def rows(archive):
-        fs, p = _open(archive)
+        fs, p = open_path(archive)
         with fs.open_input_stream(p, compression=None) as stream:
             for kind, at, x, y in salvage(stream):
                 if kind != wanted:

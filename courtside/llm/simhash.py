@@ -109,7 +109,9 @@ def links(fps: DataFrame, distance: int = DISTANCE, bucket_pairs: int = BUCKET_P
     crowd = plain.groupBy("key").agg(F.count("rest").alias("n")).where("n > 1")
     heavy = stored(crowd.select("key", "n", F.expr(_FLIPS)).selectExpr(f"{_FLIPPED} as key", "n")
                    .groupBy("key").agg(F.sum("n").alias("n")).where(f"n * n > {int(bucket_pairs)}").select("key"), "heavy")
-    met = (plain.join(heavy, "key", "left_anti").join(ball, "key")
+    # a size estimate doesn't see that an explode makes 66 rows of one: without
+    # the hint the variants may be taken for a small side and broadcast
+    met = (plain.join(heavy, "key", "left_anti").hint("merge").join(ball.hint("merge"), "key")
            .selectExpr("key", "rest", "packed & 4294967295 as other", "cast(shiftright(packed, 32) as int) as flip")
            .where(f"bit_count(rest ^ other) + if(flip = 0, 0, 1) <= {int(distance)}")
            .selectExpr(f"{_whole('key', 'rest')} as a", f"{_whole(f'({_FLIPPED})', 'other')} as b").where("a < b"))

@@ -2,9 +2,15 @@
 
 The token mass of each (source, language, topic) cell is raked to the three
 target marginals in turn until they all hold. A document's weight is its
-cell's fitted mass over its mass; probabilities are the weights over the
-largest one, so none exceeds 1 and the expected mix meets every target. The
-draw is a hash of (id, text), so it is repeatable and repeated rows share it.
+cell's fitted mass over its mass; its probability is the weight over a scale.
+The scale is the largest weight, so that no probability exceeds 1 and the
+expected mix meets every target, as long as that keeps the share ``KEEP`` of all
+tokens. Otherwise the scale is 1 / ``KEEP``: no cell gives more than it has,
+what it lacks is raked from the other cells, and a value that lacks tokens
+altogether is taken whole (its targets' rest goes to the other values in
+proportion). So no small cell can thin out the others. ``kept_share`` tells the
+share of the tokens that are expected to stay. The draw is a hash of (id, text),
+so it is repeatable and repeated rows share it.
 
 Targets: a table {value: share} per dimension (values it leaves out get
 nothing), or by default the corpus's own shares to the power ``ALPHA``, which
@@ -19,12 +25,14 @@ fitted: one row for each combination that occurs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm.common import join_on, stored
+from courtside.llm.common import join_on, map_arrow, stored
 
 ALPHA = 0.8
+KEEP = 0.4  # of all tokens, at least
 SEED = "mix-1"
 DIMENSIONS = ("source", "lang", "topic")
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,60 +61,98 @@ def _named(docs: DataFrame, id_col, text_col, source_col, lang_col, topic_of) ->
         "__topic": topic_of(text), "__draw": draw, "__text": text})
 
 
-def fit(cells: DataFrame, targets: dict[str, dict] | None = None, alpha: float = ALPHA, passes: int = 4,
-        blocks: int = 15, tolerance: float = 1e-7) -> DataFrame:
-    """``cells`` (source, lang, topic, mass) with ``fitted``, scaled to sum to
-    1. Each block is ``passes`` rakes over all dimensions, then written."""
-    spark = cells.sparkSession
-    total = F.sum("mass").over(Window.partitionBy())  # cells, not documents
-    cells = cells.where("mass > 0").withColumn("fitted", F.col("mass") / total)
-    for d in DIMENSIONS:
-        own = cells.groupBy(d).agg(F.sum("fitted").alias("own"))
-        if targets and d in targets:
-            want = spark.createDataFrame([(k, float(v)) for k, v in targets[d].items()], "value string, share double")
-            cond = own[d].eqNullSafe(want["value"])
-            own = own.join(want, cond, "left").select(d, F.coalesce("share", F.lit(0.0)).alias("share"))
-        else:
-            own = own.select(d, F.pow("own", F.lit(float(alpha))).alias("share"))
-        sums = own.agg(F.sum("share")).first()[0] or 1.0
-        own = own.select(F.col(d).alias("__v"), (F.col("share") / sums).alias(f"want_{d}"))
-        cells = join_on(cells, own, [(d, "__v")], "inner").drop("__v")
-    cells = stored(cells, "mix-cells")
-    for _ in range(blocks):
-        for _ in range(passes):
-            for d in DIMENSIONS:
-                have = F.sum("fitted").over(Window.partitionBy(d))
-                cells = cells.withColumn("fitted", F.coalesce(F.try_divide(F.col("fitted") * F.col(f"want_{d}"), have), F.lit(0.0)))
-        cells = stored(cells, "mix-cells")
-        off = F.abs(F.sum("fitted") - F.first("want"))
-        gaps = None
-        for d in DIMENSIONS:
-            g = cells.select(F.lit(d).alias("d"), F.col(d).alias("v"), "fitted", F.col(f"want_{d}").alias("want"))
-            gaps = g if gaps is None else gaps.union(g)
-        if (gaps.groupBy("d", "v").agg(off.alias("gap")).agg(F.max("gap")).first()[0] or 0) < tolerance:
+def _raked(x: np.ndarray, cap: np.ndarray, at: list[np.ndarray], want: list[np.ndarray], passes: int, tolerance: float) -> np.ndarray:
+    """``x`` scaled by value of each dimension in turn until the marginals are
+    ``want``. What counts of a cell is its ``x`` up to its ``cap``."""
+    def have(d):
+        return np.bincount(at[d], np.minimum(x, cap), len(want[d]))
+
+    for _ in range(passes):
+        for d in range(len(at)):
+            own = have(d)
+            factor = np.divide(want[d], own, out=np.zeros_like(own), where=own > 0)
+            x = np.minimum(x * factor[at[d]], cap * 1e9)  # far over its cap a cell counts no more than the cap
+        if max(np.abs(have(d) - want[d]).max() for d in range(len(at))) < tolerance:
+            return np.minimum(x, cap)
+    # targets that no mix meets: the whole mass that they ask for is kept all the same
+    for _ in range(passes):
+        own = np.minimum(x, cap).sum()
+        if not 0 < own < min(w.sum() for w in want) - tolerance:
             break
-    return cells.select(*DIMENSIONS, "mass", "fitted")
+        x = np.minimum(x * min(w.sum() for w in want) / own, cap * 1e9)
+    return np.minimum(x, cap)
+
+
+def _filled(want: np.ndarray, cap: np.ndarray) -> np.ndarray:
+    """Targets with none over its cap: the rest goes to the others in proportion."""
+    full = np.zeros(len(want), bool)
+    while True:
+        free = want[~full].sum()
+        share = np.where(full, cap, want * (max(0.0, 1 - cap[full].sum()) / free if free > 0 else 0.0))
+        if not (over := ~full & (share > cap)).any():
+            return share
+        full |= over
+
+
+def _fitted(source, lang, topic, mass, targets, alpha, passes, tolerance, keep) -> tuple[np.ndarray, float]:
+    """The cells' fitted masses and the scale."""
+    share = np.array(mass, float) / float(sum(mass))
+    at, want = [], []
+    for d, values in zip(DIMENSIONS, (source, lang, topic)):
+        number = {v: i for i, v in enumerate(dict.fromkeys(values))}
+        at.append(np.array([number[v] for v in values]))
+        own = np.bincount(at[-1], share, len(number))
+        to = np.array([float(targets[d].get(v, 0.0)) for v in number]) if targets and d in targets else own ** alpha
+        want.append(to / (to.sum() or 1.0))
+    fitted = _raked(share, np.full(len(share), np.inf), at, want, passes, tolerance)
+    scale = float((fitted / share).max()) or 1.0
+    if scale * keep > 1:
+        cap = share / keep
+        want = [_filled(w, np.bincount(a, cap, len(w))) for a, w in zip(at, want)]
+        scale, fitted = 1 / keep, _raked(fitted, cap, at, want, passes, tolerance)
+    return fitted, scale
+
+
+def fit(cells: DataFrame, targets: dict[str, dict] | None = None, alpha: float = ALPHA, passes: int = 2000,
+        tolerance: float = 1e-9, keep: float = KEEP) -> DataFrame:
+    """``cells`` (source, lang, topic, mass) with ``fitted``, scaled to sum to
+    1, and ``scale``, the weight that stands for probability 1. One task rakes
+    all cells, in the order of their values."""
+    def run(batches):
+        rows = [r for b in batches for r in zip(*b.to_pydict().values())]
+        if rows:
+            rows.sort(key=lambda r: [(v is not None, v or "") for v in r[:3]])
+            source, lang, topics, mass = zip(*rows)
+            fitted, scale = _fitted(source, lang, topics, mass, targets, alpha, passes, tolerance, keep)
+            yield {"source": source, "lang": lang, "topic": topics, "mass": mass, "fitted": fitted, "scale": [scale] * len(mass)}
+
+    slim = cells.where("mass > 0").select(*DIMENSIONS, "mass").coalesce(1)  # cells, not documents
+    return stored(map_arrow(slim, "source string, lang string, topic string, mass long, fitted double, scale double", run), "mix-cells")
 
 
 def rates(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", lang_col="lang", topic_of=topic,
-          targets=None, alpha=ALPHA) -> DataFrame:
+          targets=None, alpha=ALPHA, keep=KEEP) -> DataFrame:
     """Cells with weight (fitted share over own share) and probability."""
     named = _named(docs, id_col, text_col, source_col, lang_col, topic_of)
     cells = stored(named.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")
                                  ).agg(F.sum(tokens(F.col("__text"))).alias("mass")), "mix-masses")
-    fitted = fit(cells, targets, alpha)
+    fitted = fit(cells, targets, alpha, keep=keep)
     total = fitted.agg(F.sum("mass")).first()[0] or 1
     weighed = fitted.withColumn("weight", F.col("fitted") / F.col("mass") * F.lit(float(total)))
-    largest = weighed.agg(F.max("weight")).first()[0] or 1.0
-    return stored(weighed.withColumn("probability", F.col("weight") / F.lit(float(largest))), "mix-rates")
+    return stored(weighed.withColumn("probability", F.least(F.col("weight") / F.col("scale"), F.lit(1.0))).drop("scale"), "mix-rates")
+
+
+def kept_share(cells: DataFrame) -> float:
+    """The share of all tokens that are expected to stay under ``rates``."""
+    return cells.agg(F.try_divide(F.sum(F.col("probability") * F.col("mass")), F.sum("mass"))).first()[0] or 0.0
 
 
 def with_rates(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", lang_col="lang", topic_of=topic,
-               targets=None, alpha=ALPHA) -> DataFrame:
+               targets=None, alpha=ALPHA, keep=KEEP) -> DataFrame:
     """Every row with __source, __lang, __topic, __text, __weight,
     __probability and __sampled beside its own columns."""
     args = (id_col, text_col, source_col, lang_col, topic_of)
-    r = rates(docs, *args, targets, alpha).select(
+    r = rates(docs, *args, targets, alpha, keep).select(
         F.col("source").alias("__s"), F.col("lang").alias("__l"), F.col("topic").alias("__t"),
         F.col("weight").alias("__w"), F.col("probability").alias("__p"))
     out = join_on(_named(docs, *args), r, [("__source", "__s"), ("__lang", "__l"), ("__topic", "__t")], "left")

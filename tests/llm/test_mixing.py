@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from courtside.llm.mixing import sample, topic, with_rates
+from courtside.llm.mixing import KEEP, kept_share, rates, sample, topic, with_rates
 
 
 def brute(mass, wants, rounds=4000):
@@ -61,3 +61,24 @@ def test_odd_rows_and_empty(docs_of, odd_rows, spark):
     assert sample(docs.where("false")).count() == 0
     kinds = spark.sql("select cast(null as string) t union all select 'a | b' union all select 'plain'")
     assert [r[0] for r in kinds.select(topic(F.col("t"))).collect()] == ["none", "table", "prose"]
+
+
+def test_a_tiny_cell_does_not_thin_out_the_corpus(docs_of):
+    rows = [(i, "w " * 20, ["en", "fr"][i % 3 == 0], f"s{i % 4}") for i in range(3000)] + [(9000, "w " * 20, None, "s1")]
+    found = rates(docs_of(rows))
+    cells = found.collect()
+    assert kept_share(found) == pytest.approx(KEEP, rel=1e-4)
+    tiny = [r for r in cells if r.lang is None]
+    assert [r.probability for r in tiny] == [pytest.approx(1)] and all(0 < r.probability <= 1 for r in cells)
+    # the others still meet their targets, in proportion
+    total = sum(r.mass for r in cells)
+    kept = {v: sum(r.mass * r.probability for r in cells if r.lang == v) / total for v in ("en", "fr")}
+    own = {v: sum(r.mass for r in cells if r.lang == v) / total for v in kept}
+    assert kept["en"] / kept["fr"] == pytest.approx((own["en"] / own["fr"]) ** 0.8, rel=1e-3)
+
+
+def test_targets_that_no_mix_meets_keep_the_budget(docs_of):
+    rows = [(i, "w w w", "en", "big") for i in range(900)] + [(2000 + i, "w w w", "fr", "small") for i in range(10)]
+    found = rates(docs_of(rows), targets={"source": {"small": 1, "big": 1}, "lang": {"en": 9, "fr": 1}})
+    assert kept_share(found) == pytest.approx(KEEP, rel=1e-3)
+    assert all(r.probability <= 1 for r in found.collect())

@@ -12,7 +12,10 @@ edit distance (words inserted, dropped or replaced). Three steps:
    distance. Each walk samples a few coordinates as an LSH key; windows that
    share a key with the item are candidates. ``WALKS`` times ``DRAWS`` keys are
    drawn, and all offsets within the edit bound are tried, for a recall of
-   ``RECALL`` or more (measured in the tests at the full edit bound).
+   ``RECALL`` or more (measured in the tests at the full edit bound). As walks
+   drift apart over many edits, an item of more than ``SEGMENT`` words is cut
+   into equal segments: the edits fall on them, so one at least is within the
+   edit bound of its own length, and one that collides is enough.
 3. Exact edit distance of the item against the best stretch of the band that a
    candidate lies in.
 
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import uuid
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -39,6 +43,7 @@ MIN_WORDS = 5
 WALKS = 24
 DRAWS = 8
 SAMPLED = 4
+SEGMENT = 50  # words
 RECALL = 0.98
 BLOCK_BYTES = 4 << 20
 _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -111,6 +116,17 @@ def collide(windows: np.ndarray, item: np.ndarray) -> bool:
     return False
 
 
+def segments(ids: np.ndarray, item: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each segment of the item, with the windows of its size that start on
+    the diagonals ``low`` to ``high``."""
+    cuts = np.linspace(0, len(item), -(-len(item) // SEGMENT) + 1).astype(int)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        starts = np.arange(max(0, low + a), min(len(ids) - 1, high + a) + 1)
+        if len(starts):
+            padded = np.concatenate([ids[starts[0]:starts[-1] + b - a], np.zeros(b - a, np.uint64)])
+            yield padded[(starts - starts[0])[:, None] + np.arange(b - a)], item[a:b]
+
+
 def best_stretch(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     """(distance, start, end) of the stretch of ``region`` nearest to ``item``;
     the earliest end, then the latest start, among equals."""
@@ -200,11 +216,7 @@ class Items:
             best = None
             for low, high in bands:
                 starts = np.arange(max(0, low - edits), min(len(ids) - 1, high + edits) + 1)
-                if not len(starts):
-                    continue
-                padded = np.concatenate([ids[starts[0]:starts[-1] + n], np.zeros(n, np.uint64)])
-                win = padded[(starts - starts[0])[:, None] + np.arange(n)]
-                if not collide(win, item):
+                if not len(starts) or not any(collide(w, part) for w, part in segments(ids, item, low - edits, high + edits)):
                     continue
                 a, b = int(starts[0]), min(len(ids), int(starts[-1]) + n + edits)
                 dist, s, e = best_stretch(item, ids[a:b])

@@ -42,6 +42,17 @@ def test_recall_at_the_full_edit_bound(words):
     assert found >= RECALL * planted
 
 
+@pytest.mark.parametrize("n, times", [(200, 40), (400, 20), (1000, 6)])
+def test_recall_of_long_items_at_the_full_edit_bound(words, n, times):
+    rng = random.Random(n)
+    found = 0
+    for _ in range(times):
+        item = rng.choices(words, k=n)
+        doc = rng.choices(words, k=rng.randrange(80)) + edited(rng, item, n // 5) + rng.choices(words, k=40)
+        found += bool(Items([(1, " ".join(item))], 0.8).leaks(" ".join(doc)))
+    assert found >= RECALL * times
+
+
 def test_verdicts_are_exact_on_a_small_vocabulary():
     rng = random.Random(6)
     missed = 0

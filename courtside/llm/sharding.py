@@ -2,9 +2,12 @@
 
 Documents with equal texts are linked. Each starts in a shard by hash; in each
 round a cell (the copies of one text that started in one shard) asks for the
-shard that holds most of its neighbours and still has room. Requests are
-admitted by gain, largest first, up to the shard's room, so no round overfills
-a shard; a text with more copies than a shard holds fills several. At the end
+shard that holds most of its neighbours and has room or sends as much back;
+among equal shards a hash of text and round decides. Requests from a shard to
+another are admitted by gain, largest first, up to what the other asks to send
+back and its room, so full shards swap rows. Rounds go on until ``PATIENCE`` of
+them in turn lower no cut (``ROUNDS`` at most); a text with more copies than a
+shard holds fills several. At the end
 documents without links fill each shard up to its exact quota: row counts
 differ by one at most (the law ``rows``).
 
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 from courtside.llm.common import stored
 
 SHARDS = 8
-ROUNDS = 6
+ROUNDS = 60
+PATIENCE = 2
 BUCKETS = 4096       # rank buckets a shard
 QUOTA_BUCKETS = 256  # admission buckets for each level of gain
 
@@ -35,39 +39,70 @@ def _lookup(values: dict[int, int], key: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key)
 
 
-def _loads(cells: DataFrame, shards: int) -> dict[int, int]:
-    found = dict(cells.groupBy("shard").agg(F.sum("n")).collect())  # a row per shard
-    return {t: found.get(t, 0) for t in range(shards)}
+def _allowed(asked: dict[tuple[int, int], int], room: dict[int, int]) -> dict[tuple[int, int], int]:
+    """How much of what is asked for (from, to) may move: as much as goes the
+    other way, and what room is left; less into a shard that holds too much."""
+    flow = {(s, t): min(n, asked.get((t, s), 0)) for (s, t), n in asked.items()}
+    for t, left in room.items():
+        into = [p for p in asked if p[1] == t]
+        for p in sorted(into, key=lambda p: (flow[p] - asked[p], p) if left > 0 else (-flow[p], p)):
+            more = max(-flow[p], min(asked[p] - flow[p], left))
+            flow[p], left = flow[p] + more, left - more
+            if left == 0:
+                break
+    return {p: n for p, n in flow.items() if n > 0}
 
 
 def propagate(cells: DataFrame, total: int, shards: int, rounds: int) -> DataFrame:
     """``cells`` (k1, k2, home, shard, n) after label propagation under quotas."""
+    pair = F.col("shard") * shards + F.col("to")
+    fewest, idle = None, 0
     for r in range(rounds):
-        load = _loads(cells, shards)
-        room = {t: max(0, total // shards - load[t]) for t in range(shards)}
         mass = cells.groupBy("k1", "k2", F.col("shard").alias("to")).agg(F.sum("n").alias("mass"))
+        held = {x["to"]: x for x in mass.groupBy("to").agg(F.sum("mass").alias("load"), F.count("mass").alias("groups")).collect()}
+        groups = sum(x["groups"] for x in held.values())  # texts by shard: each beyond a text's first is a cut
+        idle = 0 if fewest is None or groups < fewest else idle + 1
+        fewest = groups if fewest is None else min(groups, fewest)
+        if idle > PATIENCE:
+            break
+        room = {t: total // shards - (held[t]["load"] if t in held else 0) for t in range(shards)}
         own = mass.select("k1", "k2", F.col("to").alias("shard"), F.col("mass").alias("own"))
-        best = (cells.join(own, ["k1", "k2", "shard"]).join(mass, ["k1", "k2"])
-                .where((F.col("to") != F.col("shard")) & (F.col("n") <= _lookup(room, F.col("to")))
-                       & ((F.col("mass") > F.col("own")) | ((F.col("mass") == F.col("own")) & (F.col("to") < F.col("shard")))))
-                .groupBy("k1", "k2", "home")
-                .agg(F.max(F.struct("mass", -F.col("to"), "n", "own")).alias("b"))
-                .select("k1", "k2", "home", (-F.col("b.col2")).alias("to"), F.col("b.n").alias("n"),
-                        (F.col("b.mass") - F.col("b.own")).alias("gain"))
-                .withColumn("level", -F.floor(F.log2(F.col("gain") + 1)))
-                .withColumn("bucket", F.pmod(F.xxhash64("k1", "k2", "home", F.lit(r)), F.lit(QUOTA_BUCKETS))))
-        queue = Window.partitionBy("to").orderBy("level", "bucket")
-        admitted = (best.groupBy("to", "level", "bucket").agg(F.sum("n").alias("asked"))
+        rank = F.xxhash64("k1", F.lit(r), F.col("to"))
+        options = stored(
+            cells.join(own, ["k1", "k2", "shard"]).join(mass, ["k1", "k2"]).withColumn("rank", rank)
+            .where((F.col("to") != F.col("shard")) & ((F.col("mass") > F.col("own")) | (
+                (F.col("mass") == F.col("own")) & (F.col("rank") > F.xxhash64("k1", F.lit(r), F.col("shard"))))))
+            .select("k1", "k2", "home", "shard", "to", "n", "mass", "own", "rank"), "shard-options")
+
+        def best(of):
+            return (of.groupBy("k1", "k2", "home", "shard")
+                    .agg(F.max(F.struct("mass", "rank", "to", "n", "own")).alias("b"))
+                    .select("k1", "k2", "home", "shard", "b.to", "b.n", (F.col("b.mass") - F.col("b.own")).alias("gain")))
+
+        def asked(of):  # a row per pair of shards
+            return {(x["shard"], x["to"]): x["asked"] for x in of.groupBy("shard", "to").agg(F.sum("n").alias("asked")).collect()}
+
+        wanted = asked(best(options))
+        if not wanted:
+            break
+        fits = {s * shards + t: max(0, room[t]) + wanted.get((t, s), 0) for s in range(shards) for t in range(shards)}
+        chosen = stored(best(options.where(F.col("n") <= _lookup(fits, pair))), "shard-requests")
+        flow = _allowed(asked(chosen), room)
+        if not flow:
+            idle += 1  # none fits under this round's order of equal shards
+            continue
+        allowed = F.coalesce(_lookup({s * shards + t: n for (s, t), n in flow.items()}, pair), F.lit(0))
+        chosen = (chosen.where(F.col("n") <= allowed)
+                  .withColumn("level", -F.floor(F.log2(F.col("gain") + 1)))
+                  .withColumn("bucket", F.pmod(F.xxhash64("k1", "k2", "home", F.lit(r)), F.lit(QUOTA_BUCKETS))))
+        queue = Window.partitionBy("shard", "to").orderBy("level", "bucket")
+        admitted = (chosen.groupBy("shard", "to", "level", "bucket").agg(F.sum("n").alias("asked"))
                     .withColumn("upto", F.sum("asked").over(queue))
-                    .where(F.col("upto") <= _lookup(room, F.col("to"))).select("to", "level", "bucket"))
-        moves = (best.join(F.broadcast(admitted), ["to", "level", "bucket"], "left_semi")  # shards x levels x buckets rows
+                    .where(F.col("upto") <= allowed).select("shard", "to", "level", "bucket"))
+        moves = (chosen.join(F.broadcast(admitted), ["shard", "to", "level", "bucket"], "left_semi")  # pairs of shards x levels x buckets rows
                  .select("k1", "k2", "home", "to"))
         cells = stored(cells.join(moves, ["k1", "k2", "home"], "left")
-                       .select("k1", "k2", "home", F.coalesce("to", "shard").alias("shard"), "n",
-                               F.col("to").isNotNull().alias("moved")), "cells")
-        if not cells.where("moved").limit(1).count():
-            break
-        cells = cells.drop("moved")
+                       .select("k1", "k2", "home", F.coalesce("to", "shard").alias("shard"), "n"), "cells")
     return cells.select("k1", "k2", "home", "shard")
 
 

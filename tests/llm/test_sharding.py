@@ -61,3 +61,11 @@ def test_carried_columns_keep_their_rows(docs_of):
     rows = [(i, f"t{i % 7}", "en", f"src{i}") for i in range(50)]
     found = shard_documents(docs_of(rows), carry=("source", "text")).collect()
     assert sorted((r.doc_id, r.text, "en", r.source) for r in found) == sorted(rows)
+
+
+@pytest.mark.parametrize("copies", [2, 20])
+def test_full_shards_swap_when_all_rows_are_linked(docs_of, copies):
+    rows = [(i, f"text {i // copies}") for i in range(4000)]
+    found = shard_documents(docs_of(rows)).collect()
+    check(found, rows, 8)
+    assert cuts(found) < 0.03 * len(rows)

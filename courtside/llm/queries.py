@@ -5,8 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from courtside.llm import decontaminate, langid, linededup, mixing, quality, sharding, simhash, substrings, tokens, warc
-from courtside.llm.common import documents
+from courtside.llm import (
+    alignment, chat, decontaminate, langid, linededup, mixing, quality, search, sharding, simhash, substrings, tokens, warc,
+)
+from courtside.llm.common import documents, stored
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -87,3 +89,58 @@ def op10_quality_rules(spark, sf_dir):
     q = quality.quality(documents(spark, sf_dir))
     return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                     "base_failed", "kept", F.col("posterior"), F.col("pattern").alias("votes"))
+
+
+@query
+def op11_ranked_search(spark, sf_dir):
+    index = search.build_index(documents(spark, sf_dir))
+    return search.search(index, documents(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op11_ranked_search"] = r"""
+WITH low AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+docs AS (SELECT row_number() OVER () AS row, doc_id, terms, CAST(len(terms) AS bigint) AS n FROM low WHERE len(terms) > 0),
+total AS (SELECT count(*) AS n_docs, CAST(sum(n) AS bigint) AS n_terms FROM docs),
+tf AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM docs) GROUP BY row, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, row, doc_id,
+         CAST(sum(CAST(floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1))) AS bigint)
+             * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS bigint) AS score
+  FROM asked JOIN df USING (term) JOIN tf USING (term) JOIN docs USING (row), total GROUP BY item_id, row, doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS int) AS rank, doc_id, score
+           FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 50"""
+
+
+@query
+def op12_chat_formatting(spark, sf_dir):
+    convs = documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(stored(chat.format_conversations(convs.unionByName(chat.probe(spark))), "chats"))
+
+
+ORACLE["op12_chat_formatting"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+marked AS (SELECT *, coalesce(role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text), false) AS same FROM turns),
+sized AS (SELECT *, length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) AS chars,
+                 length(replace(replace(replace(role, '~', '~0'), chr(10), '~1'), '|', '~2')) AS role_chars FROM marked)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS bigint) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars + CASE WHEN same THEN 10 ELSE 12 + role_chars + 1 + 11 END) AS bigint) AS formatted_chars,
+       count_if(NOT same) AS n_messages
+FROM sized GROUP BY conv_id"""
+
+
+@query
+def op13_tokenizer_alignment(spark, sf_dir):
+    import public_tokenizers
+    return alignment.align_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
+                                     public_tokenizers.path("piece_bpe_32k.model"))

@@ -19,16 +19,19 @@ COLUMNS = {
     "op8_mixing": ["doc_id", "source", "lang", "topic", "weight", "probability", "sampled"],
     "op9_warc": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
     "op10_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
+    "op11_ranked_search": ["item_id", "rank", "doc_id", "score"],
+    "op12_chat_formatting": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
+    "op13_tokenizer_alignment": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
 }
 
 
-def test_all_ten_are_registered():
+def test_all_are_registered():
     assert set(QUERIES) == set(COLUMNS)
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))
 def test_query(spark, name):
-    if name == "op2_token_ids":
+    if name in ("op2_token_ids", "op13_tokenizer_alignment"):
         pytest.importorskip("public_tokenizers")
     table = "pages" if name == "op9_warc" else "documents"
     total = spark.read.parquet(f"{SF_SMALL}/{table}.parquet").count()

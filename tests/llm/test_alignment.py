@@ -113,3 +113,26 @@ def test_long_text(spark):
     long = " ".join(f"word{i % 97} Tail" for i in range(40000))
     r = alignment.align_documents(spark.createDataFrame([(1, long), (2, long[:40])], SCHEMA), A, B).orderBy("doc_id").collect()
     assert r[0].n_links == r[0].n_a + r[0].n_b - r[0].n_groups and r[0].n_a > 80000
+
+
+def test_fast_encoding_is_the_tokenizer_s(texts):
+    """Every Latin character in front of, behind and between letters, digits,
+    spaces and marks; long runs; a file that cuts otherwise."""
+    import random
+
+    import tokenizers
+    whole = tokenizers.Tokenizer.from_file(A)
+    whole.encode_special_tokens = True
+    rng = random.Random(5)
+    odd = [f"a{chr(i)}b 1{chr(i)}2 {chr(i)}{chr(i)} '{chr(i)} s{chr(i)}'s" for i in range(0x250)]
+    alphabet = [" ", "  ", "\n", "\t", "\u00a0", "\u0085", "'s", "'", "'ll", "é", "ß", "ǅ", "½", "²", "ª", "_", "-", "a", "B", "7", "日", "ſ"]
+    odd += ["".join(rng.choices(alphabet, k=rng.randint(1, 30))) for _ in range(4000)]
+    odd += [" " * 100000 + "x", "x" * 100000, "\n" * 100000, "ab" * 30000 + " " * 999 + "c"]
+    with open(A) as f:
+        spec = f.read()
+    fast = alignment.ByteLevel(spec)
+    assert fast.standard
+    for t in (odd, texts, []):
+        assert fast.encode(t) == [e.ids for e in whole.encode_batch(t, add_special_tokens=False)]
+    other = alignment.ByteLevel(spec.replace('"use_regex": true', '"use_regex": false').replace('"use_regex":true', '"use_regex":false'))
+    assert not other.standard and other.encode(texts[:5]) == [e.ids for e in other.tok.encode_batch(texts[:5], add_special_tokens=False)]

@@ -4,7 +4,8 @@ Each is ``DataFrame -> DataFrame`` with column names as parameters. The rule
 they follow: anything whose group can grow with the data is done with an
 aggregate (partial/map-side combine, skew-safe) plus a join back, not a window
 that would pull a whole group into one task. Ordered operators cut the order
-into stretches (a day, a minute) and run their windows within a stretch.
+into stretches (a day, a minute, a range partition) and run their windows within
+a stretch.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtside.functions.exprs import col
+from courtside.sources.results import written
+
+SALTS = 32  # parts of a group whose candidates are found apart
+_ROW = (1 << 33) - 1  # monotonically_increasing_id: the row below, the partition above
 
 
 def _list(x) -> list:
@@ -24,11 +29,12 @@ def _list(x) -> list:
     return [x] if isinstance(x, (str, Column)) else list(x)
 
 
-def per_team(df: DataFrame) -> DataFrame:
-    """A frame of one row per team, or per pair of teams, as the side of a join
-    that is sent to every task: its bound is the league's size, not the data's,
-    and the rows it meets need not be shuffled on a handful of team keys."""
-    return F.broadcast(df)
+def measured(df: DataFrame, name: str = "side") -> DataFrame:
+    """A computed side of a join, written first, so that its size is known when
+    the join is planned (O13): Spark sends it to every task if its files are
+    below ``spark.sql.autoBroadcastJoinThreshold``, and else shuffles both sides
+    and splits the partitions of hot keys. Nothing is broadcast on a promise."""
+    return written(df, name)
 
 
 # ---------------------------------------------------------------- filters
@@ -127,42 +133,56 @@ def null_aware_rank(c, partition=(), ascending: bool = False, kind: str = "rank"
 def top_n_with_ties(df: DataFrame, n: int, c: str, partition=None) -> DataFrame:
     """Rows whose competition rank by ``c`` descending is <= n (O36, top_n).
 
-    Global case: a row is kept iff its value is >= the n-th largest value, and
-    the n-th largest comes from ``orderBy(...).limit(n)`` (per-partition top-n,
-    then a merge), so nothing is sorted in a single task.
+    A row is kept iff its value is >= the n-th largest value. Globally that comes
+    from ``orderBy(...).limit(n)`` (per-partition top-n, then a merge); per group
+    from ``_group_cuts``. The rows themselves are never sorted.
     """
     if partition:
-        w = Window.partitionBy(*_list(partition)).orderBy(F.col(c).desc())
-        return df.withColumn("__r", F.rank().over(w)).where(F.col("__r") <= n).drop("__r")
+        keys = _list(partition)
+        cut = _group_cuts(df, n, c, keys)
+        same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(cut["__" + k]) for k in keys])
+        return df.join(cut, same).where(F.col(c) >= F.col("__cut")).drop("__cut", *["__" + k for k in keys])
     cut = df.where(F.col(c).isNotNull()).orderBy(F.col(c).desc()).limit(n).agg(F.min(c)).scalar()
     return df.where(F.col(c) >= cut)
 
 
-def band_percent_rank(df: DataFrame, band: str, value: str, name: str) -> DataFrame:
-    """``percent_rank(value)`` within ``band`` computed on distinct values.
+def _group_cuts(df: DataFrame, n: int, c: str, keys: list) -> DataFrame:
+    """(__key..., __cut): each group's n-th largest value (its least, if it has
+    fewer). Equal values are counted first; a group's values are dealt over
+    ``SALTS`` parts, each of which hands in its n largest, so a hot group is no
+    single task's and the last step sees n * SALTS rows of it at most, however
+    many rows tie."""
+    counts = (df.where(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count(F.lit(1)).alias("__n"))
+              .withColumn("__salt", F.pmod(F.xxhash64(c), F.lit(SALTS))))
+    down = F.col(c).desc()
+    few = (counts.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__salt").orderBy(down)))
+           .where(F.col("__r") <= n))
+    above = F.sum("__n").over(Window.partitionBy(*keys).orderBy(down).rowsBetween(Window.unboundedPreceding, -1))
+    kept = few.withColumn("__above", F.coalesce(above, F.lit(0))).where(F.col("__above") < n)
+    return kept.groupBy(*[F.col(k).alias("__" + k) for k in keys]).agg(F.min(c).alias("__cut"))
 
-    percent_rank = (rows in band with a smaller value) / (non-null rows in band - 1).
-    Counting per (band, value) first means the window sorts distinct values,
-    not rows, so a band holding most rows is no longer one huge sort. Null
-    values get null, as in R.
-    """
-    counts = (df.where(F.col(value).isNotNull())
-              .groupBy(band, value).agg(F.count(F.lit(1)).alias("__n")))
-    w_before = (Window.partitionBy(band).orderBy(value)
-                .rowsBetween(Window.unboundedPreceding, -1))
-    ranked = (counts
-              .withColumn("__below", F.coalesce(F.sum("__n").over(w_before), F.lit(0)))
-              .withColumn("__tot", F.sum("__n").over(Window.partitionBy(band)))
-              .withColumn(name, F.when(F.col("__tot") > 1,
-                                       F.col("__below") / (F.col("__tot") - 1)).otherwise(F.lit(0.0)))
-              .select(band, value, name))
+
+def band_percent_rank(df: DataFrame, band: str, value: str, name: str) -> DataFrame:
+    """``percent_rank(value)`` within ``band`` (O35):
+    (rows in band with a smaller value) / (non-null rows in band - 1).
+
+    Rows are counted per (band, value), and the counts are summed up in order
+    over range partitions of (band, value): a band's values are dealt over as
+    many tasks as their number asks for, whether they are rounded or all
+    different. Null values get null, as in R."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(band, value).agg(F.count(F.lit(1)).alias("__n"))
+    upto = ranged_running_sum(counts, [band], [F.col(value)], {"__upto": F.col("__n")})
+    totals = upto.groupBy(F.col(band).alias("__band")).agg(F.max("__upto").alias("__tot"))
+    below = F.col("__upto") - F.col("__n")
+    share = F.when(F.col("__tot") > 1, below / (F.col("__tot") - 1)).otherwise(F.lit(0.0))
+    ranked = upto.join(totals, F.col(band) == F.col("__band")).select(band, value, share.alias(name))
     return df.join(ranked, [band, value], "left")
 
 
 # ---------------------------------------------------------------- ordered
 
 def running_sum(df: DataFrame, partition, order: Sequence, values: dict,
-                chunk: Column | None = None) -> DataFrame:
+                chunk: Column | None = None, chunk_name: str | None = None) -> DataFrame:
     """Running sums ``{out_name: expr}`` within ``partition`` in ``order`` (O28);
     null only before the first value that isn't.
 
@@ -171,6 +191,7 @@ def running_sum(df: DataFrame, partition, order: Sequence, values: dict,
     are aggregated and prefix-summed over the (few) chunks of each partition,
     then rows are summed within (partition, chunk) and offset. No window ever
     holds more than one chunk of one key, so a hot key is split across tasks.
+    ``chunk_name`` keeps the chunk as a column.
     """
     partition = _list(partition)
     order = _list(order)
@@ -194,19 +215,28 @@ def running_sum(df: DataFrame, partition, order: Sequence, values: dict,
     for name, e in values.items():
         here, before = F.sum(e).over(w), F.col("__o_" + name)
         out = out.withColumn(name, F.coalesce(before + here, here, before))
-    return out.drop("__chunk", *["__o_" + n for n in values])
+    out = out.drop(*["__o_" + n for n in values])
+    return out.withColumnRenamed("__chunk", chunk_name) if chunk_name else out.drop("__chunk")
 
 
-def current_run_length(df: DataFrame, keys, order: Sequence[Column], hit: Column,
-                       name: str, few_keys: bool = False) -> DataFrame:
+def ranged_running_sum(df: DataFrame, partition, order: Sequence[Column], values: dict) -> DataFrame:
+    """``running_sum`` whose stretches are range partitions of (partition,
+    order): their bounds are sampled from the data, so that no stretch has to be
+    guessed from what the keys look like. The partitioned rows are written once,
+    as a second sampling could cut elsewhere. Make the order unique."""
+    partition = _list(partition)
+    placed = df.repartitionByRange(*partition, *order).withColumn("__part", F.spark_partition_id())
+    return running_sum(written(placed, "ranged"), partition, order, values, chunk=F.col("__part")).drop("__part")
+
+
+def current_run_length(df: DataFrame, keys, order: Sequence[Column], hit: Column, name: str) -> DataFrame:
     """Length of the run of ``hit`` rows at the end of each group, 0 if the
     last row misses (the current streak). Two aggregates and a join, no window:
-    count the rows after the last miss. ``few_keys``: the keys are bounded (teams),
-    so the last misses go to the rows instead of the rows to the keys."""
+    count the rows after the last miss."""
     keys = _list(keys)
     key = F.struct(*order)
     last_miss = (df.where(~hit).groupBy(*keys).agg(F.max(key).alias("__last_miss")))
-    return (df.join(per_team(last_miss) if few_keys else last_miss, keys, "left")
+    return (df.join(last_miss, keys, "left")
             .groupBy(*keys)
             .agg(F.count_if(F.col("__last_miss").isNull() | (key > F.col("__last_miss"))).alias(name)))
 
@@ -233,24 +263,20 @@ def unite(df: DataFrame, name: str, cols: Sequence[str], sep: str = "", drop: bo
     return out.drop(*[c for c in cols if c != name]) if drop else out
 
 
-def global_row_number(df: DataFrame, order: Sequence[Column], name: str,
-                      chunk: Sequence[tuple[Column, str]]) -> DataFrame:
+def global_row_number(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """1-based row number over the whole frame in ``order`` (make the order
-    unique) without a single-task window (O33), by one plan for every size.
-
-    ``chunk`` cuts the order into stretches: (expression, direction) pairs, the
-    direction a sort method's name (``asc``, ``desc_nulls_last``, ...), such
-    that rows of an earlier stretch come before rows of a later one. Rows are
-    numbered within their stretch and offset by the rows of the stretches
-    before, from one count per stretch."""
-    keys = [f"__c{i}" for i in range(len(chunk))]
-    out = df.withColumns({k: e for k, (e, _) in zip(keys, chunk)})
-    counts = out.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    before = (Window.orderBy(*[getattr(F.col(k), d)() for k, (_, d) in zip(keys, chunk)])
-              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(*[F.col(k).alias("o" + k) for k in keys],
-                            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    same = reduce(lambda a, b: a & b, [out[k].eqNullSafe(offsets["o" + k]) for k in keys])
-    within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return (out.join(offsets, same).withColumn(name, F.col("__off") + within)
-            .drop(*keys, *["o" + k for k in keys], "__off"))
+    unique) without a single-task window (O33).
+
+    Rows are range-partitioned by the order, with bounds sampled from the data,
+    sorted within their partition and written once. A row's number is its place
+    in its partition plus the rows of the partitions before, whose counts are
+    one row a task."""
+    placed = (df.repartitionByRange(*order).sortWithinPartitions(*order)
+              .withColumn("__at", F.monotonically_increasing_id()))
+    placed = written(placed, "numbered").withColumn("__part", F.shiftright("__at", 33))
+    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    # at most spark.sql.shuffle.partitions rows, so they can go to every task
+    return (placed.join(F.broadcast(offsets), "__part")
+            .withColumn(name, F.col("__off") + F.col("__at").bitwiseAND(_ROW) + 1).drop("__part", "__off", "__at"))

@@ -54,12 +54,14 @@ def album_timeline(tracks: DataFrame) -> DataFrame:
 def artist_search(artists: DataFrame, text: str) -> DataFrame:
     """(P55) artists whose name contains ``text`` (case-blind), one row per
     name: the most popular (ties: lowest id), most popular first, with the
-    second of its images (null when there are fewer)."""
+    second of its images (null when there are fewer). Artists without a column
+    of images are found without an image."""
     hits = artists.where(F.lower("artist_name").contains(text.lower()))
-    return first_per_key(hits.select("artist_name", "artist_id", "popularity", "images"), "artist_name",
-                         [F.col("popularity"), -F.col("artist_id")]).select(
-        "artist_id", "artist_name", "popularity", F.get("images", F.lit(1))["url"].alias("image")).orderBy(
-        F.col("popularity").desc(), "artist_id")
+    images = ["images"] if "images" in artists.columns else []
+    best = first_per_key(hits.select("artist_name", "artist_id", "popularity", *images), "artist_name",
+                         [F.col("popularity"), -F.col("artist_id")])
+    return best.select("artist_id", "artist_name", "popularity", *[F.get(c, F.lit(1))["url"].alias("image") for c in images]
+                       ).orderBy(F.col("popularity").desc(), "artist_id")
 
 
 def mood_quadrants(tracks: DataFrame, cut: float = 0.5) -> DataFrame:

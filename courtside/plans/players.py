@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from courtside.functions.exprs import ascii_fold, last_word, money_to_double, recode, safe_ratio, true_shooting
 from courtside.operators.core import (
-    band_percent_rank, filter_global_extreme, filter_group_extreme, global_row_number, per_team, top_n_with_ties,
+    band_percent_rank, filter_global_extreme, filter_group_extreme, global_row_number, top_n_with_ties,
 )
 from courtside.plans.teams import REGULAR, team_dimension, team_games_played
 
@@ -92,17 +92,17 @@ def enriched_game_log(logs: DataFrame, contracts: DataFrame, teams: DataFrame,
     """(P11) box-score rows with shooting, value metric, salary, games missed
     and the games-missed penalty on the value metric.
 
-    Per-player figures come from one ``groupBy(player)`` joined back (a hot
-    player is combined map-side; AQE splits the skewed join partition);
-    team figures and salaries are small, key-unique sides."""
+    All but the game's own figures are a (player, team)'s: season totals,
+    salary, games missed and penalties are joined and computed on that grain,
+    so the rows meet one join. Totals come from ``groupBy(player)`` (a hot player
+    is combined map-side; AQE splits the skewed join partition)."""
     game_value = (F.col("pts") + F.lit(0.5) * F.col("plus_minus") + (F.lit(2) * F.col("stl") + F.col("blk"))
                   + F.lit(0.5) * F.col("trb") - F.col("tov") + F.col("ast"))
-    df = (logs.withColumn("game_ts", F.round(true_shooting("pts", "fga", "fta"), 3))
-          .join(player_totals(logs), "player_id", "left")
-          .withColumn("game_value", game_value)
-          .join(player_salary(contracts), "player_id", "left")
-          .join(per_team(team_dimension(teams)), "team", "left")
-          .join(per_team(team_games_played(logs)), "team", "left"))
+    pairs = (logs.select("player_id", "team").distinct()
+             .join(player_totals(logs), "player_id", "left")
+             .join(player_salary(contracts), "player_id", "left")
+             .join(team_dimension(teams), "team", "left")
+             .join(team_games_played(logs), "team", "left"))
     value, gp, team_gp = F.col("value"), F.col("gp"), F.col("team_gp")
     missed = team_gp - gp
     grace = F.lit(10) * F.round(team_gp / F.lit(season_games), 1)
@@ -116,13 +116,18 @@ def enriched_game_log(logs: DataFrame, contracts: DataFrame, teams: DataFrame,
                   .when(missed > grace, value * F.col("penalty_factor")), 1)
     ratio = safe_ratio(F.abs(F.col("_adj") - value), value)
     capped = F.round(F.when(ratio >= 0.3, value * F.lit(0.67)).when(ratio < 0.3, F.col("_adj")), 1)
-    return (df.withColumn("games_missed", missed)
-            .withColumn("penalty_factor", penalty)
-            .withColumn("pct_played", F.round(safe_ratio(gp, team_gp), 3))
-            .withColumn("_adj", adj)
-            .withColumn("value_adj", capped)
-            .withColumn("value_penalty", value - F.col("value_adj"))
-            .drop("_adj"))
+    pairs = (pairs.withColumn("games_missed", missed)
+             .withColumn("penalty_factor", penalty)
+             .withColumn("pct_played", F.round(safe_ratio(gp, team_gp), 3))
+             .withColumn("_adj", adj)
+             .withColumn("value_adj", capped)
+             .withColumn("value_penalty", value - F.col("value_adj"))
+             .drop("_adj")
+             .withColumnsRenamed({"player_id": "_player", "team": "_team"}))
+    same = F.col("player_id").eqNullSafe(F.col("_player")) & F.col("team").eqNullSafe(F.col("_team"))
+    return (logs.withColumn("game_ts", F.round(true_shooting("pts", "fga", "fta"), 3))
+            .withColumn("game_value", game_value)
+            .join(pairs, same, "left").drop("_player", "_team"))
 
 
 def league_true_shooting(logs: DataFrame) -> DataFrame:
@@ -161,9 +166,8 @@ def top_performers(enriched: DataFrame, n: int = 15, day=None) -> DataFrame:
     top = top_n_with_ties(rows.select("player_id", "team", "full_name", "game_id", "pts", "game_ts", "outcome",
                                       "salary"), n, "pts")
     top = top.join(player_season_high(enriched), "player_id", "left")
-    # ties at the cut grow with the data: numbered by points and stretch of player ids
-    top = global_row_number(top, [F.col("pts").desc(), F.col("player_id"), F.col("game_id")], "rank",
-                            [(F.col("pts"), "desc"), (F.floor(F.col("player_id") / 100000), "asc")])
+    # ties at the cut grow with the data
+    top = global_row_number(top, [F.col("pts").desc(), F.col("player_id"), F.col("game_id")], "rank")
     diff = F.col("pts") - F.col("avg_pts")
     ts_diff = F.col("game_ts") - F.col("season_ts")
     pts_code = (F.when(F.col("pts") == F.col("season_high"), 1)
@@ -198,12 +202,11 @@ def efficient_scorers(enriched: DataFrame, record: DataFrame, min_ppg: float = 2
          .agg(F.avg(F.when(counts, F.col("pts"))).alias("avg_pts"), F.max_by("team", order).alias("team"), latest)
          .select("player_id", "avg_pts", "team", "l.season_ts", "l.value_adj", "l.gp")
          .where((F.col("avg_pts") >= min_ppg) & (F.col("gp") >= min_games)))
-    # the ranked players grow with the data: numbered value by value (one decimal)
-    p = global_row_number(p, [F.col("value_adj").desc_nulls_last(), F.col("player_id")], "rank",
-                          [(F.col("value_adj"), "desc_nulls_last"), (F.floor(F.col("player_id") / 100000), "asc")])
+    # the ranked players grow with the data
+    p = global_row_number(p, [F.col("value_adj").desc_nulls_last(), F.col("player_id")], "rank")
     p = p.withColumn("top_flag", F.when(F.col("rank") <= top, F.lit(f"Top {top} MVP Candidate"))
                      .otherwise(F.lit("Other")))
-    return (p.join(per_team(record.select("team", "wins", "losses")), "team", "left")
+    return (p.join(record.select("team", "wins", "losses"), "team", "left")
             .select("rank", "player_id", "team", "avg_pts", "season_ts", "value_adj", "gp",
                     "top_flag", "wins", "losses"))
 
@@ -221,8 +224,8 @@ def team_scorers(enriched: DataFrame, record: DataFrame, teams: DataFrame, flags
     return (pairs.join(pa, "player_id", "inner")
             .join(f, "player_id", "left")
             .withColumn("top_flag", F.coalesce("top_flag", F.lit("Other")))
-            .join(per_team(team_dimension(teams)), "team", "left")
-            .join(per_team(record.select("team", "wins", "losses")), "team", "left")
+            .join(team_dimension(teams), "team", "left")
+            .join(record.select("team", "wins", "losses"), "team", "left")
             .select("player_id", "team", "full_name", "avg_pts", "season_ts", "value", "gp",
                     "top_flag", "wins", "losses"))
 
@@ -240,9 +243,12 @@ def salary_band(c="salary"):
 def contract_value(enriched: DataFrame, latest_team: DataFrame) -> DataFrame:
     """(P19) latest row per player, salary band, percent rank / mean / count /
     share of the adjusted value metric within the band, and a value class.
-    A null salary falls in the lowest band (kept from the source)."""
-    last = (filter_group_extreme(enriched, "player_id", "game_date")
-            .select("player_id", "value_adj", "salary").distinct()
+    A null salary falls in the lowest band (kept from the source). A player's
+    figures are the season's and the team's: the distinct ones of the last day
+    come from one aggregate over the log."""
+    figures = enriched.groupBy("player_id", "game_date").agg(F.collect_set(F.struct("value_adj", "salary")).alias("f"))
+    last = (figures.groupBy("player_id").agg(F.max_by("f", "game_date").alias("f"))
+            .select("player_id", F.explode("f").alias("f")).select("player_id", "f.value_adj", "f.salary")
             .withColumn("band", salary_band()))
     ranked = band_percent_rank(last, "band", "value_adj", "_pr")
     # values carry one decimal: average them as exact integers (tenths) so the

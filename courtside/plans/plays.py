@@ -3,7 +3,8 @@
 Order inside a game is explicit: (ts, event_id) for raw events, then the
 event number. A game's rows may be arbitrarily many, so every ordered step runs
 per (game, minute), and whatever a minute needs from those before it (previous
-margin, previous sign, running totals) comes from one small row per minute.
+margin, previous sign, running totals, the run that is still open) comes from one
+small row per minute: a segmented scan.
 """
 
 from __future__ import annotations
@@ -20,22 +21,23 @@ def play_timeline(plays: DataFrame, chunk: Column | None = None) -> DataFrame:
     text unpivoted, events numbered per game in (ts, event_id, home-first)
     order before rows without text or score are dropped; margin = home - away.
     ``team`` is the acting side's. ``chunk`` is a coarse order-preserving key of
-    ``ts`` (default: the minute)."""
-    chunk = chunk if chunk is not None else F.date_trunc("minute", "ts")
-    ev = running_sum(plays, "game_id", ["ts", "event_id"], {"__k": F.lit(1).cast("long")}, chunk=chunk)
-    long = unpivot(ev.withColumn("__c", chunk),
-                   ["game_id", "event_id", "ts", "__k", "__c", "period", "clock", "score_home", "score_away",
-                    "home_team", "visitor_team"],
-                   ["desc_home", "desc_visitor"], "side", "play")
-    visitor = F.col("side") == "desc_visitor"
-    return (long.withColumn("event_play", F.col("__k") * 2 - 1 + visitor.cast("long"))
-            .withColumn("location", F.when(visitor, "Away").otherwise("Home"))
-            .withColumn("team", F.when(visitor, F.col("visitor_team")).otherwise(F.col("home_team")))
-            .withColumn("margin", F.col("score_home") - F.col("score_away"))
-            .where(F.col("play").isNotNull() & F.col("score_home").isNotNull()
-                   & F.col("score_away").isNotNull() & F.col("margin").isNotNull())
-            .select("game_id", "event_play", "event_id", "location", "team", "play", "period", "clock",
-                    "score_home", "score_away", "margin", F.col("__c").alias("minute")))
+    ``ts`` (default: the minute). Plays that carry their number (``event_no``)
+    and their chunk (``minute``) already are not numbered again."""
+    if chunk is not None or not {"event_no", "minute"} <= set(plays.columns):
+        chunk = chunk if chunk is not None else F.date_trunc("minute", "ts")
+        plays = running_sum(plays.drop("event_no", "minute"), "game_id", ["ts", "event_id"], {"event_no": F.lit(1).cast("long")},
+                            chunk=chunk, chunk_name="minute")
+
+    def side(location, team, desc, second):
+        return F.struct((F.col("event_no") * 2 - 1 + second).alias("event_play"), F.lit(location).alias("location"),
+                        F.col(team).alias("team"), F.col(desc).alias("play"))
+
+    # an explode keeps the rows where they are, by game and minute
+    sides = F.explode(F.array(side("Home", "home_team", "desc_home", 0), side("Away", "visitor_team", "desc_visitor", 1)))
+    return (plays.withColumn("__s", sides).withColumn("margin", F.col("score_home") - F.col("score_away"))
+            .where(F.col("__s.play").isNotNull() & F.col("margin").isNotNull())
+            .select("game_id", "__s.event_play", "event_id", "__s.location", "__s.team", "__s.play", "period", "clock",
+                    "score_home", "score_away", "margin", "minute"))
 
 
 def scoring_runs(timeline: DataFrame, chunk: str = "minute") -> DataFrame:
@@ -43,33 +45,66 @@ def scoring_runs(timeline: DataFrame, chunk: str = "minute") -> DataFrame:
     (a change of 0 counts as -1), runs of equal sign (island id), position in
     the run and points accumulated in the run.
 
-    Windows run per (game, ``chunk``), a column that grows with the event
-    number. Each chunk hands the next its last margin and sign, from one row per
-    chunk; run ids and running totals are two-level prefix sums, and position
-    and points in a run count from the run's first row."""
+    A segmented scan over (game, ``chunk``), a column that grows with the event
+    number. Each chunk is scanned by itself as far as it can be: all but the
+    change of its first row and whether its second row turns hang on nothing
+    before it. It hands on one row: its size, first and last margin, second and
+    last sign, turns, points, and where its last run starts. These rows are
+    scanned over the game and joined back, which fills in the rest. Rows are
+    shuffled by chunk only (whole, and for their chunk's row the order and the
+    margin alone); the other exchanges carry a row a chunk."""
     key = ["game_id", chunk]
     w = Window.partitionBy(*key).orderBy("event_play")
-    over_chunks = Window.partitionBy("game_id").orderBy(chunk)
-    t = timeline.withColumn("__lag", F.lag("margin").over(w))
-    ends = t.groupBy(*key).agg(F.max_by(F.struct("margin", "__lag"), "event_play").alias("__e"))
-    ends = ends.withColumn("__prev_margin", F.lag("__e.margin").over(over_chunks))
-    last_change = F.col("__e.margin") - F.coalesce(F.col("__e.__lag"), F.col("__prev_margin"), F.lit(0))
-    ends = ends.withColumn("__last_sign", F.when(last_change > 0, 1).otherwise(-1))
-    ends = ends.select(*key, "__prev_margin", F.lag("__last_sign").over(over_chunks).alias("__prev_sign"))
-    t = (t.join(ends, key)
-         .withColumn("score_change", F.col("margin") - F.coalesce("__lag", "__prev_margin", F.lit(0)))
-         .withColumn("sign", F.when(F.col("score_change") > 0, 1).otherwise(-1)))
-    before = F.coalesce(F.lag("sign").over(w), F.col("__prev_sign"), F.col("sign"))
-    t = t.withColumn("__flag", (F.col("sign") != before).cast("long"))
-    t = running_sum(t, "game_id", ["event_play"],
-                    {"run_id": F.col("__flag"), "__k": F.lit(1).cast("long"), "__p": F.abs("score_change")},
-                    chunk=F.col(chunk))
-    runs = t.groupBy("game_id", "run_id").agg(
-        F.min("__k").alias("__k0"), F.min(F.col("__p") - F.abs("score_change")).alias("__p0"))
-    return (t.join(runs, ["game_id", "run_id"])
-            .withColumn("run_pos", F.col("__k") - F.col("__k0") + 1)
-            .withColumn("run_points", F.col("__p") - F.col("__p0"))
-            .select(*timeline.columns, "score_change", "sign", "run_id", "run_pos", "run_points"))
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    change, sign, k = F.col("__change"), F.col("__sign"), F.col("__k")
+
+    def sign_of(x):
+        return F.when(x > 0, 1).otherwise(-1)
+
+    t = timeline.withColumns({"__k": F.row_number().over(w).cast("long"), "__change": F.col("margin") - F.lag("margin").over(w)})
+    t = t.withColumn("__sign", F.when(change.isNotNull(), sign_of(change)))
+    t = t.withColumn("__turn", F.coalesce(sign != F.lag("__sign").over(w), F.lit(False)))
+    t = t.withColumns({"__turns": F.count_if("__turn").over(upto), "__points": F.coalesce(F.sum(F.abs(change)).over(upto), F.lit(0)),
+                       "__start": F.max(F.when(F.col("__turn"), k)).over(upto)})
+    t = t.withColumn("__before", F.max(F.when(F.col("__turn"), F.col("__points") - F.abs(change))).over(upto))
+    ends = t.groupBy(*key).agg(
+        F.max("__k").alias("n"), F.min_by("margin", "__k").alias("m1"), F.max(F.when(k == 2, sign)).alias("s2"),
+        F.max_by("margin", "__k").alias("m"), F.max_by("__sign", "__k").alias("s"), F.max("__turns").alias("turns"),
+        F.max("__points").alias("points"), F.max("__start").alias("start"), F.max("__before").alias("before"))
+
+    over = Window.partitionBy("game_id").orderBy(chunk)
+    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("c1", F.col("m1") - F.coalesce(F.lag("m").over(over), F.lit(0)))
+    ends = ends.withColumns({"s1": sign_of(F.col("c1")), "a1": F.abs("c1")})
+    ends = ends.withColumn("prev", F.lag(F.coalesce("s", "s1")).over(over))
+    # does the first row turn, the second, and does the first open a run?
+    ends = ends.withColumns({"f1": F.coalesce(F.col("s1") != F.col("prev"), F.lit(False)), "f2": F.coalesce(F.col("s2") != F.col("s1"), F.lit(False))})
+    ends = ends.withColumn("opens", F.col("f1") | F.col("prev").isNull())
+
+    def total(x):
+        return F.coalesce(F.sum(x).over(earlier), F.lit(0))
+
+    ends = ends.withColumns({"k_off": total("n"), "p_off": total(F.col("a1") + F.col("points")),
+                             "run_off": total(F.col("f1").cast("long") + F.col("f2").cast("long") + F.col("turns"))})
+    p1 = F.col("p_off") + F.col("a1")
+
+    def run_start(start, second):  # of the run that a row is in, if it starts in the row's chunk: its first play's number
+        return F.coalesce(F.col("k_off") + start, F.when(second, F.col("k_off") + 2), F.when(F.col("opens"), F.col("k_off") + 1))
+
+    def points_before(before, second):  # and the points before it
+        return F.coalesce(p1 + before, F.when(second, p1), F.when(F.col("opens"), F.col("p_off")))
+
+    ends = ends.withColumns({"open_k": F.max(run_start(F.col("start"), F.col("f2"))).over(earlier),
+                             "open_p": F.max(points_before(F.col("before"), F.col("f2"))).over(earlier)})
+    ends = ends.select(*key, F.struct("c1", "s1", "f1", "f2", "opens", "k_off", "p_off", "a1", "run_off", "open_k", "open_p").alias("__e"))
+
+    j = t.join(ends, key).select("*", "__e.*")
+    second = F.col("f2") & (k > 1)
+    return j.select(
+        *[F.col(f"`{c}`") for c in timeline.columns], F.coalesce(change, "c1").alias("score_change"), F.coalesce(sign, "s1").alias("sign"),
+        (F.col("run_off") + F.col("f1").cast("long") + second.cast("long") + F.col("__turns")).alias("run_id"),
+        (F.col("k_off") + k - F.coalesce(run_start(F.col("__start"), second), "open_k") + 1).alias("run_pos"),
+        (p1 + F.col("__points") - F.coalesce(points_before(F.col("__before"), second), "open_p")).alias("run_points"))
 
 
 def final_outcomes(timeline: DataFrame) -> DataFrame:

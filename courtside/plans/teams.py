@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from courtside.functions.exprs import number_text, ordinal, percent_text, record_text, safe_ratio
 from courtside.operators.core import (
-    current_run_length, filter_global_extreme, null_aware_rank, per_team, running_sum,
+    current_run_length, filter_global_extreme, measured, null_aware_rank, running_sum,
     share_of_total, with_opponent_totals,
 )
 
@@ -62,7 +62,7 @@ def win_streak(logs: DataFrame) -> DataFrame:
     ordered by (date, game id); 0 when the last game was lost."""
     games = logs.select("team", "game_id", "game_date", "outcome").distinct()
     return current_run_length(games, "team", [F.col("game_date"), F.col("game_id")],
-                              F.col("outcome") == "W", "win_streak", few_keys=True)
+                              F.col("outcome") == "W", "win_streak")
 
 
 def team_record(logs: DataFrame, injuries: DataFrame, teams: DataFrame,
@@ -227,7 +227,7 @@ def schedule_strength_so_far(logs: DataFrame, record: DataFrame) -> DataFrame:
     avg = pairs.groupBy("team").agg(
         F.round(safe_ratio(F.sum(F.col("opp_win_pct") * F.col("n")), met), 3).alias("avg_opp_win_pct"))
     pairs = pairs.join(avg, "team", "left").drop("n")
-    return (games.join(per_team(pairs), ["team", "opponent"], "left")
+    return (games.join(measured(pairs), ["team", "opponent"], "left")
             .select("team", "game_id", "opponent", "outcome", "location",
                     F.round("win_pct", 3).alias("win_pct"),
                     F.round("opp_win_pct", 3).alias("opp_win_pct"), "avg_opp_win_pct"))
@@ -235,31 +235,33 @@ def schedule_strength_so_far(logs: DataFrame, record: DataFrame) -> DataFrame:
 
 def home_road_records(strength: DataFrame) -> DataFrame:
     """(P38) home and road W-L text per team (pivot on location_outcome)."""
-    key = F.concat_ws("_", "location", "outcome")
-    p = (strength.withColumn("lo", key).groupBy("team")
-         .pivot("lo", ["H_W", "H_L", "A_W", "A_L"]).agg(F.count(F.lit(1))))
-    p = p.fillna(0, ["H_W", "H_L", "A_W", "A_L"])
-    return p.select("team", record_text("H_W", "H_L").alias("home_record"),
-                    record_text("A_W", "A_L").alias("road_record"))
+    return strength.groupBy("team").agg(*_home_road())
+
+
+def _record_of(won: Column, name: str) -> Column:
+    """W-L text of the rows that satisfy a condition (O39-O41: a listed pivot
+    is a conditional count per value)."""
+    def n(outcome):
+        return F.count_if(won & (F.col("outcome") == outcome))
+    return record_text(n("W"), n("L")).alias(name)
+
+
+def _home_road() -> list[Column]:
+    return [_record_of(F.col("location") == "H", "home_record"), _record_of(F.col("location") == "A", "road_record")]
 
 
 def record_vs_quality(strength: DataFrame, record: DataFrame, cut: float = 0.5) -> DataFrame:
     """(P39) records against opponents at/above vs below ``cut`` win%, shares,
-    home/road records, mean opponent win%, own win%."""
-    div = F.when(F.col("opp_win_pct") >= cut, "above").otherwise("below")
-    p = (strength.withColumn("k", F.concat_ws("_", div, "outcome")).groupBy("team")
-         .pivot("k", ["above_W", "above_L", "below_W", "below_L"]).agg(F.count(F.lit(1)))
-         .fillna(0, ["above_W", "above_L", "below_W", "below_L"]))
-    tot = F.col("above_W") + F.col("above_L") + F.col("below_W") + F.col("below_L")
-    p = p.select("team",
-                 record_text("above_W", "above_L").alias("above_record"),
-                 record_text("below_W", "below_L").alias("below_record"),
-                 F.round(safe_ratio(F.col("above_W") + F.col("above_L"), tot), 3).alias("share_above"),
-                 F.round(safe_ratio(F.col("below_W") + F.col("below_L"), tot), 3).alias("share_below"))
-    avg = strength.groupBy("team").agg(F.max("avg_opp_win_pct").alias("avg_opp_win_pct"))
-    return (p.join(home_road_records(strength), "team", "left")
-            .join(avg, "team", "left")
-            .join(record.select("team", "win_pct"), "team", "left"))
+    home/road records, mean opponent win%, own win%: one aggregate per team."""
+    above = F.coalesce(F.col("opp_win_pct") >= cut, F.lit(False))
+    decided = F.col("outcome").isin("W", "L")
+    n = F.count_if(decided)
+    p = strength.groupBy("team").agg(
+        _record_of(above, "above_record"), _record_of(~above, "below_record"),
+        F.round(safe_ratio(F.count_if(decided & above), n), 3).alias("share_above"),
+        F.round(safe_ratio(F.count_if(decided & ~above), n), 3).alias("share_below"),
+        *_home_road(), F.max("avg_opp_win_pct").alias("avg_opp_win_pct"))
+    return p.join(record.select("team", "win_pct"), "team", "left")
 
 
 # ---------------------------------------------------------------- boards
@@ -275,7 +277,7 @@ def last_night_team_board(logs: DataFrame, logos: DataFrame | None = None, day=N
         F.max("pts").alias("max_pts"))
     rows = (tg.where(F.col("game_date") == F.lit(day)) if day is not None
             else filter_global_extreme(tg, "game_date"))
-    rows = rows.join(per_team(season), "team", "left")
+    rows = rows.join(measured(season), "team", "left")
     diff = F.col("pts") - F.col("avg_ppg")
     odiff = F.col("opp_pts") - F.col("avg_opp_ppg")
     pts_code = (F.when(F.col("pts") == F.col("max_pts"), 1).when(diff >= 10, 2)

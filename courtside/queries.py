@@ -5,8 +5,9 @@ and runs one named pipeline over the whole of them. ``oracle_sql.ORACLE``
 holds the DuckDB twin of each (absent only where SQL cannot express it).
 
 Functions with a leading underscore are intermediates that several queries
-read. They are plans, not stored results: nothing runs before a query's result
-is asked for, and a query that reads one twice shares its exchanges.
+read. Those that are costly (``_log``, ``_enriched``, ``_record``, ``_timeline``,
+``_margins``, ``_team_scorers``) are stored under a fingerprint of their input files and
+their plan (``sources.results``); the others are plans.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from courtside.plans import teams as T
 from courtside.sources.fixtures import Fixture
+from courtside.sources.results import stored_result
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -32,14 +34,35 @@ def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
     return Fixture(spark, sf_dir)
 
 
+GAMES = ("orders", "customer", "lineitem")
+LEAGUE = ("nation", "region")
+
+
+def _once(fx: Fixture, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A frame that a query uses twice, made once."""
+    if name not in fx.made:
+        fx.made[name] = make()
+    return fx.made[name]
+
+
+def _kept(fx: Fixture, name: str, df: DataFrame, tables, partition_by=()) -> DataFrame:
+    """``df`` stored as a result of base tables."""
+    return stored_result(df, name, [f"{fx.sf_dir}/{t}.parquet" for t in tables], partition_by)
+
+
+def _log(fx: Fixture) -> DataFrame:
+    """The box scores: what nearly all team and player queries read."""
+    return _once(fx, "log", lambda: _kept(fx, "box_scores", fx.v_box_scores, GAMES))
+
+
 # ------------------------------------------------------------------ M1 teams
 
 def _record(fx: Fixture) -> DataFrame:
-    return T.team_record(fx.v_box_scores, fx.v_injuries, fx.v_teams)
+    return _once(fx, "record", lambda: _kept(fx, "team_record", T.team_record(_log(fx), fx.v_injuries, fx.v_teams), GAMES + LEAGUE))
 
 
 def _standings(fx: Fixture) -> DataFrame:
-    return T.conference_standings(_record(fx), T.last_n_record(fx.v_box_scores, fx.v_teams),
+    return T.conference_standings(_record(fx), T.last_n_record(_log(fx), fx.v_teams),
                                   fx.v_teams).orderBy("conference", "seed", "team")
 
 
@@ -55,7 +78,7 @@ def q_conferences(spark, sf_dir):
 
 @query("team_games_played")
 def q_team_games_played(spark, sf_dir):
-    return T.team_games_played(fixture(spark, sf_dir).v_box_scores)
+    return T.team_games_played(_log(fixture(spark, sf_dir)))
 
 
 @query("injury_counts")
@@ -71,7 +94,7 @@ def q_injuries_by_team(spark, sf_dir):
 
 @query("win_streak")
 def q_win_streak(spark, sf_dir):
-    return T.win_streak(fixture(spark, sf_dir).v_box_scores)
+    return T.win_streak(_log(fixture(spark, sf_dir)))
 
 
 @query("team_record")
@@ -82,7 +105,7 @@ def q_team_record(spark, sf_dir):
 @query("last_n_record")
 def q_last_n_record(spark, sf_dir):
     fx = fixture(spark, sf_dir)
-    return T.last_n_record(fx.v_box_scores, fx.v_teams)
+    return T.last_n_record(_log(fx), fx.v_teams)
 
 
 @query("conference_standings")
@@ -113,7 +136,8 @@ def _contracts(fx: Fixture) -> DataFrame:
 
 
 def _enriched(fx: Fixture) -> DataFrame:
-    return P.enriched_game_log(fx.v_box_scores, _contracts(fx), fx.v_teams)
+    return _once(fx, "enriched", lambda: _kept(
+        fx, "enriched_game_log", P.enriched_game_log(_log(fx), _contracts(fx), fx.v_teams), GAMES + LEAGUE + ("part",)))
 
 
 def _scorers(fx: Fixture) -> DataFrame:
@@ -122,7 +146,7 @@ def _scorers(fx: Fixture) -> DataFrame:
 
 
 def _contract_value(fx: Fixture) -> DataFrame:
-    return P.contract_value(_enriched(fx), P.player_latest_team(fx.v_box_scores))
+    return P.contract_value(_enriched(fx), P.player_latest_team(_log(fx)))
 
 
 @query("clean_contracts")
@@ -132,7 +156,7 @@ def q_clean_contracts(spark, sf_dir):
 
 @query("player_games_played")
 def q_player_games_played(spark, sf_dir):
-    return P.player_games_played(fixture(spark, sf_dir).v_box_scores)
+    return P.player_games_played(_log(fixture(spark, sf_dir)))
 
 
 @query("enriched_game_log")
@@ -142,27 +166,27 @@ def q_enriched_game_log(spark, sf_dir):
 
 @query("league_true_shooting")
 def q_league_true_shooting(spark, sf_dir):
-    return P.league_true_shooting(fixture(spark, sf_dir).v_box_scores)
+    return P.league_true_shooting(_log(fixture(spark, sf_dir)))
 
 
 @query("player_latest_team")
 def q_player_latest_team(spark, sf_dir):
-    return P.player_latest_team(fixture(spark, sf_dir).v_box_scores)
+    return P.player_latest_team(_log(fixture(spark, sf_dir)))
 
 
 @query("latest_slice")
 def q_latest_slice(spark, sf_dir):
-    return P.latest_slice(fixture(spark, sf_dir).v_box_scores)
+    return P.latest_slice(_log(fixture(spark, sf_dir)))
 
 
 @query("most_recent_date")
 def q_most_recent_date(spark, sf_dir):
-    return P.most_recent_date(fixture(spark, sf_dir).v_box_scores)
+    return P.most_recent_date(_log(fixture(spark, sf_dir)))
 
 
 @query("player_season_high")
 def q_player_season_high(spark, sf_dir):
-    return P.player_season_high(fixture(spark, sf_dir).v_box_scores)
+    return P.player_season_high(_log(fixture(spark, sf_dir)))
 
 
 @query("top_performers")
@@ -175,10 +199,15 @@ def q_efficient_scorers(spark, sf_dir):
     return _scorers(fixture(spark, sf_dir))
 
 
+def _team_scorers(fx: Fixture) -> DataFrame:
+    """By team: a team's scorers are read from its own folder."""
+    made = P.team_scorers(_enriched(fx), _record(fx), fx.v_teams, _scorers(fx))
+    return _kept(fx, "team_scorers", made, GAMES + LEAGUE + ("part",), partition_by=["team"])
+
+
 @query("team_scorers")
 def q_team_scorers(spark, sf_dir):
-    fx = fixture(spark, sf_dir)
-    return P.team_scorers(_enriched(fx), _record(fx), fx.v_teams, _scorers(fx))
+    return _team_scorers(fixture(spark, sf_dir))
 
 
 @query("contract_value")
@@ -194,12 +223,12 @@ def q_contract_band_summary(spark, sf_dir):
 @query("contract_value_missing")
 def q_contract_value_missing(spark, sf_dir):
     fx = fixture(spark, sf_dir)
-    return P.contract_value_missing(_contracts(fx), P.player_games_played(fx.v_box_scores), _record(fx))
+    return P.contract_value_missing(_contracts(fx), P.player_games_played(_log(fx)), _record(fx))
 
 
 @query("scoring_variance")
 def q_scoring_variance(spark, sf_dir):
-    return P.scoring_variance(fixture(spark, sf_dir).v_box_scores)
+    return P.scoring_variance(_log(fixture(spark, sf_dir)))
 
 
 @query("metric_adjustment_report")
@@ -210,11 +239,12 @@ def q_metric_adjustment_report(spark, sf_dir):
 # ------------------------------------------------------------------ M3 pairing and running
 
 def _margins(fx: Fixture) -> DataFrame:
-    return T.margin_of_victory(fx.v_box_scores)
+    """By team: a team's margins are read from its own folder."""
+    return _kept(fx, "margins", T.margin_of_victory(_log(fx)), GAMES, partition_by=["team"])
 
 
 def _strength(fx: Fixture) -> DataFrame:
-    return T.schedule_strength_so_far(fx.v_box_scores, _record(fx))
+    return T.schedule_strength_so_far(_log(fx), _record(fx))
 
 
 @query("margin_of_victory")
@@ -229,22 +259,22 @@ def q_game_type_distribution(spark, sf_dir):
 
 @query("home_road_split")
 def q_home_road_split(spark, sf_dir):
-    return T.home_road_split(fixture(spark, sf_dir).v_box_scores)
+    return T.home_road_split(_log(fixture(spark, sf_dir)))
 
 
 @query("league_scoring_average")
 def q_league_scoring_average(spark, sf_dir):
-    return T.league_scoring_average(fixture(spark, sf_dir).v_box_scores)
+    return T.league_scoring_average(_log(fixture(spark, sf_dir)))
 
 
 @query("day_results")
 def q_day_results(spark, sf_dir):
-    return T.day_results(fixture(spark, sf_dir).v_box_scores)
+    return T.day_results(_log(fixture(spark, sf_dir)))
 
 
 @query("day_summary")
 def q_day_summary(spark, sf_dir):
-    return T.day_summary(T.day_results(fixture(spark, sf_dir).v_box_scores))
+    return T.day_summary(T.day_results(_log(fixture(spark, sf_dir))))
 
 
 @query("schedule_strength_so_far")
@@ -271,22 +301,22 @@ def _logos(fx: Fixture) -> DataFrame:
 @query("last_night_team_board")
 def q_last_night_team_board(spark, sf_dir):
     fx = fixture(spark, sf_dir)
-    return T.last_night_team_board(fx.v_box_scores, _logos(fx))
+    return T.last_night_team_board(_log(fx), _logos(fx))
 
 
 @query("opponent_shooting_ranks")
 def q_opponent_shooting_ranks(spark, sf_dir):
-    return T.opponent_shooting_ranks(fixture(spark, sf_dir).v_box_scores)
+    return T.opponent_shooting_ranks(_log(fixture(spark, sf_dir)))
 
 
 @query("rest_day_outcomes")
 def q_rest_day_outcomes(spark, sf_dir):
-    return T.rest_day_outcomes(fixture(spark, sf_dir).v_box_scores)
+    return T.rest_day_outcomes(_log(fixture(spark, sf_dir)))
 
 
 @query("team_points_history")
 def q_team_points_history(spark, sf_dir):
-    return T.team_points_history(fixture(spark, sf_dir).v_box_scores)
+    return T.team_points_history(_log(fixture(spark, sf_dir)))
 
 
 # ------------------------------------------------------------------ M4 schedule, odds, ratings
@@ -306,7 +336,7 @@ def _schedule_text(fx: Fixture) -> DataFrame:
 
 
 def _sched(fx: Fixture) -> DataFrame:
-    return S.normalise_schedule(_schedule_text(fx), AS_OF)
+    return _once(fx, "schedule", lambda: S.normalise_schedule(_schedule_text(fx), AS_OF))
 
 
 def _ranks(fx: Fixture) -> DataFrame:
@@ -359,8 +389,8 @@ def q_next_gameday(spark, sf_dir):
 @query("league_kpis")
 def q_league_kpis(spark, sf_dir):
     fx = fixture(spark, sf_dir)
-    return S.league_kpis(S.next_gameday(_upcoming(fx)), T.home_road_split(fx.v_box_scores),
-                         T.league_scoring_average(fx.v_box_scores))
+    return S.league_kpis(S.next_gameday(_upcoming(fx)), T.home_road_split(_log(fx)),
+                         T.league_scoring_average(_log(fx)))
 
 
 @query("over_under_tracker")
@@ -372,7 +402,7 @@ def q_over_under_tracker(spark, sf_dir):
 @query("enrich_odds")
 def q_enrich_odds(spark, sf_dir):
     fx = fixture(spark, sf_dir)
-    return S.enrich_odds(fx.v_odds, fx.v_box_scores, ODDS_SINCE)
+    return S.enrich_odds(fx.v_odds, _log(fx), ODDS_SINCE)
 
 
 @query("clean_team_ratings")
@@ -407,7 +437,7 @@ from courtside.plans import plays as PL  # noqa: E402
 
 
 def _timeline(fx: Fixture) -> DataFrame:
-    return PL.play_timeline(fx.v_play_by_play)
+    return _once(fx, "timeline", lambda: _kept(fx, "play_timeline", PL.play_timeline(fx.v_play_by_play), ("events",)))
 
 
 def _runs(fx: Fixture) -> DataFrame:
@@ -448,7 +478,7 @@ def q_foul_calls(spark, sf_dir):
 @query("game_titles")
 def q_game_titles(spark, sf_dir):
     fx = fixture(spark, sf_dir)
-    return PL.game_titles(fx.v_box_scores, fx.v_teams)
+    return PL.game_titles(_log(fx), fx.v_teams)
 
 
 # ------------------------------------------------------------------ M6 catalogue, slices, snapshot
@@ -528,8 +558,10 @@ def q_slice_documents_not_contains(spark, sf_dir):
 
 @query("slice_injuries_team")
 def q_slice_injuries_team(spark, sf_dir):
+    """Injuries lie by team: the join with the one named team prunes the rest."""
     fx = fixture(spark, sf_dir)
-    return slice_by(T.injuries_by_team(fx.v_injuries, fx.v_teams), "full_name", "NATION_11")
+    injuries = _kept(fx, "injuries", fx.v_injuries, ("customer",), partition_by=["team"])
+    return slice_by(T.injuries_by_team(injuries, fx.v_teams), "full_name", "NATION_11")
 
 
 @query("refresh_snapshot")
@@ -551,8 +583,7 @@ def q_slice_team_record(spark, sf_dir):
 
 @query("slice_team_scorers")
 def q_slice_team_scorers(spark, sf_dir):
-    fx = fixture(spark, sf_dir)
-    return slice_by(P.team_scorers(_enriched(fx), _record(fx), fx.v_teams, _scorers(fx)), "team", TEAM)
+    return slice_by(_team_scorers(fixture(spark, sf_dir)), "team", TEAM)
 
 
 @query("slice_team_ratings")
@@ -562,19 +593,19 @@ def q_slice_team_ratings(spark, sf_dir):
 
 @query("slice_team_opponent_shooting")
 def q_slice_team_opponent_shooting(spark, sf_dir):
-    return slice_by(T.opponent_shooting_ranks(fixture(spark, sf_dir).v_box_scores), "team", TEAM)
+    return slice_by(T.opponent_shooting_ranks(_log(fixture(spark, sf_dir))), "team", TEAM)
 
 
 @query("slice_game_title")
 def q_slice_game_title(spark, sf_dir):
     fx = fixture(spark, sf_dir)
-    return slice_by(PL.game_titles(fx.v_box_scores, fx.v_teams), "title", "NATION_7 Vs. NATION_9")
+    return slice_by(PL.game_titles(_log(fx), fx.v_teams), "title", "NATION_7 Vs. NATION_9")
 
 
 @query("contract_value_missing_players")
 def q_contract_value_missing_players(spark, sf_dir):
     fx = fixture(spark, sf_dir)
-    return P.contract_value_missing_players(_contracts(fx), P.player_games_played(fx.v_box_scores))
+    return P.contract_value_missing_players(_contracts(fx), P.player_games_played(_log(fx)))
 
 
 def _contract_sheet(fx: Fixture) -> DataFrame:
@@ -604,7 +635,7 @@ def q_contracts_csv(spark, sf_dir):
 @query("frequent_winners")
 def q_frequent_winners(spark, sf_dir):
     """(O11) games of teams with more wins than losses: a condition on the group."""
-    games = fixture(spark, sf_dir).v_box_scores.select("team", "game_id", "outcome").distinct()
+    games = _log(fixture(spark, sf_dir)).select("team", "game_id", "outcome").distinct()
     sums = {"w": F.count_if(F.col("outcome") == "W"), "l": F.count_if(F.col("outcome") == "L")}
     return filter_having(games, "team", sums, F.col("w") > F.col("l"))
 

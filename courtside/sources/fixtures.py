@@ -160,6 +160,7 @@ class Fixture:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._views: dict[str, DataFrame] = {}
+        self.made: dict[str, DataFrame] = {}  # frames that the queries of this fixture share
 
     def _activate(self, tables) -> None:
         # table names are session-wide; (re-)point the ones a view needs at this folder
@@ -182,11 +183,11 @@ class Fixture:
 
     @property
     def v_play_by_play(self) -> DataFrame:
-        """The plays with the score after each, summed minute by minute."""
-        minute = F.date_trunc("minute", "ts")
-        return (running_sum(self.view("v_plays"), "game_id", ["ts", "event_id"],
-                            {"score_home": F.col("points_home"), "score_away": F.col("points_away")}, chunk=minute)
-                .drop("points_home", "points_away"))
+        """The plays with their number in the game and the score after each,
+        summed minute by minute."""
+        sums = {"score_home": F.col("points_home"), "score_away": F.col("points_away"), "event_no": F.lit(1).cast("long")}
+        return (running_sum(self.view("v_plays"), "game_id", ["ts", "event_id"], sums,
+                            chunk=F.date_trunc("minute", "ts"), chunk_name="minute").drop("points_home", "points_away"))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("v_") and name in VIEWS:

@@ -111,10 +111,66 @@ def test_empty_inputs(spark):
 def test_global_row_number_matches_window(spark):
     data = [(i, (i * 37) % 11, None if i % 9 == 0 else float((i * 13) % 7)) for i in range(200)]
     df = spark.createDataFrame(data, "id int, g int, v double")
-    order = [F.col("v").desc_nulls_last(), F.col("id")]
-    got = O.global_row_number(df, order, "rn", [(F.col("v"), "desc_nulls_last"), (F.floor(F.col("id") / 20), "asc")])
-    ref = df.withColumn("rn", F.row_number().over(Window.orderBy(*order)))
-    assert rows(got, "id", "rn") == rows(ref, "id", "rn")
+    for order in ([F.col("v").desc_nulls_last(), F.col("id")], [F.col("g"), F.col("v"), F.col("id").desc()]):
+        got = O.global_row_number(df, order, "rn")
+        ref = df.withColumn("rn", F.row_number().over(Window.orderBy(*order)))
+        assert got.columns == ref.columns and rows(got, "id", "rn") == rows(ref, "id", "rn")
+    assert O.global_row_number(df.limit(0), [F.col("id")], "rn").count() == 0
+
+
+def test_global_row_number_of_hashed_ids(spark):
+    """Ids over all 64 bits, a third of the rows of one value: no stretch of ids
+    or values is guessed, and the only window is over one row a partition."""
+    df = spark.range(5000, numPartitions=7).select(F.xxhash64("id").alias("id"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 50).alias("v"))
+    order = [F.col("v").desc(), F.col("id")]
+    got = O.global_row_number(df, order, "rn")
+    assert rows(got, "id", "rn") == rows(df.withColumn("rn", F.row_number().over(Window.orderBy(*order))), "id", "rn")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and "Aggregate [__part" in plan.split("Window [")[1]
+
+
+def naive_top(data, n):
+    """Rows fewer than n of whose group are greater."""
+    return sorted((g, i, v) for g, i, v in data if v is not None and sum(h == g and w is not None and w > v for h, _, w in data) < n)
+
+
+def test_group_top_n_of_a_hot_group(spark):
+    data = [("hot", i, (i * 7919) % 500) for i in range(1200)] + [("ties", i, 5) for i in range(300)]
+    data += [("few", 1, 3), ("few", 2, None), ("none", 3, None), (None, 4, 8), (None, 5, 8), (None, 6, 7)]
+    df = spark.createDataFrame(data, "g string, id int, v int").repartition(5)
+    for n in (1, 3, 40):
+        got = O.top_n_with_ties(df, n, "v", partition="g")
+        assert got.columns == df.columns
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(naive_top([d for d in data if d[0]], n) + [d for d in data if d[0] is None][:2 if n < 3 else 3], key=repr)
+
+
+def test_band_percent_rank_of_unrounded_values(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 10 < 9, "big").otherwise("small").alias("band"), (F.xxhash64("id") / 7.0).alias("v"), "id")
+    got = O.band_percent_rank(df, "band", "v", "pr")
+    ref = df.withColumn("pr", O.null_aware_rank("v", partition="band", ascending=True, kind="percent_rank"))
+    assert rows(got, "id", "pr") == rows(ref, "id", "pr")
+
+
+def test_ranged_running_sum_equals_window(spark):
+    data = [(k, i, (i * 31) % 17 - 3 if i % 5 else None) for k in ("a", "b", None) for i in range(150 if k else 9)] + [("hot", i, i) for i in range(700)]
+    df = spark.createDataFrame(data, "k string, i int, v int")
+    got = O.ranged_running_sum(df.where("k is not null"), "k", [F.col("i")], {"s": F.col("v")})
+    assert rows(got, "k", "i", "s") == rows(O.running_sum(df.where("k is not null"), "k", ["i"], {"s": F.col("v")}), "k", "i", "s")
+
+
+def test_join_sides_are_measured(spark):
+    """A side below the threshold is sent to every task, one above it is not."""
+    left = spark.range(1000).withColumn("team", F.col("id") % 40)
+    side = spark.range(40).select(F.col("id").alias("team"), (F.col("id") * 2).alias("x")).groupBy("team").agg(F.max("x").alias("x"))
+    small = left.join(O.measured(side), "team", "left")
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().sparkPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 100)
+    try:
+        large = left.join(O.measured(side), "team", "left")
+        assert "Broadcast" not in large._jdf.queryExecution().sparkPlan().toString()
+        assert rows(large) == rows(small)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_strict_aggregates(spark):

@@ -88,6 +88,45 @@ def test_chunked_plans_equal_windowed(fx):
     assert rows(m_plain) == rows(m_chunk)
 
 
+def test_scoring_runs_by_hand(spark):
+    """Random games against a plain scan, for chunks of one play up to all."""
+    import random
+    rng = random.Random(4)
+    data = []
+    for game in range(6):
+        margin = 0
+        for k in range(rng.choice([1, 2, 3, 60, 90])):
+            margin += rng.choice([-3, -2, 0, 0, 1, 2, 3]) * (k % 20 < 12)
+            data.append((game, 3 * k + game, margin))
+    want = []
+    for game in sorted({g for g, _, _ in data}):
+        before = sign_before = None
+        run = pos = points = 0
+        for _, k, margin in sorted(d for d in data if d[0] == game):
+            change = margin - (before or 0)
+            sign = 1 if change > 0 else -1
+            if sign_before is not None and sign != sign_before:
+                run, pos, points = run + 1, 0, 0
+            pos, points, before, sign_before = pos + 1, points + abs(change), margin, sign
+            want.append((game, k, change, sign, run, pos, points))
+    for size in (1, 2, 3, 7, 10 ** 6):
+        df = spark.createDataFrame([(g, k, m, k // (3 * size)) for g, k, m in data], "game_id long, event_play long, margin long, minute long")
+        got = PL.scoring_runs(df)
+        assert rows(got, "game_id", "event_play", "score_change", "sign", "run_id", "run_pos", "run_points") == sorted(want, key=repr)
+
+
+def test_scoring_runs_plan(fx):
+    """Two window specs: over a chunk's rows and over a game's chunks. Rows are
+    shuffled by chunk; what is shuffled by game is a row a chunk."""
+    import re
+    t = fx.spark.createDataFrame([(1, 1, 2, 0)], "game_id long, event_play long, margin long, minute long")
+    plan = PL.scoring_runs(t)._jdf.queryExecution().executedPlan().toString()
+    specs = {re.sub(r"#\d+L?", "", line.split("], [", 1)[1]) for line in plan.splitlines() if "Window [" in line}
+    assert specs == {"game_id, minute], [event_play ASC NULLS FIRST]", "game_id], [minute ASC NULLS FIRST]"}
+    moved = [re.sub(r"#\d+L?", "", x) for x in re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan)]
+    assert sorted(moved) == ["game_id", "game_id, minute", "game_id, minute", "game_id, minute"]
+
+
 def test_deterministic_under_repartition(fx):
     logs = fx.v_box_scores
     shuffled = logs.repartition(7, F.rand(seed=3))
@@ -141,6 +180,8 @@ def test_catalogue_and_search(spark):
     artists = spark.createDataFrame([(1, "Blue Band", 50), (2, "Blue Band", 70), (3, "blue", 70), (4, "Red", 90)],
                                     "artist_id long, artist_name string, popularity int")
     assert rows(C.artist_search(artists, "BLUE")) == [(2, "Blue Band", 70), (3, "blue", 70)]
+    with_images = artists.withColumn("images", F.when(F.col("artist_id") != 3, F.array(F.struct(F.lit("u1").alias("url")), F.struct(F.lit("u2").alias("url")))))
+    assert rows(C.artist_search(with_images, "BLUE")) == [(2, "Blue Band", 70, "u2"), (3, "blue", 70, None)]
 
 
 def test_foul_text_parsing(spark):

@@ -6,6 +6,7 @@ codegen; none is a Python UDF.
 
 from __future__ import annotations
 
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -89,6 +90,16 @@ def percent_text(c, digits: int = 1) -> Column:
     return F.concat(number_text(F.round(col(c) * 100, digits)), F.lit("%"))
 
 
+def thousands_text(c) -> Column:
+    """A whole number as text with thousands marks (1234567 -> '1,234,567')."""
+    return F.format_number(col(c), 0)
+
+
+def money_text(c) -> Column:
+    """Whole dollars as text (12500000.0 -> '$12,500,000')."""
+    return F.concat(F.lit("$"), thousands_text(c))
+
+
 def last_word(c) -> Column:
     """Last space-separated word."""
     return F.element_at(F.split(col(c), " "), -1)
@@ -108,15 +119,44 @@ def lookup(c, mapping: dict) -> Column:
     return m[col(c)]
 
 
-# Accented Latin letters and their ASCII forms, used for the
-# Latin-ASCII fold of player names. One character maps to one character.
-ACCENTED = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖØòóôõöøÙÚÛÜùúûüÝýÿČčĆćŠšŽžĐđŁłŃńŘřŚśŤťŮůĞğİıŞş"
-ASCII_FORM = "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOOooooooUUUUuuuuYyyCcCcSsZzDdLlNnRrSsTtUuGgIiSs"
+# Latin letters that are no base letter with marks, and their ASCII forms.
+LETTERS = {
+    "ß": "ss", "ẞ": "SS", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D",
+    "þ": "th", "Þ": "TH", "ł": "l", "Ł": "L", "ħ": "h", "Ħ": "H", "ı": "i", "ĸ": "q", "ŋ": "n", "Ŋ": "N", "ŧ": "t", "Ŧ": "T",
+    "ƀ": "b", "Ɓ": "B", "Ƃ": "B", "ƃ": "b", "Ƈ": "C", "ƈ": "c", "Ɖ": "D", "Ɗ": "D", "Ƌ": "D", "ƌ": "d", "Ɛ": "E", "Ƒ": "F", "ƒ": "f",
+    "Ɠ": "G", "ƕ": "hv", "Ɨ": "I", "Ƙ": "K", "ƙ": "k", "ƚ": "l", "Ɲ": "N", "ƞ": "n", "Ƥ": "P", "ƥ": "p", "ƫ": "t", "Ƭ": "T", "ƭ": "t",
+    "Ʈ": "T", "Ʋ": "V", "Ƴ": "Y", "ƴ": "y", "Ƶ": "Z", "ƶ": "z", "Ǥ": "G", "ǥ": "g", "ȡ": "d", "Ȥ": "Z", "ȥ": "z", "ȴ": "l", "ȵ": "n",
+    "ȶ": "t", "ȷ": "j", "Ⱥ": "A", "Ȼ": "C", "ȼ": "c", "Ƚ": "L", "Ⱦ": "T", "ȿ": "s", "ɀ": "z", "Ƀ": "B", "Ʉ": "U", "Ɇ": "E", "ɇ": "e",
+    "Ɉ": "J", "ɉ": "j", "ɋ": "q", "Ɍ": "R", "ɍ": "r", "Ɏ": "Y", "ɏ": "y",
+}
+# Latin-1 Supplement to Latin Extended-B, Latin Extended Additional, Latin ligatures
+LATIN_BLOCKS = ((0x00C0, 0x024F), (0x1E00, 0x1EFF), (0xFB00, 0xFB06))
+
+
+def _folds() -> dict[str, str]:
+    """Every letter of the Latin blocks that has an ASCII form: its base letters
+    without marks (by its Unicode decomposition), or its entry in ``LETTERS``."""
+    out = {}
+    for c in (chr(i) for first, last in LATIN_BLOCKS for i in range(first, last + 1)):
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        text = "".join(LETTERS.get(x, x) for x in base).replace("\u02bc", "'").replace("\u00b7", "")
+        if text.isascii() and text != "":
+            out[c] = text
+    return out
+
+
+FOLDS = _folds()
 
 
 def ascii_fold(c) -> Column:
-    """Fold accented Latin letters to ASCII ('Dončić' -> 'Doncic')."""
-    return F.translate(col(c), ACCENTED, ASCII_FORM)
+    """Fold Latin letters to ASCII ('Dončić' -> 'Doncic', 'Weiß' -> 'Weiss'),
+    with marks written as letters of their own taken off as well."""
+    one = {k: v for k, v in FOLDS.items() if len(v) == 1}
+    out = F.translate(F.regexp_replace(col(c), "[\\u0300-\\u036f]", ""), "".join(one), "".join(one.values()))
+    for letter, text in FOLDS.items():
+        if len(text) > 1:
+            out = F.replace(out, F.lit(letter), F.lit(text))
+    return out
 
 
 def strict_avg(c) -> Column:

@@ -630,7 +630,8 @@ FROM (SELECT c.player_id, c.team, c.salary, COALESCE(g.gp, 0) AS gp, max(COALESC
       FROM contracts_clean c LEFT JOIN player_gp g ON c.player_id = g.player_id) x""", "contracts_clean", "player_gp")
 cte("sheet", ("v_contract_sheet",), """
 SELECT DISTINCT CASE name WHEN 'J.J. Redick' THEN 'JJ Redick' WHEN 'Kevin Knox' THEN 'Kevin Knox II'
-                          ELSE replace(name, 'Lukáš Dončić', 'Lukas Doncic') END AS name,
+                          ELSE strip_accents(replace(replace(replace(replace(replace(replace(replace(replace(name,
+                               'Þ', 'TH'), 'ð', 'd'), 'Æ', 'AE'), 'ß', 'ss'), 'Ł', 'L'), 'œ', 'oe'), 'Đ', 'D'), 'ø', 'o')) END AS name,
        CASE team WHEN 'BRK' THEN 'BKN' WHEN 'PHO' THEN 'PHX' WHEN 'CHO' THEN 'CHA' ELSE team END AS team,
        CAST(replace(replace(salary_text, '$', ''), ',', '') AS DOUBLE) AS salary,
        COALESCE(TRY_CAST(replace(replace(total_text, '$', ''), ',', '') AS DOUBLE), 0) AS total_owed
@@ -644,3 +645,11 @@ oracle("frequent_winners", """
 SELECT team, game_id, outcome FROM (
   SELECT *, SUM(CASE outcome WHEN 'W' THEN 1 WHEN 'L' THEN -1 ELSE 0 END) OVER (PARTITION BY team) AS net
   FROM (SELECT DISTINCT team, game_id, outcome FROM v_box_scores) g) x WHERE net > 0""", "v_box_scores")
+
+oracle("page_ratings", """
+SELECT page_id, team, full_name, w, l, pace, ortg, drtg, nrtg FROM ratings JOIN pages ON page_id % 25 = team""", "ratings")
+ORACLE["page_schedule"] = ORACLE["normalise_schedule"]
+oracle("payroll_text", """
+SELECT team, format('{:,}', count(*)) AS players, '$' || format('{:,}', CAST(sum(salary) AS bigint)) AS payroll,
+       '$' || format('{:,}', CAST(sum(total_owed) AS bigint)) AS owed FROM sheet GROUP BY team""", "sheet")
+ORACLE["song_count_sketched"] = ORACLE["song_count"]

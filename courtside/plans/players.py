@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtside.functions.exprs import ascii_fold, last_word, money_to_double, recode, safe_ratio, true_shooting
+from courtside.functions.exprs import (
+    ascii_fold, last_word, money_text, money_to_double, recode, safe_ratio, thousands_text, true_shooting,
+)
 from courtside.operators.core import (
     band_percent_rank, filter_global_extreme, filter_group_extreme, global_row_number, top_n_with_ties,
 )
@@ -297,6 +299,12 @@ def contract_value_missing(contracts: DataFrame, gp: DataFrame, record: DataFram
                     "pct_missing", "league_mean_pct", "wins", "losses", "win_pct"))
 
 
+def payroll_text(contracts: DataFrame) -> DataFrame:
+    """per team: players, payroll and money still owed as text."""
+    return contracts.groupBy("team").agg(
+        thousands_text(F.count(F.lit(1))).alias("players"), money_text(F.sum("salary")).alias("payroll"), money_text(F.sum("total_owed")).alias("owed"))
+
+
 def contract_value_missing_players(contracts: DataFrame, gp: DataFrame) -> DataFrame:
     """(P34) per player: value achieved (salary x games), value missed against
     the team's most games, and the share missed."""

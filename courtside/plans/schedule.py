@@ -10,6 +10,7 @@ from courtside.functions.exprs import (
 )
 from courtside.operators.core import filter_global_extreme, global_row_number, null_aware_rank
 from courtside.plans.teams import team_dimension
+from courtside.sources.pages import comment_blocks, page_table_records
 
 # Team code -> logo asset path of the source dashboard.
 TEAM_LOGOS = {
@@ -54,6 +55,19 @@ def normalise_schedule(schedule: DataFrame, as_of, date_text: str = "date_text",
         "game_no", "game_id", "game_date", "day_of_week", "start_minute", "visitor", "home", "vs")
 
 
+# Headings of the source's schedule and rating tables.
+SCHEDULE_HEADINGS = {"date_text": "Date", "game_id": "Game", "start_text": "Start (ET)", "visitor": "Visitor/Neutral", "home": "Home/Neutral"}
+RATING_HEADINGS = {"team_text": "Team", "w_text": "W", "l_text": "L", "pace_text": "Pace", "ortg_text": "ORtg", "drtg_text": "DRtg", "nrtg_text": "NRtg"}
+
+
+def schedule_from_pages(pages: DataFrame, as_of) -> DataFrame:
+    """(P05) the schedule tables of stored pages, read by their headings and
+    normalised (P04); a date that spans rows is each row's."""
+    rows = page_table_records(pages, SCHEDULE_HEADINGS)
+    ids = {c: F.col(c).try_cast("long") for c in ("game_id", "visitor", "home")}
+    return normalise_schedule(rows.withColumns(ids), as_of)
+
+
 def schedule_pairs(schedule: DataFrame) -> DataFrame:
     """(P43) each game as two (team, opponent) rows: one explode, no join."""
     sides = F.array(F.struct(F.col("visitor").alias("team"), F.col("home").alias("opponent")),
@@ -172,19 +186,27 @@ def enrich_odds(odds: DataFrame, logs: DataFrame, since, recodes: dict | None =
 
 # ---------------------------------------------------------------- ratings
 
-def clean_team_ratings(raw: DataFrame, teams: DataFrame, drop_name: str = "League Average") -> DataFrame:
+def ratings_from_pages(pages: DataFrame, teams: DataFrame) -> DataFrame:
+    """(P06) ratings per page from the tables that pages hide in comments."""
+    hidden = comment_blocks(pages)
+    raw = page_table_records(hidden, RATING_HEADINGS, ids=("page_id", "pos"), html="body")
+    return clean_team_ratings(raw, teams, keep=("page_id",))
+
+
+def clean_team_ratings(raw: DataFrame, teams: DataFrame, drop_name: str = "League Average", keep=()) -> DataFrame:
     """(P06) rating text -> numbers ('*' off names, '+' off net rating), code
-    by full-name join, league-average row dropped by its name."""
+    by full-name join, league-average row dropped by its name; ``keep``: columns
+    of ``raw`` that stay."""
     r = (raw.withColumn("full_name", F.regexp_replace("team_text", r"\*", ""))
          .where(F.col("full_name") != drop_name)
-         .select("full_name",
+         .select(*keep, "full_name",
                  F.col("ortg_text").try_cast("double").alias("ortg"),
                  F.col("drtg_text").try_cast("double").alias("drtg"),
                  F.regexp_replace("nrtg_text", r"\+", "").try_cast("double").alias("nrtg"),
                  F.col("w_text").try_cast("int").alias("w"), F.col("l_text").try_cast("int").alias("l"),
                  F.col("pace_text").try_cast("double").alias("pace")))
     return r.join(team_dimension(teams), "full_name", "left").select(
-        "team", "full_name", "w", "l", "pace", "ortg", "drtg", "nrtg")
+        *keep, "team", "full_name", "w", "l", "pace", "ortg", "drtg", "nrtg")
 
 
 def rating_ranks(ratings: DataFrame) -> DataFrame:

@@ -645,3 +645,46 @@ def q_team_scorers_min_games(spark, sf_dir):
     """(P20b) the scorer table with players under 5 games dropped first."""
     fx = fixture(spark, sf_dir)
     return P.team_scorers(_enriched(fx), _record(fx), fx.v_teams, _scorers(fx), min_games=5)
+
+
+@query("page_ratings")
+def q_page_ratings(spark, sf_dir):
+    """(O04, P06) from stored pages to ratings, through the tables in their comments."""
+    fx = fixture(spark, sf_dir)
+    return S.ratings_from_pages(fx.v_rating_pages, fx.v_teams)
+
+
+def _schedule_pages(fx: Fixture) -> DataFrame:
+    """A page a day: the day's games in a table whose date spans their rows."""
+    cells = [F.concat(F.lit("<td>"), x, F.lit("</td>")) for x in (
+        F.col("game_id").cast("string"), F.col("start_text"), F.concat(F.lit("<a href='/t'>"), F.col("visitor").cast("string"), F.lit("</a>")),
+        F.lit(""), F.col("home").cast("string"))]
+    days = (_schedule_text(fx).groupBy("date_text", F.to_date("game_ts").alias("day"))
+            .agg(F.sort_array(F.collect_list(F.struct("game_id", F.concat(*cells).alias("row")))).alias("games")))
+    date = F.concat(F.lit("<th rowspan='"), F.size("games").cast("string"), F.lit("'>"), F.col("date_text"), F.lit("</th>"))
+    rows = F.transform("games", lambda g, i: F.concat(F.lit("<tr>"), F.when(i == 0, date).otherwise(F.lit("")), g["row"], F.lit("</tr>\n")))
+    head = F.lit("<TABLE class=t><tr><th>Date</th><th>Game</th><th>Start (ET)</th><th>Visitor/Neutral</th><th>PTS</th><th>Home/Neutral</th></tr>")
+    return days.select(F.unix_date("day").alias("page_id"), F.concat(head, F.array_join(rows, ""), F.lit("</TABLE>")).alias("html"))
+
+
+@query("page_schedule")
+def q_page_schedule(spark, sf_dir):
+    """(P05) from stored schedule pages to the numbered schedule."""
+    return S.schedule_from_pages(_schedule_pages(fixture(spark, sf_dir)), AS_OF)
+
+
+@query("payroll_text")
+def q_payroll_text(spark, sf_dir):
+    return P.payroll_text(_contract_sheet(fixture(spark, sf_dir)))
+
+
+from courtside.operators import sketches as SK  # noqa: E402
+
+
+@query("song_count_sketched")
+def q_song_count_sketched(spark, sf_dir):
+    """(O24) distinct songs per artist from stored sketches of each release day."""
+    fx = fixture(spark, sf_dir)
+    daily = SK.daily_sketches(fx.v_tracks, ["artist"], "release_date", "track")
+    kept = _kept(fx, "song_sketches", daily, ("lineitem", "part"), partition_by=["year"])
+    return SK.distinct_estimate(kept, ["artist"], "songs")

@@ -98,12 +98,21 @@ FROM nation
 UNION ALL SELECT CAST(NULL AS bigint), 'League Average', '109.1', '108.2', '36', '36', '99.2', '+0.9'""",
     "v_contract_sheet": """
 SELECT CASE WHEN c_custkey % 97 = 0 THEN 'Player' WHEN c_custkey % 97 = 1 THEN 'J.J. Redick' WHEN c_custkey % 97 = 2 THEN 'Kevin Knox'
+            WHEN c_custkey % 97 = 3 THEN 'Þórður Ægir Weiß' WHEN c_custkey % 97 = 4 THEN 'Nguyễn Thế Łukasz' WHEN c_custkey % 97 = 5 THEN 'Cœur Đỗ'
             ELSE 'Lukáš Dončić ' || CAST(c_custkey AS string) END AS name,
        CASE c_nationkey % 5 WHEN 0 THEN 'BRK' WHEN 1 THEN 'PHO' WHEN 2 THEN 'CHO' WHEN 3 THEN 'LAL' ELSE 'SEA' END AS team,
        CASE WHEN c_custkey % 97 = 0 THEN 'Salary' WHEN c_custkey % 7 = 0 THEN NULL
             ELSE '$' || CAST(1 + c_custkey % 45 AS string) || ',' || lpad(CAST(c_custkey % 1000 AS string), 3, '0') || ',500' END AS salary_text,
        CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '$' || CAST(2 + c_custkey % 90 AS string) || ',250,000' END AS total_text
 FROM customer""",
+    "v_rating_pages": """
+SELECT page_id, '<!-- <div><table id="ratings"><thead><tr><th rowspan="2">Rk</th><th rowspan="2">Team</th><th colspan="6">Ratings &amp; record</th></tr>'
+       || '<tr><th>W</th><th>L</th><th>Pace</th><th>ORtg</th><th>DRtg</th><th>NRtg</th></tr></thead><tbody>'
+       || '<tr><td rowspan=2>' || CAST(page_id AS string) || '<td><a href="/team">' || team_text || '</a></td><td>' || w_text || '</td><td>' || l_text
+       || '</td><td> ' || pace_text || ' </td><td><b>' || ortg_text || '</b></td><td>' || drtg_text || '<table><tr><td>0</td></tr></table></td><td>'
+       || nrtg_text || '</td></tr><tr><td>League Average</td><td>36</td><td>36</td><td>99.2</td><td>109.1</td><td>108.2</td><td>+0.9</td></tr>'
+       || '</tbody></table></div> -->' || COALESCE(html, '') AS html
+FROM pages JOIN v_team_ratings ON page_id % 25 = team""",
     "v_plays": """
 SELECT user_id AS game_id, event_id, ts,
        CASE WHEN event_id % 2 = 0 THEN event_type END AS desc_home,
@@ -132,7 +141,7 @@ SELECT p_partkey AS artist_id, p_name AS artist_name, p_size AS popularity FROM
 }
 
 # views that read other views
-VIEW_DEPS = {"v_odds": ("v_schedule",)}
+VIEW_DEPS = {"v_odds": ("v_schedule",), "v_rating_pages": ("v_team_ratings",)}
 
 
 def register_base_tables(spark: SparkSession, sf_dir: str, tables=BASE_TABLES) -> None:

@@ -1,13 +1,18 @@
 """Row extraction from stored web pages (one page per row, whole html text).
 
-Extraction is a regex over the page column plus ``posexplode``: both are
-built-in expressions, so pages are processed in parallel where they lie and
-no per-page parser or Python code is involved.
+List items and comments are a regex over the page column plus ``posexplode``.
+Tables are read from the stream of a page's tags: nesting depth is a prefix sum
+over the tags, rows and cells are numbered by prefix sums within their table, and
+cells are laid on a grid by their column and row spans. All of it is built-in
+expressions and windows whose groups are one page; no parser or Python code is
+involved.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # (?is): any case, and a dot crosses line ends, as hidden tables do
@@ -47,3 +52,126 @@ def table_cells(pages: DataFrame, ncol: int, cell: str = r"(?is)<t[dh](?:\s[^>]*
     cells = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(cell), 1)))
     return cells.select("page_id", (F.col("pos") / ncol).cast("long").alias("row"),
                         (F.col("pos") % ncol).cast("long").alias("col"), F.col("col").alias("text"))
+
+
+# ---------------------------------------------------------------- tables by their tags
+
+# a comment, a tag, a text, or a '<' that begins none of these
+TOKEN = r"(?s)<!--.*?-->|<[/a-zA-Z!?][^>]*>|[^<]+|<"
+MAX_SPAN = 1000  # browsers read larger column spans as this
+# The character references of html that texts commonly hold.
+REFERENCES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+
+
+def plain_text(c: Column) -> Column:
+    """Character references read, runs of white space to one space, ends trimmed."""
+    for name, text in REFERENCES.items():  # '&amp;' last, or '&amp;lt;' would become '<'
+        c = F.replace(c, F.lit(name), F.lit(text))
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
+def _let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with x computed once."""
+    return F.transform(F.array(x), use)[0]
+
+
+def page_grids(pages: DataFrame, ids: Sequence[str] = ("page_id",), html: str = "html") -> DataFrame:
+    """(O04, P05) every table of every page: (ids..., table, lines), ``table`` the
+    place of its tag in the page and ``lines`` its rows from the top, each an
+    array of <row, col, text, head>.
+
+    A nested table is a table of its own, and its text is not its outer cell's.
+    End tags may be missing. A cell that spans columns or rows stands in each of
+    them. Text outside of cells is dropped, as are rows without a cell. ``ids``
+    name a page uniquely. A page without a table (or null) has no row."""
+    ids = list(ids)
+    tokens = (pages.select(*ids, F.posexplode(F.regexp_extract_all(html, F.lit(TOKEN), 0)).alias("__pos", "token"))
+              .where(~F.col("token").startswith("<!--"))
+              .withColumn("tag", F.lower(F.regexp_extract("token", r"^<(/?[a-zA-Z]+)", 1))))
+    tag = F.col("tag")
+    # depth: tables opened minus tables closed so far, where end tags that close none count for nothing
+    by_page = Window.partitionBy(*ids).orderBy("__pos")
+    step = F.when(tag == "table", 1).when(tag == "/table", -1).otherwise(0)
+    tokens = tokens.withColumn("__sum", F.sum(step).over(by_page))
+    tokens = (tokens.withColumn("depth", F.col("__sum") - F.least(F.lit(0), F.min("__sum").over(by_page))).where("depth > 0"))
+    at_depth = Window.partitionBy(*ids, "depth").orderBy("__pos")
+    tokens = tokens.withColumn("table", F.last(F.when(tag == "table", F.col("__pos")), ignorenulls=True).over(at_depth))
+    in_table = Window.partitionBy(*ids, "table").orderBy("__pos")
+    opens, ends = tag.isin("td", "th"), tag.isin("/td", "/th", "tr", "/tr")
+    tokens = tokens.withColumns({
+        "row": F.count_if(tag == "tr").over(in_table),
+        "cell": F.last(F.when(opens, F.col("__pos")).when(ends, F.lit(-1)), ignorenulls=True).over(in_table)})
+    # a '<' that begins no tag is text
+    texts = F.collect_list(F.when((tag == "") & ~F.col("token").rlike(r"^<[/!?]"), F.struct("__pos", "token")))
+
+    def span(name):
+        n = F.regexp_extract("token", rf"(?i)\s{name}\s*=\s*[\"']?\s*(\d+)", 1).try_cast("int")
+        return F.max(F.when(opens, F.least(F.greatest(n, F.lit(1)), F.lit(MAX_SPAN))))
+
+    cells = (tokens.where("cell >= 0").groupBy(*ids, "table", "cell")
+             .agg(F.min("row").alias("row"), texts.alias("t"), F.bool_or(tag == "th").alias("head"),
+                  F.coalesce(span("colspan"), F.lit(1)).alias("wide"), F.coalesce(span("rowspan"), F.lit(1)).alias("high")))
+    text = plain_text(F.array_join(F.transform(F.sort_array("t"), lambda x: x["token"]), ""))
+    cell = F.struct("cell", F.col("high").alias("left"), text.alias("text"), "head", "wide")
+    lines = (cells.groupBy(*ids, "table", "row").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+             .groupBy(*ids, "table").agg(F.sort_array(F.collect_list(F.struct("row", "cells"))).alias("rows")))
+    return lines.select(*ids, F.col("table").cast("long").alias("table"), _laid(F.col("rows")).alias("lines"))
+
+
+def _laid(rows: Column) -> Column:
+    """Rows of cells on their grid: the cells of a row take, from the left, the
+    columns that no cell from above still stands in."""
+    def lay(done: Column, row: Column) -> Column:
+        held = done["held"]
+        units = F.flatten(F.transform(row["cells"], lambda c: F.transform(F.sequence(F.lit(1), c["wide"]), lambda _: F.struct(
+            c["left"].alias("left"), c["text"].alias("text"), c["head"].alias("head")))))
+
+        def place(units: Column) -> Column:
+            columns = F.sequence(F.lit(0), F.size(held) + F.size(units) - 1)
+            free = F.filter(columns, lambda j: F.coalesce(F.get(held, j)["left"], F.lit(0)) <= 0)
+            taken = _let(free, lambda free: F.transform(columns, lambda j: F.coalesce(
+                F.get(units, F.array_position(free, j).cast("int") - 1), F.when(F.get(held, j)["left"] > 0, F.get(held, j)))))
+            return _let(taken, lambda t: F.slice(t, 1, F.array_max(F.transform(t, lambda x, j: F.when(x.isNotNull(), j + 1).otherwise(0)))))
+
+        def next_state(line: Column) -> Column:
+            return F.struct(
+                F.transform(line, lambda x: F.struct((F.coalesce(x["left"], F.lit(0)) - 1).alias("left"), x["text"].alias("text"),
+                                                     x["head"].alias("head"))).alias("held"),
+                F.concat(done["out"], F.array(F.transform(line, lambda x, j: F.struct(
+                    (row["row"] - 1).alias("row"), j.cast("long").alias("col"), x["text"].alias("text"), x["head"].alias("head"))))).alias("out"))
+
+        return _let(_let(units, place), next_state)
+
+    empty = F.struct(F.array().cast("array<struct<left:int,text:string,head:boolean>>").alias("held"),
+                     F.array().cast("array<array<struct<row:bigint,col:bigint,text:string,head:boolean>>>").alias("out"))
+    return F.aggregate(rows, empty, lay, lambda done: done["out"])
+
+
+def page_table_cells(pages: DataFrame, ids: Sequence[str] = ("page_id",), html: str = "html") -> DataFrame:
+    """(O04) the grids' cells as rows: (ids..., table, row, col, text, head)."""
+    grids = page_grids(pages, ids, html)
+    cells = grids.select(*ids, "table", F.explode(F.flatten("lines")).alias("c"))
+    return cells.where("c.text is not null").select(*ids, "table", "c.*")
+
+
+def page_table_records(pages: DataFrame, columns: dict[str, str], ids: Sequence[str] = ("page_id",), html: str = "html") -> DataFrame:
+    """(P05, P06) rows of the tables whose heading has all of ``columns`` (output
+    name -> heading): (ids..., table, row, output columns...).
+
+    The heading is the last of the rows of heading cells at a table's top; rows
+    of heading cells alone that come later repeat it and are dropped. Of
+    headings that occur twice the first counts. Where a row's line is shorter
+    than the heading, the rest is null."""
+    def heading(line):
+        return F.forall(line, lambda x: F.coalesce(x["head"], F.lit(True)))
+
+    g = page_grids(pages, ids, html).withColumn("first", F.array_position(F.transform("lines", heading), F.lit(False)).cast("int"))
+    g = g.where("first > 1").withColumn("names", F.transform(F.get("lines", F.col("first") - 2), lambda x: x["text"]))
+    g = g.where(" and ".join(["true"] + [f"array_contains(names, {_quoted(h)})" for h in columns.values()]))
+    rows = g.select(*ids, "table", "names", F.explode(F.filter("lines", lambda line: ~heading(line))).alias("line"))
+    found = [F.get("line", F.array_position("names", F.lit(h)).cast("int") - 1)["text"].alias(name) for name, h in columns.items()]
+    return rows.select(*ids, "table", F.col("line")[0]["row"].alias("row"), *found)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -37,8 +37,23 @@ def test_text_parsing(spark):
 
 
 def test_ascii_fold_and_first_replace(spark):
-    assert len(X.ACCENTED) == len(X.ASCII_FORM)
     assert one(spark, X.ascii_fold("c"), "Dončić Jokić Schröder", "c string") == "Doncic Jokic Schroder"
+    folded = {"Weiß ẞ": "Weiss SS", "Ægir Œuvre Cœur": "AEgir OEuvre Coeur", "Þórður": "THordur", "Łukasz Đỗ Nguyễn Thế": "Lukasz Do Nguyen The",
+              "Ĳssel ŉ ǆ ﬁ ŀ": "IJssel 'n dz fi l", "e\u0301 o\u0308": "e o", "İı Ħ ŧ": "Ii H t", "日本 αβ 😀 ½": "日本 αβ 😀 ½", "": ""}
+    for text, ascii_text in folded.items():
+        assert one(spark, X.ascii_fold("c"), text, "c string") == ascii_text
+    # no letter of the Latin blocks with a base letter is left
+    letters = "".join(chr(i) for a, b in X.LATIN_BLOCKS for i in range(a, b + 1) if chr(i) in X.FOLDS)
+    assert len(X.FOLDS) > 600 and one(spark, X.ascii_fold("c"), letters, "c string").isascii()
+
+
+def test_number_texts(spark):
+    assert [one(spark, X.thousands_text("c"), v, "c double") for v in (0.0, 999.0, 1000.0, 1234567.0, -45000.0, None)] == [
+        "0", "999", "1,000", "1,234,567", "-45,000", None]
+    assert one(spark, X.money_text("c"), 12500000.0, "c double") == "$12,500,000" and one(spark, X.money_text("c"), None, "c double") is None
+
+
+def test_first_replace_and_last_word(spark):
     # first match only, and the dot is a wildcard as in a regex
     assert one(spark, X.replace_first("c", "Jr.", ""), "Jr. Jr.", "c string") == " Jr."
     assert one(spark, X.replace_first("c", "Jr.", ""), "AJrX", "c string") == "A"

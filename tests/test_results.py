@@ -79,3 +79,14 @@ def test_written_rows_are_the_same_twice(spark):
     df = spark.range(100).withColumn("r", F.rand())
     kept = RS.written(df, "written")
     assert rows(kept) == rows(kept) and kept.count() == 100
+
+
+@pytest.mark.parametrize("name", ["slice_team_margins", "slice_team_scorers", "slice_injuries_team"])
+def test_team_slices_read_that_team_s_files(spark, name):
+    from courtside.queries import QUERIES
+    from tests.conftest import SF_SMALL
+    df = QUERIES[name](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan parquet" in line and "/results/" in line)
+    wanted = "dynamicpruning" if name == "slice_injuries_team" else "(team"  # the team is known by name only: found by the join
+    assert wanted in scan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]

@@ -49,3 +49,93 @@ def test_page_extraction(spark):
     assert blocks.count() == 1
     cells = PG.table_cells(blocks.withColumnRenamed("body", "html"), 2)
     assert rows(cells, "row", "col", "text") == [(0, 0, "Team"), (0, 1, "W"), (1, 0, "A"), (1, 1, "3")]
+
+
+TABLE = """<p>x</p></table><table id=a><thead><tr><th rowspan="2">Rk</th><th rowspan=2>Team</th><th colspan='2'>Rating</th></tr><tr><th>W</th><th>L</th></tr></thead>
+<tr><td>1<td><a href='/t'>A &amp;lt; B</a> <TABLE><tr><td>in</td></tr></table> tail</td><td>3 < 4</td><td></td></tr><!-- <td>no</td> -->
+<tr><th>Rk</th><th>Team</th><th>W</th><th>L</th></tr><tr><td rowspan=3>2</td><td>C</td><td>5</td></tr><tr><td>D</td><td>6</td><td>7</td></tr>
+<tr></tr></table>after<table><tr><td>solo</td></tr>"""
+
+
+def grids(spark, html):
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    return [[[c.text for c in line] for line in r.lines] for r in PG.page_grids(df).orderBy("table").collect()]
+
+
+def test_tables_by_their_tags(spark):
+    """Nesting, missing and stray end tags, spans, comments, references, text outside."""
+    head = [["Rk", "Team", "Rating", "Rating"], ["Rk", "Team", "W", "L"]]
+    assert grids(spark, TABLE) == [
+        [*head, ["1", "A &lt; B tail", "3 < 4", ""], ["Rk", "Team", "W", "L"], ["2", "C", "5"], ["2", "D", "6", "7"]], [["in"]], [["solo"]]]
+    pages = spark.createDataFrame([(1, TABLE), (2, None), (3, ""), (4, "<p>no <td>table</td></p>")], "page_id long, html string")
+    records = PG.page_table_records(pages, {"team": "Team", "l": "L"})
+    assert rows(records, "page_id", "row", "team", "l") == sorted([(1, 2, "A &lt; B tail", ""), (1, 4, "C", None), (1, 5, "D", "7")], key=repr)
+    assert PG.page_table_records(pages, {"x": "it's not there"}).count() == 0
+    cells = PG.page_table_cells(pages)
+    assert cells.columns == ["page_id", "table", "row", "col", "text", "head"] and cells.where("head").count() == 12
+
+
+def test_spans_on_the_grid(spark):
+    assert grids(spark, "<table><tr><td rowspan=2>a<td>b<td rowspan=3>c<tr><td>d<tr><td>e<td>f<td>g<tr><td>h</table>") == [
+        [["a", "b", "c"], ["a", "d", "c"], ["e", "f", "c", "g"], ["h"]]]
+    assert grids(spark, "<table><tr><td colspan=2 rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>") == [[["a", "a", "b"], ["a", "a", "c"], ["d", "e"]]]
+    assert grids(spark, "<table><tr><td colspan=0>a<td rowspan='x'>b</table>") == [[["a", "b"]]]
+    assert len(grids(spark, "<table><tr><td colspan=99999>a</table>")[0][0]) == 1000
+
+
+def test_tables_against_a_plain_reader(spark):
+    """Random tables without spans, some nested, by the standard library's parser."""
+    import random
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.done, self.open = [], []
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "table":
+                self.open.append([len(self.done), []])
+                self.done.append(None)
+            elif self.open and tag == "tr":
+                self.open[-1][1].append([])
+            elif self.open and tag in ("td", "th"):
+                self.open[-1][1][-1].append("")
+
+        def handle_endtag(self, tag):
+            if tag == "table" and self.open:
+                at, lines = self.open.pop()
+                self.done[at] = [[" ".join(c.split()) for c in line] for line in lines if line]
+
+        def handle_data(self, data):
+            if self.open and self.open[-1][1] and self.open[-1][1][-1]:
+                self.open[-1][1][-1][-1] += data
+
+    rng = random.Random(9)
+
+    def table(depth):
+        def cell():
+            inner = table(depth + 1) if depth < 3 and rng.random() < 0.15 else ""
+            return rng.choice(["<td>", "<th class='x'>", "<TD\n>"]) + rng.choice(["", "a b", "  7 ", "<b>x</b>\ny"]) + inner + rng.choice(["", " z"])
+        body = "".join("<tr>" + "".join(cell() for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(0, 5)))
+        return f"<table>{body}</table>"
+
+    pages = [(i, "".join(rng.choice(["text ", "<p>"]) + table(0) for _ in range(rng.randint(0, 3)))) for i in range(60)]
+    want = {}
+    for i, html in pages:
+        reader = Reader()
+        reader.feed(html)
+        want[i] = [t for t in reader.done if t]
+    got = {i: [] for i, _ in pages}
+    for r in PG.page_grids(spark.createDataFrame(pages, "page_id long, html string").repartition(3)).orderBy("page_id", "table").collect():
+        got[r.page_id].append([[c.text for c in line] for line in r.lines])
+    assert got == want
+
+
+def test_hidden_tables_to_ratings(spark):
+    from courtside.plans import schedule as S
+    html = ("<p>a</p><!-- <table><tr><th>Team<th>W<th>L<th>Pace<th>ORtg<th>DRtg<th>NRtg</tr><tr><td>One*<td>3<td>4<td>99.5<td>110<td>108.5<td>+1.5</tr>"
+            "<tr><td>League Average<td>1<td>1<td>1<td>1<td>1<td>1</tr></table> --><!-- plain -->")
+    pages = spark.createDataFrame([(5, html), (6, "<p>nothing</p>")], "page_id long, html string")
+    teams = spark.createDataFrame([(11, "One", "E")], "team long, full_name string, conference string")
+    assert [tuple(r) for r in S.ratings_from_pages(pages, teams).collect()] == [(5, 11, "One", 3, 4, 99.5, 110.0, 108.5, 1.5)]

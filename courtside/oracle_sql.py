@@ -653,3 +653,7 @@ oracle("payroll_text", """
 SELECT team, format('{:,}', count(*)) AS players, '$' || format('{:,}', CAST(sum(salary) AS bigint)) AS payroll,
        '$' || format('{:,}', CAST(sum(total_owed) AS bigint)) AS owed FROM sheet GROUP BY team""", "sheet")
 ORACLE["song_count_sketched"] = ORACLE["song_count"]
+oracle("injury_changes", """
+SELECT CASE team WHEN 3 THEN 'delete' WHEN 5 THEN 'change' ELSE 'insert' END AS change, injury_id, team,
+       CASE team WHEN 5 THEN description || ' (day to day)' ELSE description END AS description
+FROM v_injuries WHERE team IN (3, 5, 7)""", "v_injuries")

@@ -483,6 +483,7 @@ def q_game_titles(spark, sf_dir):
 
 # ------------------------------------------------------------------ M6 catalogue, slices, snapshot
 
+import datetime as dt  # noqa: E402
 import hashlib  # noqa: E402
 import uuid  # noqa: E402
 
@@ -688,3 +689,20 @@ def q_song_count_sketched(spark, sf_dir):
     daily = SK.daily_sketches(fx.v_tracks, ["artist"], "release_date", "track")
     kept = _kept(fx, "song_sketches", daily, ("lineitem", "part"), partition_by=["year"])
     return SK.distinct_estimate(kept, ["artist"], "songs")
+
+
+from courtside.sources import keyed as KE  # noqa: E402
+
+
+@query("injury_changes")
+def q_injury_changes(spark, sf_dir):
+    """(O49) the injury list refreshed twice, the second time without the injuries
+    of team 3, with those of team 5 described anew and those of team 7 added:
+    what changed, from the stored delta."""
+    injuries = fixture(spark, sf_dir).v_injuries
+    path = f"{checkpoint_root(spark)}/keyed/injuries-{uuid.uuid4().hex}"
+    day = dt.datetime(2021, 1, 1, tzinfo=dt.timezone.utc)
+    KE.refresh_keyed(spark, injuries.where("team <> 7"), path, ["injury_id"], now=day)
+    described = F.when(F.col("team") == 5, F.concat("description", F.lit(" (day to day)"))).otherwise(F.col("description"))
+    KE.refresh_keyed(spark, injuries.where("team <> 3").withColumn("description", described), path, ["injury_id"], now=day + dt.timedelta(days=1))
+    return KE.changes_since(spark, path, 1).drop("version")

@@ -19,9 +19,8 @@ text when nothing could be learned. Ties go to the language first in order.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +33,8 @@ EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.8, 1.0, 0.02, 0.02
 SCALE = 30.0      # of the features, so that penalties and rates suit frequencies
 NEVER = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+LETTER = r"\p{L}"   # Unicode's letters: no numerals, marks or symbols
+_letter = regex.compile(LETTER)
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
@@ -51,7 +51,7 @@ def grams(text: str | None) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return bool(text) and _letter.search(text) is not None
 
 
 def distinct(h: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -146,7 +146,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     rest = F.crc32(doc_id.cast("string")) % 5
     rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.col(lang_col).cast("string").alias("lang"), rest.alias("rest"))
-    rows = rows.where("rest <> 0 and lang is not null and text rlike '\\\\p{L}'")
+    rows = rows.where(F.col("lang").isNotNull() & (F.col("rest") != 0) & F.col("text").rlike(LETTER))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(counts)
     if not langs:

@@ -61,3 +61,18 @@ def test_nothing_to_learn(docs_of):
     assert {(r.lang_pred, r.score) for r in identify(docs).collect()} == {("und", 0.0)}
     assert identify(docs.where("false")).count() == 0
     assert Model([], None, None, 1.0).predict("x") == ("und", 0.0)
+
+
+def test_texts_without_a_letter_are_und(spark, docs_of, model):
+    """Numerals that are no digits, symbols and marks are no letters, in
+    learning and in prediction alike."""
+    import unicodedata
+    odd = ["½", "² ① 12", "Ⅷ", "٣ ४", "\u0301\u0308", "😀 € ∑", "___ 7_", "☃ ⓐ", "ª", "ʰ", "ǅ", "日", "1a", "ſ", "ß ½"]
+    want = {t: any(unicodedata.category(c)[0] == "L" for c in t) for t in odd}
+    found = {odd[r.doc_id]: r for r in predict(docs_of(list(enumerate(odd))), model).collect()}
+    assert {t: r.lang_pred != "und" for t, r in found.items()} == want
+    assert all(r.score == 0.0 for t, r in found.items() if not want[t])
+    chars = [chr(i) for i in range(0x3000) if unicodedata.category(chr(i)) not in ("Cn", "Cs")]
+    jvm = {r.c for r in spark.createDataFrame([(c,) for c in chars], "c string").where(F.col("c").rlike(langid.LETTER)).collect()}
+    letters = {c for c in chars if unicodedata.category(c)[0] == "L"}
+    assert {c for c in chars if langid.has_letter(c)} == letters == jvm

@@ -7,14 +7,26 @@ task leaves nothing behind that a reader would see. Of the records with equal pa
 least ``min_bytes`` the one with the largest page id is the response, the
 others are revisits that name it; smaller payloads are all responses.
 
-Salvage reader: archives are read through a bounded window. A member is
-accepted only if its gzip check sum holds, it starts with a version line, its
-length adds up and its block digest agrees. After a failed check the reader
-searches on from the next byte for the next member start (``1F 8B 08``) or, in
-an uncompressed archive, the next version line, recovers the records from
-there on, and logs the bytes in between as a quarantined gap (start, end,
-reason). Gzip starts that turn up by chance inside a member are tried and fail
-the same checks.
+Salvage reader: archives are read through a window that holds a record and a
+few chunks. A record is accepted if it starts with a version line, its length
+adds up, its block digest agrees and its member's gzip check sum holds. A member
+may hold any number of records. A damaged record in a member whose check sum
+holds costs that record alone. If a member breaks off or can't be inflated to its
+end, the records before that are accepted by their digests; if only the check
+sum fails, they are as long as a record's digest shows where the damage is (if
+none does, headers are damaged, and nobody knows whose). After a failed check the
+reader searches on for the next member start (``1F 8B 08``) or, in an
+uncompressed archive, the next version line, recovers the records from there on,
+and logs the bytes in between as a quarantined gap (start, end, reason; a member
+that was recovered in part is a gap, and the reason tells how many records it
+gave). The search begins a byte after the start that failed, or, in a member
+that gave records, where the last of them was complete. Gzip starts that turn up
+by chance inside a member are tried and fail the same checks. A block that claims
+to be longer than ``LARGE`` in an uncompressed archive is first hashed as a
+stream, and a member with more than that in records is read twice, so a wrong
+length in the one and a long row of records in the other fill no memory; a wrong
+length inside a member holds what is left of it. Headers may be ``MAX_HEAD`` long,
+wherever in the window they stand.
 
 Null html is an empty payload. A null page_id is written without an id and
 read back as null; it is a response, and nothing refers to it. Repeated rows
@@ -40,9 +52,9 @@ PER_ARCHIVE = 20000      # records
 ARCHIVE_BYTES = 16 << 20  # when an archive has so many, the next is begun
 LEVEL = 4              # of gzip
 CHUNK = 1 << 20        # bytes read at a time
-MAX_HEAD = 1 << 16     # bytes of a record's headers
+MAX_HEAD = 1 << 24     # bytes of a record's headers
+LARGE = 8 << 20        # a block that is checked before it is held
 VERSION = b"WARC/1.1"
-_LENGTH = re.compile(rb"(?i)\r\ncontent-length:[ \t]*(\d{1,18})")
 _START = re.compile(rb"WARC/1\.[01]\r\n")
 _START_OR_MEMBER = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 RECORD = ("page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, "
@@ -87,39 +99,95 @@ def member(record: bytes) -> bytes:
 
 
 class Damaged(Exception):
-    pass
+    """``resume``: where to search on, if not right behind the start."""
 
+    def __init__(self, why: str, resume: int | None = None):
+        super().__init__(why)
+        self.resume = resume
 
-def decode_record(data: bytes, at: int = 0) -> tuple[dict, bytes, int]:
-    """(headers, block, end) of the record that starts at ``at``."""
+
+def headers_of(data, at: int = 0) -> tuple[dict, int, int] | None:
+    """(headers, start of the block, its claimed length) of the record at
+    ``at``; None if its headers go on beyond ``data``."""
     if not _START.match(data, at):
         raise Damaged("no version line")
-    split = data.find(b"\r\n\r\n", at)
+    split = data.find(b"\r\n\r\n", at, at + MAX_HEAD)
     if split < 0:
-        raise Damaged("headers do not end")
+        if len(data) - at >= MAX_HEAD:
+            raise Damaged("headers do not end")
+        return None
     head = {}
-    for line in data[at:split].split(b"\r\n")[1:]:
+    for line in bytes(data[at:split]).split(b"\r\n")[1:]:
         k, colon, v = line.partition(b":")
         if not colon:
             raise Damaged("bad header")
         head[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
     size = head.get("content-length", "")
-    if not size.isdigit():
+    if not (size.isascii() and size.isdigit() and len(size) < 19):
         raise Damaged("no content length")
-    start, end = split + 4, split + 4 + int(size)
+    return head, split + 4, int(size)
+
+
+def hasher(named: str):
+    """(a hash object, the digest wanted) of a digest header, or None if the
+    header is missing or of a kind that can't be tested."""
+    kind, _, value = named.partition(":")
+    kind = kind.strip().lower().replace("-", "")
+    return (hashlib.new(kind), value.strip()) if kind in ("md5", "sha1", "sha256", "sha512") else None
+
+
+def agrees(h, value: str) -> bool:
+    return value.lower() == h.hexdigest() or value.upper().rstrip("=") == base64.b32encode(h.digest()).decode().rstrip("=")
+
+
+def decode_record(data, at: int = 0) -> tuple[dict, bytes, int] | None:
+    """(headers, block, end) of the record that starts at ``at``; None if it goes
+    on beyond ``data``."""
+    found = headers_of(data, at)
+    if found is None:
+        return None
+    head, start, size = found
+    end = start + size
+    if len(data) < end + 4:
+        return None
     if data[end:end + 4] != b"\r\n\r\n":
         raise Damaged("length does not add up")
-    block = data[start:end]
-    digest = head.get("warc-block-digest")
-    if digest and digest != f"sha1:{sha1(block)}":
-        raise Damaged("block digest differs")
+    block = bytes(data[start:end])
+    if test := hasher(head.get("warc-block-digest", "")):
+        test[0].update(block)
+        if not agrees(*test):
+            raise Damaged("block digest differs")
     return head, block, end + 4
 
 
 # ---------------------------------------------------------------- salvage
 
+def upto_fault(z, piece: bytes) -> Iterator[bytes]:
+    """What ``z`` makes of a piece that it can't inflate as a whole."""
+    for step in (1 << 12, 64, 1):
+        while piece:
+            before = z.copy()
+            try:
+                yield z.decompress(piece[:step])
+            except zlib.error:
+                z = before
+                break
+            piece = piece[step:]
+
+
+class Told:
+    """What is known of a member when it was read: its end, where its last sound
+    record was complete, what was wrong, whether the check sum held, whether a
+    record's digest failed, and whether digests then prove the other records."""
+
+    def __init__(self, at: int):
+        self.end = self.last = at
+        self.why, self.sound, self.spoilt, self.proves = "", False, False, False
+
+
 class Window:
-    """Random reads of a stream, of which only what may still be needed is held."""
+    """Random reads of a stream that can seek, of which only what may still be
+    needed is held."""
 
     def __init__(self, stream):
         self.stream, self.base, self.data, self.done = stream, 0, bytearray(), False
@@ -136,6 +204,12 @@ class Window:
             del self.data[:upto - self.base]
             self.base = upto
 
+    def rewind(self, at: int) -> None:
+        """Hold what follows ``at`` again, if it is forgotten."""
+        if at < self.base:
+            self.stream.seek(at)
+            self.base, self.data, self.done = at, bytearray(), False
+
     def find_start(self, at: int) -> int:
         """Where the next member or version line may start, or the end."""
         while True:
@@ -147,45 +221,142 @@ class Window:
             if not self.more():
                 return self.base + len(self.data)
 
-    def inflate(self, at: int) -> tuple[bytes, int]:
-        """The gzip member at ``at``, its check sum tested, and its end."""
-        z, out, pos = zlib.decompressobj(31), [], at
+    def inflate(self, at: int) -> Iterator[tuple[bytes, int, int]]:
+        """The gzip member at ``at`` in pieces, each with the places in the
+        archive from and up to which it was read; ends when the check sum has held."""
+        z, pos = zlib.decompressobj(31), at
         while not z.eof:
             if pos - self.base >= len(self.data) and not self.more():
                 raise Damaged("member is cut off")
             piece = bytes(self.data[pos - self.base:pos - self.base + CHUNK])
-            try:
-                out.append(z.decompress(piece))
-            except zlib.error as e:
-                raise Damaged(str(e)) from None
-            if len(out) == 1 and len(out[0]) >= 10 and not _START.match(out[0]):
-                raise Damaged("no version line")
-            pos += len(piece)
-        return b"".join(out), pos - len(z.unused_data)
+            while piece and not z.eof:
+                before = z.copy()
+                try:
+                    out = z.decompress(piece, CHUNK)
+                except zlib.error as e:
+                    for out in upto_fault(before, piece):
+                        yield out, pos, pos
+                    raise Damaged(str(e)) from None
+                begun, pos = pos, pos + len(piece) - len(z.unused_data if z.eof else z.unconsumed_tail)
+                piece = z.unconsumed_tail
+                yield out, begun, pos
+            self.forget(pos)
+
+    def member(self, at: int) -> Iterator[tuple[dict, bytes] | int]:
+        """(headers, block) of the records of the gzip member at ``at`` that can
+        be trusted, then the member's end; Damaged, if it held anything else.
+        Which can be trusted is known at its end: records are held until then,
+        or read a second time if they are more than ``LARGE``."""
+        told = Told(at)
+        held, size, records = [], 0, self._records(at, told)
+        for r in records:
+            if size <= LARGE:
+                held.append(r)
+            size += len(r[1])
+        if size > LARGE:
+            self.rewind(at)
+            held = self._records(at, Told(at))
+        given = 0
+        for head, block in held:
+            if told.sound or (told.proves and hasher(head.get("warc-block-digest", ""))):
+                given += 1
+                yield head, block
+        if told.why:
+            raise Damaged(f"{told.why}; {given} records recovered" if given else told.why, (told.end if told.sound else told.last) if given else None)
+        yield told.end
+
+    def _records(self, at: int, told: Told) -> Iterator[tuple[dict, bytes]]:
+        """All records of a member whose length and digest are right. A damaged
+        one is skipped up to the next version line. ``told`` tells the rest."""
+        raw, wanted, met = bytearray(), 10, False
+
+        def take(last: bool):
+            """The next record of ``raw``, or None if ``raw`` has to grow."""
+            nonlocal wanted
+            while raw and (last or len(raw) >= wanted):
+                try:
+                    found = headers_of(raw)
+                    wanted = 2 * len(raw) if found is None else found[1] + found[2] + 4
+                    record = decode_record(raw)
+                    if record is None and last:
+                        raise Damaged("length does not add up")
+                except Damaged as e:
+                    if not met:
+                        raise
+                    told.why, told.spoilt = told.why or str(e), True
+                    start = _START.search(raw, 1)
+                    del raw[:start.start() if start else len(raw) if last else max(1, len(raw) - 10)]
+                    wanted = 10
+                    continue
+                if record is None:
+                    return None
+                del raw[:record[2]]
+                wanted = 10
+                return record[:2]
+            return None
+
+        try:
+            for out, begun, told.end in self.inflate(at):
+                raw += out
+                met = met or _START.match(raw) is not None
+                while record := take(False):
+                    told.last = begun
+                    yield record
+            while record := take(True):
+                yield record
+            told.sound = True
+        except Damaged as e:
+            # a check sum that fails by itself leaves open which headers are wrong
+            told.proves = told.spoilt or not str(e).startswith("Error -3 while decompressing data: incorrect")
+            told.why = str(e)
 
     def plain(self, at: int) -> tuple[dict, bytes, int]:
-        """The uncompressed record at ``at``: its headers first, which tell how
-        much more to read."""
-        def held() -> int:
-            return len(self.data) - (at - self.base)
-
-        if not _START.match(self.data, at - self.base):
-            raise Damaged("no version line")
-        while (split := self.data.find(b"\r\n\r\n", at - self.base)) < 0 and held() < MAX_HEAD and self.more():
-            pass
-        head = bytes(self.data[at - self.base:split]) if split >= 0 else b""
-        size = _LENGTH.search(head)
-        wanted = len(head) + 8 + int(size[1]) if size else MAX_HEAD
-        while held() < wanted and self.more():
+        """The uncompressed record at ``at``."""
+        while (found := headers_of(self.data, at - self.base)) is None:
+            if not self.more():
+                raise Damaged("headers do not end")
+        head, start, size = found
+        start += self.base
+        if size > LARGE:
+            self.test_large(head, start, size)
+            self.rewind(at)
+        while len(self.data) < start + size + 4 - self.base and self.more():
             pass
-        headers, block, end = decode_record(bytes(self.data[at - self.base:at - self.base + wanted]))
-        return headers, block, at + end
+        record = decode_record(self.data, at - self.base)
+        if record is None:
+            raise Damaged("length does not add up")
+        return head, record[1], start + size + 4
+
+    def test_large(self, head: dict, start: int, size: int) -> None:
+        """Read over a large block, holding a few chunks, and fail if its length
+        or digest is wrong."""
+        test, at, end = hasher(head.get("warc-block-digest", "")), start, start + size
+        begun = self.base
+        try:
+            while at < end:
+                if at - self.base >= len(self.data) and not self.more():
+                    raise Damaged("length does not add up")
+                piece = bytes(self.data[at - self.base:min(end - self.base, at - self.base + CHUNK)])
+                if test:
+                    test[0].update(piece)
+                at += len(piece)
+                self.forget(at)
+            while len(self.data) < end + 4 - self.base and self.more():
+                pass
+            if self.data[end - self.base:end + 4 - self.base] != b"\r\n\r\n":
+                raise Damaged("length does not add up")
+            if test and not agrees(*test):
+                raise Damaged("block digest differs")
+        finally:
+            self.rewind(begun)
 
 
 def salvage(stream) -> Iterator[tuple]:
-    """("record", offset, headers, block) and ("gap", start, end, reason)."""
+    """("record", offset, headers, block) and ("gap", start, end, reason), from
+    a stream that can seek. All records of a member have its offset."""
     w, at, bad, why = Window(stream), 0, None, ""
     while True:
+        w.rewind(at)
         while at - w.base >= len(w.data) and w.more():
             pass
         if at - w.base >= len(w.data):
@@ -194,22 +365,26 @@ def salvage(stream) -> Iterator[tuple]:
             pass
         lead = bytes(w.data[at - w.base:at - w.base + 3])
         try:
-            if lead == b"\x1f\x8b\x08":
-                raw, end = w.inflate(at)
-                head, block, used = decode_record(raw)
-                if used != len(raw):
-                    raise Damaged("more than a record in a member")
-            else:
-                head, block, end = w.plain(at)
+            found = w.member(at) if lead == b"\x1f\x8b\x08" else iter((w.plain(at),))
+            for x in found:
+                if isinstance(x, int):
+                    end = x
+                    continue
+                if bad is not None:
+                    yield "gap", bad, at, why
+                    bad = None
+                yield "record", at, x[0], x[1]
+                end = x[-1]
         except Damaged as e:
             if bad is None:
                 bad, why = at, str(e)
-            at = w.find_start(at + 1)
+            at = max(at + 1, e.resume or 0)
+            w.rewind(at)
+            at = w.find_start(at)
             continue
-        if bad is not None:
+        if bad is not None:  # a sound member without a record
             yield "gap", bad, at, why
             bad = None
-        yield "record", at, head, block
         at = end
         w.forget(at)
     if bad is not None:
@@ -271,7 +446,7 @@ def _each(archives: DataFrame, schema: str, wanted: str, payload: bool = True):
 
     def rows(archive):
         fs, p = open_path(archive)
-        with fs.open_input_stream(p, compression=None) as stream:
+        with fs.open_input_file(p) as stream:
             for kind, at, x, y in salvage(stream):
                 if kind != wanted:
                     continue

@@ -82,6 +82,14 @@ def text_key(*cols) -> list[Column]:
     return [F.xxhash64(*cols).alias("k1"), F.xxhash64(F.lit("courtside"), *cols).alias("k2")]
 
 
+def unused(names: Sequence[str], base: str) -> str:
+    """A column name that is none of ``names``, whatever their case."""
+    taken = {n.lower() for n in names}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def join_on(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], how: str) -> DataFrame:
     """Null-safe equi-join."""
     cond = reduce(lambda a, b: a & b, [left[x].eqNullSafe(right[y]) for x, y in pairs])

@@ -17,6 +17,10 @@ Null text counts as empty, an empty or wordless text has fingerprint 0 and is
 linked like any other. Rows with equal fingerprints form one class, so copies
 cost nothing. A null doc_id takes part but names no component; a component
 without any id has a null component_id. Rows that repeat a doc_id stay rows.
+
+``drop_near_duplicates`` leaves one row of every component: that with the smallest
+doc_id (null last), of one id that with the smallest text hash, and of rows equal
+in both any one.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtside.llm.common import components, id_text, map_batches, stored
+from courtside.llm.common import components, id_text, map_batches, stored, text_key, unused
 
 SHINGLE = 3       # words
 DISTANCE = 3      # bits
@@ -58,10 +62,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row."""
+    """(doc_id, k1, k2, fp) of every row; k1 and k2 stand for the text."""
     def one(cols, shingle):
-        return {"doc_id": cols["doc_id"], "fp": [fingerprint(t, shingle) for t in cols["text"]]}
-    return map_batches(docs, one, "doc_id long, fp long", shingle=shingle)
+        return {**{c: cols[c] for c in ("doc_id", "k1", "k2")}, "fp": [fingerprint(t, shingle) for t in cols["text"]]}
+    keyed = docs.select("doc_id", "text", *text_key(F.col("text")))
+    return map_batches(keyed, one, "doc_id long, k1 long, k2 long, fp long", shingle=shingle)
 
 
 def _signed(x: int) -> int:
@@ -127,23 +132,46 @@ def links(fps: DataFrame, distance: int = DISTANCE, bucket_pairs: int = BUCKET_P
     return met.union(far).distinct()
 
 
+def _roots(fps: DataFrame, distance: int, bucket_pairs: int) -> DataFrame:
+    """(fp, root) of the distinct fingerprints ``fps``: one root a component."""
+    comp = components(links(fps, distance, bucket_pairs))
+    return fps.join(comp, fps["fp"] == comp["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                        distance: int = DISTANCE, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
     """One row per input row: doc_id, fp (signed long), component_id."""
-    fp = stored(fingerprints(id_text(docs, id_col, text_col), shingle), "simhash")
+    fp = stored(fingerprints(id_text(docs, id_col, text_col), shingle).select("doc_id", "fp"), "simhash")
     classes = stored(fp.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-classes")
-    comp = components(links(classes.select("fp"), distance, bucket_pairs))
-    rooted = classes.join(comp, classes.fp == comp.node, "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.join(_roots(classes.select("fp"), distance, bucket_pairs), "fp")
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     label = rooted.join(named, "root").select("fp", "component_id")
     return fp.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """The rows whose id names their component (rows of one id stay together).
-    Rows without an id can't be told apart by name and stay."""
-    c = simhash_components(docs, id_col, text_col, **params)
-    keep = c.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    keep = keep.union(docs.sparkSession.range(1).select(F.lit(None).cast("long")))
-    return docs.join(keep, docs[id_col].cast("long").eqNullSafe(keep["__id"]), "left_semi")
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                         distance: int = DISTANCE, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
+    """One row of each component, all columns. Who stays is found on ids and text
+    hashes; only rows that repeat both, if there are any, are compared as rows."""
+    row = ["doc_id", "k1", "k2"]
+    fp = stored(fingerprints(id_text(docs, id_col, text_col), shingle), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), *row)).alias("first")
+    classes = stored(fp.groupBy("fp").agg(first), "simhash-classes")
+    rooted = classes.join(_roots(classes.select("fp"), distance, bucket_pairs), "fp")
+    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*").drop("unnamed")
+    repeated = fp.groupBy(*row).count().where("count > 1").withColumnsRenamed({c: "r_" + c for c in row})
+    again = F.coalesce(F.col("count") > 1, F.lit(False))
+    same = (chosen["doc_id"].eqNullSafe(repeated["r_doc_id"])) & (chosen["k1"] == repeated["r_k1"]) & (chosen["k2"] == repeated["r_k2"])
+    chosen = stored(chosen.join(repeated, same, "left").select(*row, again.alias("again")), "simhash-chosen")
+
+    names = docs.columns
+    key = {c: unused(names, "__" + c) for c in row}
+    k1, k2 = text_key(F.col(f"`{text_col}`").cast("string"))
+    keyed = docs.select("*", F.col(f"`{id_col}`").cast("long").alias(key["doc_id"]), k1.alias(key["k1"]), k2.alias(key["k2"]))
+
+    def rows_of(some):
+        on = [keyed[key[c]].eqNullSafe(some[c]) for c in row]
+        return keyed.join(some, on[0] & on[1] & on[2], "left_semi")
+
+    once, twice = rows_of(chosen.where("not again")), rows_of(chosen.where("again"))
+    return once.union(twice.dropDuplicates(list(key.values()))).select(*[F.col(f"`{c}`") for c in names])

@@ -3,14 +3,15 @@
 Documents are range-partitioned by id and written in that order: each task
 encodes its texts, appends the end id to each and writes shards of about
 ``SHARD_IDS`` ids. Within a shard, Re-Pair replaces frequent pairs of ids by
-nonterminals, round after round, until no pair is frequent; the file keeps the
-rules and how many ids each nonterminal stands for, so any range of ids is
-decoded without the rest.
+nonterminals, round after round, until no pair occurs ``MIN_COUNT`` times, fewer
+than a rule pays for; the file keeps the rules and how many ids each nonterminal
+stands for, so any range of ids is decoded without the rest.
 
-A shard file, little-endian: magic ``RPID0001``; longs n_docs, n_ids, n_rules,
-n_symbols, first nonterminal, bytes a symbol; doc ids (long) and whether they
-are null (byte); the end of each document (long); rules (left, right: unsigned
-32-bit); the length of each rule's expansion (unsigned 32-bit); the sequence.
+A shard file, little-endian: magic ``RPID0002``; longs n_docs, n_ids, n_rules,
+n_symbols, first nonterminal, bits a symbol, bits a length; doc ids (long) and
+whether they are null (byte); the end of each document (long); then bit-packed,
+each from a new byte: the rules (left, right), the length of each rule's
+expansion, the sequence.
 
 Encoding a text equals encoding its pieces between ASCII white space (the
 tokenizer drops white space and never joins across it), so each worker keeps the
@@ -25,6 +26,7 @@ table. Positions count all ids of all documents before, end ids included.
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 import uuid
@@ -39,8 +41,8 @@ from courtside.llm.common import id_text, map_arrow, open_path, stored, work_dir
 END_ID = 2
 SHARD_IDS = 1 << 20
 CACHE_WORDS = 600_000
-MIN_COUNT = 48        # a pair is frequent if it occurs this often in a shard
-MAGIC = b"RPID0001"
+MIN_COUNT = 4         # a pair is frequent if it occurs this often in a shard: a rule costs three numbers, each use saves one
+MAGIC = b"RPID0002"
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 _PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 # The tokenizer's pattern, for lower-case words of those characters.
@@ -109,23 +111,36 @@ def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first: i
         out = wide
 
 
+def packed(values: np.ndarray, bits: int) -> bytes:
+    """Numbers below 2 ** bits, end to end."""
+    wide = np.unpackbits(values.astype("<u4").reshape(-1, 1).view(np.uint8), axis=1, bitorder="little")
+    return np.packbits(wide[:, :bits], bitorder="little").tobytes()
+
+
+def unpacked(data: bytes, at: int, n: int, bits: int) -> tuple[np.ndarray, int]:
+    """n numbers from ``at``, and the place behind them."""
+    size = (n * bits + 7) // 8
+    wide = np.zeros((n, 32), np.uint8)
+    wide[:, :bits] = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * bits, bitorder="little").reshape(n, bits)
+    return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel().astype(np.uint32), at + size
+
+
 class Shard:
     """A shard file's bytes, decoded as asked for."""
 
     def __init__(self, data: bytes):
         if data[:8] != MAGIC:
             raise ValueError("not a shard")
-        n_docs, self.n_ids, n_rules, n_symbols, self.first, width = np.frombuffer(data, "<i8", 6, 8).tolist()
-        at = 56
+        n_docs, self.n_ids, n_rules, n_symbols, self.first, bits, length_bits = np.frombuffer(data, "<i8", 7, 8).tolist()
+        at = 64
         self.doc_ids = np.frombuffer(data, "<i8", n_docs, at)
         self.null = np.frombuffer(data, np.bool_, n_docs, at := at + 8 * n_docs)
         self.ends = np.frombuffer(data, "<i8", n_docs, at := at + n_docs)
-        self.rules = np.frombuffer(data, "<u4", 2 * n_rules, at := at + 8 * n_docs).reshape(-1, 2)
-        self.lengths = np.frombuffer(data, "<u4", n_rules, at := at + 8 * n_rules).astype(np.int64)
-        raw = np.frombuffer(data, np.uint8, n_symbols * width, at + 4 * n_rules).reshape(-1, width)
-        self.seq = np.zeros(n_symbols, np.uint32)
-        for i in range(width):
-            self.seq |= raw[:, i].astype(np.uint32) << np.uint32(8 * i)
+        rules, at = unpacked(data, at + 8 * n_docs, 2 * n_rules, bits)
+        self.rules = rules.reshape(-1, 2)
+        lengths, at = unpacked(data, at, n_rules, length_bits)
+        self.lengths = lengths.astype(np.int64)
+        self.seq, _ = unpacked(data, at, n_symbols, bits)
         size = np.ones(n_symbols, np.int64)
         made = self.seq >= self.first
         size[made] = self.lengths[self.seq[made] - self.first]
@@ -142,13 +157,13 @@ class Shard:
 
 def shard_bytes(doc_ids: list, ends: np.ndarray, ids: np.ndarray, least: int = MIN_COUNT) -> bytes:
     seq, rules, lengths, first = repair(ids, least)
-    width = max(1, (int(seq.max(initial=0)).bit_length() + 7) // 8)
-    head = np.array([len(doc_ids), len(ids), len(rules), len(seq), first, width], "<i8")
+    bits = max(1, (first + len(rules) - 1).bit_length()) if len(seq) else 1
+    length_bits = max(1, int(lengths.max(initial=0)).bit_length())
+    head = np.array([len(doc_ids), len(ids), len(rules), len(seq), first, bits, length_bits], "<i8")
     names = np.array([0 if d is None else d for d in doc_ids], "<i8")
     null = np.array([d is None for d in doc_ids], np.bool_)
-    packed = np.ascontiguousarray(seq.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width])
     return b"".join([MAGIC, head.tobytes(), names.tobytes(), null.tobytes(), ends.astype("<i8").tobytes(),
-                     rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), packed.tobytes()])
+                     packed(rules.ravel(), bits), packed(lengths, length_bits), packed(seq, bits)])
 
 
 # ---------------------------------------------------------------- encoding
@@ -186,17 +201,30 @@ class Ragged:
         return self.flat[np.arange(total) + np.repeat(self.start[which] - ends + size, size)], size
 
 
+# How a tokenizer that works word by word says so in its file.
+_WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
+
 class Encoder:
     """Texts to ids through bounded memories of words and of their pieces.
 
     The tokenizer lower-cases and then cuts a word by its own pattern. For words
     of ASCII and Latin-1 letters that cut is plain (``_PIECE``), so those are
-    learned piece by piece; any other word is encoded as it stands."""
+    learned piece by piece; any other word is encoded as it stands. A tokenizer
+    whose file says that it normalises or cuts otherwise gets whole texts."""
 
     def __init__(self, tokenizer: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tok, self.limit = Tokenizer.from_str(tokenizer), cache_words
+        self.tok, self.limit, spec = Tokenizer.from_str(tokenizer), cache_words, json.loads(tokenizer)
+        self.wordwise = all(spec.get(k) == v for k, v in _WORDWISE.items()) and not any(
+            t["normalized"] or t["lstrip"] or t["rstrip"] or not t["content"].startswith("<|") for t in spec["added_tokens"])
         self.words, self.word_ids, self.pieces, self.piece_ids = Numbers(), Ragged(), Numbers(), Ragged()
 
     def learn(self) -> None:
@@ -216,6 +244,8 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text, without an end id."""
+        if not self.wordwise:
+            return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         if len(self.words) > self.limit // 2:
             self.words, self.word_ids = Numbers(), Ragged()
         cut = [(t or "").encode().split() for t in texts]

@@ -7,7 +7,9 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
-from courtside.llm.tokens import END_ID, Encoder, Shard, expand, read_digests, read_ids, repair, shard_bytes, write_shards  # noqa: E402
+from courtside.llm.tokens import (  # noqa: E402
+    END_ID, MIN_COUNT, Encoder, Shard, expand, packed, read_digests, read_ids, repair, shard_bytes, unpacked, write_shards,
+)
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -70,3 +72,32 @@ def test_every_plain_character_beside_every_kind(tok):
     coder = Encoder(open(PATH, encoding="utf-8").read())
     for t, got in zip(texts, coder.encode(texts)):
         assert got.tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_another_tokenizer_gets_whole_texts(tok):
+    assert Encoder(open(PATH, encoding="utf-8").read()).wordwise
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other, whole = Encoder(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
+    texts = ["Hello  there\n\n World", None, "", "a <|endoftext|> b", "don't  X"]
+    assert not other.wordwise
+    assert [x.tolist() for x in other.encode(texts)] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("bits,n", [(1, 0), (1, 9), (7, 100), (17, 1001), (32, 5)])
+def test_bit_packing(bits, n):
+    values = np.random.default_rng(bits).integers(0, 1 << bits, n).astype(np.uint32)
+    data = b"xy" + packed(values, bits) + b"z"
+    got, at = unpacked(data, 2, n, bits)
+    assert got.tolist() == values.tolist() and at == len(data) - 1 and len(data) == 3 + (n * bits + 7) // 8
+
+
+def test_rules_go_down_to_the_break_even():
+    """No pair is left that occurs as often as a rule pays for."""
+    rng = np.random.default_rng(2)
+    ids = (rng.pareto(1.0, 30000) * 5).astype(np.uint32) % 500
+    seq, rules, lengths, first = repair(ids)
+    pairs = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+    kinds, count = np.unique(pairs, return_counts=True)
+    left = kinds[count >= MIN_COUNT]
+    assert MIN_COUNT == 4 and all(p >> np.uint64(32) == p & np.uint64(0xFFFFFFFF) for p in left)  # of one id: overlaps
+    assert len(seq) + 3 * len(rules) < len(ids)

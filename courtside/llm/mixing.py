@@ -53,12 +53,15 @@ def topic(text: Column) -> Column:
 
 
 def _named(docs: DataFrame, id_col, text_col, source_col, lang_col, topic_of) -> DataFrame:
-    """Internal columns beside the table's own."""
-    text = F.col(text_col).cast("string")
-    draw = F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col), text), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    return docs.withColumns({
-        "__source": F.col(source_col).cast("string"), "__lang": F.col(lang_col).cast("string"),
-        "__topic": topic_of(text), "__draw": draw, "__text": text})
+    """row (the table's own columns, in a struct: no name of theirs can clash),
+    source, lang, topic, draw, n_tokens."""
+    def own(c):
+        return F.col(f"`{c}`")
+
+    text = own(text_col).cast("string")
+    draw = F.pmod(F.xxhash64(F.lit(SEED), own(id_col), text), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    return docs.select(F.struct("*").alias("row"), own(source_col).cast("string").alias("source"), own(lang_col).cast("string").alias("lang"),
+                       topic_of(text).alias("topic"), draw.alias("draw"), tokens(text).alias("n_tokens"))
 
 
 def _raked(x: np.ndarray, cap: np.ndarray, at: list[np.ndarray], want: list[np.ndarray], passes: int, tolerance: float) -> np.ndarray:
@@ -134,8 +137,7 @@ def rates(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source"
           targets=None, alpha=ALPHA, keep=KEEP) -> DataFrame:
     """Cells with weight (fitted share over own share) and probability."""
     named = _named(docs, id_col, text_col, source_col, lang_col, topic_of)
-    cells = stored(named.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")
-                                 ).agg(F.sum(tokens(F.col("__text"))).alias("mass")), "mix-masses")
+    cells = stored(named.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("mass")), "mix-masses")
     fitted = fit(cells, targets, alpha, keep=keep)
     total = fitted.agg(F.sum("mass")).first()[0] or 1
     weighed = fitted.withColumn("weight", F.col("fitted") / F.col("mass") * F.lit(float(total)))
@@ -149,17 +151,17 @@ def kept_share(cells: DataFrame) -> float:
 
 def with_rates(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", lang_col="lang", topic_of=topic,
                targets=None, alpha=ALPHA, keep=KEEP) -> DataFrame:
-    """Every row with __source, __lang, __topic, __text, __weight,
-    __probability and __sampled beside its own columns."""
+    """Every row as ``row`` (a struct of its own columns) with source, lang,
+    topic, weight, probability and sampled."""
     args = (id_col, text_col, source_col, lang_col, topic_of)
     r = rates(docs, *args, targets, alpha, keep).select(
-        F.col("source").alias("__s"), F.col("lang").alias("__l"), F.col("topic").alias("__t"),
-        F.col("weight").alias("__w"), F.col("probability").alias("__p"))
-    out = join_on(_named(docs, *args), r, [("__source", "__s"), ("__lang", "__l"), ("__topic", "__t")], "left")
-    return out.withColumns({"__weight": F.coalesce("__w", F.lit(0.0)), "__probability": F.coalesce("__p", F.lit(0.0))}
-                           ).withColumn("__sampled", F.col("__draw") < F.col("__probability")).drop("__s", "__l", "__t", "__w", "__p")
+        F.col("source").alias("s"), F.col("lang").alias("l"), F.col("topic").alias("t"), F.col("weight").alias("w"), F.col("probability").alias("p"))
+    out = join_on(_named(docs, *args), r, [("source", "s"), ("lang", "l"), ("topic", "t")], "left")
+    probability = F.coalesce("p", F.lit(0.0))
+    return out.select("row", *DIMENSIONS, F.coalesce("w", F.lit(0.0)).alias("weight"), probability.alias("probability"),
+                      (F.col("draw") < probability).alias("sampled"))
 
 
 def sample(docs: DataFrame, **params) -> DataFrame:
     """The sampled rows, all columns as they are."""
-    return with_rates(docs, **params).where("__sampled").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return with_rates(docs, **params).where("sampled").select("row.*")

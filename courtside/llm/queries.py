@@ -61,8 +61,7 @@ def op7_decontamination(spark, sf_dir):
 @query
 def op8_mixing(spark, sf_dir):
     m = mixing.with_rates(documents(spark, sf_dir))
-    return m.select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__weight").alias("weight"),
-                    F.col("__probability").alias("probability"), F.col("__sampled").alias("sampled"))
+    return m.select("row.doc_id", "row.source", "row.lang", "topic", "weight", "probability", "sampled")
 
 
 @query

@@ -30,19 +30,19 @@ def texts(rng, n):
 def test_matches_raking_by_hand(docs_of):
     rows = texts(np.random.default_rng(1), 600)
     found = with_rates(docs_of(rows), alpha=0.5).collect()
-    names = [sorted({r[c] or "" for r in found}) for c in ("source", "lang", "__topic")]
-    cell = {(r.source, r.lang or "", r["__topic"]): r["__weight"] for r in found}
+    names = [sorted({r[c] or "" for r in found}) for c in ("source", "lang", "topic")]
+    cell = {(r.source, r.lang or "", r["topic"]): r["weight"] for r in found}
     mass = np.zeros([len(x) for x in names])
     for r in found:
-        at = tuple(x.index(v) for x, v in zip(names, (r.source, r.lang or "", r["__topic"])))
-        mass[at] += len(r.text.split())
+        at = tuple(x.index(v) for x, v in zip(names, (r.source, r.lang or "", r["topic"])))
+        mass[at] += len(r.row.text.split())
     share = [mass.sum(axis=tuple(i for i in range(3) if i != a)) ** 0.5 for a in range(3)]
     fitted = brute(mass, [s / s.sum() for s in share]) / (mass / mass.sum())
     for key, w in cell.items():
         at = tuple(x.index(v) for x, v in zip(names, key))
         assert w == pytest.approx(fitted[at], rel=1e-6)
     top = max(cell.values())
-    assert all(r["__probability"] == pytest.approx(r["__weight"] / top) for r in found)
+    assert all(r["probability"] == pytest.approx(r["weight"] / top) for r in found)
 
 
 def test_sample_follows_the_probabilities(docs_of):
@@ -54,10 +54,11 @@ def test_sample_follows_the_probabilities(docs_of):
 
 
 def test_odd_rows_and_empty(docs_of, odd_rows, spark):
-    docs = docs_of(odd_rows).selectExpr("*", "1 as weight", "2 as topic", "3 as fitted")
+    docs = docs_of(odd_rows).selectExpr("*", "1 as weight", "2 as topic", "3 as fitted", "4 as `__source`", "5 as `__draw`", "6 as p", "7 as sampled", "8 as `row`")
     found = with_rates(docs).collect()
-    assert len(found) == len(odd_rows) and all(0 <= r["__probability"] <= 1 for r in found)
-    assert sample(docs).columns == docs.columns
+    assert len(found) == len(odd_rows) and all(0 <= r["probability"] <= 1 for r in found)
+    kept = sample(docs, keep=1.0)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} <= {tuple(r) for r in docs.collect()} and kept.count() > 0
     assert sample(docs.where("false")).count() == 0
     kinds = spark.sql("select cast(null as string) t union all select 'a | b' union all select 'plain'")
     assert [r[0] for r in kinds.select(topic(F.col("t"))).collect()] == ["none", "table", "prose"]

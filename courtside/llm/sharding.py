@@ -6,8 +6,8 @@ shard that holds most of its neighbours and has room or sends as much back;
 among equal shards a hash of text and round decides. Requests from a shard to
 another are admitted by gain, largest first, up to what the other asks to send
 back and its room, so full shards swap rows. Rounds go on until ``PATIENCE`` of
-them in turn lower no cut (``ROUNDS`` at most); a text with more copies than a
-shard holds fills several. At the end
+them in turn lower no cut; if ``ROUNDS`` have gone by before that, ``settled`` is
+false. A text with more copies than a shard holds fills several. At the end
 documents without links fill each shard up to its exact quota: row counts
 differ by one at most (the law ``rows``).
 
@@ -25,12 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtside.llm.common import stored
+from courtside.llm.common import stored, unused
 
 SHARDS = 8
 ROUNDS = 60
 PATIENCE = 2
 BUCKETS = 4096       # rank buckets a shard
+RESULT = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "linked", "cut", "settled")
 QUOTA_BUCKETS = 256  # admission buckets for each level of gain
 
 
@@ -53,8 +54,11 @@ def _allowed(asked: dict[tuple[int, int], int], room: dict[int, int]) -> dict[tu
     return {p: n for p, n in flow.items() if n > 0}
 
 
-def propagate(cells: DataFrame, total: int, shards: int, rounds: int) -> DataFrame:
-    """``cells`` (k1, k2, home, shard, n) after label propagation under quotas."""
+def propagate(cells: DataFrame, total: int, shards: int, rounds: int) -> tuple[DataFrame, int, bool]:
+    """``cells`` (k1, k2, home, shard, n) after label propagation under quotas;
+    the cuts that are left (shards of a text beyond its first, over all texts);
+    and whether the rounds ended because no move lowered them any more."""
+    texts, settled = cells.select("k1", "k2").distinct().count(), False
     pair = F.col("shard") * shards + F.col("to")
     fewest, idle = None, 0
     for r in range(rounds):
@@ -64,6 +68,7 @@ def propagate(cells: DataFrame, total: int, shards: int, rounds: int) -> DataFra
         idle = 0 if fewest is None or groups < fewest else idle + 1
         fewest = groups if fewest is None else min(groups, fewest)
         if idle > PATIENCE:
+            settled = True
             break
         room = {t: total // shards - (held[t]["load"] if t in held else 0) for t in range(shards)}
         own = mass.select("k1", "k2", F.col("to").alias("shard"), F.col("mass").alias("own"))
@@ -84,6 +89,7 @@ def propagate(cells: DataFrame, total: int, shards: int, rounds: int) -> DataFra
 
         wanted = asked(best(options))
         if not wanted:
+            settled = True
             break
         fits = {s * shards + t: max(0, room[t]) + wanted.get((t, s), 0) for s in range(shards) for t in range(shards)}
         chosen = stored(best(options.where(F.col("n") <= _lookup(fits, pair))), "shard-requests")
@@ -103,26 +109,30 @@ def propagate(cells: DataFrame, total: int, shards: int, rounds: int) -> DataFra
                  .select("k1", "k2", "home", "to"))
         cells = stored(cells.join(moves, ["k1", "k2", "home"], "left")
                        .select("k1", "k2", "home", F.coalesce("to", "shard").alias("shard"), "n"), "cells")
-    return cells.select("k1", "k2", "home", "shard")
+    cut = cells.select("k1", "k2", "shard").distinct().count() - texts
+    return cells.select("k1", "k2", "home", "shard"), cut, settled
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text",
                     rounds: int = ROUNDS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, linked of each
-    row, and the columns named in ``carry`` (none of these names)."""
+    """``RESULT`` of each row, and the columns named in ``carry``: where one of
+    these has a name of ``RESULT``, it keeps it and that of the result is
+    lengthened by underscores. ``cut`` and ``settled`` tell how the propagation
+    ended (see there); a row's ``linked`` whether its text has copies."""
     text, doc_id = F.col(text_col).cast("string"), F.col(id_col).cast("long")
     rows = stored(docs.select(
         doc_id.alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"), F.xxhash64(text).alias("k1"),
         F.xxhash64(F.lit("copy"), text).alias("k2"), text.isNull().alias("alone"),
-        F.xxhash64(F.lit("home"), doc_id, text).alias("h"), *[F.col(f"`{c}`") for c in carry]), "shard-rows")
+        F.xxhash64(F.lit("home"), doc_id, text).alias("h"), F.struct(F.lit(0).alias(unused(carry, "none")), *[F.col(f"`{c}`") for c in carry]).alias("own")),
+        "shard-rows")
     total = rows.count()
     rows = rows.withColumn("home", F.pmod("h", F.lit(shards)).cast("int"))
     cells = rows.where("not alone").groupBy("k1", "k2", "home").agg(F.count("h").alias("n"))
     copies = cells.groupBy("k1", "k2").agg(F.sum("n").alias("all")).where("all > 1").select("k1", "k2")
     cells = stored(cells.join(copies, ["k1", "k2"], "left_semi")
                    .select("k1", "k2", "home", F.col("home").alias("shard"), "n"), "cells")
-    label = propagate(cells, total, shards, rounds)
+    label, cut, settled = propagate(cells, total, shards, rounds)
 
     pool = shards  # the label of rows without links
     labelled = (rows.join(label.withColumn("alone", F.lit(False)), ["k1", "k2", "home", "alone"], "left")
@@ -154,7 +164,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     final = F.when(F.col("stays"), F.col("label")).otherwise(open_to).cast("int")
     slot = F.when(F.col("stays"), F.col("rank")).otherwise(
         F.col("place") - _lookup(first, F.col("to")) + _lookup({t: kept[t] for t in range(shards)}, F.col("to")))
-    return ranked.withColumn("to", final).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("to").alias("shard"),
-        slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-        F.col("shard").isNotNull().alias("linked"), *[F.col(f"`{c}`") for c in carry])
+    found = (F.col("doc_id"), F.col("size"), F.col("text_crc32"), F.lit("rows"), F.col("to"), slot.cast("long"), F.lit(None).cast("int"),
+             F.col("shard").isNotNull(), F.lit(cut).cast("long"), F.lit(settled))
+    return ranked.withColumn("to", final).select(*[c.alias(unused(carry, name)) for name, c in zip(RESULT, found)],
+                                                 *[F.col("own")[c].alias(c) for c in carry])

@@ -63,6 +63,23 @@ def test_carried_columns_keep_their_rows(docs_of):
     assert sorted((r.doc_id, r.text, "en", r.source) for r in found) == sorted(rows)
 
 
+def test_carried_names_may_clash(docs_of):
+    docs = docs_of([(i, f"t{i % 3}") for i in range(9)]).selectExpr(
+        "*", "doc_id * 2 as size", "'s' as shard", "'own' as own", "1 as h", "2 as k1", "'x y' as `a.b`", "3 as `none`", "4 as bucket")
+    found = shard_documents(docs, carry=tuple(c for c in docs.columns if c != "doc_id")).collect()
+    assert {(r.doc_id, r.size, r.shard, r.own, r["a.b"], r.none, r.bucket) for r in found} == {(i, 2 * i, "s", "own", "x y", 3, 4) for i in range(9)}
+    assert {r["shard_"] for r in found} == set(range(8)) and all(r["size_"] == 3 for r in found)
+
+
+def test_the_end_of_the_rounds_is_told(docs_of):
+    docs = docs_of([(i, f"text {i % 60}") for i in range(600)])
+    done, cut_short = shard_documents(docs).collect(), shard_documents(docs, rounds=1).collect()
+    assert {r.settled for r in done} == {True} and {r.settled for r in cut_short} == {False}
+    # the exact quotas, filled afterwards, may add a few cuts
+    left, early = done[0].cut, cut_short[0].cut
+    assert left <= cuts(done) < 0.1 * 600 < early
+
+
 @pytest.mark.parametrize("copies", [2, 20])
 def test_full_shards_swap_when_all_rows_are_linked(docs_of, copies):
     rows = [(i, f"text {i // copies}") for i in range(4000)]

@@ -35,8 +35,8 @@ def mixture(spark, docs, sf_dir):
 
 
 def shards(spark, docs, sf_dir):
-    """Every document gets a shard and a slot, beside its own columns."""
-    return sharding.shard_documents(docs, carry=("text", "lang", "source", "n_chars"))
+    """Every document gets a shard and a slot, beside all its own columns."""
+    return sharding.shard_documents(docs, carry=tuple(c for c in docs.columns if c != "doc_id"))
 
 
 STAGES = [

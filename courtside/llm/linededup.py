@@ -8,9 +8,13 @@ of ``MIN_CHARS`` characters or more is a similarity of 0.8 and up.
    line that many documents share costs a row a task.
 2. Two lines one edit apart agree in their first or second half. A class is
    called a candidate if it meets another of fitting length there; all the
-   others can have no neighbour, and emit nothing. This loses no pair.
+   others can have no neighbour, and emit nothing. The half that may differ is
+   then cut into ``PIECES``, and a candidate goes on only in a piece such that it
+   agrees with another in all but that piece; the same once more with the piece.
+   This loses no pair: an edit lies in one piece. Copies of one family that
+   differ by more than an edit, which a whole half lets through, end here.
 3. Every candidate emits all its variants with one character deleted from the
-   half that may differ, and itself, as hashed keys. A key is made of the hash
+   piece that may differ, and itself, as hashed keys. A key is made of the hash
    of what stands before and after a block of characters and of the block's
    variant, so a line of n characters costs about n ** 1.5, not n ** 2.
 4. Equal variants are joined and the edit distance is verified on the texts.
@@ -35,6 +39,8 @@ from pyspark.sql import functions as F
 from courtside.llm.common import stored
 
 MIN_CHARS = 5   # of the longer of two lines one edit apart
+PIECES = 4      # into which the text that may differ is cut, twice
+PIECE = 3       # characters of a piece at least
 BLOCK = 64      # characters at least
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -76,23 +82,47 @@ def candidates(classes: DataFrame) -> DataFrame:
                                        struct('less' as role, 'head' as side, less_head as key),
                                        struct('less' as role, 'tail' as side, less_tail as key)),
                                  x -> n >= {MIN_CHARS} or x.role = 'same')) as e""").select("k1", "e.*")
-    met = (emitted.groupBy("key").agg(F.count_if(F.col("role") == "same").alias("same"), F.count("role").alias("all"))
-           .where("same >= 1 and all >= 2").select("key", (F.col("same") >= 2).alias("twins"), (F.col("all") > F.col("same")).alias("mixed")))
     # a line may meet only itself, as n - 1 and as n, never under one key: lengths differ
-    return emitted.join(met, "key").where("twins or mixed")
+    return emitted.join(_met(emitted), "key").where("twins or mixed").drop("twins", "mixed")
 
 
-def _variants(found: DataFrame) -> DataFrame:
-    """k1, k2, place, role (twin, long, short), v: all variant keys of the
-    candidates (columns role, side, key, line, n, twins, mixed)."""
-    # rest: the half that may differ; span: its length in the shorter line
+def _met(emitted: DataFrame) -> DataFrame:
+    """The keys that two lines of one length share (twins), or two whose lengths
+    differ by one (mixed)."""
+    return (emitted.groupBy("key").agg(F.count_if(F.col("role") == "same").alias("same"), F.count("role").alias("all"))
+            .where("same >= 1 and all >= 2").select("key", (F.col("same") >= 2).alias("twins"), (F.col("all") > F.col("same")).alias("mixed")))
+
+
+def _parts(found: DataFrame, wide: str) -> DataFrame:
+    """The open text of each row (rest; span: its length in the shorter line) cut
+    into parts of ``wide`` characters: part, around (the key of all else), left
+    (the part's span). A line under its length less one has one character more."""
+    return (found.withColumn("w", F.expr(wide))
+            .withColumn("part", F.explode(F.expr("sequence(0, greatest(0, cast(ceil(span / w) as int) - 1))")))
+            .withColumn("piece", F.expr("substring(rest, part * w + 1, if(role = 'same', w, w + 1))"))
+            .withColumn("around", F.expr("xxhash64(key, part, left(rest, part * w), right(rest, greatest(0, span - (part + 1) * w)))"))
+            .withColumn("left", F.expr("least(w, span - part * w)")))
+
+
+def narrowed(found: DataFrame) -> DataFrame:
+    """The candidates (columns role, side, key, line, n) in the pieces where they
+    agree with another in all else: key, rest, span, twins, mixed, now the piece's."""
+    # rest: the half that may differ
     rest = ("case when side = 'head' then substring(line, (m div 2) + 1) else left(line, n - (m div 2)) end")
-    cut = (found.withColumn("m", F.expr("if(role = 'same', n, n - 1)")).withColumn("rest", F.expr(rest))
-           .withColumn("span", F.expr("m - (m div 2)"))
-           .withColumn("w", F.expr(f"greatest({BLOCK}, cast(ceil(sqrt(span)) as int))"))
-           .withColumn("block", F.explode(F.expr("sequence(0, greatest(0, cast(ceil(span / w) as int) - 1))")))
-           .withColumn("piece", F.expr("substring(rest, block * w + 1, if(role = 'same', w, w + 1))"))
-           .withColumn("around", F.expr("xxhash64(key, block, left(rest, block * w), right(rest, greatest(0, span - (block + 1) * w)))")))
+    opened = (found.withColumn("m", F.expr("if(role = 'same', n, n - 1)")).withColumn("rest", F.expr(rest))
+              .withColumn("span", F.expr("m - (m div 2)")))
+    for _ in range(2):
+        cut = _parts(opened, f"greatest({PIECE}, cast(ceil(span / {PIECES}) as int))").select(
+            "k1", "k2", "place", "n", "role", F.col("around").alias("key"), F.col("piece").alias("rest"), F.col("left").alias("span"))
+        cut = stored(cut, "line-pieces")
+        opened = cut.join(_met(cut), "key").where("twins or mixed")
+    return opened
+
+
+def _variants(pieces: DataFrame) -> DataFrame:
+    """k1, k2, place, role (twin, long, short), v: all variant keys of the
+    candidates in their open pieces."""
+    cut = _parts(pieces, f"greatest({BLOCK}, cast(ceil(sqrt(span)) as int))")
     keep = ["k1", "k2", "place"]
     gone = "concat(left(piece, i), substring(piece, i + 2))"
     each = cut.where("char_length(piece) > 0").withColumn("i", F.explode(F.expr("sequence(0, char_length(piece) - 1)")))
@@ -111,7 +141,7 @@ def near_lines(classes: DataFrame, docs: DataFrame) -> DataFrame:
     spot = who.select("k1", "k2", "n", "place", F.col("place.dk").alias("dk"), F.col("place.line_no").alias("at"))
     lines = stored(spot.join(_lines(text), (spot["dk"] == text["dk"]), "inner").where("at = line_no")
                    .select("k1", "k2", "place", "n", "line").dropDuplicates(["k1", "k2"]), "line-texts")
-    v = _variants(lines.join(found, "k1"))
+    v = _variants(narrowed(lines.join(found, "k1")))
     me = F.struct("place", "k1", "k2")
     bucket = Window.partitionBy("v")
     first = F.when(F.col("role") == "twin", F.min(F.when(F.col("role") == "twin", me)).over(bucket)).when(

@@ -53,8 +53,9 @@ def run(docs):
 
 
 def test_matches_brute_force(docs_of, monkeypatch):
-    for seed, block in ((1, 64), (2, 4)):
+    for seed, block, piece in ((1, 64, 3), (2, 4, 8), (3, 4, 1), (4, 1, 30)):
         monkeypatch.setattr(linededup, "BLOCK", block)
+        monkeypatch.setattr(linededup, "PIECE", piece)
         rows = corpus(random.Random(seed), 60)
         want = {(i, len(t.split("\n"))): kept for (i, t), kept in brute(rows).items()}
         assert run(docs_of(rows)) == want
@@ -74,3 +75,25 @@ def test_texts_and_odd_rows(docs_of, odd_rows):
     assert [r.text for r in got if r.doc_id == 4] == ["tie", "tie"] and text[5] == ""
     assert dedup_lines(docs.where("false")).count() == 0
     assert line_verdicts(docs).where(F.col("n_kept") > F.col("n_lines")).count() == 0
+
+
+def test_a_family_that_differs_by_words_emits_no_variants(docs_of):
+    """Copies of one line with a word replaced agree in a half, not in all but a
+    piece; those with a character replaced are found among them."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(14)]
+    lines = []
+    for i in range(300):
+        copy = list(words)
+        copy[rng.randrange(14)] = "".join(rng.choice("ijklmnop") for _ in range(6))
+        lines.append(" ".join(copy))
+    lines += [lines[7][:20] + "Z" + lines[7][21:], lines[8][:50] + lines[8][51:]]
+    docs = docs_of(list(enumerate(lines)))
+    d = linededup._keyed(docs, "doc_id", "text")
+    classes = linededup.line_classes(d)
+    found = linededup.candidates(classes)
+    assert found.select("k1").distinct().count() > 290
+    texts = classes.join(linededup._lines(d).selectExpr("dk", "line"), F.col("place.dk") == F.col("dk")).select("k1", "k2", "place", "n", "line")
+    assert linededup._variants(linededup.narrowed(texts.join(found, "k1"))).count() < 600  # of 2 * 49 * 300
+    gone = {r.doc_id for r in line_verdicts(docs).collect() if r.n_kept == 0}
+    assert gone == {i for i, _ in enumerate(lines) if any(one_edit(lines[i], x) or lines[i] == x for x in lines[:i])} >= {300, 301}

@@ -33,10 +33,10 @@ apart by their text; rows equal in both are one document and fare alike.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from courtside.llm.common import stored
+from courtside.llm.common import stored, text_key, unused
 
 MIN_CHARS = 5   # of the longer of two lines one edit apart
 PIECES = 4      # into which the text that may differ is cut, twice
@@ -45,10 +45,15 @@ BLOCK = 64      # characters at least
 _WORD = r"[^\x20\x09-\x0D]"
 
 
+def _key(doc_id: Column, text: Column) -> Column:
+    """128 bits that stand for a document."""
+    return F.struct(*text_key(doc_id, text))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, dk (which document), text."""
-    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("dk"), text.alias("text"))
+    doc_id, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    return docs.select(doc_id.alias("doc_id"), _key(doc_id, text).alias("dk"), text.alias("text"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -174,8 +179,9 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, with the lines that go taken out."""
     names = docs.columns
-    verdicts = line_verdicts(docs, id_col, text_col).dropDuplicates(["dk"]).select(F.col("dk").alias("__dk"), F.col("kept_lines").alias("__kept"))
+    dk, lines = unused(names, "__dk"), unused(names, "__kept")
+    verdicts = line_verdicts(docs, id_col, text_col).dropDuplicates(["dk"]).select(F.col("dk").alias(dk), F.col("kept_lines").alias(lines))
     text = F.col(f"`{text_col}`").cast("string")
-    own = docs.withColumn("__dk", F.xxhash64(F.col(f"`{id_col}`").cast("long"), text)).join(verdicts, "__dk")
-    left = F.array_join(F.transform("__kept", lambda i: F.get(F.split(text, "\n"), i)), "\n")
+    own = docs.withColumn(dk, _key(F.col(f"`{id_col}`").cast("long"), text)).join(verdicts, dk)
+    left = F.array_join(F.transform(lines, lambda i: F.get(F.split(text, "\n"), i)), "\n")
     return own.select(*[F.when(text.isNotNull(), left).alias(c) if c == text_col else F.col(f"`{c}`") for c in names])

@@ -19,6 +19,8 @@ text when nothing could be learned. Ties go to the language first in order.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
@@ -33,8 +35,7 @@ EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.8, 1.0, 0.02, 0.02
 SCALE = 30.0      # of the features, so that penalties and rates suit frequencies
 NEVER = "und"
-LETTER = r"\p{L}"   # Unicode's letters: no numerals, marks or symbols
-_letter = regex.compile(LETTER)
+_letter = regex.compile(r"\p{L}")   # Unicode's letters: no numerals, marks or symbols
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
@@ -51,6 +52,7 @@ def grams(text: str | None) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
+    """The one rule of learning and prediction (Java's letters are an older Unicode's)."""
     return bool(text) and _letter.search(text) is not None
 
 
@@ -62,17 +64,25 @@ def distinct(h: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def _frequencies(cols):
-    df, last = np.zeros(BUCKETS, np.int64), np.empty(BUCKETS, np.int64)
-    for text in cols["text"]:
-        df[distinct(grams(text), last)] += 1
+    """Per bucket how many texts hold it, and per language how many there are:
+    of the texts with a letter."""
+    df, last, langs = np.zeros(BUCKETS, np.int64), np.empty(BUCKETS, np.int64), Counter()
+    for lang, text in zip(cols["lang"], cols["text"]):
+        if has_letter(text):
+            df[distinct(grams(text), last)] += 1
+            langs[lang] += 1
     at = np.flatnonzero(df)
-    return {"bucket": at, "df": df[at]}
+    return {"bucket": at.tolist() + [None] * len(langs), "lang": [None] * len(at) + list(langs), "n": df[at].tolist() + list(langs.values())}
 
 
 def _vectors(cols):
-    out = {"lang": cols["lang"], "fit": cols["fit"], "at": [], "tf": []}
-    for text in cols["text"]:
+    out = {"lang": [], "fit": [], "at": [], "tf": []}
+    for lang, fit, text in zip(cols["lang"], cols["fit"], cols["text"]):
+        if not has_letter(text):
+            continue
         h = grams(text)
+        out["lang"].append(lang)
+        out["fit"].append(fit)
         at, n = np.unique(h, return_counts=True)
         out["at"].append(at.astype("<i4").tobytes())
         out["tf"].append((n / len(h)).astype("<f4").tobytes())
@@ -146,15 +156,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     rest = F.crc32(doc_id.cast("string")) % 5
     rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.col(lang_col).cast("string").alias("lang"), rest.alias("rest"))
-    rows = rows.where(F.col("lang").isNotNull() & (F.col("rest") != 0) & F.col("text").rlike(LETTER))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = rows.where(F.col("lang").isNotNull() & (F.col("rest") != 0) & F.col("text").isNotNull())
+    told = map_batches(rows.select("lang", "text"), _frequencies, "bucket int, lang string, n long").groupBy("bucket", "lang").agg(F.sum("n").alias("n"))
+    seen, counts = np.zeros(BUCKETS), {}
+    for r in told.collect():  # a row per bucket and per language at most
+        if r["bucket"] is None:
+            counts[r["lang"]] = r["n"]
+        else:
+            seen[r["bucket"]] = r["n"]
     langs = sorted(counts)
     if not langs:
         return Model([], None, None, 1.0)
-    df = map_batches(rows.select("text"), _frequencies, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df"))
-    seen = np.zeros(BUCKETS)
-    for r in df.collect():  # BUCKETS rows at most
-        seen[r["bucket"]] = r["df"]
     idf = np.log((1 + sum(counts.values())) / (1 + seen)) + 1
 
     share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_lang / counts[k]))]), F.col("lang"))

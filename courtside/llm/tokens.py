@@ -306,7 +306,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str | None = None,
             yield flush(part)
 
     n = max(1, docs.rdd.getNumPartitions())
-    dealt = id_text(docs, id_col, text_col).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one id, or without an id, may be many: their texts' beginnings deal them on
+    dealt = (id_text(docs, id_col, text_col).repartitionByRange(n, F.col("doc_id"), F.substring("text", 1, 64))
+             .sortWithinPartitions("doc_id", "text"))
     listed = map_arrow(dealt, "shard string, part int, seq int, n_docs long, n_ids long, bytes long", write)
     return stored(listed, "token-shards")
 

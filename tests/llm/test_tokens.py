@@ -65,6 +65,19 @@ def test_files_on_spark(docs_of, odd_rows, words, tok, tmp_path):
     assert read_ids(write_shards(docs.where("false"), PATH, str(tmp_path / "e"))).count() == 0
 
 
+def test_rows_of_one_id_are_dealt_over_tasks(docs_of, words, tok, tmp_path):
+    """Half of the rows have no id or the same one: in order, in many parts."""
+    rng = random.Random(4)
+    rows = [(i if i % 2 else [None, 7][i % 4 == 0], " ".join(rng.choices(words, k=20))) for i in range(400)]
+    docs = docs_of(rows).repartition(8)
+    shards = write_shards(docs, PATH, str(tmp_path / "h"))
+    assert shards.select("part").distinct().count() >= 6 and max(r.n_docs for r in shards.collect()) < 150
+    got = sorted((tuple(r) for r in read_ids(shards).collect()), key=lambda r: r[1])
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    assert [(a, list(c)) for a, _, c in got] == [(i, tok.encode(t, add_special_tokens=False).ids + [END_ID]) for i, t in want]
+    assert [b for _, b, _ in got] == [0, *np.cumsum([len(c) for _, _, c in got])[:-1].tolist()]
+
+
 def test_every_plain_character_beside_every_kind(tok):
     kinds = ["a", "S", "7", "'", "'s", "é", "ß", "!", "<|"]
     chars = [chr(c) for c in [*range(33, 127), *range(0xA1, 0x180)]]

@@ -11,6 +11,7 @@ from courtside.functions.exprs import (
 from courtside.operators.core import filter_global_extreme, global_row_number, null_aware_rank
 from courtside.plans.teams import team_dimension
 from courtside.sources.pages import comment_blocks, page_table_records
+from courtside.sources.results import written
 
 # Team code -> logo asset path of the source dashboard.
 TEAM_LOGOS = {
@@ -63,7 +64,8 @@ RATING_HEADINGS = {"team_text": "Team", "w_text": "W", "l_text": "L", "pace_text
 def schedule_from_pages(pages: DataFrame, as_of) -> DataFrame:
     """(P05) the schedule tables of stored pages, read by their headings and
     normalised (P04); a date that spans rows is each row's."""
-    rows = page_table_records(pages, SCHEDULE_HEADINGS)
+    # written, as the numbering reads its rows twice and pages are read dearly
+    rows = written(page_table_records(pages, SCHEDULE_HEADINGS), "schedule-rows")
     ids = {c: F.col(c).try_cast("long") for c in ("game_id", "visitor", "home")}
     return normalise_schedule(rows.withColumns(ids), as_of)
 

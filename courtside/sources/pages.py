@@ -58,6 +58,7 @@ def table_cells(pages: DataFrame, ncol: int, cell: str = r"(?is)<t[dh](?:\s[^>]*
 
 # a comment, a tag, a text, or a '<' that begins none of these
 TOKEN = r"(?s)<!--.*?-->|<[/a-zA-Z!?][^>]*>|[^<]+|<"
+TABLE_TAGS = ("table", "/table", "tr", "/tr", "td", "/td", "th", "/th")
 MAX_SPAN = 1000  # browsers read larger column spans as this
 # The character references of html that texts commonly hold.
 REFERENCES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
@@ -89,6 +90,7 @@ def page_grids(pages: DataFrame, ids: Sequence[str] = ("page_id",), html: str =
               .where(~F.col("token").startswith("<!--"))
               .withColumn("tag", F.lower(F.regexp_extract("token", r"^<(/?[a-zA-Z]+)", 1))))
     tag = F.col("tag")
+    tokens = tokens.where(tag.isin("", *TABLE_TAGS))
     # depth: tables opened minus tables closed so far, where end tags that close none count for nothing
     by_page = Window.partitionBy(*ids).orderBy("__pos")
     step = F.when(tag == "table", 1).when(tag == "/table", -1).otherwise(0)

@@ -4,20 +4,23 @@ Texts are lower-cased and cut into words; an item leaks into a document that
 holds a stretch of words within ``1 - SIMILARITY`` of the item's word count in
 edit distance (words inserted, dropped or replaced). Three steps:
 
-1. Windows: if a stretch is that close, it shares word q-grams with the item on
-   a diagonal band (the q-gram lemma), so only windows where enough q-grams of
-   one item fall on one band go on. No leak can fail this test.
-2. CGK embedding: a random walk over the item-sized window, driven by a hash of
-   (walk, step, word), writes a symbol a step; edit distance becomes Hamming
-   distance. Each walk samples a few coordinates as an LSH key; windows that
-   share a key with the item are candidates. ``WALKS`` times ``DRAWS`` keys are
-   drawn, and all offsets within the edit bound are tried, for a recall of
-   ``RECALL`` or more (measured in the tests at the full edit bound). As walks
-   drift apart over many edits, an item of more than ``SEGMENT`` words is cut
-   into equal segments: the edits fall on them, so one at least is within the
-   edit bound of its own length, and one that collides is enough.
-3. Exact edit distance of the item against the best stretch of the band that a
-   candidate lies in.
+1. CGK embedding: a random walk starts at every word of a document. Driven by
+   coins of (walk, step, word) it writes a symbol a step and goes on to the next
+   word or stays, so edit distance becomes Hamming distance, and walks that an
+   edit has parted meet again. A walk takes two steps a word on average.
+2. Bit-sampling LSH: each of ``WALKS`` walks hashes a few samples
+   of ``SAMPLED`` symbols. The same keys of the items' own windows are indexed, and
+   every window of every document is looked up: equal keys are the only source of
+   candidates. Walks from one word share their beginnings whatever the item's
+   length, so one set of walks serves windows of three sizes (``SIZES``): 8 steps
+   for items under 14 words, 20 under 24 words, and 32 for all others. Longer
+   items are covered by windows that start at ``STARTS`` words or more, spread
+   evenly; the edits fall on them too, and one key of one window is enough. The
+   tests hold recall to ``RECALL`` or more at the full edit bound for 5 to 1000
+   words.
+3. Exact check: a candidate's surroundings must hold as many of the item's word
+   q-grams as the edit bound leaves (no leak can fail this), and then the edit
+   distance of the item against the best stretch there decides.
 
 The benchmark is a stated query set: it is read in blocks of ``BLOCK_BYTES``
 whatever its size, each matched against all documents. Items under five words
@@ -30,21 +33,23 @@ from __future__ import annotations
 
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from courtside.llm.common import id_text, map_batches, semi_by_row, stored, text_key
 
 SIMILARITY = 0.8
 MIN_WORDS = 5
-WALKS = 24
-DRAWS = 8
-SAMPLED = 4
-SEGMENT = 50  # words
+WALKS = 4
+SAMPLED = 3
+SIZES = ((5, 8, 10, 2), (14, 20, 4, 3), (24, 32, 2, 3))  # items from (words), steps and draws of a walk, places a key is taken from
+STARTS = 32
 RECALL = 0.98
+CHUNK = 1 << 15  # words embedded at once, so that the arrays stay in the cache
 BLOCK_BYTES = 4 << 20
 _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -58,7 +63,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_ids(text: str | None) -> np.ndarray:
     words = (text or "").lower().encode().split()
-    return np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def odd(seed: int, shape) -> np.ndarray:
@@ -78,53 +83,75 @@ def grams(ids: np.ndarray, q: int) -> np.ndarray:
     return mix(h)
 
 
-def cgk(windows: np.ndarray, walks: range, steps: int) -> np.ndarray:
-    """The embedding of each row of ``windows`` (words) under each walk: an
-    array (walk, row, step). A window's end repeats as 0."""
-    rows, n = windows.shape
-    padded = np.concatenate([windows, np.zeros((rows, 1), np.uint64)], axis=1)
-    coins = np.stack([odd(walk, steps) for walk in walks])[:, :, None]
-    at, every = np.zeros((len(walks), rows), np.int64), np.arange(rows)[None, :]
-    out = np.empty((len(walks), rows, steps), np.uint64)
-    for j in range(steps):
-        word = padded[every, at]
-        out[:, :, j] = word
-        at = np.minimum(at + ((word * coins[:, j]) >> np.uint64(63)).astype(np.int64), n)
-    return out
-
-
-def lsh_keys(windows: np.ndarray, walks: range) -> np.ndarray:
-    """DRAWS keys of each window from each walk: an array (walk, row, draw). A
-    walk takes two steps a word on average, so its first 2n symbols, which are
-    the ones sampled, hold the words evenly."""
-    steps = 2 * windows.shape[1]
-    walked = cgk(windows, walks, steps)
-    keys = np.empty((len(walks), len(windows), DRAWS), np.uint64)
-    for w, walk in enumerate(walks):
-        pick = np.random.default_rng(walk + 10_000).integers(0, steps, (DRAWS, SAMPLED))
-        keys[w] = (walked[w][:, pick] * _GRAM[:SAMPLED]).sum(axis=2, dtype=np.uint64)
-    return keys
-
-
-def collide(windows: np.ndarray, item: np.ndarray) -> bool:
-    """Whether any of the windows shares a key with the item."""
-    both = np.concatenate([item[None, :], windows])
-    for walks in (range(1), range(1, WALKS)):
-        keys = lsh_keys(both, walks)
-        if (keys[:, 1:] == keys[:, :1]).any():
-            return True
-    return False
-
-
-def segments(ids: np.ndarray, item: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Each segment of the item, with the windows of its size that start on
-    the diagonals ``low`` to ``high``."""
-    cuts = np.linspace(0, len(item), -(-len(item) // SEGMENT) + 1).astype(int)
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        starts = np.arange(max(0, low + a), min(len(ids) - 1, high + a) + 1)
-        if len(starts):
-            padded = np.concatenate([ids[starts[0]:starts[-1] + b - a], np.zeros(b - a, np.uint64)])
-            yield padded[(starts - starts[0])[:, None] + np.arange(b - a)], item[a:b]
+class Walks:
+    """The walks, and the samples taken of them for each of the given sizes: one
+    of each third of the steps, so that a key's symbols stand apart."""
+
+    def __init__(self, sizes: Sequence[int]):
+        self.sizes = np.repeat(sizes, [SIZES[s][2] for s in sizes])  # of each draw
+        self.steps = max(SIZES[s][1] for s in sizes)
+        self.coins = np.stack([odd(w, self.steps) for w in range(WALKS)])
+        self.factors = np.concatenate([odd(100 + s, (WALKS, SIZES[s][2], SAMPLED)) for s in sizes], axis=1)
+        picks = []
+        for s in sizes:
+            thirds = np.linspace(0, SIZES[s][1], SAMPLED + 1).astype(int)
+            picks.append(np.random.default_rng(s).integers(thirds[:-1], thirds[1:], (WALKS, SIZES[s][2], SAMPLED)))
+        self.picks = np.concatenate(picks, axis=1)
+        self.drawn = [[np.argwhere(p == j).tolist() for j in range(self.steps)] for p in self.picks]
+
+    def walk(self, w: int, ids: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(step, places) of walk ``w`` from each of the first ``n`` words.
+        ``ids`` holds ``steps`` words more; a 0 stands for the end of a text, and
+        no walk passes it. The places are good until the next step."""
+        step, ahead, at = np.empty(len(ids), np.uint64), np.empty(n, np.int64), np.arange(n)
+        for j in range(self.steps):
+            yield j, at
+            np.multiply(ids, self.coins[w, j], out=step)
+            np.right_shift(step, np.uint64(63), out=step)
+            np.take(step.view(np.int64), at, out=ahead, mode="clip")
+            at += ahead
+
+    def windows(self, ids: np.ndarray, n: int) -> Iterator[np.ndarray]:
+        """The keys of the windows at the first ``n`` words, for every walk and draw."""
+        symbol, part = np.empty(n, np.uint64), np.empty(n, np.uint64)
+        for w in range(WALKS):
+            keys = np.empty((len(self.sizes), n), np.uint64)
+            for j, at in self.walk(w, ids, n):
+                drawn = self.drawn[w][j]
+                if drawn:
+                    np.take(ids, at, out=symbol, mode="clip")
+                for d, i in drawn:
+                    factor = self.factors[w, d, i]
+                    if i == 0:  # a draw's steps ascend
+                        np.multiply(symbol, factor, out=keys[d])
+                    else:
+                        np.multiply(symbol, factor, out=part)
+                        keys[d] += part
+            yield from keys
+
+    def telling(self, ids: np.ndarray, n: int) -> Iterator[np.ndarray]:
+        """Which of these keys take their symbols from enough places, none past
+        the text's end: only such keys of items are indexed."""
+        need = np.array([SIZES[s][3] for s in self.sizes])[:, None]
+        for w in range(WALKS):
+            whole, last = np.ones((len(need), n), bool), np.full((len(need), n), -1)
+            places = np.zeros((len(need), n), np.int64)
+            for j, at in self.walk(w, ids, n):
+                for d, _ in self.drawn[w][j]:
+                    whole[d] &= ids[at] != 0
+                    places[d] += at > last[d]
+                    last[d] = at
+            yield from whole & (places >= need)
+
+
+def joined(texts: Sequence[np.ndarray], gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts one after another, ``gap`` zeros behind each and at the end, and
+    where each starts (and the last one's gap ends)."""
+    starts = np.concatenate([[0], np.cumsum([len(t) + gap for t in texts])]).astype(np.int64)
+    ids = np.zeros(starts[-1] + gap, np.uint64)
+    for s, t in zip(starts.tolist(), texts):
+        ids[s:s + len(t)] = t
+    return ids, starts
 
 
 def best_stretch(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
@@ -153,78 +180,109 @@ def best_stretch(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
 
 
 class Items:
-    """A block of benchmark items, indexed by q-gram."""
+    """A block of benchmark items, indexed by the LSH keys of their windows."""
 
     def __init__(self, items: list[tuple[int | None, str]], similarity: float):
         self.items = [(i, word_ids(t)) for i, t in items]
         self.edits = [int((1 - similarity) * len(w) + 1e-9) for _, w in self.items]
         self.short = defaultdict(list)
-        self.index: dict[int, tuple] = {}
-        rows = defaultdict(list)
-        self.need, self.q = {}, {}
         for k, (_, w) in enumerate(self.items):
-            if len(w) < MIN_WORDS:
-                if len(w):
-                    self.short[w.tobytes()].append(k)
-                continue
+            if 0 < len(w) < MIN_WORDS:
+                self.short[w.tobytes()].append(k)
+        self.grams: dict[int, tuple[int, int, np.ndarray]] = {}
+        sizes = np.searchsorted([low for low, *_ in SIZES], [len(w) for _, w in self.items], "right") - 1
+        self.walks = None
+        if (sizes >= 0).any():
+            self.walks = Walks(np.unique(sizes[sizes >= 0]).tolist())
+            self._index(sizes)
+
+    def _index(self, sizes: np.ndarray) -> None:
+        """Keys in order, their items and offsets, and tables of their first and last bits."""
+        long = np.flatnonzero(sizes >= 0)
+        ids, starts = joined([self.items[k][1] for k in long], self.walks.steps)
+        n = len(ids) - self.walks.steps
+        item = np.repeat(long, np.diff(starts))
+        offset = np.arange(n) - np.repeat(starts[:-1], np.diff(starts))
+        words = np.array([len(w) for _, w in self.items])[item]
+        taken = (offset < words) & (offset % np.maximum(1, words // STARTS) == 0)
+        g, k, o = [], [], []
+        draws = np.tile(self.walks.sizes, WALKS).tolist()
+        for size, keys, good in zip(draws, self.walks.windows(ids, n), self.walks.telling(ids, n)):
+            at = np.flatnonzero(taken & good & (sizes[item] == size))
+            g.append(keys[at])
+            k.append(item[at])
+            o.append(offset[at])
+        g, k, o = np.concatenate(g), np.concatenate(k), np.concatenate(o)
+        order = np.argsort(g, kind="stable")
+        self.keys, self.item, self.offset = g[order], k[order].astype(np.int32), o[order].astype(np.int32)
+        bits = min(26, max(16, (32 * len(g)).bit_length()))
+        self.shift, self.mask = np.uint64(64 - bits), np.uint64((1 << bits) - 1)
+        self.first, self.last = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
+        self.first[g >> self.shift] = True
+        self.last[g & self.mask] = True
+
+    def candidates(self, texts: Sequence[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(text, item, diagonals in order) where a window of the text shares a
+        key with one of the item."""
+        found = []
+        if self.walks is not None:
+            ids, starts = joined(texts, self.walks.steps)
+            for s in range(0, int(starts[-1]), CHUNK):
+                n = min(CHUNK, int(starts[-1]) - s)
+                place, known = np.empty(n, np.uint64), np.empty(n, bool)
+                for keys in self.walks.windows(ids[s:s + n + self.walks.steps], n):
+                    np.right_shift(keys, self.shift, out=place)
+                    np.take(self.first, place.view(np.int64), out=known, mode="clip")
+                    pos = np.flatnonzero(known)
+                    pos = pos[self.last[keys[pos] & self.mask]]
+                    lo, hi = np.searchsorted(self.keys, keys[pos], "left"), np.searchsorted(self.keys, keys[pos], "right")
+                    m = hi - lo
+                    if m.any():
+                        at = np.repeat(lo - np.cumsum(m) + m, m) + np.arange(m.sum())
+                        p = np.repeat(pos, m) + s
+                        doc = np.searchsorted(starts, p, "right") - 1
+                        found.append(np.unique(np.stack([doc, self.item[at], p - starts[doc] - self.offset[at]], axis=1), axis=0))
+        if not found:
+            return
+        hits = np.unique(np.concatenate(found), axis=0)
+        cut = np.flatnonzero((np.diff(hits[:, :2], axis=0) != 0).any(axis=1)) + 1
+        for part in np.split(hits, cut):
+            yield int(part[0, 0]), int(part[0, 1]), part[:, 2]
+
+    def near(self, k: int, ids: np.ndarray, diagonals: np.ndarray) -> tuple | None:
+        """(item_id, item_words, distance, start, end) of the stretch around the
+        diagonals that is nearest to item ``k``, if it is within the bound."""
+        item_id, item = self.items[k]
+        n, edits = len(item), self.edits[k]
+        if k not in self.grams:
             # the longest q-gram of which an in-bound stretch must keep at least one
-            q = next(q for q in (3, 2, 1) if q == 1 or len(w) - q + 1 - q * self.edits[k] >= 1)
-            self.q[k], self.need[k] = q, max(1, len(w) - q + 1 - q * self.edits[k])
-            rows[q] += [(g, k, o) for o, g in enumerate(grams(w, q).tolist())]
-        for q, found in rows.items():
-            found.sort()
-            g, k, o = (np.array(x, d) for x, d in zip(zip(*found), (np.uint64, np.int64, np.int64)))
-            table = np.zeros(1 << 22, bool)
-            table[g >> np.uint64(42)] = True
-            self.index[q] = (g, k, o, table)
-
-    def windows(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """item -> bands (lowest, highest diagonal) that hold enough q-grams."""
-        out = defaultdict(list)
-        for q, (g, k, o, table) in self.index.items():
-            h = grams(ids, q)
-            pos = np.flatnonzero(table[h >> np.uint64(42)])
-            lo, hi = np.searchsorted(g, h[pos], "left"), np.searchsorted(g, h[pos], "right")
-            n = hi - lo
-            if not n.sum():
-                continue
-            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            item, diag = k[at], np.repeat(pos, n) - o[at]
-            order = np.lexsort((diag, item))
-            item, diag = item[order], diag[order]
-            cut = np.flatnonzero(np.diff(item)) + 1
-            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(item)]):
-                one, d = int(item[a]), diag[a:b]
-                # q-grams kept by a stretch lie on diagonals at most `edits` apart from its start's
-                ahead = np.searchsorted(d, d + 2 * self.edits[one], "right") - np.arange(len(d))
-                ok = np.flatnonzero(ahead >= self.need[one])
-                for x in ok.tolist():
-                    band = (int(d[x]), int(d[x + ahead[x] - 1]))
-                    if out[one] and band[0] <= out[one][-1][1] + 1:
-                        out[one][-1] = (out[one][-1][0], max(band[1], out[one][-1][1]))
-                    else:
-                        out[one].append(band)
-        return out
-
-    def leaks(self, text: str | None) -> list[tuple]:
-        """(item_id, item_words, distance, start, end) of each item and band."""
-        ids = word_ids(text)
-        found = [(self.items[k][0], len(ids), 0, 0, len(ids)) for k in self.short.get(ids.tobytes(), ())]
-        for k, bands in self.windows(ids).items():
-            item_id, item = self.items[k]
-            n, edits = len(item), self.edits[k]
-            best = None
-            for low, high in bands:
-                starts = np.arange(max(0, low - edits), min(len(ids) - 1, high + edits) + 1)
-                if not len(starts) or not any(collide(w, part) for w, part in segments(ids, item, low - edits, high + edits)):
-                    continue
-                a, b = int(starts[0]), min(len(ids), int(starts[-1]) + n + edits)
+            q = next(q for q in (3, 2, 1) if q == 1 or n - q + 1 - q * edits >= 1)
+            self.grams[k] = q, max(1, n - q + 1 - q * edits), frozenset(grams(item, q).tolist())
+        q, need, own = self.grams[k]
+        best, bands = None, []
+        for d in diagonals.tolist():
+            if bands and d - bands[-1][1] <= 2 * edits:
+                bands[-1][1] = d
+            else:
+                bands.append([d, d])
+        for low, high in bands:
+            a, b = max(0, low - edits), min(len(ids), high + n + 2 * edits)
+            if sum(map(own.__contains__, grams(ids[a:b], q).tolist())) >= need:
                 dist, s, e = best_stretch(item, ids[a:b])
                 if dist <= edits and (best is None or dist < best[2]):
                     best = (item_id, n, dist, a + s, a + e)
-            if best:
-                found.append(best)
-        return found
+        return best
+
+    def leaks(self, texts: Sequence[str | None]) -> list[list[tuple]]:
+        """For each text, (item_id, item_words, distance, start, end) of each
+        item that leaks into it."""
+        ids = [word_ids(t) for t in texts]
+        out = [[(self.items[k][0], len(w), 0, 0, len(w)) for k in self.short.get(w.tobytes(), ())] if len(w) < MIN_WORDS else []
+               for w in ids]
+        for text, k, diagonals in self.candidates(ids):
+            if leak := self.near(k, ids[text], diagonals):
+                out[text].append(leak)
+        return out
 
 
 _BLOCKS: dict[str, Items] = {}
@@ -236,8 +294,8 @@ def _leaks(cols, block, token, similarity):
         _BLOCKS[token] = Items(block.value, similarity)
     items = _BLOCKS[token]
     out = defaultdict(list)
-    for k1, k2, doc_id, text in zip(cols["k1"], cols["k2"], cols["doc_id"], cols["text"]):
-        for leak in items.leaks(text):
+    for k1, k2, doc_id, found in zip(cols["k1"], cols["k2"], cols["doc_id"], items.leaks(cols["text"])):
+        for leak in found:
             for name, v in zip(("k1", "k2", "doc_id", "item_id", "item_words", "distance", "start_word", "end_word"),
                                (k1, k2, doc_id, *leak)):
                 out[name].append(v)

@@ -1,19 +1,26 @@
 """Row extraction from stored web pages (one page per row, whole html text).
 
 List items and comments are a regex over the page column plus ``posexplode``.
-Tables are read from the stream of a page's tags: nesting depth is a prefix sum
-over the tags, rows and cells are numbered by prefix sums within their table, and
-cells are laid on a grid by their column and row spans. All of it is built-in
-expressions and windows whose groups are one page; no parser or Python code is
-involved.
+Tables are read in one pass over a page's tags, page by page inside the tasks: the
+tables around a tag are a stack, and cells are laid on a grid by their column and
+row spans. That pass is Python over Arrow batches, linear in the page; the rest is
+built-in expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+import sys
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks get the reader itself: no machine has to have this package
 
 # (?is): any case, and a dot crosses line ends, as hidden tables do
 LIST_ITEM = r"(?is)<li(?:\s[^>]*)?>(.*?)</li>"
@@ -59,21 +66,89 @@ def table_cells(pages: DataFrame, ncol: int, cell: str = r"(?is)<t[dh](?:\s[^>]*
 # a comment, a tag, a text, or a '<' that begins none of these
 TOKEN = r"(?s)<!--.*?-->|<[/a-zA-Z!?][^>]*>|[^<]+|<"
 TABLE_TAGS = ("table", "/table", "tr", "/tr", "td", "/td", "th", "/th")
-MAX_SPAN = 1000  # browsers read larger column spans as this
+MAX_SPAN = 1000  # browsers read larger column spans as this; a row span is as long as it says
 # The character references of html that texts commonly hold.
 REFERENCES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
 
 
-def plain_text(c: Column) -> Column:
-    """Character references read, runs of white space to one space, ends trimmed."""
-    for name, text in REFERENCES.items():  # '&amp;' last, or '&amp;lt;' would become '<'
-        c = F.replace(c, F.lit(name), F.lit(text))
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+_TOKEN, _TAG, _SPACE = re.compile(TOKEN), re.compile(r"</?[a-zA-Z]+"), re.compile(r"\s+", re.ASCII)
+_SPANS = {name: re.compile(rf"(?i)\s{name}\s*=\s*[\"']?\s*(\d+)", re.ASCII) for name in ("colspan", "rowspan")}
+LINES = "array<array<struct<row:bigint,col:bigint,text:string,head:boolean>>>"
+BATCH_CELLS = 50_000  # cells after which a task hands on the tables it has read
 
 
-def _let(x: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(x)`` with x computed once."""
-    return F.transform(F.array(x), use)[0]
+def plain_text(text: str) -> str:
+    """Character references read, runs of white space to one space, ends trimmed."""
+    if "&" in text:
+        for name, c in REFERENCES.items():  # '&amp;' last, or '&amp;lt;' would become '<'
+            text = text.replace(name, c)
+    return _SPACE.sub(" ", text).strip(" ")
+
+
+def _span(token: str, name: str) -> int:
+    found = _SPANS[name].search(token)
+    n = int(found[1].lstrip("0")[:11] or 0) if found else 1
+    return max(n, 1) if n < 1 << 31 else 1
+
+
+def tables_of(html: str) -> dict[int, list]:
+    """A page's tables in one pass over its tags: place of the table's tag ->
+    rows from the top as (row, cells), a cell being [wide, high, head, texts]."""
+    tables, open_, rest = {}, [], None  # open_: the tables around, each [place, row, cell, rows]
+    for place, found in enumerate(_TOKEN.finditer(html)):
+        token = found[0]
+        if token[0] != "<" or token == "<":  # a '<' that begins no tag is text
+            if rest is not None:
+                rest.append(token)
+            continue
+        tag = _TAG.match(token)
+        tag = tag[0][1:].lower() if tag else ""
+        if tag not in TABLE_TAGS:  # comments too
+            continue
+        if tag == "table":
+            open_.append([place, 0, None, []])
+        elif not open_:
+            continue
+        elif tag == "/table":  # an end tag that closes none counts for nothing
+            done = open_.pop()
+            if done[3]:
+                tables[done[0]] = done[3]
+        elif tag in ("td", "th"):
+            top = open_[-1]
+            top[2] = [min(_span(token, "colspan"), MAX_SPAN), _span(token, "rowspan"), tag == "th", []]
+            if not top[3] or top[3][-1][0] != top[1]:
+                top[3].append((top[1], []))
+            top[3][-1][1].append(top[2])
+        else:
+            open_[-1][2] = None
+            open_[-1][1] += tag == "tr"
+        rest = open_[-1][2][3] if open_ and open_[-1][2] else None
+    tables.update((t[0], t[3]) for t in open_ if t[3])
+    return tables
+
+
+def laid(rows: list) -> list:
+    """Rows of cells on their grid, each a list of (rows left, text, head) or
+    None: the cells of a row take, from the left, the columns that no cell from
+    above still stands in."""
+    held, out = [], []
+    for row, cells in rows:
+        units = [unit for wide, high, head, texts in cells for unit in [(high, plain_text("".join(texts)), head)] * wide]
+        line, used = [], 0
+        while used < len(units) or len(line) < len(held):
+            above = held[len(line)] if len(line) < len(held) else None
+            if above:
+                line.append(above)
+            elif used < len(units):
+                line.append(units[used])
+                used += 1
+            else:
+                line.append(None)
+        while line[-1] is None:
+            line.pop()
+        out.append((row - 1, line))
+        held = [(x[0] - 1, x[1], x[2]) if x and x[0] > 1 else None for x in line]
+    return out
 
 
 def page_grids(pages: DataFrame, ids: Sequence[str] = ("page_id",), html: str = "html") -> DataFrame:
@@ -83,70 +158,45 @@ def page_grids(pages: DataFrame, ids: Sequence[str] = ("page_id",), html: str =
 
     A nested table is a table of its own, and its text is not its outer cell's.
     End tags may be missing. A cell that spans columns or rows stands in each of
-    them. Text outside of cells is dropped, as are rows without a cell. ``ids``
-    name a page uniquely. A page without a table (or null) has no row."""
-    ids = list(ids)
-    tokens = (pages.select(*ids, F.posexplode(F.regexp_extract_all(html, F.lit(TOKEN), 0)).alias("__pos", "token"))
-              .where(~F.col("token").startswith("<!--"))
-              .withColumn("tag", F.lower(F.regexp_extract("token", r"^<(/?[a-zA-Z]+)", 1))))
-    tag = F.col("tag")
-    tokens = tokens.where(tag.isin("", *TABLE_TAGS))
-    # depth: tables opened minus tables closed so far, where end tags that close none count for nothing
-    by_page = Window.partitionBy(*ids).orderBy("__pos")
-    step = F.when(tag == "table", 1).when(tag == "/table", -1).otherwise(0)
-    tokens = tokens.withColumn("__sum", F.sum(step).over(by_page))
-    tokens = (tokens.withColumn("depth", F.col("__sum") - F.least(F.lit(0), F.min("__sum").over(by_page))).where("depth > 0"))
-    at_depth = Window.partitionBy(*ids, "depth").orderBy("__pos")
-    tokens = tokens.withColumn("table", F.last(F.when(tag == "table", F.col("__pos")), ignorenulls=True).over(at_depth))
-    in_table = Window.partitionBy(*ids, "table").orderBy("__pos")
-    opens, ends = tag.isin("td", "th"), tag.isin("/td", "/th", "tr", "/tr")
-    tokens = tokens.withColumns({
-        "row": F.count_if(tag == "tr").over(in_table),
-        "cell": F.last(F.when(opens, F.col("__pos")).when(ends, F.lit(-1)), ignorenulls=True).over(in_table)})
-    # a '<' that begins no tag is text
-    texts = F.collect_list(F.when((tag == "") & ~F.col("token").rlike(r"^<[/!?]"), F.struct("__pos", "token")))
-
-    def span(name):
-        n = F.regexp_extract("token", rf"(?i)\s{name}\s*=\s*[\"']?\s*(\d+)", 1).try_cast("int")
-        return F.max(F.when(opens, F.least(F.greatest(n, F.lit(1)), F.lit(MAX_SPAN))))
-
-    cells = (tokens.where("cell >= 0").groupBy(*ids, "table", "cell")
-             .agg(F.min("row").alias("row"), texts.alias("t"), F.bool_or(tag == "th").alias("head"),
-                  F.coalesce(span("colspan"), F.lit(1)).alias("wide"), F.coalesce(span("rowspan"), F.lit(1)).alias("high")))
-    text = plain_text(F.array_join(F.transform(F.sort_array("t"), lambda x: x["token"]), ""))
-    cell = F.struct("cell", F.col("high").alias("left"), text.alias("text"), "head", "wide")
-    lines = (cells.groupBy(*ids, "table", "row").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
-             .groupBy(*ids, "table").agg(F.sort_array(F.collect_list(F.struct("row", "cells"))).alias("rows")))
-    return lines.select(*ids, F.col("table").cast("long").alias("table"), _laid(F.col("rows")).alias("lines"))
-
-
-def _laid(rows: Column) -> Column:
-    """Rows of cells on their grid: the cells of a row take, from the left, the
-    columns that no cell from above still stands in."""
-    def lay(done: Column, row: Column) -> Column:
-        held = done["held"]
-        units = F.flatten(F.transform(row["cells"], lambda c: F.transform(F.sequence(F.lit(1), c["wide"]), lambda _: F.struct(
-            c["left"].alias("left"), c["text"].alias("text"), c["head"].alias("head")))))
-
-        def place(units: Column) -> Column:
-            columns = F.sequence(F.lit(0), F.size(held) + F.size(units) - 1)
-            free = F.filter(columns, lambda j: F.coalesce(F.get(held, j)["left"], F.lit(0)) <= 0)
-            taken = _let(free, lambda free: F.transform(columns, lambda j: F.coalesce(
-                F.get(units, F.array_position(free, j).cast("int") - 1), F.when(F.get(held, j)["left"] > 0, F.get(held, j)))))
-            return _let(taken, lambda t: F.slice(t, 1, F.array_max(F.transform(t, lambda x, j: F.when(x.isNotNull(), j + 1).otherwise(0)))))
-
-        def next_state(line: Column) -> Column:
-            return F.struct(
-                F.transform(line, lambda x: F.struct((F.coalesce(x["left"], F.lit(0)) - 1).alias("left"), x["text"].alias("text"),
-                                                     x["head"].alias("head"))).alias("held"),
-                F.concat(done["out"], F.array(F.transform(line, lambda x, j: F.struct(
-                    (row["row"] - 1).alias("row"), j.cast("long").alias("col"), x["text"].alias("text"), x["head"].alias("head"))))).alias("out"))
-
-        return _let(_let(units, place), next_state)
-
-    empty = F.struct(F.array().cast("array<struct<left:int,text:string,head:boolean>>").alias("held"),
-                     F.array().cast("array<array<struct<row:bigint,col:bigint,text:string,head:boolean>>>").alias("out"))
-    return F.aggregate(rows, empty, lay, lambda done: done["out"])
+    them. Text outside of cells is dropped, as are rows without a cell. A page
+    without a table (or null) has no row."""
+    pages = pages.select(*ids, F.col(html).cast("binary").alias("__html")).where(F.col("__html").isNotNull())
+    schema = StructType(pages.schema.fields[:-1]).add("table", "long").add("lines", StructType.fromDDL(f"x {LINES}")[0].dataType)
+    target = to_arrow_schema(schema)
+
+    def grids(batch, found):
+        """A batch of the tables ``found``: (row of the page in ``batch``, place, rows on the grid)."""
+        at, row, text, head, col, line_ends, table_ends = [], [], [], [], [], [0], [0]
+        for page, _, lines in found:
+            at.append(page)
+            for n, line in lines:
+                row += [n] * len(line)
+                col += range(len(line))
+                text += [x and x[1] for x in line]
+                head += [x and x[2] for x in line]
+                line_ends.append(len(row))
+            table_ends.append(len(line_ends) - 1)
+        kind = target.field("lines").type
+        cells = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip((row, col, text, head), kind.value_type.value_type)],
+                                           fields=list(kind.value_type.value_type))
+        lines = pa.ListArray.from_arrays(pa.array(line_ends, pa.int32()), cells, type=kind.value_type)
+        made = [pa.array([t for _, t, _ in found], pa.int64()), pa.ListArray.from_arrays(pa.array(table_ends, pa.int32()), lines, type=kind)]
+        return pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(at, pa.int64())) for c in range(len(target) - 2)] + made, schema=target)
+
+    def read(batches):
+        for batch in batches:
+            found, size = [], 0
+            for page, data in enumerate(batch.column(len(target) - 2)):
+                for place, rows in tables_of(data.as_py().decode("utf-8", "replace")).items():
+                    found.append((page, place, laid(rows)))
+                    size += sum(len(line) for _, line in found[-1][2])
+                if size >= BATCH_CELLS:
+                    yield grids(batch, found)
+                    found, size = [], 0
+            if found:
+                yield grids(batch, found)
+
+    return pages.mapInArrow(read, schema)
 
 
 def page_table_cells(pages: DataFrame, ids: Sequence[str] = ("page_id",), html: str = "html") -> DataFrame:

@@ -83,6 +83,19 @@ def test_spans_on_the_grid(spark):
     assert len(grids(spark, "<table><tr><td colspan=99999>a</table>")[0][0]) == 1000
 
 
+def test_long_tables(spark):
+    """A cell that spans more rows than 1,000 stands in all of them, and pages
+    are read where they lie: no shuffle, no rows of single tags."""
+    from courtside.plans import schedule as S
+    head = "".join(f"<th>{x}</th>" for x in ("Date", "Game", "Start (ET)", "Visitor/Neutral", "PTS", "Home/Neutral"))
+    lines = "".join(f"<tr>{'<th rowspan=2500>Tue, Dec 22, 2020</th>' if i == 0 else ''}<td>{i}<td>7:30p<td>1<td><td>2</tr>" for i in range(2500))
+    pages = spark.createDataFrame([(1, f"<table><tr>{head}</tr>{lines}</table>")], "page_id long, html string")
+    got = S.schedule_from_pages(pages, "2020-12-01").select("game_no", "game_id", "start_minute", "visitor", "home").orderBy("game_no").collect()
+    assert [tuple(r) for r in got] == [(i + 1, i, 1170, 1, 2) for i in range(2500)]
+    plan = PG.page_grids(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
 def test_tables_against_a_plain_reader(spark):
     """Random tables without spans, some nested, by the standard library's parser."""
     import random

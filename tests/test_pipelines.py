@@ -2,6 +2,7 @@
 fixtures, hand-written edge cases, plan-choice equivalence and determinism."""
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -280,3 +281,19 @@ def test_schedule_text_parsing_with_scores(spark):
     out = rows(S.normalise_schedule(sched, "2020-12-22", score_col="visitor_pts"),
                "game_no", "game_id", "day_of_week", "start_minute", "vs")
     assert out == [(1, 1, "Tuesday", 1140, "Vs"), (2, 2, "Wednesday", 750, "Vs")]
+
+
+def test_box_scores_are_dealt_by_their_number(spark, fx, monkeypatch):
+    """A task's share of the box scores doesn't grow with the line items: both
+    sides of their join are dealt over as many tasks as the rows ask for, the
+    aggregate and windows stay on that dealing, and the rows are the same."""
+    from courtside.sources import fixtures
+    lines = fx.table("lineitem").count()
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 500)
+    dealt = fixtures.Fixture(spark, fx.sf_dir)
+    plan = dealt.v_box_scores._jdf.queryExecution().executedPlan().toString()
+    n = -(-lines // 500)
+    assert n > 4 and len(re.findall(rf"hashpartitioning\(\w+#\d+L?, {n}\)", plan)) == 2
+    assert "hashpartitioning" not in plan.split("SortMergeJoin")[0]
+    assert rows(dealt.v_box_scores) == rows(fx.v_box_scores)
+    assert "Exchange" not in spark.table("lineitem")._jdf.queryExecution().executedPlan().toString()

@@ -158,8 +158,8 @@ def page_grids(pages: DataFrame, ids: Sequence[str] = ("page_id",), html: str =
 
     A nested table is a table of its own, and its text is not its outer cell's.
     End tags may be missing. A cell that spans columns or rows stands in each of
-    them. Text outside of cells is dropped, as are rows without a cell. A page
-    without a table (or null) has no row."""
+    them. Text outside of cells is dropped, as are rows without a cell. Pages that
+    repeat an id are read one by one. A page without a table (or null) has no row."""
     pages = pages.select(*ids, F.col(html).cast("binary").alias("__html")).where(F.col("__html").isNotNull())
     schema = StructType(pages.schema.fields[:-1]).add("table", "long").add("lines", StructType.fromDDL(f"x {LINES}")[0].dataType)
     target = to_arrow_schema(schema)

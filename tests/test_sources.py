@@ -96,6 +96,14 @@ def test_long_tables(spark):
     assert "Exchange" not in plan and "Generate" not in plan
 
 
+def test_pages_that_repeat_an_id(spark):
+    """Each is read on its own, like the SQL does."""
+    one = "<table><tr><th>A<th>B</tr><tr><td>1<td>2</tr></table>"
+    pages = spark.createDataFrame([(1, one), (1, one), (None, one), (None, one.replace("1", "3"))], "page_id long, html string").repartition(2)
+    got = PG.page_table_records(pages, {"a": "A", "b": "B"})
+    assert rows(got, "page_id", "row", "a", "b") == sorted([(1, 1, "1", "2"), (1, 1, "1", "2"), (None, 1, "1", "2"), (None, 1, "3", "2")], key=repr)
+
+
 def test_tables_against_a_plain_reader(spark):
     """Random tables without spans, some nested, by the standard library's parser."""
     import random

@@ -15,8 +15,8 @@ expansion, the sequence.
 
 Encoding a text equals encoding its pieces between ASCII white space (the
 tokenizer drops white space and never joins across it), so each worker keeps the
-ids of the words it has met, within ``CACHE_WORDS``, and the tokenizer sees the
-same word seldom twice.
+ids of the pieces of words it has met, within ``CACHE_WORDS``, and the tokenizer
+sees the same one seldom twice.
 
 Null text is empty: a document of the end id alone. A null id sorts first. Rows
 that repeat an id follow each other by text. Nothing is written for an empty
@@ -33,6 +33,8 @@ import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,24 +45,38 @@ SHARD_IDS = 1 << 20
 CACHE_WORDS = 600_000
 MIN_COUNT = 4         # a pair is frequent if it occurs this often in a shard: a rule costs three numbers, each use saves one
 MAGIC = b"RPID0002"
-_HASH = np.uint64(0x9E3779B97F4A7C15)
-_PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+READ_SHARDS = 4       # that a task reads back, one after the other
+SPAN = 1 << 23        # bytes of texts whose words are told apart at a time
+JOINED = 1000         # pieces that the tokenizer gets as one text
+_SUFFIX = "</w>"
+_PLAIN = "[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
+_PLAIN_WORD = re.compile(_PLAIN)
 # The tokenizer's pattern, for lower-case words of those characters.
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+_PIECE = "('s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+)"
 
 
 # ---------------------------------------------------------------- grammar
 
-def frequent(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions whose pair (with the next symbol) is frequent, and the pairs."""
-    pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-    bins = ((pair * _HASH) >> np.uint64(46)).astype(np.int32)
-    at = np.flatnonzero(np.bincount(bins, minlength=1 << 18).astype(np.int32)[bins] >= least)  # a superset: bins may be shared
-    if not len(at):
-        return at, pair[:0]
-    kinds, inverse, count = np.unique(pair[at], return_inverse=True, return_counts=True)
-    keep = count[inverse] >= least
-    return at[keep], pair[at[keep]]
+def frequent(seq: np.ndarray, maybe: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those of the positions ``maybe`` whose pair (with the next symbol) is there
+    ``least`` times, the number of each one's pair, and the pairs (left, right)."""
+    left, right = seq[maybe].astype(np.uint64), seq[maybe + 1].astype(np.uint64)
+    wide, long = np.uint64(int(seq.max()).bit_length()), np.uint64(len(maybe).bit_length())
+    pair = left << wide | right
+    if 2 * wide + long <= 64:  # pair and place fit one number: a plain sort is several times as fast as one of places
+        key = np.sort(pair << long | np.arange(len(maybe), dtype=np.uint64))
+        pair, place = key >> long, (key & ((np.uint64(1) << long) - np.uint64(1))).astype(np.int64)
+    else:
+        place = np.argsort(pair, kind="stable")
+        pair = pair[place]
+    head = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+    count = np.diff(np.append(head, len(pair)))
+    keep = count >= least
+    kind = np.empty(len(maybe), np.int32)
+    kind[place] = np.repeat(np.where(keep, np.cumsum(keep) - 1, -1).astype(np.int32), count)
+    hit = kind >= 0
+    kinds = pair[head[keep]]
+    return maybe[hit], kind[hit], np.stack([kinds >> wide, kinds & ((np.uint64(1) << wide) - np.uint64(1))], axis=1).astype(np.uint32)
 
 
 def repair(ids: np.ndarray, least: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -69,60 +85,84 @@ def repair(ids: np.ndarray, least: int = MIN_COUNT) -> tuple[np.ndarray, np.ndar
     seq = ids.astype(np.uint32)
     first = int(seq.max()) + 1 if len(seq) else 0
     rules, lengths = np.empty((0, 2), np.uint32), np.empty(0, np.int64)
-    while len(seq) > 1:
-        at, pairs = frequent(seq, least)
-        if not len(at):
-            break
+    maybe = np.arange(len(seq) - 1)
+    while len(maybe):
+        at, kind, pairs = frequent(seq, maybe, least)
         # of overlapping pairs every other one is taken, from the left
-        start = np.append(True, np.diff(at) != 1)
-        step = np.arange(len(at)) - np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
-        at, pairs = at[step % 2 == 0], pairs[step % 2 == 0]
-        kinds, inverse, count = np.unique(pairs, return_inverse=True, return_counts=True)
-        worth = count >= 4  # a rule costs three words; each use saves one
+        start = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+        step = np.arange(len(at)) - np.repeat(start, np.diff(start, append=len(at)))
+        taken = step & 1 == 0
+        worth = np.bincount(kind[taken], minlength=len(pairs)) >= 4  # a rule costs three words; each use saves one
         if not worth.any():
             break
         name = np.cumsum(worth) - 1 + first + len(rules)
-        use = worth[inverse]
-        at, symbol = at[use], name[inverse[use]]
-        both = np.stack([kinds[worth] >> np.uint64(32), kinds[worth] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+        use = taken & worth[kind]
+        put = at[use]
+        both = pairs[worth]
         size = np.ones(both.shape, np.int64)
         made = both >= first
         size[made] = lengths[both[made] - first]
         rules, lengths = np.concatenate([rules, both]), np.concatenate([lengths, size.sum(axis=1)])
-        seq[at] = symbol
-        rest = np.ones(len(seq), bool)
-        rest[at + 1] = False
-        seq = seq[rest]
+        seq[put] = name[kind[use]]
+        # a pair of older symbols only grows rarer: frequent next are pairs of a new symbol, or those frequent now
+        near, rest = np.zeros(len(seq), bool), np.ones(len(seq), bool)
+        near[at], near[put], near[np.maximum(put - 1, 0)] = True, True, True
+        rest[put + 1] = False
+        seq, near = seq[rest], near[rest]
+        maybe = np.flatnonzero(near[:-1])
     return seq, rules, lengths, first
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first: int) -> np.ndarray:
     """The ids that a stretch of symbols stands for."""
-    out = symbols.astype(np.uint32)
-    while True:
-        made = out >= first
-        if not len(rules) or not made.any():
-            return out
-        place = np.arange(len(out)) + np.cumsum(made) - made
-        wide = np.empty(len(out) + int(made.sum()), np.uint32)
-        wide[place[~made]] = out[~made]
-        both = rules[out[made] - first]
-        wide[place[made]], wide[place[made] + 1] = both[:, 0], both[:, 1]
-        out = wide
+    symbol = symbols.astype(np.uint32)
+    if not len(rules):
+        return symbol
+    made = rules[:, 0] >= first
+    left = np.ones(len(rules), np.int64)
+    left[made] = lengths[rules[made, 0] - first]
+    made = symbol >= first
+    size = np.ones(len(symbol), np.int64)
+    size[made] = lengths[symbol[made] - first]
+    upto = np.cumsum(size)
+    out = np.empty(upto[-1] if len(upto) else 0, np.uint32)
+    at = upto - size
+    while len(symbol):  # an id is put in its place once, a nonterminal gives way to its two
+        made = symbol >= first
+        out[at[~made]] = symbol[~made]
+        rule, at = symbol[made] - first, at[made]
+        symbol, at = np.concatenate([rules[rule, 0], rules[rule, 1]]), np.concatenate([at, at + left[rule]])
+    return out
 
 
 def packed(values: np.ndarray, bits: int) -> bytes:
-    """Numbers below 2 ** bits, end to end."""
-    wide = np.unpackbits(values.astype("<u4").reshape(-1, 1).view(np.uint8), axis=1, bitorder="little")
-    return np.packbits(wide[:, :bits], bitorder="little").tobytes()
+    """Numbers below 2 ** bits, end to end. Eight of them fill whole bytes."""
+    rows = np.zeros((-(-len(values) // 8), 8), np.uint64)
+    rows.reshape(-1)[:len(values)] = values
+    words = np.zeros((len(rows), -(-bits // 8)), "<u8")
+    for j in range(8):
+        k, off = divmod(j * bits, 64)
+        words[:, k] |= rows[:, j] << np.uint64(off)
+        if off + bits > 64:
+            words[:, k + 1] |= rows[:, j] >> np.uint64(64 - off)
+    return words.view(np.uint8)[:, :bits].tobytes()[:(len(values) * bits + 7) // 8]
 
 
 def unpacked(data: bytes, at: int, n: int, bits: int) -> tuple[np.ndarray, int]:
     """n numbers from ``at``, and the place behind them."""
-    size = (n * bits + 7) // 8
-    wide = np.zeros((n, 32), np.uint8)
-    wide[:, :bits] = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * bits, bitorder="little").reshape(n, bits)
-    return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel().astype(np.uint32), at + size
+    size, rows = (n * bits + 7) // 8, -(-n // 8)
+    whole = np.zeros(rows * bits, np.uint8)
+    whole[:size] = np.frombuffer(data, np.uint8, size, at)
+    wide = np.zeros((rows, 8 * -(-bits // 8)), np.uint8)
+    wide[:, :bits] = whole.reshape(rows, bits)
+    words, out = wide.view("<u8"), np.empty((rows, 8), np.uint32)
+    for j in range(8):
+        k, off = divmod(j * bits, 64)
+        value = words[:, k] >> np.uint64(off)
+        if off + bits > 64:
+            value |= words[:, k + 1] << np.uint64(64 - off)
+        out[:, j] = value & np.uint64((1 << bits) - 1)
+    return out.ravel()[:n], at + size
 
 
 class Shard:
@@ -212,12 +252,14 @@ _WORDWISE = {
 
 
 class Encoder:
-    """Texts to ids through bounded memories of words and of their pieces.
+    """Texts to ids through a bounded memory of the pieces of words.
 
-    The tokenizer lower-cases and then cuts a word by its own pattern. For words
-    of ASCII and Latin-1 letters that cut is plain (``_PIECE``), so those are
-    learned piece by piece; any other word is encoded as it stands. A tokenizer
-    whose file says that it normalises or cuts otherwise gets whole texts."""
+    The words of some texts are told apart first, so what follows is done once
+    for each. The tokenizer lower-cases and then cuts a word by its own pattern.
+    For words of ASCII and Latin-1 letters that cut is plain (``_PIECE``), so
+    those are learned piece by piece; any other word is encoded as it stands. A
+    tokenizer whose file says that it normalises or cuts otherwise gets whole
+    texts."""
 
     def __init__(self, tokenizer: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -225,39 +267,85 @@ class Encoder:
         self.tok, self.limit, spec = Tokenizer.from_str(tokenizer), cache_words, json.loads(tokenizer)
         self.wordwise = all(spec.get(k) == v for k, v in _WORDWISE.items()) and not any(
             t["normalized"] or t["lstrip"] or t["rstrip"] or not t["content"].startswith("<|") for t in spec["added_tokens"])
-        self.words, self.word_ids, self.pieces, self.piece_ids = Numbers(), Ragged(), Numbers(), Ragged()
-
-    def learn(self) -> None:
-        """Ids of the words that were asked for since."""
+        # every piece of a wordwise tokenizer ends in the one token that has the suffix
+        vocabulary = self.tok.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith(_SUFFIX)]] = True
+        self.wordwise &= spec["model"].get("end_of_word_suffix") == _SUFFIX
+        self.pieces, self.piece_ids = Numbers(), Ragged()
+        self.uses = np.zeros(1 << 18, np.int32)  # by how many stretches of text
+
+    def forget(self) -> None:
+        """Keep the pieces met again since the last time, half of the limit at most."""
+        again = np.flatnonzero(self.uses[:len(self.pieces)] > 1)[:self.limit // 2]
+        names, ids = list(self.pieces), self.piece_ids.pick(again)
+        self.pieces, self.piece_ids = Numbers((names[i], n) for n, i in enumerate(again.tolist())), Ragged()
+        self.piece_ids.extend(*ids)
+        self.uses[:] = 0
+
+    def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts, end to end, and how many each has."""
+        got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array(list(itertools.chain.from_iterable(got)), np.uint32), np.array([len(x) for x in got], np.int64)
+
+    def learn(self, fresh: list[str]) -> None:
+        """Ids of pieces, and of words that are not cut. Plain pieces go to the
+        tokenizer many to a text."""
+        plain = [bool(_PLAIN_WORD.fullmatch(x)) and "<|" not in x for x in fresh]
+        easy = list(itertools.compress(fresh, plain))
+        got = []
+        for a in range(0, len(easy), JOINED):
+            some = easy[a:a + JOINED]
+            flat, _ = self.ids_of([" ".join(some)])
+            ends = np.flatnonzero(self.last[flat]) + 1
+            whole = len(ends) == len(some) and ends[-1] == len(flat)
+            got.append((flat, np.diff(ends, prepend=0)) if whole else self.ids_of(some))
+        got.append(self.ids_of([x for x, p in zip(fresh, plain) if not p]))
+        found = Ragged()
+        found.extend(*map(np.concatenate, zip(*got)))
+        is_easy = np.array(plain, bool)
+        self.piece_ids.extend(*found.pick(np.where(is_easy, np.cumsum(is_easy) - 1, len(easy) + np.cumsum(~is_easy) - 1)))
+
+    def words(self, kinds: pa.Array) -> Ragged:
+        """The ids of each word."""
         if len(self.pieces) > self.limit:
-            self.pieces, self.piece_ids = Numbers(), Ragged()
-        new = [w.decode() for w in itertools.islice(self.words, self.word_ids.n, None)]
-        cut = [_PIECE.findall(w.lower()) if _PLAIN.fullmatch(w) and "<|" not in w else [w] for w in new]
-        which = np.array([self.pieces[x] for c in cut for x in c], np.int64)
-        fresh = list(itertools.islice(self.pieces, self.piece_ids.n, None))
-        if fresh:
-            got = [e.ids for e in self.tok.encode_batch_fast(fresh, add_special_tokens=False)]
-            self.piece_ids.extend(np.array(list(itertools.chain.from_iterable(got)), np.uint32), np.array([len(x) for x in got], np.int64))
-        flat, size = self.piece_ids.pick(which)
-        upto = np.append(0, np.cumsum(size))[np.append(0, np.cumsum([len(c) for c in cut]))]
-        self.word_ids.extend(flat, np.diff(upto))
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+            self.forget()
+        plain = pc.and_not(pc.match_substring_regex(kinds, f"^{_PLAIN}$"), pc.match_substring(kinds, "<|"))
+        cut = pc.ascii_split_whitespace(pc.if_else(plain, pc.replace_substring_regex(pc.utf8_lower(kinds), _PIECE, r"\1 "), kinds))
+        each = cut.flatten().dictionary_encode()
+        names = pc.binary_join(pa.ListArray.from_arrays([0, len(each.dictionary)], each.dictionary), " ")[0].as_py().split(" ") if len(each) else []
+        which = np.fromiter(map(self.pieces.__getitem__, names), np.int64, len(names))
+        if len(self.pieces) > self.piece_ids.n:
+            self.learn(list(itertools.islice(self.pieces, self.piece_ids.n, None)))
+        while len(self.uses) < len(self.pieces):
+            self.uses = np.concatenate([self.uses, np.zeros_like(self.uses)])
+        self.uses[which] += 1
+        flat, size = self.piece_ids.pick(which[each.indices.to_numpy()])
+        upto = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(pc.list_value_length(cut).to_numpy()))]
+        out = Ragged()
+        out.extend(flat, np.diff(upto))
+        return out
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
         """The ids of each text, without an end id."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         if not self.wordwise:
-            return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        if len(self.words) > self.limit // 2:
-            self.words, self.word_ids = Numbers(), Ragged()
-        cut = [(t or "").encode().split() for t in texts]
-        n = np.fromiter(map(len, cut), np.int64, len(cut))
-        k = np.fromiter(map(self.words.__getitem__, itertools.chain.from_iterable(cut)), np.int64, int(n.sum()))
-        if len(self.words) > self.word_ids.n:
-            self.learn()
-        flat, size = self.word_ids.pick(k)
-        ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(n))]
+            flat, size = self.ids_of(texts.to_pylist())
+            return np.split(flat, np.cumsum(size)[:-1]) if len(size) else []
+        cut = pc.ascii_split_whitespace(texts)
+        each = cut.flatten().dictionary_encode()
+        flat, size = self.words(each.dictionary).pick(each.indices.to_numpy())
+        ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(pc.list_value_length(cut).to_numpy()))]
         return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
+def slices(column: pa.Array, size: int):
+    """Stretches of texts of about ``size`` bytes or one text."""
+    part = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(column)]
+    return ((a, b) for a, b in zip(edges, edges[1:]) if a < b)
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -293,9 +381,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str | None = None,
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a in range(0, len(texts), 500):
-                for doc_id, got in zip(ids[a:a + 500], encoder.encode(texts[a:a + 500])):
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            for a, b in slices(texts, SPAN):
+                for doc_id, got in zip(ids[a:b], encoder.encode(texts.slice(a, b - a))):
                     names.append(doc_id)
                     parts.append(np.append(got, np.uint32(end_id)))
                     held += len(got) + 1
@@ -339,7 +427,7 @@ def _documents(shards: DataFrame, schema: str, make) -> DataFrame:
                         out.setdefault(k, []).append(v)
                     begin = end
                 yield out
-    n = max(1, shards.count())
+    n = max(1, shards.count() // READ_SHARDS)
     return map_arrow(with_starts(shards).select("shard", "start").repartitionByRange(n, "start"), schema, run)
 
 

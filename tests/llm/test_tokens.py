@@ -114,3 +114,52 @@ def test_rules_go_down_to_the_break_even():
     left = kinds[count >= MIN_COUNT]
     assert MIN_COUNT == 4 and all(p >> np.uint64(32) == p & np.uint64(0xFFFFFFFF) for p in left)  # of one id: overlaps
     assert len(seq) + 3 * len(rules) < len(ids)
+
+
+class Counted:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tok):
+        self.tok, self.texts = tok, []
+
+    def encode_batch_fast(self, texts, **how):
+        self.texts += texts
+        return self.tok.encode_batch_fast(texts, **how)
+
+
+def test_new_pieces_reach_the_tokenizer_many_at_a_time(tok):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("aeioustrnléß", k=9)) + rng.choice(["", ",", "'s", "7"]) for _ in range(4000)]
+    words += ["日本", "<|endoftext|>", "a<|", "\x01", "İ", "<", "|>"]
+    texts = [" ".join(rng.choices(words, k=200)).title() for _ in range(100)]
+    coder = Encoder(open(PATH, encoding="utf-8").read())
+    coder.tok = Counted(coder.tok)
+    for t, got in zip(texts, coder.encode(texts)):
+        assert got.tolist() == tok.encode(t, add_special_tokens=False).ids
+    assert len(coder.pieces) > 3000 and len(coder.tok.texts) < 1300  # pieces beside others that must go alone, go alone
+    coder.tok.texts.clear()
+    coder.encode([" ".join(f"zq{'q' * i}" for i in range(900))])
+    assert len(coder.tok.texts) == 1
+
+
+def test_a_full_memory_keeps_the_pieces_that_came_again(tok):
+    coder = Encoder(open(PATH, encoding="utf-8").read(), cache_words=400)
+    coder.tok = Counted(coder.tok)
+    common = [f"common{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100)]
+    for k in range(12):
+        text = " ".join([*common, *(f"rare{chr(97 + k)}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100))])
+        assert coder.encode([text])[0].tolist() == tok.encode(text, add_special_tokens=False).ids
+        assert len(coder.pieces) <= 600 and len(coder.pieces) == coder.piece_ids.n
+    assert sum(t.split().count("commonaa") for t in coder.tok.texts) == 1
+
+
+def test_pairs_too_wide_for_one_number_give_the_same_grammar():
+    """Ids near 2 ** 31 beside small ones in the same order: same rules."""
+    rng = np.random.default_rng(6)
+    small = (rng.pareto(1.0, 20000) * 5).astype(np.uint32) % 300
+    seq, rules, lengths, first = repair(small)
+    far = np.uint32(1 << 31)
+    wide = repair(small + far)
+    assert [wide[0].tolist(), wide[1].tolist(), wide[3]] == [(seq + far).tolist(), (rules + far).tolist(), first + far]
+    assert wide[2].tolist() == lengths.tolist()
+    assert expand(wide[0], wide[1], wide[2], wide[3]).tolist() == (small + far).tolist()

@@ -63,3 +63,25 @@ def test_odd_rows(docs_of, odd_rows, words):
     kept = {r.doc_id: bytes(r.kept) for r in remove_repeats(docs, with_bytes=True).collect()}
     assert kept[22] == b"q" and kept[23] == b"r"
     assert remove_repeats(docs.where("false")).count() == 0
+
+
+def test_planted_passages_fall_by_their_bytes_alone(docs_of, words):
+    """Passages of over 50 words in two documents each: from 400 bytes on they are
+    taken whole, shorter ones and documents without any stay, and n_bytes is the
+    size of the input whatever was removed."""
+    rng = random.Random(12)
+    rows, held = [], {}
+    for i in range(0, 80, 2):
+        passage = " ".join(rng.choices(words, k=51 + i))
+        held[i] = held[i + 1] = len(passage)
+        rows += [(i + k, f"{i}<{k} " + " ".join(rng.choices(words, k=40)) + f" {k}[{passage}]{k} {i}") for k in range(2)]
+    rows += [(100 + i, f"{i} " + " ".join(rng.choices(words, k=150))) for i in range(20)]
+    found = {r.doc_id: r for r in remove_repeats(docs_of(rows)).collect()}
+    assert 10 < sum(n >= 400 for n in held.values()) and 1 < sum(n < 398 for n in held.values())
+    for i, text in rows:
+        n = held.get(i, 0)
+        assert found[i].n_bytes == len(text.encode())
+        if n >= 400:
+            assert n <= found[i].n_removed <= n + 2 and found[i].n_spans == 1
+        elif n < 398:  # the brackets around a passage repeat with it
+            assert found[i].n_removed == 0 and found[i].kept_sha256 == hashlib.sha256(text.encode()).hexdigest()

@@ -2,7 +2,9 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from courtside.llm import substrings
 from courtside.llm.substrings import remove_repeats
 
 
@@ -85,3 +87,42 @@ def test_planted_passages_fall_by_their_bytes_alone(docs_of, words):
             assert n <= found[i].n_removed <= n + 2 and found[i].n_spans == 1
         elif n < 398:  # the brackets around a passage repeat with it
             assert found[i].n_removed == 0 and found[i].kept_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def shuffle_files(spark):
+    """Sizes of the shuffle files that this process holds, by name."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    found = [files.apply(i) for i in range(files.size())]
+    return {f.getName(): f.length() for f in found if f.getName().startswith("shuffle_")}
+
+
+def test_texts_without_repeats_are_not_shuffled(spark, docs_of):
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large for it
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=5000))) for i in range(400)]
+    rows += [(1000 + i, f"{i} {rows[i][1][100:1200]} {i}") for i in range(5)]
+    before = shuffle_files(spark)
+    try:
+        found = {r.doc_id: r.n_removed for r in remove_repeats(docs_of(rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    written = sum(n for name, n in shuffle_files(spark).items() if name not in before)
+    assert sum(n > 0 for n in found.values()) == 10 and len(found) == len(rows)
+    assert 0 < written < sum(len(t) for _, t in rows) / 3
+
+
+def test_marked_holds_every_key_and_few_others(spark):
+    rows = spark.range(-20000, 20000).select(F.xxhash64("id").alias("k"), "id")
+    keys = rows.where("id % 20 = 0").select("k")
+    found = {r.id: r.hit for r in substrings.marked(rows, keys.union(keys), "k").collect()}
+    assert len(found) == 40000 and all(found[i] for i in range(-20000, 20000, 20))
+    assert sum(found.values()) < 2100
+    assert not any(r.hit for r in substrings.marked(rows, keys.where("false"), "k").collect())
+
+
+@pytest.mark.parametrize("group", [256, 1])
+def test_full_bitmaps_change_no_row(docs_of, words, odd_rows, monkeypatch, group):
+    monkeypatch.setattr(substrings, "marked", lambda rows, keys, col: rows.withColumn("hit", F.lit(True)))
+    rows = corpus(random.Random(group), words[:200], 40, 25) + odd_rows
+    assert run(docs_of(rows), 60, seed=16, group=group) == expect(rows, 60)
